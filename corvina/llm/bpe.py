@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
 A byte pair that occurs inside no vocabulary token can never be merged over: no token spans it. Such a pair is a
-certain cut. Text is cut there, every fragment is encoded on its own, and the ids are concatenated. Most fragments
-repeat, so a bounded memo turns most of the work into one dictionary look-up for each fragment.
+certain cut. Text is cut there, every fragment is encoded on its own by an ordinary byte-pair merger, and the ids are
+concatenated. So the work of the merger never follows the length of a text, only that of a fragment.
 
 The pre-tokenizer looks one character ahead after white space, so a cut is used only where it also falls between two
 of its pieces: before ASCII white space that follows a character that is not white space.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,10 @@ from corvina.llm.common import chunks
 
 #: Fixed value: the public pre-tokenizer pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that one generation of the memo holds; two generations live at a time.
-MEMO = 250_000
-#: Fragments longer than this are encoded but not remembered.
-LONGEST_KEPT = 64
+#: Texts under SHORT characters stay whole; lines over LONG are cut at every certain boundary.
+SHORT, LONG = 256, 20_000
 
+_LINE_CUT = re.compile(r"(?<=\S)(?=\n)")
 _CUT = re.compile(r"(?<=\S)(?=[\t-\r ])")
 _PAIR = re.compile(r"\S[\t-\r ]")
 _ASCII_SPACE = b" \t\n\r\x0b\x0c"
@@ -42,25 +42,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """Fragment to little-endian ids. When one generation is full it becomes the old one, which is asked before encoding."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.old.get(key)
-        if ids is None:
-            ids = self.encode(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[key] = ids
-        return ids
-
-
 class ForcedBoundaryBPE:
     """Encoder and decoder made from the bytes of a tokenizers file."""
 
@@ -93,21 +74,19 @@ class ForcedBoundaryBPE:
                 inside.update(chr(b) for a, b in zip(token, token[1:]) if b in _ASCII_SPACE and a not in _ASCII_SPACE)
         self.forced = {chr(b): chr(b) not in inside for b in _ASCII_SPACE}
         self._engine = tiktoken.Encoding("forced", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
-        self._after_space = _Memo(lambda f: self._fragment(f if f[:1] == "\n" else " " + f))
-        self._first = _Memo(self._fragment)
 
-    def _fragment(self, fragment: str) -> bytes:
-        return np.array(self._engine.encode_ordinary(fragment), dtype="<i4").tobytes()
+    def fragments(self, text: str) -> list[str]:
+        """The text cut at certain boundaries: before line ends, and within long lines before any ASCII white space."""
+        if not self.forced["\n"] or len(text) < SHORT:
+            return [text]
+        out = []
+        for line in _LINE_CUT.split(text):
+            out += _CUT.split(line) if len(line) > LONG and all(self.forced.values()) else [line]
+        return out
 
     def _plain(self, text: str) -> bytes:
-        if self.forced[" "] and self.forced["\n"]:
-            words = text.split()
-            if words and text.replace("\n", " ").split(" ") == words:
-                parts = text.replace("\n", " \n").split(" ")
-                head = self._first[parts[0]]
-                return head + b"".join(map(self._after_space.__getitem__, parts[1:]))
-        cuts = [f for f in _CUT.split(text) if f] if all(self.forced.values()) else [text]
-        return b"".join(map(self._first.__getitem__, cuts))
+        encode = self._engine.encode_ordinary
+        return b"".join([array("i", encode(f)).tobytes() for f in self.fragments(text)])
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit values."""
