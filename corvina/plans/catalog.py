@@ -1,11 +1,281 @@
-"""All queries over the engine's operators, and their SQL forms."""
+"""All queries over the engine's operators, and their SQL forms. Keys follow the blueprint's operator keys."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvina.functions import columns as C
+from corvina.functions import models
+from corvina.operators import budget, graph, memory, predicates, retrieval, state
+from corvina.plans.projections import frame, oracle
+from corvina.sources import files as S
+from corvina.sources import tables as T
+from corvina.streaming import watch
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+QUESTION = "the thing and that within the ereath"
+LIVE = "deleted_at IS NULL"
+
+
+def add(name: str, query: Query, sql: str | None = None, *over: str) -> None:
+    _queries[name] = query
+    if sql is not None:
+        _oracles[name] = oracle(sql, *over) if over else sql
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def first_vector(spark: SparkSession, d: str) -> list[float]:
+    """The query vector: the one of the least id."""
+    return frame(spark, d, "vectors").orderBy("id").first()["vector"]
+
+
+def vector_points(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the vector of the same number, for hybrid search."""
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return docs.join(frame(spark, d, "vectors"), "id")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(vector_points(spark, d), "hybrid", QUESTION, first_vector(spark, d), 10)
+
+
+def r6(c: str) -> str:
+    return f"round({c}, 6) AS {c}"
+
+
+# --- identities and scalar text functions
+DOC = "SELECT doc_id, text FROM documents"
+docs = lambda s, d: T.table(s, d, "documents")
+add("I1_content_hash", lambda s, d: docs(s, d).select("doc_id", C.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, left(sha256(text), 16) AS hash FROM documents")
+add("I2_chunk_id", lambda s, d: frame(s, d, "points").select("id", C.chunk_id(F.col("repo"), F.col("branch"), F.col("file"), F.col("start_line"), F.lit(0)).alias("chunk_id")),
+    "SELECT id, left(sha256(concat_ws(':', repo, branch, file, start_line, 0)), 32) AS chunk_id FROM points", "points")
+NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+add("I3_normalized_hash", lambda s, d: docs(s, d).select("doc_id", C.normalized_hash(F.col("text")).alias("hash")), f"SELECT doc_id, sha256({NORM}) AS hash FROM documents")
+add("I4_memory_id", lambda s, d: docs(s, d).select("doc_id", C.memory_id(F.col("source"), C.normalized_hash(F.col("text"))).alias("id")), f"SELECT doc_id, 'mem_' || left(sha256(source || ':' || sha256({NORM})), 24) AS id FROM documents")
+add("I5_base_memory_id", lambda s, d: frame(s, d, "memories").select(F.concat("id", F.lit("_c12")).alias("vid"), C.base_memory_id(F.concat("id", F.lit("_c12"))).alias("base")), "SELECT id || '_c12' AS vid, id AS base FROM memories", "memories")
+add("I6_identity_project", lambda s, d: docs(s, d).select("doc_id", C.identity_project(F.when(F.col("lang") == "en", "Global").when(F.col("lang") == "fr", "group").otherwise("local"), F.lit("core"), F.col("source")).alias("p")),
+    "SELECT doc_id, CASE lang WHEN 'en' THEN '@global' WHEN 'fr' THEN '@group:core' ELSE source END AS p FROM documents")
+add("T9_memory_windows", lambda s, d: docs(s, d).select("doc_id", F.posexplode(C.memory_windows(F.col("text"))).alias("pos", "chunk")),
+    r"""WITH w AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(generate_series(0, 39)) AS pos FROM w) SELECT doc_id, pos::INT AS pos, array_to_string(w[(pos + 1) * 70 + 1 : (pos + 1) * 70 + 100], ' ') AS chunk FROM p WHERE (pos + 1) * 70 < len(w)""")
+add("T10_token_estimate", lambda s, d: docs(s, d).select("doc_id", C.token_estimate(F.col("text")).alias("n")), "SELECT doc_id, len(text) // 4 AS n FROM documents")
+add("T12_sentences", lambda s, d: docs(s, d).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("sentence")).alias("chars")),
+    r"""SELECT doc_id, count(*) AS n, sum(len(s))::BIGINT AS chars FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(10), 'g'), chr(10))), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents) WHERE s <> '' GROUP BY 1""")
+add("T13_prose_paths", lambda s, d: frame(s, d, "memories").select("id", F.array_join(C.prose_paths(F.concat("files", F.lit(" see `a/b.rs`. and x.toml, /.py"))), "|").alias("paths")),
+    "SELECT id, array_to_string(list_filter([split_part(files, ', ', 1), CASE WHEN split_part(files, ', ', 1) <> 'src1/f1.py' THEN 'src1/f1.py' END, 'a/b.rs', 'x.toml'], lambda x: x IS NOT NULL), '|') AS paths FROM memories", "memories")
+add("T11_F9_labels", lambda s, d: frame(s, d, "points").select("id", C.short_label(F.col("symbol")).alias("label"), C.basename(F.col("file")).alias("base"), F.concat_ws(" > ", F.concat(F.lit("# "), C.basename(F.col("file"))), C.short_label(F.col("symbol"))).alias("header")),
+    "SELECT id, CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS label, split_part(file, '/', 2) AS base, '# ' || split_part(file, '/', 2) || ' > ' || CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS header FROM points", "points")
+add("F7_mentions", lambda s, d: docs(s, d).select("doc_id", *(C.mentions(F.lower("text"), F.lit(w)).alias(w) for w in ("the", "that", "la"))),
+    "SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])') AS {w}" for w in ("the", "that", "la")) + " FROM documents")
+add("F10_synthetic", lambda s, d: frame(s, d, "points").select("id", C.synthetic(F.when(F.col("symbol") == "", "a::<module>").otherwise(F.col("symbol"))).alias("synthetic")), "SELECT id, symbol = '' AS synthetic FROM points", "points")
+add("S6_S7_languages", lambda s, d: frame(s, d, "points").select("id", C.language_of(F.col("file"), C.PARSED).alias("parsed"), C.language_of(F.regexp_replace("file", "py$", "md"), C.RAW).alias("raw")), "SELECT id, 'python' AS parsed, 'markdown' AS raw FROM points", "points")
+add("S8_excluded", lambda s, d: frame(s, d, "points").where(~S.excluded(F.col("file"), ["src1*/", "*.py", "!src2/*.py", "#x"])).groupBy("repo").agg(F.count("*").alias("n")), "SELECT repo, count(*) AS n FROM points WHERE repo = 'src2' GROUP BY 1", "points")
+add("S9_S10_indexable", lambda s, d: docs(s, d).select("doc_id", C.own_artifact(F.concat(F.when(F.col("lang") == "en", ".git").otherwise("a"), F.lit("/x"))).alias("own"), C.generated(F.lit("a/x.py"), F.col("text")).alias("generated")),
+    "SELECT doc_id, lang = 'en' AS own, len(list_filter(string_split(text, chr(10)), lambda x: strlen(x) > 1000)) > 0 AS generated FROM documents")
+add("T23_joined_path", lambda s, d: frame(s, d, "routes").select("line", C.joined_path(F.lit("/api/"), F.col("path")).alias("path")), "SELECT line, '/api' || CASE WHEN trim(path, '/') = '' THEN '' ELSE '/' || trim(path, '/') END AS path FROM routes", "routes")
+add("T28_noop_summary", lambda s, d: docs(s, d).select("doc_id", C.noop_summary(F.col("text"), 50).alias("summary")), r"SELECT doc_id, CASE WHEN len(t) <= 200 THEN t ELSE left(t, 200) || '…' END AS summary FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)")
+add("T25_keyword_embedding", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.transform(models.keyword_embedding(F.col("text"), ("the", "la", "der")), lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("v")))
+add("X8_decoded_vector", lambda s, d: frame(s, d, "vectors").select("id", F.size(models.decoded_vector(F.col("vector"))).alias("dim")), "SELECT id, len(vector)::INT AS dim FROM vectors", "vectors")
+
+# --- sources and sinks
+add("S4_name_status", lambda s, d: state.name_status(frame(s, d, "points").select(F.concat(F.element_at(F.array(*map(F.lit, "AMDTX")), (F.length("text") % 5 + 1).cast("int")), F.lit("\t"), "file").alias("value"))).groupBy("status").agg(F.count("*").alias("n")),
+    "SELECT CASE length(text) % 5 WHEN 0 THEN 'added' WHEN 2 THEN 'deleted' ELSE 'modified' END AS status, count(*) AS n FROM points WHERE length(text) % 5 <> 4 GROUP BY 1", "points")
+add("S11_scroll", lambda s, d: frame(s, d, "points").where("repo = 'src3' AND branch = 'en'").select("id", "file"), "SELECT id, file FROM points WHERE repo = 'src3' AND branch = 'en'", "points")
+add("S12_vector_by_id", lambda s, d: frame(s, d, "vectors").where("id = 7").select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("x")), "SELECT id, round(vector[1]::DOUBLE, 6) AS x FROM vectors WHERE id = 7", "vectors")
+add("S13_upsert", lambda s, d: T.upserted(frame(s, d, "vectors").select("id", "vector", "label"), frame(s, d, "vectors").where("label = 3").select((F.col("id") + 250).alias("id"), "vector", F.lit(99).alias("label")), ["id"], 64).select("id", "label"),
+    "SELECT id, label FROM vectors WHERE id NOT IN (SELECT id + 250 FROM vectors WHERE label = 3) UNION ALL SELECT id + 250, 99 FROM vectors WHERE label = 3", "vectors")
+add("S14_S15_transfer", lambda s, d: T.import_lines(T.export_lines(frame(s, d, "memories").select("id", "project", "content"), "@global"), "id string, project string, content string").select("id", "project", "content", F.col("corrupt").isNull().alias("good")),
+    "SELECT id, project, content, true AS good FROM memories WHERE project = '@global'", "memories")
+add("S17_read_lines", lambda s, d: T.read_lines(docs(s, d).select(F.col("doc_id").alias("file"), "text"), 2, 3), "SELECT doc_id AS file, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS text FROM documents")
+add("S17_capped_file", lambda s, d: T.capped_lines(docs(s, d).select(F.col("doc_id").alias("file"), "text"), 200),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents),
+    c AS (SELECT *, sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l)
+    SELECT doc_id AS file, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE b <= 800 OR i = 1) AS text, count(*) FILTER (WHERE NOT (b <= 800 OR i = 1)) AS missing FROM c GROUP BY 1""")
+
+# --- filters
+add("F1_point_filter", lambda s, d: frame(s, d, "points").where(predicates.point_filter(repo="src0", languages=["fr", "de"], levels=["function"])).select("id", "file", "language"), "SELECT id, file, language FROM points WHERE repo = 'src0' AND language IN ('fr', 'de') AND level = 'function' AND NOT is_deletion", "points")
+
+
+def narrowed(s, d):
+    p = frame(s, d, "points")
+    branch = predicates.narrowed_branch(p, "src0", "gone", "fr")
+    return p.where(predicates.point_filter(repo="src0", branch=branch)).select("id", "branch")
+
+
+add("F2_branch_narrowing", narrowed, "SELECT id, branch FROM points WHERE repo = 'src0' AND branch = 'fr' AND NOT is_deletion", "points")
+add("F3_search_routes", lambda s, d: predicates.search_routes(frame(s, d, "routes"), "get", "en/").select("http_method", "path", "line"), "SELECT http_method, path, line FROM routes WHERE upper(http_method) = 'GET' AND contains(path, 'en/')", "routes")
+add("F4_routes_for_handler", lambda s, d: predicates.routes_for_handler(frame(s, d, "routes"), "page7").select("path", "handler_symbol", "line"), "SELECT path, handler_symbol, line FROM routes WHERE handler_symbol = 'page7' OR handler_method = 'page7'", "routes")
+add("F5_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "charge7", 5).select("id", "symbol", "tier"), "SELECT id, symbol, 2 AS tier FROM points WHERE NOT is_deletion AND suffix(symbol, '.charge7') ORDER BY file, start_line, id LIMIT 5", "points")
+add("F6_mentioning", lambda s, d: predicates.mentioning(frame(s, d, "memories"), "ouche", 20).select("id", "updated_at"), f"SELECT id, updated_at FROM memories WHERE {LIVE} AND (contains(content, 'ouche') OR contains(files, 'ouche')) ORDER BY updated_at DESC, id LIMIT 20", "memories")
+HITS = "id", "file", "start_line", "symbol", "level", "text"
+add("F8_hit_projection", lambda s, d: frame(s, d, "points").where("NOT is_deletion").select(*HITS), "SELECT id, file, start_line, symbol, level, text FROM points WHERE NOT is_deletion", "points")
+add("F11_shared_memories", lambda s, d: predicates.shared_memories(frame(s, d, "memories")).select("id", "project"), f"SELECT id, project FROM memories WHERE {LIVE} AND (project = '@global' OR starts_with(project, '@group:'))", "memories")
+add("F12_stale_projects", lambda s, d: predicates.stale_projects(frame(s, d, "projects"), frame(s, d, "heads")).select("name"), "SELECT p.name FROM projects p JOIN heads h ON p.name = h.name WHERE active AND head <> last_commit", "projects", "heads")
+add("F13_tracked", lambda s, d: frame(s, d, "states").where(predicates.tracked(F.col("branch"), ["en", "fr"])).groupBy("branch").agg(F.count("*").alias("n")), "SELECT branch, count(*) AS n FROM states WHERE branch IN ('en', 'fr') GROUP BY 1", "states")
+
+# --- aggregates
+add("A1_count", lambda s, d: frame(s, d, "points").where(predicates.point_filter(languages=["en"])).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM points WHERE language = 'en' AND NOT is_deletion", "points")
+add("A2_index_totals", lambda s, d: state.index_totals(frame(s, d, "states")), "SELECT repo, branch, count(*) AS files, coalesce(sum(symbols), 0)::BIGINT AS symbols, coalesce(sum(chunks), 0)::BIGINT AS chunks FROM states GROUP BY 1, 2", "states")
+add("A3_memory_stats", lambda s, d: memory.stats(frame(s, d, "memories")), f"SELECT memory_type, count(*) AS n FROM memories WHERE {LIVE} GROUP BY ROLLUP (memory_type)", "memories")
+add("A4_G1_callers", lambda s, d: graph.callers(frame(s, d, "edges"), "p5"), "SELECT DISTINCT source AS symbol FROM edges WHERE target = 'p5'", "edges")
+add("A4_G1_callees", lambda s, d: graph.callees(frame(s, d, "edges"), "p5"), "SELECT DISTINCT target AS symbol FROM edges WHERE source = 'p5'", "edges")
+add("A5_defined_symbols", lambda s, d: frame(s, d, "edges").select("source").distinct(), "SELECT DISTINCT source FROM edges", "edges")
+add("A6_files_branches", lambda s, d: frame(s, d, "points").where("NOT is_deletion AND file <> ''").select("file", "branch").distinct(), "SELECT DISTINCT file, branch FROM points WHERE NOT is_deletion AND file <> ''", "points")
+add("A8_best_by_level", lambda s, d: frame(s, d, "points").groupBy("file").agg(F.max(F.when(F.col("level") == "file", F.length("text"))).alias("intro"), F.max(F.when(F.col("level") == "function", F.length("text"))).alias("body")).withColumn("score", C.blend(F.col("intro"), F.col("body"))),
+    "SELECT *, coalesce((intro + body) / 2, intro, body)::DOUBLE AS score FROM (SELECT file, max(length(text)) FILTER (WHERE level = 'file')::INT AS intro, max(length(text)) FILTER (WHERE level = 'function')::INT AS body FROM points GROUP BY 1)", "points")
+add("A9_branch_exists", lambda s, d: frame(s, d, "points").groupBy("repo").agg((F.count_if(F.col("branch") == "es") > 0).alias("found")), "SELECT repo, count(*) FILTER (WHERE branch = 'es') > 0 AS found FROM points GROUP BY 1", "points")
+add("A10_symbols_per_file", lambda s, d: state.symbols_per_file(frame(s, d, "points")), "SELECT file, count(DISTINCT CASE WHEN symbol <> '' THEN symbol END) AS symbols, count(*) AS chunks FROM points GROUP BY 1", "points")
+
+# --- sorts and limits
+add("L3_G4_edge_export", lambda s, d: graph.export(frame(s, d, "edges"), kind="calls", file="s3").select("source", "target", "line"), "SELECT source, target, line FROM edges WHERE kind = 'calls' AND file = 's3' ORDER BY source, target, kind, file, line LIMIT 2000", "edges")
+add("L4_G2_references", lambda s, d: graph.references(frame(s, d, "edges"), "p9").select("source", "file", "line"), "SELECT source, file, line FROM edges WHERE target = 'p9'", "edges")
+add("L5_recent_memories", lambda s, d: frame(s, d, "memories").where(LIVE).orderBy(F.desc("updated_at"), "id").limit(20).select("id"), f"SELECT id FROM memories WHERE {LIVE} ORDER BY updated_at DESC, id LIMIT 20", "memories")
+add("L6_all_memories", lambda s, d: frame(s, d, "memories").orderBy("created_at", "id").select("id", "created_at"), "SELECT id, created_at FROM memories", "memories")
+add("L7_newest_by_topic", lambda s, d: predicates.latest_by(frame(s, d, "memories").where("topic <> ''"), ["project", "topic"], [F.desc("updated_at"), F.col("id")]).select("project", "topic", "id"),
+    "SELECT project, topic, id FROM (SELECT *, row_number() OVER (PARTITION BY project, topic ORDER BY updated_at DESC, id) AS k FROM memories WHERE topic <> '') WHERE k = 1", "memories")
+add("L9_projects", lambda s, d: frame(s, d, "projects").where("active").orderBy("name").select("name", "path"), "SELECT name, path FROM projects WHERE active", "projects")
+add("L10_merged_recent", lambda s, d: memory.merged_recent(frame(s, d, "memories").where(f"{LIVE} AND project = 'proj1'"), predicates.shared_memories(frame(s, d, "memories")), 20).select("id"),
+    f"SELECT id FROM memories WHERE {LIVE} AND (project = 'proj1' OR project = '@global' OR starts_with(project, '@group:')) ORDER BY updated_at DESC, id LIMIT 20", "memories")
+
+# --- joins
+add("J1_memories_by_id", lambda s, d: memory.by_ids(frame(s, d, "memories").select("id"), frame(s, d, "memories").where("memory_type = 'user'"), frame(s, d, "memories")).select("id", "memory_type"), f"SELECT id, memory_type FROM memories WHERE {LIVE}", "memories")
+J3 = f"""SELECT DISTINCT m.id AS memory_id, p.symbol, m.file FROM (SELECT DISTINCT id, content, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}) m
+ JOIN (SELECT DISTINCT file, symbol, split_part(symbol, '::', 2) AS label FROM points WHERE NOT is_deletion AND symbol <> '') p ON m.file = p.file WHERE regexp_matches(m.content || ' Card1.charge1, ' || p.label, '(^|[^A-Za-z0-9_])' || replace(p.label, '.', '\\.') || '($|[^A-Za-z0-9_])')"""
+add("J3_M7_mentioned_symbols", lambda s, d: memory.mentioned_symbols(frame(s, d, "memories").withColumn("content", F.concat("content", F.lit(" Card1.charge1, Card2.charge2x"))), frame(s, d, "points")).select("memory_id", "symbol", "file"),
+    f"""SELECT DISTINCT m.id AS memory_id, p.symbol, m.file FROM (SELECT DISTINCT id, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}) m
+    JOIN (SELECT DISTINCT file, symbol FROM points WHERE NOT is_deletion AND suffix(symbol, '::Card1.charge1')) p ON m.file = p.file""", "memories", "points")
+add("J4_resolved_files", lambda s, d: memory.resolved_files(frame(s, d, "points").select(F.col("file").alias("path")).unionByName(frame(s, d, "points").select(C.basename(F.col("file")).alias("path"))), frame(s, d, "points").select("file")),
+    """SELECT path, min(file) AS file FROM (SELECT file AS path, file FROM points UNION SELECT split_part(file, '/', 2) AS path, any_value(file) FROM (SELECT DISTINCT file FROM points) GROUP BY 1 HAVING count(*) = 1) GROUP BY 1""", "points")
+add("J5_M5_purge", lambda s, d: memory.without_project(frame(s, d, "memories").select(F.concat("id", F.lit("_c3")).alias("id")), frame(s, d, "memories"), "proj2"), "SELECT id || '_c3' AS id FROM memories WHERE project <> 'proj2'", "memories")
+SNAP = "SELECT file, hash FROM (SELECT file, max(hash) AS hash FROM states GROUP BY 1)"
+snapshot = lambda s, d: frame(s, d, "states").groupBy("file").agg(F.max("hash").alias("hash"))
+later = lambda s, d: snapshot(s, d).where("hash <> '6'").select(F.when(F.col("hash") == "5", F.concat("file", F.lit(".new"))).otherwise(F.col("file")).alias("file"), F.when(F.col("hash") == "4", "x").otherwise(F.col("hash")).alias("hash"))
+add("J6_pruned_files", lambda s, d: state.pruned(snapshot(s, d), later(s, d)), f"SELECT file FROM ({SNAP}) WHERE hash IN ('5', '6')", "states")
+add("J7_untracked_branches", lambda s, d: state.untracked_branches(frame(s, d, "states"), ["fr"], "en"), "SELECT DISTINCT branch FROM states WHERE branch NOT IN ('fr', 'en')", "states")
+add("J8_changes", lambda s, d: state.changes(snapshot(s, d), later(s, d)), f"SELECT file, CASE WHEN hash IN ('5', '6') THEN 'deleted' WHEN hash = '4' THEN 'modified' ELSE 'unchanged' END AS status FROM ({SNAP}) UNION ALL SELECT file || '.new', 'added' FROM ({SNAP}) WHERE hash = '5'", "states")
+add("J9_copy_sources", lambda s, d: state.copy_sources(frame(s, d, "states").select("file", "branch", "hash", "model").distinct(), "en"),
+    "SELECT a.file, a.hash, min(b.branch) AS from_branch FROM (SELECT DISTINCT file, hash FROM states WHERE branch = 'en') a JOIN states b ON a.file = b.file AND a.hash = b.hash AND b.branch <> 'en' GROUP BY 1, 2", "states")
+add("J10_untracked_paths", lambda s, d: frame(s, d, "points").select("file").distinct().join(frame(s, d, "points").where("language = 'en'").select("file"), "file", "left_anti"), "SELECT DISTINCT file FROM points WHERE file NOT IN (SELECT file FROM points WHERE language = 'en')", "points")
+add("J11_external_targets", lambda s, d: graph.assembled_nodes(frame(s, d, "edges")).select("id", "external"), "SELECT id, max(s) = 0 AS external FROM (SELECT source AS id, 1 AS s FROM edges UNION ALL SELECT target, 0 FROM edges) GROUP BY 1", "edges")
+hashes = lambda s, d: docs(s, d).select(F.col("source").alias("project"), C.normalized_hash(F.col("text")).alias("hash"), F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("t"), (F.col("doc_id") % 9).cast("string"))).otherwise("").alias("topic"), F.col("doc_id").alias("pos"), "lang")
+IMPORT = f"""WITH h AS (SELECT source AS project, sha256({NORM}) AS hash, CASE WHEN n_chars % 3 = 0 THEN 't' || (doc_id % 9) ELSE '' END AS topic, doc_id AS pos, lang FROM documents),
+i AS (SELECT *, hash IN (SELECT e.hash FROM h e WHERE e.lang = 'fr' AND e.project = h.project) OR row_number() OVER (PARTITION BY project, hash ORDER BY pos) > 1 AS present FROM h WHERE lang <> 'fr' OR lang = 'fr')
+SELECT pos, CASE WHEN present THEN 'present' WHEN topic <> '' AND (topic IN (SELECT e.topic FROM h e WHERE e.lang = 'fr' AND e.project = i.project)
+ OR coalesce(max(CASE WHEN NOT present AND topic <> '' THEN 1 END) OVER (PARTITION BY project, topic ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1) THEN 'topic_collision' ELSE 'added' END AS outcome FROM i"""
+add("J12_M11_import", lambda s, d: memory.import_outcomes(hashes(s, d).where("lang = 'fr'").select("project", "hash", "topic"), hashes(s, d).select("project", "hash", "topic", "pos")).select("pos", "outcome"), IMPORT)
+
+# --- retrieval
+COS = "list_cosine_similarity(vector::DOUBLE[], (SELECT vector::DOUBLE[] FROM vectors ORDER BY id LIMIT 1))"
+add("V1_L1_cosine_knn", lambda s, d: retrieval.knn(frame(s, d, "vectors"), first_vector(s, d), 10, where=F.col("label").isin(1, 2, 3, 4, 5)).selectExpr("id", r6("score")), f"SELECT id, round({COS}, 6) AS score FROM vectors WHERE label IN (1, 2, 3, 4, 5) ORDER BY {COS} DESC, id LIMIT 10", "vectors")
+add("V2_inner_product_knn", lambda s, d: retrieval.knn(frame(s, d, "vectors"), first_vector(s, d), 10, metric="ip").selectExpr("id", r6("score")), f"SELECT id, round({COS.replace('cosine_similarity', 'inner_product')}, 6) AS score FROM vectors ORDER BY {COS.replace('cosine_similarity', 'inner_product')} DESC, id LIMIT 10", "vectors")
+add("J13_knn_join", lambda s, d: retrieval.knn_join(frame(s, d, "vectors"), frame(s, d, "vectors").where("label = 3").orderBy("id").limit(20).select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank")),
+    """SELECT query_id, id, rank FROM (SELECT q.id AS query_id, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) DESC, v.id) AS rank
+    FROM vectors v, (SELECT * FROM vectors WHERE label = 3 ORDER BY id LIMIT 20) q) WHERE rank <= 5""", "vectors")
+TERMS = sorted(set(QUESTION.split()))
+BM = f"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+ c AS (SELECT id, len(w) AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(TERMS))} FROM w),
+ a AS (SELECT count(*) AS nd, avg(n) AS av, {', '.join(f'count(*) FILTER (WHERE t{i} > 0) AS d{i}' for i in range(len(TERMS)))} FROM c),
+ bm AS (SELECT id, {' + '.join(f'CASE WHEN t{i} > 0 THEN ln((nd - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / av)) ELSE 0 END' for i in range(len(TERMS)))} AS score FROM c, a)"""
+add("V3_L2_bm25", lambda s, d: retrieval.bm25(docs(s, d).select(F.col("doc_id").alias("id"), "text"), QUESTION, 20).selectExpr("id", r6("score")), f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+add("V3b_postings", lambda s, d: retrieval.postings(docs(s, d).select(F.col("doc_id").alias("id"), "text")).groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens")),
+    "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents) SELECT id, len(list_distinct(w)) AS terms, len(w) AS tokens FROM w WHERE len(w) > 0")
+HYBRID = f"""vectors AS (SELECT vec_id AS id, embedding AS vector FROM embeddings), {BM}, near AS (SELECT id, row_number() OVER (ORDER BY {COS} DESC, id) AS r FROM vectors WHERE id IN (SELECT doc_id FROM documents)),
+ words AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm WHERE score > 0 AND id IN (SELECT id FROM vectors)),
+ fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT * FROM near WHERE r <= 20 UNION ALL SELECT * FROM words WHERE r <= 20) GROUP BY 1)"""
+HYBRID = HYBRID.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))", 1)
+add("V4_V5_hybrid_search", lambda s, d: flagship(s, d).select("id", F.round("score", 6).alias("score")), f"WITH {HYBRID} SELECT id, round(score, 6) AS score FROM fused ORDER BY score DESC, id LIMIT 10")
+add("V6_T27_rerank", lambda s, d: models.reranked(retrieval.bm25(docs(s, d).select(F.col("doc_id").alias("id"), "text"), QUESTION, 20).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"), QUESTION, 10).select("id", "score"),
+    f"WITH {BM} SELECT id, (21 - row_number() OVER (ORDER BY score DESC, id))::DOUBLE AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, id LIMIT 10")
+add("V7_keyword_search", lambda s, d: retrieval.search(docs(s, d).select(F.col("doc_id").alias("id"), "text", "lang"), "keyword", QUESTION, None, 10, F.col("lang") == "en").select("id", F.round("score", 6).alias("score")),
+    f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 AND id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY bm.score DESC, id LIMIT 10")
+
+
+def recall_tables(s, d):
+    v = frame(s, d, "vectors")
+    label = F.col("label") <= 4
+    points = v.select(F.concat(F.lit("mem_"), F.when(label, F.col("id")).otherwise(F.col("id") - 1).cast("string"), F.when(label, "").otherwise("_c1")).alias("id"), "vector", F.when(label, "memory").otherwise("memory_chunk").alias("level"))
+    memories = v.select(F.concat(F.lit("mem_"), F.col("id").cast("string")).alias("id"), F.when(F.col("label") == 2, "1").alias("deleted_at"), F.when(F.col("label") < 8, "a").otherwise("b").alias("project"))
+    return points, memories
+
+
+RECALL = f"""near AS (SELECT CASE WHEN label <= 4 THEN id ELSE id - 1 END AS id, label <= 4 AS intro, score FROM (SELECT id, label, {COS} AS score FROM vectors ORDER BY score DESC, CASE WHEN label <= 4 THEN 'mem_' || id ELSE 'mem_' || (id - 1) || '_c1' END LIMIT 80)),
+ best AS (SELECT id, max(score) FILTER (WHERE intro) AS i, max(score) FILTER (WHERE NOT intro) AS c FROM near GROUP BY 1)"""
+add("V8_A8_J2_recall", lambda s, d: retrieval.recall(*recall_tables(s, d), first_vector(s, d), 10, "a").select("id", F.round("score", 6).alias("score")),
+    f", {RECALL} SELECT 'mem_' || b.id AS id, round(coalesce((i + c) / 2, i, c), 6) AS score FROM best b JOIN vectors v ON b.id = v.id WHERE v.label <> 2 AND v.label < 8 ORDER BY coalesce((i + c) / 2, i, c) DESC, 'mem_' || b.id LIMIT 10", "vectors")
+_oracles["V8_A8_J2_recall"] = _oracles["V8_A8_J2_recall"].replace(") , near", "), near", 1)
+
+
+def tiers(s, d):
+    q, v = first_vector(s, d), frame(s, d, "vectors")
+    return retrieval.rrf([retrieval.knn(v, q, 8, where=F.col("label").isin(*labels)).select("id", "score") for labels in ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))], 10)
+
+
+add("V9_V10_fused_tiers", lambda s, d: tiers(s, d).select("id", F.round("score", 6).alias("score")),
+    f"""SELECT id, round(1.0 / (60 + r), 6) AS score FROM (SELECT id, row_number() OVER (PARTITION BY CASE WHEN label <= 2 THEN 0 WHEN label <= 5 THEN 1 ELSE 2 END ORDER BY {COS} DESC, id) AS r FROM vectors) WHERE r <= 8 ORDER BY score DESC, id LIMIT 10""", "vectors")
+scored = lambda s, d: docs(s, d).select(F.col("doc_id").alias("id"), F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("score", (F.char_length("sentence") % 17).cast("double"))
+add("V11_extractive", lambda s, d: budget.extractive(scored(s, d), 60))
+add("V2b_lsh_index", lambda s, d: retrieval.lsh_candidates(frame(s, d, "vectors"), 6, 3).groupBy("id").agg(F.count_distinct("bucket").alias("buckets")), "SELECT id, 3 AS buckets FROM vectors", "vectors")
+
+# --- graphs
+BFS = """, bfs AS (SELECT 'down' AS direction, 'p5' AS symbol, 0 AS depth UNION SELECT 'up', 'p5', 0 UNION
+ SELECT b.direction, CASE b.direction WHEN 'down' THEN e.target ELSE e.source END, b.depth + 1 FROM bfs b JOIN (SELECT DISTINCT source, target FROM edges) e ON (b.direction = 'down' AND e.source = b.symbol) OR (b.direction = 'up' AND e.target = b.symbol) WHERE b.depth < 2)
+ SELECT direction, symbol, min(depth)::INT AS depth FROM bfs GROUP BY 1, 2 HAVING symbol <> 'p5'"""
+add("G3_impact", lambda s, d: graph.impact(frame(s, d, "edges"), "p5", 2), BFS, "edges")
+add("G5_graph", lambda s, d: graph.assembled_nodes(frame(s, d, "edges"), hide_external=True).select("id", "label", "file"), "SELECT source AS id, source AS label, min(file) AS file FROM edges GROUP BY 1", "edges")
+add("G5_edge_numbers", lambda s, d: graph.numbered_edges(graph.export(frame(s, d, "edges"), file="s3")).select("edge_id", "source", "target", "line"), "SELECT 'e' || (row_number() OVER (ORDER BY source, target, kind, file, line) - 1) AS edge_id, source, target, line FROM edges WHERE file = 's3'", "edges")
+add("G6_first_edges", lambda s, d: graph.first_edges(frame(s, d, "edges")), "SELECT file, source, target, kind, min(line) AS line FROM edges GROUP BY 1, 2, 3, 4", "edges")
+
+# --- notes
+events = lambda s, d: docs(s, d).select(F.col("source").alias("project"), F.when(F.col("lang") == "de", F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string"))).otherwise("").alias("topic"), F.col("text").alias("content"), F.col("doc_id").alias("at"))
+REMEMBER = f"""WITH e AS (SELECT source AS project, CASE WHEN lang = 'de' THEN 't' || (doc_id % 5) ELSE '' END AS topic, sha256({NORM}) AS hash, doc_id AS pos FROM documents),
+ k AS (SELECT *, CASE WHEN topic <> '' THEN 't:' || topic ELSE 'c:' || hash END AS key FROM e), l AS (SELECT *, lag(hash) OVER (PARTITION BY project, key ORDER BY pos, hash) AS b FROM k)
+ SELECT project, key, 'mem_' || left(sha256(project || ':' || arg_min(hash, pos)), 24) AS id, min(pos) AS created_at, max(pos) AS updated_at, count(*) FILTER (WHERE b IS NOT NULL AND b <> hash) AS revisions, count(*) FILTER (WHERE b = hash) AS duplicates FROM l GROUP BY 1, 2"""
+add("M1_remember", lambda s, d: memory.remembered(events(s, d)).drop("content"), REMEMBER)
+add("M4_soft_delete", lambda s, d: memory.soft_deleted(frame(s, d, "memories"), frame(s, d, "memories").where("project = 'proj1'").select("id"), "9").groupBy("project").agg(F.count("deleted_at").alias("n")),
+    "SELECT project, count(CASE WHEN project = 'proj1' THEN '9' ELSE deleted_at END) AS n FROM memories GROUP BY 1", "memories")
+add("M5_forget", lambda s, d: memory.forgotten(frame(s, d, "memories"), frame(s, d, "memories").where("memory_type = 'system'").select("id")).select("id"), "SELECT id FROM memories WHERE memory_type <> 'system'", "memories")
+FILES = f"SELECT DISTINCT id AS memory_id, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}"
+add("M6_file_refs", lambda s, d: memory.file_refs(frame(s, d, "memories")).select("memory_id", "file"), FILES, "memories")
+add("M8_backfill_report", lambda s, d: memory.resolved_files(memory.file_refs(frame(s, d, "memories")).select(F.col("file").alias("path")), frame(s, d, "points").select("file")).agg(F.count("*").alias("resolved")),
+    f"SELECT count(DISTINCT m.file) AS resolved FROM ({FILES}) m WHERE m.file IN (SELECT file FROM points)", "memories", "points")
+refs = lambda s, d: memory.file_refs(frame(s, d, "memories")).select("memory_id", F.col("file").alias("symbol"), "file", F.explode(F.array(F.lit("files-field"), F.lit("content-mention"))).alias("source"))
+add("A7_link_sources", lambda s, d: memory.link_sources(refs(s, d), "file"), f"SELECT memory_id, file, 'content-mention,files-field' AS sources FROM ({FILES})", "memories")
+add("M9_linked_or_inferred", lambda s, d: memory.linked_or_inferred(refs(s, d), frame(s, d, "memories"), "none::nding", 10).select("id", "sources"), f"SELECT id, 'inference' AS sources FROM memories WHERE {LIVE} AND (contains(content, 'nding') OR contains(files, 'nding')) ORDER BY updated_at DESC, id LIMIT 10", "memories")
+add("M10_L8_memory_refs", lambda s, d: memory.refs_of(refs(s, d), "mem_1x0").select("source", "file"), f"SELECT s.source, f.file FROM ({FILES}) f, (SELECT 'files-field' AS source UNION ALL SELECT 'content-mention') s WHERE memory_id = 'mem_1x0'", "memories")
+add("M12_move", lambda s, d: memory.moved(frame(s, d, "memories"), frame(s, d, "memories").where("memory_type = 'system'").select("id"), "dest").groupBy("project").agg(F.count("*").alias("n")),
+    f"SELECT CASE WHEN memory_type = 'system' THEN 'dest' ELSE project END AS project, count(DISTINCT CASE WHEN memory_type = 'system' THEN {NORM.replace('text', 'content')} ELSE id END) AS n FROM memories GROUP BY 1", "memories")
+
+# --- state
+add("M13_branch_copy", lambda s, d: state.copied_points(frame(s, d, "points"), frame(s, d, "points").where("branch = 'fr'").select("file", F.lit("fr").alias("from_branch")).distinct(), "copy").select("id", "branch", "file"), "SELECT id || '@copy' AS id, 'copy' AS branch, file FROM points WHERE branch = 'fr'", "points")
+add("M14_drop_branch", lambda s, d: frame(s, d, "states").where("NOT (repo = 'src0' AND branch = 'en')").groupBy("repo", "branch").agg(F.count("*").alias("n")), "SELECT repo, branch, count(*) AS n FROM states WHERE NOT (repo = 'src0' AND branch = 'en') GROUP BY 1, 2", "states")
+add("M15_replace_routes", lambda s, d: state.replaced_routes(frame(s, d, "routes").limit(0), frame(s, d, "routes")).select("framework", "http_method", "path", "line"),
+    "SELECT framework, http_method, path, line FROM (SELECT *, row_number() OVER (PARTITION BY framework, http_method, path, repo, branch ORDER BY file, line) AS k FROM routes) WHERE k = 1", "routes")
+add("M17_X1_cascade", lambda s, d: state.without_files(frame(s, d, "states"), frame(s, d, "states").where("hash = '3'")).groupBy("repo").agg(F.count("*").alias("n")),
+    "SELECT repo, count(*) AS n FROM states s WHERE NOT EXISTS (SELECT 1 FROM states x WHERE x.hash = '3' AND x.repo = s.repo AND x.branch = s.branch AND x.file = s.file) GROUP BY 1", "states")
+add("M18_X10_register", lambda s, d: state.registered(frame(s, d, "projects"), frame(s, d, "projects").where("NOT active").select("name", "path", F.lit("").alias("last_commit"), F.lit(False).alias("active"))), "SELECT name, path, last_commit, true AS active FROM projects", "projects")
+add("X9_reindex_targets", lambda s, d: state.reindex_targets(frame(s, d, "projects"), None, True, "").select("name"), "SELECT name FROM projects WHERE active", "projects")
+
+# --- budgets
+add("R2_fit_memories", lambda s, d: budget.fitted(docs(s, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), F.col("text").alias("content")).orderBy("rank").limit(40), 8000).select("id", "outcome"),
+    """WITH m AS (SELECT doc_id AS id, len(text) // 4 > greatest(8000 // 40, 128) AS o FROM documents ORDER BY doc_id LIMIT 40)
+    SELECT id, CASE WHEN NOT o THEN 'kept' WHEN sum(o::INT) OVER (ORDER BY id) <= 3 THEN 'shortened' ELSE 'dropped' END AS outcome FROM m""")
+add("R1_brief", lambda s, d: budget.packed(docs(s, d).select(F.col("source").alias("grp"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes")), 16_384, F.lit(True)).where("taken").select("grp", "id"),
+    "SELECT grp, id FROM (SELECT source AS grp, doc_id AS id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) WHERE b <= 16384")
+add("R4_labels", lambda s, d: frame(s, d, "memories").select("id", budget.label(F.col("topic"), F.col("id")).alias("label")), "SELECT id, CASE WHEN topic <> '' THEN topic ELSE id END AS label FROM memories", "memories")
+
+# --- streaming semantics, in batch
+add("W1_debounce", lambda s, d: watch.debounced(frame(s, d, "saves"), "6 hours", key_col="user_id").select("user_id", "start", "events"),
+    "SELECT user_id, min(ts) AS start, count(*) AS events FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, path) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, path) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM saves)) GROUP BY user_id, g", "saves")
