@@ -9,8 +9,8 @@ few documents with an empty register go on with a doubled horizon.
 
 Documents with equal words form a class, represented by its least id; one of each class goes on. Registers are
 banded. Members of a small bucket are all paired. A large bucket is tied to LEADERS of its members; when links then
-leave it in more than one component, its members are dealt again by a second and third band besides, so the rest is
-compared too and nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
+leave it in more than one component, a prefix filter over rare shingles, which is exact, finds the candidates between
+its components, so nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
 THRESHOLD, probability Jaccard or plain Jaccard. Classes are the components of the links.
 
 Cases: texts without a word (null, empty, blank) link with nothing. Equal rows are copies of one another. A row
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.llm.common import chunks, quiet_numpy, written
@@ -33,8 +33,8 @@ from corvina.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 SIGNATURE = BANDS * ROWS
-#: Members of a bucket that are all paired; leaders of a larger bucket; times that a bucket is dealt.
-SMALL, LEADERS, LEVELS = 16, 2, 3
+#: Members of a bucket that are all paired; leaders of a larger bucket.
+SMALL, LEADERS = 32, 2
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
@@ -205,6 +205,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) of ids whose texts (id, text) are similar enough."""
+    pairs = written(pairs, "pairs")
+    needed = written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")
+    # Rows that repeat an id with other texts stand for it each; any of them may link it.
+    sets = written(_packed(texts.join(needed, "id", "left_semi")), "sets")
+    return written(_verified(pairs, sets, threshold), "found")
+
+
+def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (u, v) between components for documents (id, c), exact for plain Jaccard.
+
+    Shingles are ordered from rare to common among these documents. Similar sets share a shingle near the front of
+    both: within the first share 1 - t of the larger one, and the first share (1 - t) / (1 + t) of the smaller one.
+    What is common to a whole group stands at the end, so a large group makes few candidates.
+    """
+    kind = rest.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            doc, h, _ = shingles([t or "" for t in b.column(1).to_pylist()])
+            size = np.bincount(doc, minlength=b.num_rows)[doc]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(size.astype(np.int64))], ["id", "token", "n"])
+
+    own = texts.join(rest.select("id"), "id", "left_semi").repartition("id")
+    tokens = written(own.mapInArrow(run, f"id {kind}, token long, n long"), "tokens")
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
+    ordered = tokens.join(shared, "token", "left").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
+    front = ordered.where((F.col("df") > 1) & (F.col("pos") < F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).join(rest, "id")
+    front = written(front.select("id", "c", "token", "n", "pos"), "front")
+    small = front.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).select("token", *(F.col(k).alias(k + "1") for k in ("id", "c", "n", "pos")))
+    large = front.select("token", *(F.col(k).alias(k + "2") for k in ("id", "c", "n", "pos")))
+    order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") != F.col("id2")))
+    overlap = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = small.join(large, (small["token"] == large["token"]) & (F.col("c1") != F.col("c2")) & order & (F.col("n1") >= F.col("n2") * threshold - 1e-9) & overlap)
+    return pairs.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, words_id, component, kept): the least id with equal words, the least id of the class, and whether it is this one."""
     spark = df.sparkSession
@@ -215,40 +253,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     single = owned.where("words_id = id AND size(bands) > 0")
     keyed = single.select("id", F.explode("bands").alias("key"))
     texts = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    links, found, tried = None, None, None
-    for level in range(LEVELS):
-        leaders = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-        buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "buckets")
-        members = written(keyed.join(buckets, "key"), "members")
-        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        left, right = few.select("key", F.col("id").alias("u")), few.select("key", F.col("id").alias("v"))
-        pairs = left.join(right, "key").where("u < v").select("u", "v")
-        lead = many.select(F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"), "id").where("l <> id").select(F.least("l", "id").alias("u"), F.greatest("l", "id").alias("v"))
-        pairs = pairs.unionByName(lead).distinct()
-        if level == LEVELS - 1:
-            # What three bands together have not parted is compared in full, across components.
-            side = many.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-            rest = side.select("key", F.col("id").alias("u"), F.col("c").alias("cu")).join(side.select("key", F.col("id").alias("v"), F.col("c").alias("cv")), "key").where("u < v AND cu <> cv").select("u", "v")
-            pairs = pairs.unionByName(rest).distinct()
-        if found is not None:
-            cu, cv = found.select(F.col("id").alias("u"), F.col("component").alias("cu")), found.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-            pairs = pairs.join(cu, "u", "left").join(cv, "v", "left").where("NOT (coalesce(cu, u) <=> coalesce(cv, v))").select("u", "v")
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        needed = written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")
-        sets = written(_packed(texts.join(needed, "id", "left_semi")), "sets")
-        new = written(_verified(pairs, sets, threshold), "found")
-        links = new if links is None else written(links.unionByName(new), "links")
-        found = components(links)
-        if level == LEVELS - 1:
-            break
-        side = many.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        split = written(side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "split")
-        if split.isEmpty():
-            break
-        open_members = many.select("key", "id").join(split, "key", "left_semi").join(single.select("id", "bands"), "id")
-        keyed = written(open_members.select("id", "key", F.explode("bands").alias("band")).where("band <> key").select("id", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), "dealt")
+    leaders = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "buckets")
+    members = written(keyed.join(buckets, "key"), "members")
+    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    pairs = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").where("u < v").select("u", "v")
+    lead = many.select(F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"), "id").where("l <> id").select(F.least("l", "id").alias("u"), F.greatest("l", "id").alias("v"))
+    links = _linked(pairs.unionByName(lead).distinct(), texts, threshold)
+    found = components(links)
+    side = many.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    split = written(side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "split")
+    rest = written(many.select("key", "id").join(split, "key", "left_semi").select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "rest")
+    if not rest.isEmpty():
+        more = _linked(_rest_pairs(rest, texts, threshold), texts, threshold)
+        found = components(written(links.unionByName(more), "links"))
     component = F.coalesce("component", "words_id")
     out = owned.select("id", "words_id").join(found.select(F.col("id").alias("words_id"), "component"), "words_id", "left")
     return out.select("id", "words_id", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
