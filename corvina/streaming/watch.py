@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def debounced(events: DataFrame, gap: str, time_col: str = "ts", key_col: str | None = None, path_col: str = "path", watermark: str | None = None) -> DataFrame:
     """One row for each quiet-bounded run of events: the gap restarts with every event. Works on batches and streams."""
     rows = events.withWatermark(time_col, watermark) if watermark else events
-    keys = [F.session_window(time_col, gap).alias("w"), *([F.col(key_col)] if key_col else [])]
+    # A stream's sessions need a key besides the window; without one all events share the empty text.
+    keys = [F.session_window(time_col, gap).alias("w"), F.col(key_col) if key_col else F.substring(path_col, 1, 0).alias("__all")]
     out = rows.groupBy(*keys).agg(F.count("*").alias("events"), F.sort_array(F.collect_set(path_col)).alias("paths"))
     return out.select(*([key_col] if key_col else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "paths")
 
