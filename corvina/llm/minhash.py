@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import chunks, quiet_numpy, written
@@ -35,6 +35,9 @@ BANDS, ROWS = 25, 5
 SIGNATURE = BANDS * ROWS
 #: Members of a bucket that are all paired; leaders of a larger bucket.
 SMALL, LEADERS = 32, 2
+#: Cells of the hashed document frequencies.
+CELL_BITS = 20
+CELLS, CELL_SHIFT = 1 << CELL_BITS, np.uint64(64 - CELL_BITS)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
@@ -222,18 +225,36 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     What is common to a whole group stands at the end, so a large group makes few candidates.
     """
     kind = rest.schema["id"].dataType.simpleString()
+    own = written(texts.join(rest.select("id"), "id", "left_semi").repartition("id"), "rest-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for b in chunks(batches, "text"):
+            h = shingles([t or "" for t in b.column(1).to_pylist()])[1]
+            total += np.bincount((h >> CELL_SHIFT).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(total)
+        for k in range(0, len(cell), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[k : k + 10_000]), pa.array(total[cell[k : k + 10_000]])], ["cell", "n"])
+
+    # Document frequencies, hashed to CELLS cells, so what reaches the driver is bounded. Collisions only blur the order,
+    # which any one order of all shingles may take.
+    often = np.ones(CELLS, dtype=np.int32)
+    for cell, n in own.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+        often[cell] = min(n, 2**31 - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             doc, h, _ = shingles([t or "" for t in b.column(1).to_pylist()])
-            size = np.bincount(doc, minlength=b.num_rows)[doc]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(size.astype(np.int64))], ["id", "token", "n"])
-
-    own = texts.join(rest.select("id"), "id", "left_semi").repartition("id")
-    tokens = written(own.mapInArrow(run, f"id {kind}, token long, n long"), "tokens")
-    shared = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
-    ordered = tokens.join(shared, "token", "left").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
-    front = ordered.where((F.col("df") > 1) & (F.col("pos") < F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).join(rest, "id")
+            df = shared.value[(h >> CELL_SHIFT).astype(np.int64)]
+            order = np.lexsort((h, df, doc))
+            doc, h, df = doc[order], h[order], df[order]
+            sizes = np.bincount(doc, minlength=b.num_rows)
+            size, pos = sizes[doc], np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
+            front = np.flatnonzero((pos < size - np.ceil(size * threshold - 1e-9) + 1) & (df > 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[front])), pa.array(h[front].view(np.int64)), pa.array(size[front]), pa.array(pos[front])], ["id", "token", "n", "pos"])
+
+    front = own.mapInArrow(fronts, f"id {kind}, token long, n long, pos long").join(rest, "id")
     front = written(front.select("id", "c", "token", "n", "pos"), "front")
     small = front.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).select("token", *(F.col(k).alias(k + "1") for k in ("id", "c", "n", "pos")))
     large = front.select("token", *(F.col(k).alias(k + "2") for k in ("id", "c", "n", "pos")))
