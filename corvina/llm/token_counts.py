@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.llm.bpe import definition, loaded
-from corvina.llm.common import chunks
+from corvina.llm.common import chunks, written
 
 #: Lengths in one block of the running sums.
 BLOCK = 1024
@@ -46,7 +46,8 @@ def histogram(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     when this length is the context limit.
     """
     counted = lengths(df, path, text_col).groupBy("length").agg(F.count("*").alias("n_docs"))
-    return with_sums(counted)
+    # Written once: the sums below read the counts several times, and encoding is the cost.
+    return with_sums(written(counted, "lengths"))
 
 
 def with_sums(counted: DataFrame) -> DataFrame:
