@@ -28,11 +28,14 @@ def keyword_embedding(text: Column, words: tuple[str, ...] = ("auth", "database"
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Signed counts of hashed words, at norm 1."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)) == i)).cast("float"))
-    norm = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(cells, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    """Counts of hashed words, at norm 1."""
+    # A value that several lambdas read is bound as the only element of an array; an expression would be computed for each element.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    hashed = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+    counted = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(h, lambda c: c == i)).cast("float"))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))
+    return bound(hashed, lambda h: bound(counted(h), lambda v: bound(length(v), lambda n: scaled(v, n))))
 
 
 def decoded_vector(vector: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
@@ -78,6 +80,15 @@ def by_ids(ids: DataFrame, local: DataFrame, central: DataFrame) -> DataFrame:
     return both.withColumn("__k", first).where("__k = 1").drop("__k", "rank").orderBy(F.desc("updated_at"), "id")
 
 
+def reindexed(vectors: DataFrame, memories: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Vectors (id, vector) after notes (id, topic, content) were written again: all old ones of a note go, then its introduction and windows come."""
+    kept = vectors.withColumn("__base", C.base_memory_id(F.col("id"))).join(memories.select(F.col("id").alias("__base")).distinct(), "__base", "left_anti").select("id", "vector")
+    intro = memories.select("id", F.concat_ws("\n", "topic", "content").alias("text"))
+    parts = memories.select(F.col("id").alias("base"), F.posexplode(C.memory_windows(F.col("content"))).alias("pos", "text"))
+    texts = intro.unionByName(parts.select(F.concat("base", F.lit("_c"), (F.col("pos") + 1).cast("string")).alias("id"), "text"))
+    return kept.unionByName(texts.select("id", embed(F.col("text")).alias("vector")))
+
+
 def file_refs(memories: DataFrame) -> DataFrame:
     """A link row for each file that a note states."""
     stated = memories.where("deleted_at IS NULL").select(F.col("id").alias("memory_id"), "repo", "branch", F.explode(C.list_column(F.col("files"))).alias("file"))

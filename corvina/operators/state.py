@@ -53,6 +53,12 @@ def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("repo", "branch", "file").distinct(), ["repo", "branch", "file"], "left_anti")
 
 
+def renamed_files(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """A table after files (repo, branch, file) of `moves` took the name new_file."""
+    to = moves.groupBy("repo", "branch", "file").agg(F.min("new_file").alias("__to"))
+    return rows.join(to, ["repo", "branch", "file"], "left").withColumn("file", F.coalesce("__to", "file")).drop("__to").select(*rows.columns)
+
+
 def untracked_branches(states: DataFrame, tracked: list[str], current: str) -> DataFrame:
     """Branches to drop: indexed, not tracked, not the current one; none when the list is empty."""
     rows = states.select("branch").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvina.functions import columns as C
 from corvina.functions import models
 from corvina.operators import budget, graph, memory, predicates, retrieval, state
+from corvina.plans import code_queries
 from corvina.plans.projections import frame, oracle
 from corvina.sources import files as S
 from corvina.sources import tables as T
@@ -30,11 +31,11 @@ def add(name: str, query: Query, sql: str | None = None, *over: str) -> None:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | code_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | code_queries.ORACLES
 
 
 def first_vector(spark: SparkSession, d: str) -> list[float]:
@@ -168,7 +169,7 @@ add("J7_untracked_branches", lambda s, d: state.untracked_branches(frame(s, d, "
 add("J8_changes", lambda s, d: state.changes(snapshot(s, d), later(s, d)), f"SELECT file, CASE WHEN hash IN ('5', '6') THEN 'deleted' WHEN hash = '4' THEN 'modified' ELSE 'unchanged' END AS status FROM ({SNAP}) UNION ALL SELECT file || '.new', 'added' FROM ({SNAP}) WHERE hash = '5'", "states")
 add("J9_copy_sources", lambda s, d: state.copy_sources(frame(s, d, "states").select("file", "branch", "hash", "model").distinct(), "en"),
     "SELECT a.file, a.hash, min(b.branch) AS from_branch FROM (SELECT DISTINCT file, hash FROM states WHERE branch = 'en') a JOIN states b ON a.file = b.file AND a.hash = b.hash AND b.branch <> 'en' GROUP BY 1, 2", "states")
-add("J10_untracked_paths", lambda s, d: frame(s, d, "points").select("file").distinct().join(frame(s, d, "points").where("language = 'en'").select("file"), "file", "left_anti"), "SELECT DISTINCT file FROM points WHERE file NOT IN (SELECT file FROM points WHERE language = 'en')", "points")
+add("J10_untracked_paths", lambda s, d: frame(s, d, "points").select("file").distinct().join(frame(s, d, "points").where("language = 'de'").select("file"), "file", "left_anti"), "SELECT DISTINCT file FROM points WHERE file NOT IN (SELECT file FROM points WHERE language = 'de')", "points")
 add("J11_external_targets", lambda s, d: graph.assembled_nodes(frame(s, d, "edges")).select("id", "external"), "SELECT id, max(s) = 0 AS external FROM (SELECT source AS id, 1 AS s FROM edges UNION ALL SELECT target, 0 FROM edges) GROUP BY 1", "edges")
 hashes = lambda s, d: docs(s, d).select(F.col("source").alias("project"), C.normalized_hash(F.col("text")).alias("hash"), F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("t"), (F.col("doc_id") % 9).cast("string"))).otherwise("").alias("topic"), F.col("doc_id").alias("pos"), "lang")
 IMPORT = f"""WITH h AS (SELECT source AS project, sha256({NORM}) AS hash, CASE WHEN n_chars % 3 = 0 THEN 't' || (doc_id % 9) ELSE '' END AS topic, doc_id AS pos, lang FROM documents),
@@ -254,7 +255,7 @@ add("M8_backfill_report", lambda s, d: memory.resolved_files(memory.file_refs(fr
 refs = lambda s, d: memory.file_refs(frame(s, d, "memories")).select("memory_id", F.col("file").alias("symbol"), "file", F.explode(F.array(F.lit("files-field"), F.lit("content-mention"))).alias("source"))
 add("A7_link_sources", lambda s, d: memory.link_sources(refs(s, d), "file"), f"SELECT memory_id, file, 'content-mention,files-field' AS sources FROM ({FILES})", "memories")
 add("M9_linked_or_inferred", lambda s, d: memory.linked_or_inferred(refs(s, d), frame(s, d, "memories"), "none::nding", 10).select("id", "sources"), f"SELECT id, 'inference' AS sources FROM memories WHERE {LIVE} AND (contains(content, 'nding') OR contains(files, 'nding')) ORDER BY updated_at DESC, id LIMIT 10", "memories")
-add("M10_L8_memory_refs", lambda s, d: memory.refs_of(refs(s, d), "mem_1x0").select("source", "file"), f"SELECT s.source, f.file FROM ({FILES}) f, (SELECT 'files-field' AS source UNION ALL SELECT 'content-mention') s WHERE memory_id = 'mem_1x0'", "memories")
+add("M10_L8_memory_refs", lambda s, d: memory.refs_of(refs(s, d), "mem_3x1").select("source", "file"), f"SELECT s.source, f.file FROM ({FILES}) f, (SELECT 'files-field' AS source UNION ALL SELECT 'content-mention') s WHERE memory_id = 'mem_3x1'", "memories")
 add("M12_move", lambda s, d: memory.moved(frame(s, d, "memories"), frame(s, d, "memories").where("memory_type = 'system'").select("id"), "dest").groupBy("project").agg(F.count("*").alias("n")),
     f"SELECT CASE WHEN memory_type = 'system' THEN 'dest' ELSE project END AS project, count(DISTINCT CASE WHEN memory_type = 'system' THEN {NORM.replace('text', 'content')} ELSE id END) AS n FROM memories GROUP BY 1", "memories")
 
