@@ -12,6 +12,9 @@ Links are counted where they are found: a pair that shares several shards counts
 leaves a task, however dense a group is. Each shard passes on a forest of its links, and the classes are the components
 of these. A shard over MOST members is searched in pairs of blocks, so a task never holds more than MOST rows.
 
+Equal vectors of a label form a class, represented by its least id and weighted by its size; one of each class is
+dealt, so however often a vector is repeated, it is one row of a shard.
+
 Cases: vectors that are null, empty or zero, or hold null or non-finite parts, and rows with a null label link with
 nothing. Rows that repeat an id count as one vector, the first in a fixed order. Equal vectors link. Vectors of another
 length are another space. An empty table gives no rows. Other columns are ignored.
@@ -40,20 +43,6 @@ SAMPLE, CENTROIDS = 16_384, 4096
 DEGREE, FAR, POOL, ALPHA, BEAM, MEDOIDS, AUDIT = 16, 3, 48, 1.2, 24, 4, 24
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Valid vectors of one length at norm 1 in double precision, zero elsewhere; and which rows are valid."""
-    size = max((len(r) for r in rows if r is not None), default=0)
-    out = np.zeros((len(rows), size))
-    for k, r in enumerate(rows):
-        if r is not None and len(r) == size and None not in r:
-            out[k] = r
-    out[~np.isfinite(out).all(axis=1)] = 0
-    norm = np.linalg.norm(out, axis=1)
-    good = norm > 0
-    out[good] /= norm[good, None]
-    return out, good
-
-
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
@@ -194,22 +183,45 @@ def _forest(found: np.ndarray) -> np.ndarray:
     return root
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at norm 1 in double precision, zero where they are zero or not finite; and which rows are not."""
+    good = np.isfinite(x).all(axis=1)
+    x = np.where(good[:, None], x, 0.0)
+    most = np.abs(x).max(axis=1, initial=0)
+    good &= most > 0
+    x[good] /= most[good, None]
+    x[good] /= np.linalg.norm(x[good], axis=1)[:, None]
+    return x, good
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The parts of all lists in double precision, null as not a number."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(pc.fill_null(one.flatten().cast(pa.float64()), math.nan))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return scaled(_flat(column).reshape(len(column), -1))[0]
 
 
 def dealt(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(all vectors by id; rows (id, label, shard, vec, shards) of valid ones, a row for each shard of a vector)."""
+    """((id, first) of all vectors, first being the least id of equal ones; a row for each shard of each first, valid one)."""
     spark = df.sparkSession
+    # Floats stay floats on their way, at half the size; a task turns them into doubles.
+    vec = df[vec_col] if df.schema[vec_col].dataType.simpleString() == "array<float>" else df[vec_col].cast("array<double>")
     # One row for an id: the first by label and vector.
-    slim = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"), df[vec_col].cast("array<double>").alias("v"))
-    base = written(slim.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"), "vectors")
-    valid = base.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    slim = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"), vec.alias("v"))
+    rows = written(slim.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"), "vectors")
+    there = "id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0"
+    valid = written(rows.where(there).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    again = written(valid.where("copies > 1").select("label", "v", F.col("id").alias("first")), "repeated")
+    base = written(rows.join(again, ["label", "v"], "left").select("id", F.coalesce("first", "id").alias("first")), "firsts")
     size = valid.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()[0]
     k = max(1, min(CENTROIDS, math.ceil(size["n"] * OVERLAP / (AIM * max(1, size["labels"])))))
     sample = [r["v"] for r in valid.orderBy(F.xxhash64("id")).select("v").limit(min(SAMPLE, max(2048, 64 * k))).collect()]
-    x, good = unit(sample)
+    width = max(map(len, sample), default=0)
+    full = [r for r in sample if len(r) == width and None not in r]
+    x, good = scaled(np.array(full, dtype=np.float64).reshape(len(full), width))
     x = x[good]
     centres = [kmeans(x, k, seed) if len(x) else np.zeros((1, 1)) for seed in range(PARTITIONS)]
     shared = spark.sparkContext.broadcast(centres)  # at most CENTROIDS vectors for each partition
@@ -219,32 +231,22 @@ def dealt(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[Dat
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
-                v, labels, ids = b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(0)
-                rows, shards, vecs = [], [], []
-                for width in sorted({len(r) for r in v}):
-                    own = [i for i, r in enumerate(v) if len(r) == width]
-                    x, good = unit([v[i] for i in own])
+                widths, flat = np.asarray(pc.list_value_length(b.column("v"))), _flat(b.column("v"))
+                for width in np.unique(widths):
+                    own = widths == width
+                    x, good = scaled(flat[np.repeat(own, widths)].reshape(-1, width))
                     near = []
                     for t, c in enumerate(shared.value):
                         m = min(width, c.shape[1])
-                        s = x[:, :m] @ c[:, :m].T
-                        top = np.argsort(-s, axis=1, kind="stable")[:, :OVERLAP]
-                        near.append(top + t * len(c))
-                    near = np.sort(np.concatenate(near, axis=1), axis=1)
-                    for i, vec, ok, sh in zip(own, x.tolist(), good, near.tolist()):
-                        if ok:
-                            rows.append(i)
-                            vecs.append(vec)
-                            shards.append(sh)
-                if rows:
-                    many = np.repeat(np.arange(len(rows)), [len(s) for s in shards])
-                    take = pa.array(many)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([rows[i] for i in many])), pa.array([labels[rows[i]] for i in many], pa.string()), pa.array([s for sh in shards for s in sh], pa.int32()), pa.array(vecs, pa.list_(pa.float64())).take(take), pa.array(shards, pa.list_(pa.int32())).take(take)],
-                        ["id", "label", "shard", "vec", "shards"],
-                    )
-
-    rows = valid.select("id", "label", "v").mapInArrow(run, f"id {kind}, label string, shard int, vec array<double>, shards array<int>")
+                        near.append(np.argsort(-(x[:, :m] @ c[:, :m].T), axis=1, kind="stable")[:, :OVERLAP] + t * len(c))
+                    near = np.sort(np.concatenate(near, axis=1), axis=1)[good].astype(np.int32)
+                    kept = b.take(pa.array(np.repeat(np.flatnonzero(own)[good], near.shape[1])))
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(near.reshape(-1)), near.shape[1]).cast(pa.list_(pa.int32()))
+                    lists = lists.take(pa.array(np.repeat(np.arange(len(near)), near.shape[1])))
+                    yield pa.RecordBatch.from_arrays([kept.column(k) for k in ("id", "label", "copies")] + [pa.array(near.reshape(-1)), kept.column("v"), lists], ["id", "label", "copies", "shard", "vec", "shards"])
+
+    part = valid.schema["v"].dataType.simpleString()
+    rows = valid.select("id", "label", "copies", "v").mapInArrow(run, f"id {kind}, label string, copies long, shard int, vec {part}, shards array<int>")
     rows = written(rows.withColumn("width", F.size("vec")), "dealt")
     # A shard that is too large is searched in pairs of blocks: each row goes to every pair its block is in.
     counts = rows.groupBy("label", "width", "shard").agg(F.count("*").alias("n")).withColumn("blocks", F.when(F.col("n") > MOST, F.ceil(F.col("n") * 2 / MOST)).otherwise(1).cast("int")).drop("n")
@@ -277,7 +279,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         ids = table.column("id").combine_chunks()
         order = pc.sort_indices(ids)
         table, ids = table.take(order), ids.take(order)
-        x, shards, block = _matrix(table.column("vec")), _matrix(table.column("shards")), table.column("block").to_numpy()
+        x, block, copies = _matrix(table.column("vec")), table.column("block").to_numpy(), table.column("copies").to_numpy()
+        shards = np.asarray(table.column("shards").combine_chunks().flatten()).reshape(len(x), -1)
         place = {v: k for k, v in enumerate(ids.to_pylist())}
         lists = [[place[v] for v in r or [] if v in place] for r in table.column("near").to_pylist()]
         adjacency = np.concatenate([[0], np.cumsum([len(r) for r in lists])]).astype(np.int64), np.array([v for r in lists for v in r], dtype=np.int64)
@@ -291,13 +294,14 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             to = np.flatnonzero(found[k])
             # The first shard that both are in counts the link.
             common = np.where((shards[to][:, :, None] == shards[k][None, None, :]).any(axis=2), shards[to], np.iinfo(np.int32).max)
-            own[k] = int((common.min(axis=1) == shard).sum()) if len(to) else 0
-        return pa.table({"id": ids, "n": pa.array(own), "root": ids.take(pa.array(root)), "shard": pa.array([shard] * len(x), pa.int32()), "recall": pa.array([recall] * len(x))})
-
-    hits = written(ready.groupBy(*KEY).applyInArrow(run, f"id {kind}, n long, root {kind}, shard int, recall double"), "hits")
-    counts = hits.groupBy("id").agg(F.sum("n").alias("n_links"))
-    classes = components(hits.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    out = base.select("id").join(counts, "id", "left").join(classes, "id", "left")
-    component = F.coalesce("component", "id")
+            own[k] = int(copies[to][common.min(axis=1) == shard].sum()) if len(to) else 0
+        return pa.table({"id": ids, "n": pa.array(own), "copies": pa.array(copies), "root": ids.take(pa.array(root)), "shard": pa.array([shard] * len(x), pa.int32()), "recall": pa.array([recall] * len(x))})
+
+    hits = written(ready.groupBy(*KEY).applyInArrow(run, f"id {kind}, n long, copies long, root {kind}, shard int, recall double"), "hits")
+    counts = hits.groupBy(F.col("id").alias("first")).agg((F.sum("n") + F.max("copies") - 1).alias("n_links"))
+    classes = components(hits.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("id", "first")
+    out = base.join(counts, "first", "left").join(classes, "first", "left")
+    # A class without a count has no shard, as its vector is not a valid one.
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.coalesce("component", "first"))
     done = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     return done, hits.groupBy("shard").agg(F.count("*").alias("members"), F.min("recall").alias("recall"))

@@ -213,17 +213,24 @@ def test_vectors_equal_brute_force(spark):
     x[100:160] = x[7] + 0.1 * r.standard_normal((60, 16))
     rows = [(k, [float(v) for v in x[k]], k % 3 if not 100 <= k < 160 else 1) for k in range(900)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, rows[5][1], None), (2004, rows[5][1], rows[5][2]), (2005, [None] * 16, 1)]
+    # Copies of a member of a dense group, of a lone vector, and of one that is no vector.
+    copies = [(3000 + k, rows[120][1], 1) for k in range(40)] + [(4000 + k, rows[9][1], rows[9][2]) for k in range(3)]
+    rows += copies + [(2006, [float("nan")] * 16, 1), (2007, [1e-30] * 15 + [0.0], 2), (2008, [1e30] * 15 + [-0.0], 2)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got, audit = vector_graph.near_vectors(d)
     got = {v["id"]: v for v in got.collect()}
-    f = np.array([np.float32(v[1]) for v in rows[:900]] + [np.float32(rows[5][1])], dtype=np.float64)
+    valid = rows[:900] + [(2004, *rows[5][1:])] + copies
+    f = np.array([np.float32(v[1]) for v in valid], dtype=np.float64)
     f /= np.linalg.norm(f, axis=1, keepdims=True)
-    label = np.array([v[2] for v in rows[:900]] + [rows[5][2]])
+    label = np.array([v[2] for v in valid])
     s = (f @ f.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(s, False)
-    ids = [*range(900), 2004]
+    ids = [v[0] for v in valid]
     assert [got[k]["n_links"] for k in ids] == s.sum(axis=1).tolist()
-    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (2000, 2001, 2002, 2003, 2005)) and got[2004]["component"] == 5
+    assert len(got) == len(rows) and all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (2000, 2001, 2002, 2003, 2005, 2006)) and got[2004]["component"] == 5
+    assert {got[k]["component"] for k in range(3000, 3040)} == {got[120]["component"]} and got[4002]["component"] == got[9]["component"]
+    assert got[2008]["component"] == got[2007]["component"] == 2007 and got[2008]["n_links"] == 1
+    assert vector_graph.near_vectors(d.where("vec_id < 0"))[0].count() == 0
     assert audit.agg({"recall": "min"}).first()[0] >= 0.9
 
 
