@@ -5,10 +5,11 @@ document is one shingle. Every shingle is a Poisson process whose rate is its we
 SIGNATURE registers; a register keeps the shingle of its earliest point. Two documents agree in a register with
 the probability Jaccard similarity of their weights. Points come in order of time, so a document stops early: only
 points before a horizon of about SIGNATURE * (ln SIGNATURE + 4) points in all are made, whatever its length, and the
-few documents with an empty register go on with a doubled horizon.
+few documents with an empty register go on with a doubled horizon. A document that repeats a shingle has a second
+signature, of its shingles without their counts, for the plain Jaccard similarity; without repeats the two are equal.
 
-Documents with equal words form a class, represented by its least id; one of each class goes on. Registers are
-banded. Members of a small bucket are all paired. A large bucket is tied to LEADERS of its members; when links then
+Documents with equal words form a class, represented by its least id; one of each class goes on. Registers of
+both signatures are banded alike. Members of a small bucket are all paired. A large bucket is tied to LEADERS of its members; when links then
 leave it in more than one component, a prefix filter over rare shingles, which is exact, finds the candidates between
 its components, so nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
 THRESHOLD, probability Jaccard or plain Jaccard. Classes are the components of the links.
@@ -153,8 +154,21 @@ def _words_digest(text: str) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def _band_keys(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, documents: int) -> np.ndarray:
+    """documents x BANDS keys of the banded signatures."""
+    sig = signatures(doc, h, weight, documents).reshape(documents, BANDS, ROWS)
+    with quiet_numpy():
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (documents, BANDS)).copy()
+        for k in range(ROWS):
+            key = mix(key * np.uint64(3) + sig[:, :, k])
+    return key
+
+
 def bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words binary, bands array<long>) of every whole text; words is null without a word."""
+    """(id, words binary, bands array<long>) of every whole text; words is null without a word.
+
+    The bands are those of the counted shingles, then those of the plain set that differ from them.
+    """
     slim = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -162,14 +176,15 @@ def bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for b in chunks(batches, "text"):
             texts = [t or "" for t in b.column(1).to_pylist()]
             doc, h, count = shingles(texts)
-            sig = signatures(doc, h, count, len(texts)).reshape(len(texts), BANDS, ROWS)
-            with quiet_numpy():
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS)).copy()
-                for k in range(ROWS):
-                    key = mix(key * np.uint64(3) + sig[:, :, k])
+            key = _band_keys(doc, h, count, len(texts))
+            repeats = np.bincount(doc[count > 1], minlength=len(texts)) > 0
+            pick = repeats[doc]
+            plain = key.copy()
+            plain[repeats] = _band_keys((np.cumsum(repeats) - 1)[doc[pick]], h[pick], np.ones(int(pick.sum()), dtype=np.int64), int(repeats.sum()))
             some = np.bincount(doc, minlength=len(texts)) > 0
-            at = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(key[some].reshape(-1).view(np.int64)))
+            own = np.concatenate([np.broadcast_to(some[:, None], key.shape), plain != key], axis=1)
+            at = np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([key, plain], axis=1)[own].view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_words_digest(t) for t in texts], pa.binary()), keys], ["id", "words", "bands"])
 
     return slim.mapInArrow(run, f"id {kind}, words binary, bands array<bigint>")

@@ -197,6 +197,20 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert [got[k]["kept"] for k in range(len(texts))] == [root[k] == k for k in range(len(texts))]
 
 
+def test_minhash_finds_copies_with_a_repeated_passage(spark):
+    """Near copies by plain Jaccard alone: one passage of the copy stands there many times."""
+    texts = []
+    for k in range(8):
+        words = [f"w{k}x{i}" for i in range(204)]
+        texts += [" ".join(words), " ".join(words[:40] + words[:40] * 19 + words[40:])]
+    for a, b in zip(texts[::2], texts[1::2]):
+        (_, h1, c1), (_, h2, c2) = minhash.shingles([a]), minhash.shingles([b])
+        weighted, plain = minhash.similarity(h1, c1, h2, c2)
+        assert weighted < 0.4 and plain > 0.95
+    got = {r["id"]: r["component"] for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [k // 2 * 2 for k in range(len(texts))]
+
+
 def test_signature_estimates_probability_jaccard():
     a, b = prose(1, 300), prose(1, 300) + "\n" + prose(2, 120)
     d, h, c = minhash.shingles([a, b])
