@@ -10,8 +10,8 @@ signature, of its shingles without their counts, for the plain Jaccard similarit
 
 Documents with equal words form a class, represented by its least id; one of each class goes on. Registers of
 both signatures are banded alike. Members of a small bucket are all paired. A large bucket is tied to LEADERS of its members; when links then
-leave it in more than one component, a prefix filter over rare shingles, which is exact, finds the candidates between
-its components, so nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
+leave it in more than one component, prefix filters over rare shingles, one for each similarity and both exact, find
+the candidates between its components, so nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
 THRESHOLD, probability Jaccard or plain Jaccard. Classes are the components of the links.
 
 Cases: texts without a word (null, empty, blank) link with nothing. Equal rows are copies of one another. A row
@@ -233,11 +233,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (u, v) between components for documents (id, c), exact for plain Jaccard.
+    """Candidate pairs (u, v) between components for documents (id, c), exact for either similarity.
 
     Shingles are ordered from rare to common among these documents. Similar sets share a shingle near the front of
     both: within the first share 1 - t of the larger one, and the first share (1 - t) / (1 + t) of the smaller one.
     What is common to a whole group stands at the end, so a large group makes few candidates.
+
+    The same holds for probability Jaccard with shares of the summed counts. Let x and y be the shares that stand from
+    the first common shingle on. A common shingle with shares p and q has the term 1 / sum max(p_j / p, q_j / q), and the
+    sum is at least (1 - x) / p + 1 / q. That bound is concave and of degree one in (p, q), so all terms come to at most
+    1 / (1 / x + 1 / y - 1). To reach t, 1 / x + 1 / y must be at most 1 + 1 / t: both shares are t at least, one of them
+    2 t / (1 + t).
     """
     kind = rest.schema["id"].dataType.simpleString()
     own = written(texts.join(rest.select("id"), "id", "left_semi").repartition("id"), "rest-texts")
@@ -260,22 +266,31 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            doc, h, _ = shingles([t or "" for t in b.column(1).to_pylist()])
+            doc, h, count = shingles([t or "" for t in b.column(1).to_pylist()])
             df = shared.value[(h >> CELL_SHIFT).astype(np.int64)]
             order = np.lexsort((h, df, doc))
-            doc, h, df = doc[order], h[order], df[order]
+            doc, h, df, count = doc[order], h[order], df[order], count[order]
             sizes = np.bincount(doc, minlength=b.num_rows)
             size, pos = sizes[doc], np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
-            front = np.flatnonzero((pos < size - np.ceil(size * threshold - 1e-9) + 1) & (df > 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[front])), pa.array(h[front].view(np.int64)), pa.array(size[front]), pa.array(pos[front])], ["id", "token", "n", "pos"])
-
-    front = own.mapInArrow(fronts, f"id {kind}, token long, n long, pos long").join(rest, "id")
-    front = written(front.select("id", "c", "token", "n", "pos"), "front")
-    small = front.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1).select("token", *(F.col(k).alias(k + "1") for k in ("id", "c", "n", "pos")))
-    large = front.select("token", *(F.col(k).alias(k + "2") for k in ("id", "c", "n", "pos")))
+            total = np.bincount(doc, weights=count, minlength=b.num_rows)
+            before = np.cumsum(count) - count
+            share = 1 - (before - before[(np.cumsum(sizes) - sizes)[doc]]) / total[doc]
+            front = np.flatnonzero(((pos < size - np.ceil(size * threshold - 1e-9) + 1) | (share >= threshold - 1e-9)) & (df > 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[front])), pa.array(h[front].view(np.int64)), pa.array(size[front]), pa.array(pos[front]), pa.array(share[front]), pa.array((total > sizes)[doc[front]])], ["id", "token", "n", "pos", "share", "repeats"])
+
+    columns = ("id", "c", "n", "pos", "share", "repeats")
+    front = own.mapInArrow(fronts, f"id {kind}, token long, n long, pos long, share double, repeats boolean").join(rest, "id")
+    front = written(front.select("token", *columns), "front")
+    least = 2 * threshold / (1 + threshold)
+    first = F.col("pos") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    small = front.where(first | (F.col("share") >= least - 1e-9)).select("token", *(F.col(k).alias(k + "1") for k in columns))
+    large = front.select("token", *(F.col(k).alias(k + "2") for k in columns))
     order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") != F.col("id2")))
     overlap = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = small.join(large, (small["token"] == large["token"]) & (F.col("c1") != F.col("c2")) & order & (F.col("n1") >= F.col("n2") * threshold - 1e-9) & overlap)
+    plain = order & (F.col("n1") >= F.col("n2") * threshold - 1e-9) & overlap
+    # Without repeats on either side the two similarities are equal, and the first bound is the closer one.
+    counted = (F.col("repeats1") | F.col("repeats2")) & (F.col("share1") >= F.col("share2")) & (1 / F.col("share1") + 1 / F.col("share2") <= 1 + 1 / threshold + 1e-9)
+    pairs = small.join(large, (small["token"] == large["token"]) & (F.col("c1") != F.col("c2")) & (plain | counted))
     return pairs.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct()
 
 

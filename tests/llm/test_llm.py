@@ -211,6 +211,23 @@ def test_minhash_finds_copies_with_a_repeated_passage(spark):
     assert [got[k] for k in range(len(texts))] == [k // 2 * 2 for k in range(len(texts))]
 
 
+def test_minhash_rest_is_exact_for_counts(spark):
+    """A hot family that shares a repeated passage, with own tails: links by counts alone, short tails among themselves."""
+    r = random.Random(8)
+    passage = [f"p{k}" for k in range(40)]
+    tails = [20, 25, 30, 35, 40, 45, 48, 50, 55, 60, 75, 90] + [120 + 5 * k for k in range(20)]
+    texts = [" ".join(passage * 10 + [f"t{k}x{i}" for i in range(n)]) for k, n in enumerate(tails)]
+    # Shingles of all kinds of counts that are shared by some.
+    texts += [" ".join(w for x in r.sample(range(8), 5) for w in [f"q{x}y{i}" for i in range(12)] * r.choice([1, 1, 3, 9])) for _ in range(40)]
+    sets = [minhash.shingles([t])[1:] for t in texts]
+    near = {(a, b): minhash.similarity(*sets[a], *sets[b]) for b in range(len(texts)) for a in range(b)}
+    want = {k for k, v in near.items() if max(v) >= 0.8}
+    assert sum(near[k][1] < 0.8 for k in want) > 12
+    rest = spark.createDataFrame([(k, k) for k in range(len(texts))], "id long, c long")
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert want <= {(x["u"], x["v"]) for x in minhash._rest_pairs(rest, table, 0.8).collect()}
+
+
 def test_signature_estimates_probability_jaccard():
     a, b = prose(1, 300), prose(1, 300) + "\n" + prose(2, 120)
     d, h, c = minhash.shingles([a, b])
