@@ -1,22 +1,28 @@
 """Byte-level BPE encoding and decoding by forced-boundary splitting.
 
-A byte pair that occurs inside no vocabulary token can never be merged over: no token spans it. Such a pair is a
-certain cut. Text is cut there, every fragment is encoded on its own by an ordinary byte-pair merger, and the ids are
-concatenated. So the work of the merger never follows the length of a text, only that of a fragment.
+A byte pair that occurs inside no vocabulary token can never be merged over: no token spans it. A table of all 65,536
+byte pairs, made from the vocabulary, says which pairs these are. A batch of texts is one byte array; it is cut at every
+such pair and at the bounds of the pre-tokenizer's pieces, both found in numpy for the whole batch. Every fragment is
+encoded on its own, equal fragments once, and the ids are concatenated.
 
-The pre-tokenizer looks one character ahead after white space, so a cut is used only where it also falls between two
-of its pieces: before ASCII white space that follows a character that is not white space.
+The merger takes the pair of the least rank from a heap, so a fragment of n bytes costs n log n. Fragments that were
+encoded before are looked up in a store of at most STORE entries a worker.
+
+Only the definitions that this code stands for are accepted: a byte-level model with the pattern of PIECES, no
+normalizer, and special tokens that are matched as they stand. Others raise ValueError.
 
 Cases: null text encodes as the empty text, the empty text has no ids, a text that names the special token encodes it
 as the library does, and bytes that form no valid UTF-8 when decoded become U+FFFD. Rows keep their multiplicity.
+Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
+import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +30,13 @@ from pyspark.sql import DataFrame
 
 from corvina.llm.common import chunks
 
-#: Fixed value: the public pre-tokenizer pattern of this family of vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts under SHORT characters stay whole; lines over LONG are cut at every certain boundary.
-SHORT, LONG = 256, 20_000
-
-_LINE_CUT = re.compile(r"(?<=\S)(?=\n)")
-_CUT = re.compile(r"(?<=\S)(?=[\t-\r ])")
-_PAIR = re.compile(r"\S[\t-\r ]")
-_ASCII_SPACE = b" \t\n\r\x0b\x0c"
+#: What the public pre-tokenizer's pattern knows. Pieces are runs of letters, of numbers or of other
+#: characters, each with one space before it, then white space; the endings below stand alone after an apostrophe.
+ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
+WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+LETTER, NUMBER, OTHER, SPACE = range(4)
+#: Fragments that a worker keeps with their ids, and the longest of them in bytes.
+STORE, STORED_BYTES = 1 << 18, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,84 +46,203 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """LETTER, NUMBER, OTHER or SPACE for every code point."""
+    if not _kinds:
+        of = {"L": LETTER, "N": NUMBER}
+        table = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), dtype=np.uint8, count=0x110000)
+        table[[ord(c) for c in WHITE]] = SPACE
+        _kinds.append(table)
+    return _kinds[0]
+
+
+def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which code points begin a piece of the pre-tokenizer; `first` marks the beginnings of texts."""
+    n = len(points)
+    kind = kinds()[points]
+    begins = first.copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    # The last white character before something else: a space goes with what follows, any other stands alone.
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~first[1:])
+    begins[last] = True
+    begins[last[points[last] == ord(" ")] + 1] = False
+    mark = np.flatnonzero((points[:-1] == ord("'")) & begins[:-1] & ~first[1:])
+    for ending in ENDINGS:
+        size = len(ending)
+        at = mark[mark + size < n]
+        for k, c in enumerate(ending, 1):
+            at = at[(points[at + k] == ord(c)) & ~first[at + k]]
+        begins[at + 1] = False
+        begins[(at + 1 + size)[at + 1 + size < n]] = True
+    return begins
+
+
+def accepted(spec: dict) -> None:
+    """ValueError for a definition that asks for anything this encoder does not do."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is not None:
+        raise ValueError("a normalizer is not supported")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("the pre-tokenizer is not the plain byte-level one")
+    if model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        raise ValueError("the model has options that are not supported")
+    for x in spec.get("added_tokens", []):
+        if x.get("lstrip") or x.get("rstrip") or x.get("single_word"):
+            raise ValueError("added tokens must be matched as they stand")
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder made from the bytes of a tokenizers file."""
 
     def __init__(self, definition: bytes):
-        import tiktoken
-
         spec = json.loads(definition)
+        accepted(spec)
         alphabet = byte_alphabet()
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        vocab = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        for k, pair in enumerate(spec["model"]["merges"]):
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        named = spec["model"]["vocab"]
+        vocab = {bytes(alphabet[c] for c in token): i for token, i in named.items() if token not in self.special}
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            if spec["model"]["vocab"][left + right] != 256 + k:
-                raise ValueError("merges are not in the order of ids")
-        self.special = special
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        size = max([*vocab.values(), *special.values()]) + 1
-        self.tokens = [b""] * size
+            self.merges.setdefault((named[left], named[right]), (rank, named[left + right]))
+        self.byte_ids = [vocab[bytes([b])] for b in range(256)]
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
             self.tokens[i] = token
-        for token, i in special.items():
+        for token, i in self.special.items():
             self.tokens[i] = token.encode()
-        # White space that follows something else inside no token: the pairs that mark certain cuts. Tokens of whole
-        # characters are judged by characters, as the last byte of one character may equal that of a white one.
-        inside = set()
+        # Pairs of bytes that stand side by side inside some token; all others are certain cuts.
+        self.inside = np.zeros(1 << 16, dtype=bool)
         for token in vocab:
-            try:
-                inside.update(m[0][-1] for m in _PAIR.finditer(token.decode()))
-            except UnicodeDecodeError:
-                inside.update(chr(b) for a, b in zip(token, token[1:]) if b in _ASCII_SPACE and a not in _ASCII_SPACE)
-        self.forced = {chr(b): chr(b) not in inside for b in _ASCII_SPACE}
-        self._engine = tiktoken.Encoding("forced", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
-
-    def fragments(self, text: str) -> list[str]:
-        """The text cut at certain boundaries: before line ends, and within long lines before any ASCII white space."""
-        if not self.forced["\n"] or len(text) < SHORT:
-            return [text]
-        out = []
-        for line in _LINE_CUT.split(text):
-            out += _CUT.split(line) if len(line) > LONG and all(self.forced.values()) else [line]
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        encode = self._engine.encode_ordinary
-        return b"".join([array("i", encode(f)).tobytes() for f in self.fragments(text)])
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit values."""
-        if not text:
-            return b""
-        if self._special is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        out = []
-        for part in self._special.split(text):
-            if part in self.special:
-                out.append(np.array([self.special[part]], dtype="<i4").tobytes())
-            elif part:
-                out.append(self._plain(part))
-        return b"".join(out)
+            for a, b in zip(token, token[1:]):
+                self.inside[a << 8 | b] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._ids: list[list[int]] = []
+
+    def merged(self, fragment: bytes) -> list[int]:
+        """Ids of one fragment: the pair of the least rank is merged, the leftmost first, until no pair is left."""
+        ids = [self.byte_ids[b] for b in fragment]
+        n, merges = len(ids), self.merges
+        if n == 1:
+            return ids
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            _, k, left, right, new = heappop(heap)
+            j = after[k]
+            # A pair that has changed since is passed over; a removed place holds -1.
+            if ids[k] != left or j >= n or ids[j] != right:
+                continue
+            ids[k], ids[j] = new, -1
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+                if (m := merges.get((new, ids[after[k]]))) is not None:
+                    heappush(heap, (m[0], k, new, ids[after[k]], m[1]))
+            if before[k] >= 0:
+                p = before[k]
+                if (m := merges.get((ids[p], new))) is not None:
+                    heappush(heap, (m[0], p, ids[p], new, m[1]))
+        return [i for i in ids if i >= 0]
+
+    def fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """All fragments in order, and for each text the number of fragments before it, with the total at the end."""
+        whole = "".join(texts)
+        raw = whole.encode("utf-8", "surrogatepass")
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        if not whole:
+            return [], np.zeros(len(texts) + 1, dtype=np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first = np.zeros(len(points), dtype=bool)
+        first[at[:-1][sizes > 0]] = True
+        begins = piece_starts(points, first)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        if len(data) > len(points):
+            place = np.flatnonzero((data & 0xC0) != 0x80)
+            cut = np.zeros(len(data), dtype=bool)
+            cut[place[begins]] = True
+            at = np.concatenate([place, [len(data)]])[at]
+        else:
+            cut = begins
+        cut[1:] |= ~self.inside[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        start = np.flatnonzero(cut)
+        stop = np.append(start[1:], len(data))
+        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())], np.searchsorted(start, at)
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, at = self.fragments(texts)
+        if len(self._known) > STORE:
+            self._clear()
+        known, ids = self._known, self._ids
+        long = []
+        for f in set(parts).difference(known):
+            known[f] = len(ids)
+            ids.append(self.merged(f))
+            if len(f) > STORED_BYTES:
+                long.append(f)
+        index = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        used, index = np.unique(index, return_inverse=True) if len(parts) else (index, index)
+        lists = [ids[k] for k in used.tolist()]
+        for f in long:
+            ids[known.pop(f)] = []
+        length = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = np.fromiter((i for x in lists for i in x), dtype="<i4", count=int(length.sum()))
+        many = length[index]
+        stop = np.concatenate([[0], np.cumsum(many)])
+        source = np.repeat((np.cumsum(length) - length)[index] - stop[:-1], many) + np.arange(int(stop[-1]))
+        return flat[source], stop[at]
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, offsets of each text and the end)."""
+        units: list[str] = []
+        special: list[tuple[int, int]] = []
+        owner = []
+        for k, t in enumerate(texts):
+            if t and self._special is not None and any(s in t for s in self.special):
+                for part in self._special.split(t):
+                    if part in self.special:
+                        special.append((len(units), self.special[part]))
+                        part = ""
+                    units.append(part)
+                    owner.append(k)
+            else:
+                units.append(t or "")
+                owner.append(k)
+        flat, at = self._encode_plain(units)
+        sizes = np.diff(at)
+        if special:
+            unit = np.array([u for u, _ in special])
+            flat = np.insert(flat, at[unit], [i for _, i in special]).astype("<i4")
+            sizes[unit] = 1
+        total = np.bincount(np.array(owner, dtype=np.int64), weights=sizes, minlength=len(texts)).astype(np.int64) if owner else np.zeros(0, np.int64)
+        return flat, np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), dtype="<i4")
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         get = self.tokens.__getitem__
         return b"".join(map(get, ids)).decode("utf-8", errors="replace")
 
 
-_loaded: dict[int, ForcedBoundaryBPE] = {}
+_loaded: dict[bytes, ForcedBoundaryBPE] = {}
 
 
 def loaded(definition: bytes) -> ForcedBoundaryBPE:
     """One encoder for each worker process and definition."""
-    key = hash(definition)
-    if key not in _loaded:
+    if definition not in _loaded:
         _loaded.clear()
-        _loaded[key] = ForcedBoundaryBPE(definition)
-    return _loaded[key]
+        _loaded[definition] = ForcedBoundaryBPE(definition)
+    return _loaded[definition]
 
 
 def definition(path: str) -> bytes:
@@ -137,11 +260,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
         for b in chunks(batches, "text"):
-            parts = [bpe.encode_bytes(t) for t in b.column(1).to_pylist()]
-            offsets = np.zeros(len(parts) + 1, dtype=np.int64)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)], ["id", "ids"])
+            flat, at = bpe.encode_batch(b.column(1).to_pylist())
+            ids = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(np.ascontiguousarray(flat))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids)], ["id", "ids"])
 
     return slim.mapInArrow(run, f"id {id_type}, ids array<int>")
 

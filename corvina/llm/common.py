@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,15 +19,24 @@ CHUNK_CHARS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, on one machine only: a cluster's executors would
+    not see it, so there ValueError is raised.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvina-shared-")
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corvina-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+#: Paths of the tables that this process has written, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -35,9 +46,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time for `cleared`."""
+    return len(_made)
+
+
+def cleared(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables written since a mark, but for the last `keep` ones: for steps whose result is written, so that nothing reads the others again."""
+    for path in _made[since : len(_made) - keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,12 +8,14 @@ Running sums are taken in two levels, inside blocks of lengths and over the bloc
 of a corpus whose documents are very long.
 
 Cases: null and empty texts have length 0 and are counted. An empty table gives an empty histogram, whose totals are 0
-and whose quantiles are null. Equal rows are counted each. Columns other than the text are ignored.
+and whose quantiles are null. No limits or shares give no rows, repeated ones a row each. Equal rows are counted each.
+Columns other than the text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ def lengths(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shared.value)
         for b in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([len(bpe.encode_bytes(t)) // 4 for t in b.column(0).to_pylist()], dtype=np.int64))], ["length"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(bpe.encode_batch(b.column(0).to_pylist())[1]))], ["length"])
 
     return df.select(df[text_col].cast("string").alias("text")).mapInArrow(run, "length long")
 
@@ -74,14 +76,22 @@ def totals(hist: DataFrame) -> DataFrame:
 
 
 def truncated(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """(limit, n_tokens): what is left when every document is cut at each limit."""
-    sums = [F.sum(F.col("n_docs") * F.least("length", F.lit(k))).alias(str(k)) for k in limits]
-    one = hist.agg(*sums) if sums else hist.agg(F.count("*").alias("none"))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("limit"), F.coalesce(F.col(str(k)), F.lit(0)).alias("n_tokens")) for k in limits))).alias("x")).select("x.*")
+    """(limit, n_tokens), a row for each limit given, repeated ones too: what is left when every document is cut at it."""
+    if not limits:
+        return hist.sparkSession.createDataFrame([], "limit long, n_tokens long")
+    one = hist.agg(*(F.sum(F.col("n_docs") * F.least("length", F.lit(int(k)).cast("long"))).alias(f"t{i}") for i, k in enumerate(limits)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(int(k)).cast("long").alias("limit"), F.coalesce(F.col(f"t{i}"), F.lit(0)).alias("n_tokens")) for i, k in enumerate(limits)))).alias("x")).select("x.*")
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, length): the least length that so large a share of the documents does not exceed."""
-    whole = F.col("docs_upto") + F.col("docs_longer")
-    one = hist.agg(*(F.min(F.when(F.col("docs_upto") >= F.ceil(F.lit(q) * whole), F.col("length"))).alias(f"q{k}") for k, q in enumerate(shares)))
+    """(share, length), a row for each share given: the least length that so large a share of the documents does not exceed.
+
+    A share counts as the decimal number it is written as, so 0.07 of 100 documents are 7.
+    """
+    if not shares:
+        return hist.sparkSession.createDataFrame([], "share double, length long")
+    whole = (F.col("docs_upto") + F.col("docs_longer")).cast("decimal(19,0)")
+    exact = [Fraction(str(q)) for q in shares]
+    enough = lambda q: F.col("docs_upto").cast("decimal(19,0)") * F.lit(q.denominator).cast("decimal(18,0)") >= whole * F.lit(q.numerator).cast("decimal(18,0)")
+    one = hist.agg(*(F.min(F.when(enough(q), F.col("length"))).alias(f"q{k}") for k, q in enumerate(exact)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("length")) for k, q in enumerate(shares)))).alias("x")).select("x.*")
