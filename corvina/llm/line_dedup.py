@@ -11,7 +11,8 @@ found twice or more are joined back. Texts are joined to removed positions by id
 
 Cases: null text counts as empty. Documents of fewer than three lines with a word stay as they are. Rows with equal
 ids are one document and do not remove one another's lines. A row without an id keeps what no earlier window of its
-own repeats. A document that is removed whole stays with the empty text. An empty table gives no rows.
+own repeats. A document that is removed whole stays with the empty text. An empty table gives no rows. Other columns
+stay as they are, whatever their names. Work and memory follow the length of a text, not its square.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import written
+from corvina.llm.common import quoted, written
 
 #: A line with a word holds something besides ASCII white space.
 WORD = r"[^\x20\x09-\x0D]"
@@ -50,19 +51,28 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
     return counted.where("n > 1").select("a", "b", "first_id")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of df with its cleaned text in the text column, and __n_lines and __n_removed besides."""
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_removed): every row of df as a struct, so that no name of a column matters, and its cleaned text."""
     windows = written(line_windows(df, id_col, text_col), "line-windows")
     repeated = written(repeated_windows(windows), "line-repeats")
     later = windows.where("first").join(repeated, ["a", "b"]).where(F.col("id") > F.col("first_id")).select("id", "text_hash", "start", "stop")
     again = windows.where("NOT first").select("id", "text_hash", "start", "stop")
-    covered = later.unionByName(again).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = df.withColumn("__text_hash", F.xxhash64(text)).join(covered, (F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))) & (F.col("__text_hash") == F.col("__hash")), "left")
-    lines = F.split(text, "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["stop"]))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
-    others = [F.col(f"`{c}`") for c in df.columns]
-    out = [clean.alias(c) if c == text_col else o for c, o in zip(df.columns, others)]
-    return joined.select(*out, F.size(lines).alias("__n_lines"), F.when(F.col("__spans").isNull(), F.lit(0)).otherwise(F.size(gone)).alias("__n_removed"))
+    covered = later.unionByName(again).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    covered = covered.withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    rows = df.select(F.struct(*(df[quoted(c)] for c in df.columns)).alias("row"), df[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    joined = rows.join(covered, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"]))))
+    lines = F.split("text", "\n", -1)
+    # The lines are bound as the only element of an array: an expression inside a lambda is computed for each element.
+    kept = lambda one: F.transform(F.array_except(F.sequence(F.lit(0), F.size(one) - 1), gone), lambda i: one[i])
+    clean = F.array_join(F.element_at(F.transform(F.array(lines), kept), 1), "\n")
+    none = F.col("spans").isNull()
+    return joined.select("row", F.when(none, F.col("text")).otherwise(clean).alias("text"), F.size(lines).alias("n_lines"), F.when(none, F.lit(0)).otherwise(F.size(gone)).alias("n_removed"))
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of df with its cleaned text in the text column, and __n_lines and __n_removed besides, which replace columns of that name."""
+    done, counts = cleaned(df, id_col, text_col), ("__n_lines", "__n_removed")
+    own = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c not in counts]
+    return done.select(*own, F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
