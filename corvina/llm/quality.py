@@ -9,7 +9,8 @@ Words are runs of characters other than ASCII white space. Repeated windows are
 and three rounds of pairing neighbours turn them into numbers of windows of two, four and eight words.
 
 Cases: null and empty text has no words and is rejected. Lines without a word are kept and count nothing. Equal rows
-get equal verdicts. An empty table gives no rows. Columns other than the id and the text are ignored.
+get equal verdicts. An empty table gives no rows. Columns other than the id and the text are ignored, or stay as they
+are where rows are cleaned. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,19 @@ SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Fixed values of the line rules; the same patterns stand in the SQL form.
 ENDING = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*$"
-BOILERPLATE = r"(?i)licensed under|all rights reserved|copyright|terms of (?:use|service)|privacy policy|cookies|javascript|click here|sign up|subscribe|lorem ipsum"
+PHRASES = [
+    # English
+    "licensed under", "released under the", "all rights reserved", "copyright", "terms of (?:use|service)", "privacy policy", "cookies", "javascript", "click here", "sign up", "subscribe", "lorem ipsum",
+    # French
+    "sous licence", "tous droits réservés", "mentions légales", "conditions d.utilisation", "politique de confidentialité", "cliquez ici", "inscrivez-vous", "abonnez-vous",
+    # German
+    "lizenziert unter", "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "hier klicken", "klicken sie hier", "abonnieren sie",
+    # Spanish
+    "bajo (?:la )?licencia", "todos los derechos reservados", "términos (?:de uso|y condiciones)", "política de privacidad", "aviso legal", "haga clic", "regístrese", "suscríbase",
+]
+BOILERPLATE = "(?i)" + "|".join(PHRASES)
+#: Fixed value: characters that part the entries of a menu. A closing guillemet is one where none is opened.
+SEPARATORS = "|›·•→"
 
 _ENDING, _BOILERPLATE = re.compile(ENDING), re.compile(BOILERPLATE)
 
@@ -42,7 +55,8 @@ def line_fails(line: str, words: int) -> bool:
         return True
     if (bangs := line.count("!")) >= 3 and bangs > words:
         return True
-    if (pipes := line.count("|")) >= 2 and 4 * pipes > words:
+    parts = sum(map(line.count, SEPARATORS)) + (0 if "«" in line else line.count("»"))
+    if parts >= 2 and 4 * parts > words:
         return True
     symbols = sum(map(line.count, "#*$%&<>"))
     if symbols >= 3 and 5 * symbols > words:
@@ -129,13 +143,15 @@ def cleaned_documents(df: DataFrame, text_col: str = "text", chars_col: str | No
     again = names.index(chars_col) if chars_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, f"c{at}"):
             out = judge(b.column(at).to_pylist())
             keep = pa.array(out["kept"], pa.bool_())
             columns = list(b.columns)
             columns[at] = pa.array(out["clean_text"], pa.string())
             if again is not None:
                 columns[again] = pa.array([len(t) for t in out["clean_text"]]).cast(columns[again].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema.set(at, pa.field(text_col, pa.string()))).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema.set(at, pa.field(f"c{at}", pa.string()))).filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    # Columns go by place, so their names may be any.
+    plain = df.toDF(*(f"c{k}" for k in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -113,12 +113,12 @@ WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coale
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM doc)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(generate_series(0, 7)) AS k FROM dup) GROUP BY 1),
-line AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}+')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)),
+line AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}+')) AS n, len(regexp_extract_all(line, '[{quality.SEPARATORS}]')) + CASE WHEN contains(line, '«') THEN 0 ELSE len(line) - len(replace(line, '»', '')) END AS parts FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)),
 judged AS (
   SELECT doc_id, line, n,
     NOT regexp_matches(line, '{_quoted(quality.ENDING)}')
     OR (len(line) - len(replace(line, '!', '')) >= 3 AND len(line) - len(replace(line, '!', '')) > n)
-    OR (len(line) - len(replace(line, '|', '')) >= 2 AND 4 * (len(line) - len(replace(line, '|', ''))) > n)
+    OR (parts >= 2 AND 4 * parts > n)
     OR (len(regexp_extract_all(line, '[#*$%&<>]')) >= 3 AND 5 * len(regexp_extract_all(line, '[#*$%&<>]')) > n)
     OR regexp_matches(line, '{_quoted(quality.BOILERPLATE)}') AS bad
   FROM line WHERE n > 0),
