@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import written
+from corvina.llm.common import cleared, mark, written
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -21,6 +21,7 @@ def _signature(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the least id that each id of a link (u, v) reaches. An empty table gives no rows."""
+    spark, began = links.sparkSession, mark()
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     seen = _signature(now)
     for _ in range(rounds):
@@ -35,10 +36,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "links")
+        cleared(spark, began)
         before, seen = seen, _signature(now)
         if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return written(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    found = written(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    cleared(spark, began)
+    return found

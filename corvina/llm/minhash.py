@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import chunks, quiet_numpy, written
+from corvina.llm.common import chunks, cleared, mark, quiet_numpy, written
 from corvina.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -214,10 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
                 p, q = (np.frombuffer(s.as_buffer(), dtype=np.uint64).reshape(2, -1) for s in (x, y))
-                # Too different in size for either similarity to reach the threshold.
-                lo, hi = sorted((p.shape[1], q.shape[1]))
-                got = similarity(p[0], p[1], q[0], q[1]) if lo or hi else (0.0, 0.0)
-                keep.append(max(got) >= threshold)
+                keep.append(max(similarity(p[0], p[1], q[0], q[1])) >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, f"u {kind}, v {kind}")
@@ -225,11 +222,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) of ids whose texts (id, text) are similar enough."""
+    began = mark()
     pairs = written(pairs, "pairs")
     needed = written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")
     # Rows that repeat an id with other texts stand for it each; any of them may link it.
     sets = written(_packed(texts.join(needed, "id", "left_semi")), "sets")
-    return written(_verified(pairs, sets, threshold), "found")
+    found = written(_verified(pairs, sets, threshold), "found")
+    cleared(texts.sparkSession, began)
+    return found
 
 
 def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
