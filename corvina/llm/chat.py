@@ -8,8 +8,8 @@ Control strings inside roles and texts get a backslash after their first charact
 backslashes there get one more; `unescape` takes exactly one away, so reading back gives the texts as they were.
 
 Cases: null role and text read as empty, a null turn comes first, equal turns are ordered by role, then text, and
-rows that repeat are formatted each. Rows with a null conversation id form one conversation. An empty table gives no
-rows. Columns other than the four are ignored.
+rows that repeat are formatted each. A row without a conversation id is a conversation of its own, so such rows spread
+over all tasks. An empty table gives no rows. Columns other than the four are ignored. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -64,12 +64,15 @@ def assemble(conv: np.ndarray, roles: list[str], texts: list[str]) -> tuple[np.n
     for kind in range(3):
         own = length[kind::3]
         source = np.frombuffer(b"".join(seg[kind::3]), dtype=np.uint8)
-        shift = stop[kind::3] - own - (np.cumsum(own) - own)
-        out[np.repeat(shift, own) + np.arange(len(source))] = source
+        # Indices take four bytes for each byte of text wherever they can.
+        narrow = np.int32 if total < 1 << 31 else np.int64
+        place = np.repeat((stop[kind::3] - own - (np.cumsum(own) - own)).astype(narrow), own)
+        place += np.arange(len(source), dtype=narrow)
+        out[place] = source
     rows = np.bincount(conv, minlength=int(conv[-1]) + 1 if len(conv) else 0)
     row_stop = np.concatenate([[0], stop[2::3]])
     offsets = row_stop[np.concatenate([[0], np.cumsum(rows)])]
-    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
+    points = np.concatenate([np.zeros(1, narrow), np.cumsum((out & 0xC0) != 0x80, dtype=narrow)])
     learned = np.flatnonzero(np.fromiter((r == LEARNED for r in roles), dtype=bool, count=len(roles)))
     first = points[offsets[:-1]] if len(conv) else np.zeros(0, dtype=np.int64)
     start, end = points[stop[0::3][learned]], points[stop[1::3][learned]]
@@ -81,10 +84,11 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     """(conv_id, formatted string, loss array<struct<start,length>>), a row for each conversation."""
     slim = df.select(df[conv_col].alias("conv_id"), df[turn_col].alias("turn"), F.coalesce(df[role_col].cast("string"), F.lit("")).alias("role"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     kind = slim.schema["conv_id"].dataType.simpleString()
-    dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    dealt = slim.repartition("conv_id", apart).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def emit(ids: list, roles: list, texts: list, schema: pa.Schema) -> pa.RecordBatch:
-        new = [k == 0 or ids[k] != ids[k - 1] for k in range(len(ids))]
+        new = [k == 0 or ids[k] is None or ids[k] != ids[k - 1] for k in range(len(ids))]
         conv = np.cumsum(new) - 1
         offsets, data, own, start, length = assemble(conv, roles, texts)
         formatted = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.string())
@@ -101,7 +105,7 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
             schema = b.schema
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 # A conversation is complete when the next one begins, in whichever batch that is.
-                if held > 1_000_000 and i != ids[-1]:
+                if held > 1_000_000 and (i is None or i != ids[-1]):
                     yield emit(ids, roles, texts, schema)
                     ids, roles, texts, held = [], [], [], 0
                 ids.append(i)
