@@ -1,7 +1,15 @@
-"""The stages that the corpus pipeline is made of; each takes and returns the documents table."""
+"""The stages that the corpus pipeline is made of; each takes and returns the documents table, the last one returns places.
+
+Cases, for all of them: extra columns stay as they are, whatever their names. Null and empty texts fail the quality
+rules; later stages leave them to language identification, which rejects what has no letter. Rows that repeat an id are
+separate rows, but near-duplicate removal takes them together: an id that is not kept goes with all its rows. A row
+without an id stays. Texts of any length are read whole. An empty table gives an empty one. Ties go to the least id.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,33 +20,47 @@ from corvina.llm.queries import CAPACITY, END_ID, tokenizer
 LEAST_SCORE = 0.35
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+OWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def apart(stage):
+    """A stage that sees columns it does not know under names of no meaning, and gives them back under their own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(docs.toDF(*(c if c in OWN else f"__other_{k}" for k, c in enumerate(names)))).toDF(*names)
+
+    return run
+
+
+@apart
+def quality_rules(docs: DataFrame) -> DataFrame:
     """Failed lines go; documents that the rules reject go."""
     return quality.cleaned_documents(docs)
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def language_id(docs: DataFrame) -> DataFrame:
     """Documents without a recognizable language go. The model is fitted on the labelled rows of this stage's input."""
-    names = docs.columns
     model = langid.train(docs, ~langid.held_out(docs))
-    told = langid.predict(docs, model, names)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*names)
+    told = langid.told(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.drop("lang_pred", "score")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """Later occurrences of repeated lines go; a document that is nothing else goes with them."""
-    names = docs.columns
-    done = line_dedup.dedup_lines(docs).where((F.col("__n_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*names)
+    done = line_dedup.cleaned(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@apart
+def minhash_near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each class of near-duplicates stays: the one of the least id."""
-    names = docs.columns
     gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*names)
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

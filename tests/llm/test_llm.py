@@ -1,7 +1,6 @@
 """The ten operators against plain models on small fixtures, with nulls, empties, repeats and clashing columns."""
 
 import collections
-import hashlib
 import random
 import zlib
 
@@ -42,10 +41,39 @@ def test_bpe_equals_library(spark, reference_tokenizer):
 
 def test_bpe_on_random_strings(reference_tokenizer):
     r, own = random.Random(3), bpe.loaded(bpe.definition(queries.tokenizer()))
-    parts = ["a", "the", " ", "  ", "\n", "\t", "\u3000", "\x85", "é", "1", "²", "!", "'s", "中", "<|endoftext|>", "\u200d", "\x00"]
-    for _ in range(3000):
-        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
-        assert own.encode(t).tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\u3000", "\x85", "é", "1", "²", "!", "'s", "'", "ll", "'re", "中", "<|endoftext|>", "\u200d", "\x00", "\x1c", "İ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(5000)] + ["", "x" * 20_000, "中文字" * 3000]
+    flat, at = own.encode_batch(texts)
+    for t, x, y in zip(texts, at, at[1:]):
+        assert flat[x:y].tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_knows_every_character(reference_tokenizer):
+    own = bpe.loaded(bpe.definition(queries.tokenizer()))
+    texts = [f"a{chr(c)}1 {chr(c)}" for c in range(0, 0x30000) if not 0xD800 <= c < 0xE000]
+    flat, at = own.encode_batch(texts)
+    for t, e, x, y in zip(texts, reference_tokenizer.encode_batch(texts, add_special_tokens=False), at, at[1:]):
+        assert flat[x:y].tolist() == e.ids, hex(ord(t[1]))
+
+
+def test_bpe_cuts_at_every_forced_pair():
+    own = bpe.loaded(bpe.definition(queries.tokenizer()))
+    inside = {(a, b) for t in own.tokens for a, b in zip(t, t[1:])} - set(zip(b"<|endoftext|>", b"|endoftext|>"))
+    text = prose(1) + " 中文字é, x9z\n  'tis qQzXj"
+    fragments, at = own.fragments([text])
+    assert b"".join(fragments).decode() == text and at.tolist() == [0, len(fragments)]
+    assert all((a, b) in inside or own.inside[a << 8 | b] for f in fragments for a, b in zip(f, f[1:]))
+    # No fragment could be cut further; pairs that no token holds always part fragments.
+    assert (~own.inside).sum() > 60_000 and max(map(len, fragments)) < 20
+
+
+def test_bpe_refuses_other_definitions():
+    import json
+
+    spec = json.loads(bpe.definition(queries.tokenizer()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.accepted(spec | change)
 
 
 def test_packing(spark, reference_tokenizer):
@@ -82,13 +110,53 @@ def best_fit_decreasing(sizes, capacity):
     return opened
 
 
-def test_plan_is_bounded_and_good():
-    sizes = np.random.default_rng(0).integers(1, 2049, 5000).tolist()
-    counts, plain = collections.Counter(sizes), best_fit_decreasing(sizes, 2048)
-    for times in (1, 1000):
-        runs = packing.plan({k: v * times for k, v in counts.items()}, 2048)
-        assert runs[runs[:, 4] == 0][:, 2].sum() <= 1.002 * plain * times + 2 and len(runs) < 60_000
-        assert {k: int(runs[runs[:, 0] == k][:, 2].sum()) for k in counts} == {k: v * times for k, v in counts.items()}
+def plain_sum_of_squares(sizes, capacity):
+    """The rule piece by piece, longest first: the sequences, each the list of its pieces."""
+    bins, opened = collections.defaultdict(list), []
+    for size in sorted(sizes, reverse=True):
+        fit = [g for g in bins if g >= size and bins[g]]
+        if fit:
+            def squares(g):
+                n = {k: len(v) for k, v in bins.items()}
+                n[g] -= 1
+                n[g - size] = n.get(g - size, 0) + 1
+                return sum(v * v for k, v in n.items() if k)
+
+            gap = min(fit, key=lambda g: (squares(g), g))
+            own = bins[gap].pop()
+        else:
+            gap, own = capacity, []
+            opened.append(own)
+        own.append(size)
+        bins[gap - size].append(own)
+    return opened
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_follows_the_rule_piece_by_piece(seed):
+    r = random.Random(seed)
+    sizes = [[r.randint(1, 60) for _ in range(300)], [25] * 9, [min(60, int(r.lognormvariate(2.5, 1)) + 1) for _ in range(300)], [33] * 20 + [27] * 21 + [5] * 7, [60] * 5, [20] * 3 + [40]][seed]
+    runs = packing.plan(collections.Counter(sizes), 60)
+    assert runs[runs[:, 4] == 0][:, 2].sum() == len(plain_sum_of_squares(sizes, 60))
+
+
+def test_plan_is_the_same_at_every_size(monkeypatch):
+    monkeypatch.setattr(packing, "STEPS", 1 << 18)
+    for sizes in (np.random.default_rng(0).integers(1, 2049, 5000), np.clip(np.random.default_rng(1).lognormal(6, 1, 5000), 1, 2048).astype(int), np.full(10, 1000)):
+        counts, plain = collections.Counter(sizes.tolist()), best_fit_decreasing(sizes.tolist(), 2048)
+        for times in (1, 1000, 999_983):
+            runs = packing.plan({k: v * times for k, v in counts.items()}, 2048)
+            assert runs[runs[:, 4] == 0][:, 2].sum() <= 1.001 * plain * times + 2 and len(runs) < 60_000
+            assert {k: int(runs[runs[:, 0] == k][:, 2].sum()) for k in counts} == {k: v * times for k, v in counts.items()}
+            # No sequence holds more than it can: pieces of each sequence lie one after another.
+            if times == 1:
+                held = collections.defaultdict(list)
+                for length, _, n, first, offset in runs.tolist():
+                    for k in range(n):
+                        held[first + k].append((offset, length))
+                for own in held.values():
+                    own.sort()
+                    assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 2048
 
 
 def test_token_counts(spark, reference_tokenizer):
@@ -269,8 +337,11 @@ def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "\\<|im_end|> <\\|im_end|> <\\\\|im_end|>", "", None, "é<<SYS>>x<</SYS>>😀", "[INST][/INST]<s><"]
     rows = [(k % 3, k, ["user", "assistant", None, "sys\n\\tem"][k % 4], odd[k % len(odd)], 1) for k in range(40)] + [(None, None, "assistant", "x", 1)] * 2
     d = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, formatted int")
-    got = {r["conv_id"]: r for r in chat.read(chat.format_conversations(d)).collect()}
-    assert set(got) == {0, 1, 2, None}
+    every = chat.read(chat.format_conversations(d)).collect()
+    # A row without a conversation id is a conversation of its own.
+    assert [[t["text"] for t in r["turns"]] for r in every if r["conv_id"] is None] == [["x"]] * 2
+    got = {r["conv_id"]: r for r in every if r["conv_id"] is not None}
+    assert set(got) == {0, 1, 2}
     for c, r in got.items():
         own = sorted(((x[1] if x[1] is not None else -1, x[2] or "", x[3] or "") for x in rows if x[0] == c), key=lambda x: x)
         assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in own]
@@ -293,7 +364,7 @@ def test_warc(spark):
         assert list(warc.parsed(warc.serialized(h, bytes(r["block"])))) == [(h, bytes(r["block"]))]
     text = {(r["page_id"], r["headers"]["WARC-Type"]): bytes(r["block"]).decode() for r in made}
     assert text[1, "conversion"] == "T & u\nHi there\ngo" and text[2, "conversion"] == "" and "/l?a=1&b" in text[1, "metadata"]
-    assert source[1]["headers"]["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(pages.collect()[0]["html"].encode()).hexdigest()
+    assert source[1]["headers"]["WARC-Payload-Digest"] == warc.sha1(pages.collect()[0]["html"].encode())
 
 
 def test_pipeline(spark, tmp_path):
