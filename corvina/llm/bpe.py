@@ -5,8 +5,8 @@ byte pairs, made from the vocabulary, says which pairs these are. A batch of tex
 such pair and at the bounds of the pre-tokenizer's pieces, both found in numpy for the whole batch. Every fragment is
 encoded on its own, equal fragments once, and the ids are concatenated.
 
-The merger takes the pair of the least rank from a heap, so a fragment of n bytes costs n log n. Fragments that were
-encoded before are looked up in a store of at most STORE entries a worker.
+All distinct fragments of a batch are merged at once: in every round each of them merges its pair of the least rank. A
+fragment over LONG bytes, which text rarely has, is merged with a heap instead, so n bytes cost n log n.
 
 Only the definitions that this code stands for are accepted: a byte-level model with the pattern of PIECES, no
 normalizer, and special tokens that are matched as they stand. Others raise ValueError.
@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from corvina.llm.common import chunks
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: Fragments that a worker keeps with their ids, and the longest of them in bytes.
-STORE, STORED_BYTES = 1 << 18, 64
+#: Fragments of more bytes are merged one by one with a heap, which is quicker for them; the ids are the same.
+LONG = 256
+NO_RANK = np.iinfo(np.int32).max
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -94,6 +96,45 @@ def accepted(spec: dict) -> None:
             raise ValueError("added tokens must be matched as they stand")
 
 
+class PairRanks:
+    """Ranks of pairs of ids, in a table with linear probing that numpy reads for many pairs at once."""
+
+    BITS = 18
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.pairs = pairs
+        while len(pairs) * 3 > 1 << self.BITS:
+            self.BITS += 1
+        self.keys, self.values = np.full(1 << self.BITS, -1, dtype=np.int64), np.full(1 << self.BITS, NO_RANK, dtype=np.int32)
+        key = np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
+        value = np.array(list(pairs.values()), dtype=np.int64)
+        slot, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] < 0]
+            self.keys[slot[free]] = key[free]
+            todo = todo[self.keys[slot[todo]] != key[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+        self.values[slot] = value
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK where it never merges."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], NO_RANK)
+        todo = np.flatnonzero((there != key) & (there >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.BITS) - 1)
+            there = self.keys[slot[todo]]
+            hit = there == key[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[(there >= 0) & ~hit]
+        return out
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder made from the bytes of a tokenizers file."""
 
@@ -104,11 +145,18 @@ class ForcedBoundaryBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         named = spec["model"]["vocab"]
         vocab = {bytes(alphabet[c] for c in token): i for token, i in named.items() if token not in self.special}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made: list[int] | np.ndarray = []
+        # By pair of ids: the rank of its merge. By rank: the id that the merge makes.
+        pairs: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((named[left], named[right]), (rank, named[left + right]))
-        self.byte_ids = [vocab[bytes([b])] for b in range(256)]
+            pairs.setdefault((named[left], named[right]), rank)
+            self.made.append(named[left + right])
+        self.ranks = PairRanks(pairs)
+        self.made = np.array(self.made, dtype=np.int32)
+        self.byte_ids = np.array([vocab[bytes([b])] for b in range(256)], dtype=np.int32)
+        # The same for pairs of bytes, by their two values.
+        self.byte_ranks = self.ranks.of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
@@ -120,47 +168,85 @@ class ForcedBoundaryBPE:
         for token in vocab:
             for a, b in zip(token, token[1:]):
                 self.inside[a << 8 | b] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._ids: list[list[int]] = []
-
-    def merged(self, fragment: bytes) -> list[int]:
-        """Ids of one fragment: the pair of the least rank is merged, the leftmost first, until no pair is left."""
-        ids = [self.byte_ids[b] for b in fragment]
-        n, merges = len(ids), self.merges
-        if n == 1:
-            return ids
+
+    def merged(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all fragments one after another, the number of each) of fragments data[bounds[k]:bounds[k + 1]].
+
+        In every round each fragment merges its pair of the least rank, wherever it stands, from the left. A merge makes
+        only pairs of higher ranks, so this is the order of merging one by one.
+        """
+        size = np.diff(bounds)
+        ids, owner = self.byte_ids[data], np.repeat(np.arange(len(size), dtype=np.int32), size)
+        rank = np.full(len(ids), NO_RANK, dtype=np.int32)
+        if len(data):
+            rank[:-1] = self.byte_ranks[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        first = bounds[:-1][size > 0]
+        rank[first[1:] - 1] = NO_RANK
+        done_ids, done_owner = [], []
+        while len(ids):
+            many = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            going = least != NO_RANK
+            if not going.all():
+                alive = np.repeat(going, many)
+                done_ids.append(ids[~alive])
+                done_owner.append(owner[~alive])
+                ids, owner, rank, least, many = ids[alive], owner[alive], rank[alive], least[going], many[going]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, many))
+            # Of places that overlap (aaa) every second one merges.
+            if (np.diff(at) == 1).any():
+                run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            place = at - np.arange(len(at))
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+            rank[place] = NO_RANK
+            for left in (place, place - 1):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                left = left[owner[left] == owner[left + 1]]
+                rank[left] = self.ranks.of(ids[left], ids[left + 1])
+            first = np.concatenate([[0], first])
+        if not done_ids:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(size), dtype=np.int64)
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
+
+    def merged_long(self, fragment: bytes) -> list[int]:
+        """Ids of one fragment by a heap, so that n bytes cost n log n."""
+        ids = self.byte_ids[np.frombuffer(fragment, dtype=np.uint8)]
+        ranks = self.ranks.of(ids[:-1], ids[1:])
+        n, ids, made, get = len(ids), ids.tolist(), self.made, self.ranks.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, ids[k], ids[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1]))) is not None]
+        heap = [(r, k) for k, r in enumerate(ranks.tolist()) if r != NO_RANK]
         heapify(heap)
         while heap:
-            _, k, left, right, new = heappop(heap)
+            rank, k = heappop(heap)
             j = after[k]
             # A pair that has changed since is passed over; a removed place holds -1.
-            if ids[k] != left or j >= n or ids[j] != right:
+            if ids[k] < 0 or j >= n or get((ids[k], ids[j])) != rank:
                 continue
-            ids[k], ids[j] = new, -1
+            ids[k], ids[j] = int(made[rank]), -1
             after[k] = after[j]
-            if after[k] < n:
-                before[after[k]] = k
-                if (m := merges.get((new, ids[after[k]]))) is not None:
-                    heappush(heap, (m[0], k, new, ids[after[k]], m[1]))
-            if before[k] >= 0:
-                p = before[k]
-                if (m := merges.get((ids[p], new))) is not None:
-                    heappush(heap, (m[0], p, ids[p], new, m[1]))
+            for left, right in ((k, after[k]), (before[k], k)):
+                if left >= 0 and right < n:
+                    before[right] = left
+                    if (new := get((ids[left], ids[right]))) is not None:
+                        heappush(heap, (new, left))
         return [i for i in ids if i >= 0]
 
-    def fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    def fragments(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All fragments in order, and for each text the number of fragments before it, with the total at the end."""
         whole = "".join(texts)
-        raw = whole.encode("utf-8", "surrogatepass")
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         at = np.concatenate([[0], np.cumsum(sizes)])
         if not whole:
-            return [], np.zeros(len(texts) + 1, dtype=np.int64)
+            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, dtype=np.int64)
+        raw = whole.encode("utf-8", "surrogatepass")
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         first = np.zeros(len(points), dtype=bool)
         first[at[:-1][sizes > 0]] = True
@@ -175,31 +261,37 @@ class ForcedBoundaryBPE:
             cut = begins
         cut[1:] |= ~self.inside[data[:-1].astype(np.uint16) << 8 | data[1:]]
         start = np.flatnonzero(cut)
-        stop = np.append(start[1:], len(data))
-        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())], np.searchsorted(start, at)
+        bounds = np.append(start, len(data))
+        return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]), np.searchsorted(start, at)
 
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, at = self.fragments(texts)
-        if len(self._known) > STORE:
-            self._clear()
-        known, ids = self._known, self._ids
-        long = []
-        for f in set(parts).difference(known):
-            known[f] = len(ids)
-            ids.append(self.merged(f))
-            if len(f) > STORED_BYTES:
-                long.append(f)
-        index = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
-        used, index = np.unique(index, return_inverse=True) if len(parts) else (index, index)
-        lists = [ids[k] for k in used.tolist()]
-        for f in long:
-            ids[known.pop(f)] = []
-        length = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype="<i4", count=int(length.sum()))
+        if not len(parts):
+            return np.zeros(0, dtype="<i4"), at
+        distinct = parts.dictionary_encode()
+        words, index = distinct.dictionary, np.asarray(distinct.indices)
+        bounds = np.frombuffer(words.buffers()[1], dtype=np.int64, count=len(words) + 1, offset=8 * words.offset)
+        data, long = np.frombuffer(words.buffers()[2], dtype=np.uint8), np.flatnonzero(np.diff(bounds) > LONG)
+        if len(long):
+            # Long ones go by the heap; in the table of fragments they stand empty until then.
+            short = np.ones(len(words), dtype=bool)
+            short[long] = False
+            size = np.where(short, np.diff(bounds), 0)
+            own = np.concatenate([[0], np.cumsum(size)])
+            flat, length = self.merged(data[np.repeat(bounds[:-1] - own[:-1], size) + np.arange(int(own[-1]))], own)
+            found = [self.merged_long(words[int(k)].as_py()) for k in long]
+            start = np.cumsum(length) - length
+            flat = np.concatenate([flat, *(np.array(x, dtype=np.int32) for x in found)])
+            length[long] = [len(x) for x in found]
+            start[long] = len(flat) - np.cumsum(length[long][::-1])[::-1]
+        else:
+            flat, length = self.merged(data[bounds[0] : bounds[-1]], bounds - bounds[0])
+            start = np.cumsum(length) - length
         many = length[index]
         stop = np.concatenate([[0], np.cumsum(many)])
-        source = np.repeat((np.cumsum(length) - length)[index] - stop[:-1], many) + np.arange(int(stop[-1]))
-        return flat[source], stop[at]
+        source = np.repeat(start[index] - stop[:-1], many)
+        source += np.arange(int(stop[-1]))
+        return flat.astype("<i4")[source], stop[at]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text and the end)."""
