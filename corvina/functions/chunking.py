@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from corvina.functions.batches import by_bytes
 from corvina.functions.parsing import Parsed, Symbol, parse
 
 #: Token estimates that part small, ordinary and large symbols, and bytes of prose that make a doc chunk.
@@ -30,16 +31,24 @@ def blocks(lines: list[str], target: int, overlap: int = 0) -> list[tuple[int, i
     return out
 
 
-def raw_chunks(text: str) -> list[dict]:
-    """One chunk of a short text, overlapping blocks of a long one, none of a blank one."""
+def lines_of(text: str) -> list[str]:
+    """Lines without their ends; a line end at the end of the text opens no further line."""
+    lines = text.split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    return [x.removesuffix("\r") for x in lines]
+
+
+def raw_chunks(path: str, text: str) -> list[dict]:
+    """One chunk of a short text, overlapping blocks of a long one, none of a blank one; all named after the file."""
     if not text.strip():
         return []
-    lines = text.split("\n")
+    base, lines = path.rsplit("/", 1)[-1], lines_of(text)
     if tokens(text) <= GROUP:
-        return [{"level": "file", "name": "", "start": 1, "end": len(lines), "text": text}]
+        return [{"level": "file", "name": base, "start": 1, "end": max(len(lines), 1), "text": text}]
     target = max(len(lines) // max(tokens(text) // GROUP, 2), 1)
     overlap = min(max(target // 8, 1), 6)
-    return [{"level": "block", "name": "", "start": a + 1, "end": b, "text": "\n".join(lines[a:b])} for a, b in blocks(lines, target, overlap)]
+    return [{"level": "block", "name": base, "start": a + 1, "end": b, "text": "\n".join(lines[a:b])} for a, b in blocks(lines, target, overlap)]
 
 
 def grouped_name(names: list[str]) -> str:
@@ -89,16 +98,16 @@ def file_chunks(path: str, text: str, parsed: Parsed) -> list[dict]:
 
 def chunked_files(files: DataFrame, parsed_languages: list[str]) -> DataFrame:
     """(file, ordinal, level, name, start, end, text) of (file, language, text); files are independent, so no shuffle."""
-    import pandas as pd
+    import pyarrow as pa
 
-    columns = ["file", "ordinal", "level", "name", "start", "end", "text"]
+    columns = {"file": pa.string(), "ordinal": pa.int32(), "level": pa.string(), "name": pa.string(), "start": pa.int32(), "end": pa.int32(), "text": pa.string()}
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for b in by_bytes(batches, "text"):
             rows = []
-            for path, lang, text in zip(f["file"], f["language"], f["text"]):
-                got = file_chunks(path, text or "", parse(text or "", lang)) if lang in parsed_languages else raw_chunks(text or "")
+            for path, lang, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                got = file_chunks(path or "", text or "", parse(text or "", lang)) if lang in parsed_languages else raw_chunks(path or "", text or "")
                 rows += [{"file": path, "ordinal": k} | c for k, c in enumerate(got)]
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns.items()], list(columns))
 
-    return files.select("file", "language", "text").mapInPandas(run, "file string, ordinal int, level string, name string, start int, end int, text string")
+    return files.select("file", "language", "text").mapInArrow(run, "file string, ordinal int, level string, name string, start int, end int, text string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,19 +87,26 @@ def list_column(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def own_artifact(path: Column) -> Column:
-    return F.split(path, "/")[0].isin(".devstate", ".model_cache", ".git")
+#: Folders that an index keeps for itself; a project with others gives its own.
+OWN_FOLDERS = (".corvina", ".fastembed_cache", ".git")
 
 
-#: Folders and name parts of generated files, and the longest line, in bytes, of a written one.
-VENDORED = ["node_modules", "vendor", "dist", "build", "target", "third_party"]
-LONGEST_LINE = 1000
+def own_artifact(path: Column, folders: tuple[str, ...] = OWN_FOLDERS) -> Column:
+    return F.split(path, "/")[0].isin(*folders)
+
+
+#: Parts of a path that hold vendored files, parts and ends of the names of generated ones, and the longest line, in bytes, of a written one.
+VENDORED = ["node_modules", "vendor", "third_party", "dist", "bower_components"]
+GENERATED_PARTS, GENERATED_END, LONGEST_LINE = [".min.", ".bundle."], "-lock.json", 1000
 
 
 def generated(path: Column, text: Column) -> Column:
+    """Whether a machine wrote the file, by its path or by a line that no person would write."""
     name = basename(path)
-    vendored = F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, VENDORED)))
-    return vendored | name.contains(".min.") | name.contains(".bundle.") | name.contains("-lock.json") | F.exists(F.split(text, "\n"), lambda x: F.octet_length(x) > LONGEST_LINE)
+    by_name = name.endswith(GENERATED_END)
+    for part in GENERATED_PARTS:
+        by_name = by_name | name.contains(part)
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, VENDORED))) | by_name | F.exists(F.split(text, "\r?\n"), lambda x: F.octet_length(x) > LONGEST_LINE)
 
 
 def sentences(text: Column) -> Column:
@@ -105,11 +115,24 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
-def memory_windows(content: Column, size: int = 100, step: int = 70, most: int = 40) -> Column:
-    """Word windows after the first one, at most `most`."""
-    words = F.split(F.regexp_replace(content, r"^\s+|\s+$", ""), r"\s+")
-    starts = F.when(F.size(words) > step, F.sequence(F.lit(step), F.size(words) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.slice(starts, 1, most), lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def with_title(title: Column | None, body: Column) -> Column:
+    return body if title is None else F.when(F.coalesce(title, F.lit("")) == "", body).otherwise(F.concat(title, F.lit("\n"), body))
+
+
+def memory_windows(content: Column, title: Column | None = None, size: int = 100, step: int = 70, most: int = 40) -> Column:
+    """Word windows after the first one, at most `most`, each under the title if there is one."""
+    words = F.split(F.regexp_replace(content, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) > step, F.sequence(F.lit(step), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.slice(starts, 1, most), lambda at: with_title(title, F.array_join(F.slice(w, at + 1, size), " ")))
+
+    return bound(words, windows)
 
 
 def joined_path(prefix: Column, path: Column) -> Column:
@@ -117,13 +140,15 @@ def joined_path(prefix: Column, path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.filter(parts, lambda x: x != ""), "/"))
 
 
-#: Extensions that make a word of prose a path.
-PATH_EXTENSIONS = ["py", "rs", "ts", "tsx", "js", "jsx", "go", "java", "kt", "md", "sql", "json", "yaml", "yml", "toml", "html", "css"]
+#: Extensions that make a word of prose a path, and what parts words besides white space.
+PATH_EXTENSIONS = ["java", "ts", "tsx", "js", "jsx", "html", "scss", "css", "py", "rs", "go", "sql", "yaml", "yml", "xml", "properties", "kt"]
+PATH_BREAKS = "`\"'()[]{},;:<>|*"
 
 
 def prose_paths(text: Column) -> Column:
     """Distinct paths named in prose, in the order of their first mention."""
-    words = F.transform(F.split(text, "[\\s`'\"()\\[\\]{}<>,;:|«»]+"), lambda w: F.regexp_replace(w, r"\.+$", ""))
+    breaks = "(?U)[\\s" + "".join("\\" + c for c in PATH_BREAKS) + "]+"
+    words = F.transform(F.split(text, breaks), lambda w: F.regexp_replace(w, r"\.+$", ""))
     good = "^.*[^/]\\.(?:" + "|".join(PATH_EXTENSIONS) + ")$"
     return F.array_distinct(F.filter(words, lambda w: w.rlike(good)))
 
@@ -133,15 +158,39 @@ def noop_summary(text: Column, tokens: int) -> Column:
     return F.when(F.char_length(t) <= 4 * tokens, t).otherwise(F.concat(F.substring(t, 1, 4 * tokens), F.lit("…")))
 
 
-def cosine(v: Column, q: Column) -> Column:
-    """In double precision."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return dot(v, q) / (F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
+def similarity(q: list[float], metric: str = "cosine"):
+    """A Column -> Column function from vectors to their cosine or inner product with q, a matrix product for each Arrow batch.
+
+    In double precision. A null vector, or one of another width, has no score; a zero vector has cosine 0.
+    """
+    one = np.asarray(q, dtype=np.float64)
+    if metric == "cosine":
+        one = one / (np.linalg.norm(one) or 1.0)
+
+    @F.arrow_udf("double")
+    def score(v: pa.Array) -> pa.Array:
+        fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(v), len(one)), False))
+        out = np.full(len(v), np.nan)
+        x = np.asarray(pc.fill_null(v.filter(pa.array(fits)).flatten(), 0.0), dtype=np.float64).reshape(-1, len(one))
+        dot = x @ one
+        if metric == "cosine":
+            norm = np.linalg.norm(x, axis=1)
+            dot = np.where(norm > 0, dot / np.where(norm > 0, norm, 1.0), 0.0)
+        out[fits] = dot
+        return pa.array(out, mask=~fits)
+
+    return score
 
 
 def inner_product(v: Column, q: Column) -> Column:
     return F.aggregate(F.zip_with(v, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(v: Column, q: Column) -> Column:
+    """Of two columns, in double precision; 0 where either is zero."""
+    norm = F.sqrt(inner_product(v, v) * inner_product(q, q))
+    return F.when(norm > 0, inner_product(v, q) / norm).otherwise(F.lit(0.0))
+
+
 def blend(intro: Column, chunk: Column) -> Column:
     return F.coalesce((intro + chunk) / 2, intro, chunk)

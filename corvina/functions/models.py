@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vector widths by model key.
-DIMENSIONS = {"openai-small": 1536, "openai-large": 3072, "voyage": 1024, "voyage-lite": 512}
+from corvina.functions import columns as C
+
+#: Vector widths by provider and model key, and the model that a service knows a key by.
+LOCAL = {"minilm-l6": 384, "minilm-l12": 384, "bge-small": 384, "bge-base": 768, "ml-minilm": 384, "ml-mpnet": 768, "ml-granite": 384, "ml-granite-lg": 768}
+OPENAI = {"small": 1536, "large": 3072, "ada": 1536}
+VOYAGE = {"code-3": 1024, "3-lite": 512, "3": 1024}
+OPENAI_NAMES = {"small": "text-embedding-3-small", "large": "text-embedding-3-large", "ada": "text-embedding-ada-002"}
+VOYAGE_NAMES = {"code-3": "voyage-code-3", "3-lite": "voyage-3-lite", "3": "voyage-3"}
+DEFAULT_WIDTH, INPUT_TOKENS = 384, {"ml-mpnet": 128}
 PROVIDERS = {"keyword", "hash"}
 
 
+def dimension_for(provider: str, model: str, custom: int | None = None) -> int:
+    """The width of a model's vectors; `custom` is what a configuration says of a model that no registry knows."""
+    known = {"local": LOCAL, "openai": OPENAI, "voyage": VOYAGE}.get(provider, {})
+    return known.get(model, custom or DEFAULT_WIDTH)
+
+
+def service_model(provider: str, key: str) -> str:
+    """The name that a service knows a model key by; an unknown key means its usual model."""
+    names = {"openai": OPENAI_NAMES, "voyage": VOYAGE_NAMES}[provider]
+    return names.get(key, next(iter(names.values())))
+
+
 def embedder(name: str):
     """A Column -> Column function from text to a unit vector."""
     if name == "keyword":
@@ -30,7 +49,7 @@ def keyword_embedding(text: Column, words: tuple[str, ...] = ("auth", "database"
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Counts of hashed words, at norm 1."""
     # A value that several lambdas read is bound as the only element of an array; an expression would be computed for each element.
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    bound = C.bound
     hashed = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
     counted = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(h, lambda c: c == i)).cast("float"))
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))

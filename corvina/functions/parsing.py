@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from corvina.functions.batches import by_bytes
+
 
 @dataclass
 class Symbol:
@@ -150,6 +152,8 @@ def parse(text: str, language: str) -> Parsed:
 
 
 VERBS = "get|post|put|patch|delete|head|options"
+EXPRESS_VERBS = "get|post|put|delete|patch|all"
+_PLAIN_STRING = r"[\"']([^\"']*)[\"']"
 _STRING = r"[\"'`]([^\"'`]*)[\"'`]"
 
 
@@ -157,17 +161,24 @@ def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
+#: Words before a parenthesis that declare no method.
+NO_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "synchronized", "function"}
+
+
 def _next_name(text: str, at: int) -> str:
-    """The name that is declared next: before a parenthesis, no annotation, member or keyword."""
-    for m in re.finditer(r"(?<![@.\w])([A-Za-z_]\w*)\s*\(", text[at:]):
-        if m[1] not in KEYWORDS:
+    """The name that is declared next: before a parenthesis, no annotation, no member, no keyword."""
+    for m in re.compile(r"(\w+)\s*\(").finditer(text, at):
+        if m[1] not in NO_METHODS and text[at : m.start()].rstrip()[-1:] not in ("@", "."):
             return m[1]
     return ""
 
 
 def _owner(text: str, at: int) -> str:
-    found = re.findall(r"\bclass\s+([A-Za-z_]\w*)", text[:at])
-    return found[-1] if found else ""
+    """The type that was declared last before a place."""
+    found = ""
+    for m in re.compile(r"(?:class|interface|enum)\s+(\w+)").finditer(text, 0, at):
+        found = m[1]
+    return found
 
 
 def _join(prefix: str, path: str) -> str:
@@ -196,20 +207,24 @@ def routes(path: str, text: str) -> list[dict]:
     def add(method, where, at, handler, owner=""):
         out.append({"framework": kind, "http_method": method.upper(), "path": where, "handler_symbol": f"{owner}.{handler}" if owner and handler else handler, "handler_method": handler, "line": _line(text, at)})
 
+    def python_handler(at):
+        found = re.compile(r"\bdef\s+(\w+)").search(text, at)
+        return found[1] if found else ""
+
     if kind == "fastapi":
-        for m in re.finditer(rf"@\w+\.({VERBS})\(\s*{_STRING}", text):
-            d = re.compile(r"\bdef\s+(\w+)").search(text, m.end())
-            add(m[1], m[2], m.start(), d[1] if d else "")
+        for m in re.finditer(rf"@(?:app|router)\.({VERBS})\s*\(\s*{_PLAIN_STRING}", text):
+            add(m[1], m[2], m.start(), python_handler(m.end()))
     elif kind == "flask":
-        for m in re.finditer(rf"@\w+\.route\(\s*{_STRING}([^)]*)\)", text):
-            d = re.compile(r"\bdef\s+(\w+)").search(text, m.end())
-            named = re.search(r"methods\s*=\s*[\[(]([^\])]*)", m[2])
-            for verb in re.findall(r"\w+", named[1]) if named else ["GET"]:
-                add(verb, m[1], m.start(), d[1] if d else "")
+        for m in re.finditer(rf"@\w+\.route\s*\(\s*{_PLAIN_STRING}([^)]*)\)", text):
+            listed = re.search(r"methods\s*=\s*\[([^\]]*)\]", m[2])
+            for verb in (re.findall(r"[\"']([^\"']+)[\"']", listed[1]) if listed else []) or ["GET"]:
+                add(verb, m[1], m.start(), python_handler(m.end()))
     elif kind == "express":
-        for m in re.finditer(rf"\b(?:app|router|\w*[rR]outer)\.({VERBS}|all)\(\s*{_STRING}\s*,([^\n]*)", text):
-            names = re.findall(r"(?:^|,)\s*([A-Za-z_][\w.]*)\s*(?=[,)])", m[3])
-            add(m[1], m[2], m.start(), names[-1].split(".")[-1] if names else "")
+        # A handler is the name that follows the path, on whichever line, and nothing else.
+        named = re.compile(r"\s*,\s*([A-Za-z_$][\w.$]*)\s*[),]")
+        for m in re.finditer(rf"\b(?:app|router)\.({EXPRESS_VERBS})\s*\(\s*{_STRING}", text):
+            owner, _, method = (found[1] if (found := named.match(text, m.end())) else "").rpartition(".")
+            add(m[1], m[2], m.start(), method, owner)
     elif kind == "nestjs":
         top = re.search(rf"@Controller\(\s*(?:{_STRING})?", text)
         for m in re.finditer(rf"@({VERBS})\(\s*(?:{_STRING})?\s*\)", text, re.I):
@@ -234,25 +249,32 @@ def routes(path: str, text: str) -> list[dict]:
 
 def parsed_files(files: DataFrame) -> DataFrame:
     """(file, symbols, imports, edges) of (file, language, text)."""
-    import pandas as pd
+    import pyarrow as pa
+
+    symbol = pa.struct([("name", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("parent", pa.string()), ("doc", pa.string())])
+    edge = pa.struct([("source", pa.string()), ("target", pa.string()), ("line", pa.int32())])
 
-    def run(frames):
-        for f in frames:
-            got = [parse(t or "", lang) for t, lang in zip(f["text"], f["language"])]
-            yield pd.DataFrame({"file": f["file"], "symbols": [[vars(s) for s in g.symbols] for g in got], "imports": [g.imports for g in got], "edges": [[{"source": a, "target": b, "line": n} for a, b, n in g.edges] for g in got]})
+    def run(batches):
+        for b in by_bytes(batches, "text"):
+            got = [parse(t or "", lang) for lang, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = [pa.array([[vars(s) for s in g.symbols] for g in got], pa.list_(symbol)), pa.array([g.imports for g in got], pa.list_(pa.string()))]
+            edges = pa.array([[{"source": x, "target": y, "line": n} for x, y, n in g.edges] for g in got], pa.list_(edge))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, edges], ["file", "symbols", "imports", "edges"])
 
     schema = "file string, symbols array<struct<name:string,kind:string,start:int,end:int,parent:string,doc:string>>, imports array<string>, edges array<struct<source:string,target:string,line:int>>"
-    return files.select("file", "language", "text").mapInPandas(run, schema)
+    return files.select("file", "language", "text").mapInArrow(run, schema)
 
 
 def extracted_routes(files: DataFrame) -> DataFrame:
     """Routes of (file, text), a row for each."""
-    import pandas as pd
+    import pyarrow as pa
 
+    kinds = [pa.string()] * 6 + [pa.int32()]
     columns = ["file", "framework", "http_method", "path", "handler_symbol", "handler_method", "line"]
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame([{"file": p} | r for p, t in zip(f["file"], f["text"]) for r in routes(p, t or "")], columns=columns)
+    def run(batches):
+        for b in by_bytes(batches, "text"):
+            rows = [{"file": p} | r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in routes(p or "", t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(columns, kinds)], columns)
 
-    return files.select("file", "text").mapInPandas(run, "file string, framework string, http_method string, path string, handler_symbol string, handler_method string, line int")
+    return files.select("file", "text").mapInArrow(run, "file string, framework string, http_method string, path string, handler_symbol string, handler_method string, line int")

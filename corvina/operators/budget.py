@@ -14,47 +14,78 @@ def label(title: Column, ident: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.nullif(ident, F.lit("")), F.lit("(untitled)"))
 
 
-def fitted(memories: DataFrame, tokens: int) -> DataFrame:
-    """memories (id, rank, content) with outcome: kept within its share, shortened for the first oversize ones, else dropped."""
-    share = F.greatest(F.floor(F.lit(tokens) / F.count("*").over(Window.partitionBy())), F.lit(LEAST_SHARE))
-    rows = memories.withColumn("share", share).withColumn("over", C.token_estimate(F.col("content")) > F.col("share"))
-    place = F.sum(F.col("over").cast("int")).over(Window.orderBy("rank", "id"))
+def fitted(memories: DataFrame, tokens: int, by: str | None = None) -> DataFrame:
+    """Ranked notes (id, rank, content) with outcome: kept within its share, shortened for the first oversize ones, else dropped.
+
+    With `by` each group is a list of its own with the whole budget. A share is counted in bytes; a budget of 0 keeps all.
+    """
+    group = [by] if by else []
+    share = F.greatest(F.floor(F.lit(tokens) / F.count("*").over(Window.partitionBy(*group))), F.lit(LEAST_SHARE))
+    rows = memories.withColumn("share", share).withColumn("over", F.coalesce(F.floor(F.octet_length("content") / 4), F.lit(0)) > F.col("share"))
+    rows = rows.withColumn("over", F.col("over") & F.lit(tokens > 0))
+    place = F.sum(F.col("over").cast("int")).over(Window.partitionBy(*group).orderBy("rank", "id"))
     return rows.withColumn("outcome", F.when(~F.col("over"), "kept").when(place <= SHORTENED, "shortened").otherwise("dropped"))
 
 
-def packed(rows: DataFrame, budget: int, stop: Column | None = None) -> DataFrame:
-    """(id, taken) of short ranked lists (grp, rank, id, bytes): each block is taken if it fits what is left.
+def shortened_note(content: Column, share: Column, summary: Column | None = None) -> Column:
+    """A note cut to its share: its summary clipped to 4 * share characters if there is one, else whole leading lines; marked either way."""
+    cut = shortened(content, share)
+    if summary is None:
+        return cut
+    clipped = F.when(F.octet_length(summary) > 4 * share, F.substring(summary, F.lit(1), (4 * share).cast("int"))).otherwise(summary)
+    return F.coalesce(F.concat(clipped, F.lit("\n… (summarized)")), cut)
+
+
+def packed(rows: DataFrame, budget: int, stop: bool = False, most: int = 1000) -> DataFrame:
+    """(grp, id, rank, taken) of ranked lists (grp, rank, id, bytes): each block is taken if it fits what is left.
 
-    A misfit is skipped; where `stop` holds it also ends the list. The list of one group is a brief, bounded by its limits.
+    With `stop` the first misfit ends its list, and the places follow from running sums in a window, for lists of any
+    length. Without, a misfit is skipped, which is a fold over the list: lists of over `most` blocks raise an error.
     """
-    listed = rows.withColumn("stops", stop if stop is not None else F.lit(False)).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "bytes", "stops"))).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("ended"), F.array().cast("array<boolean>").alias("taken"))
+    if stop:
+        order = Window.partitionBy("grp").orderBy("rank", "id")
+        return rows.select("grp", "id", "rank", (F.sum("bytes").over(order) <= budget).alias("taken"))
+    some = F.slice(F.array_sort(F.collect_list(F.struct("rank", "id", "bytes"))), 1, most)
+    listed = rows.groupBy("grp").agg(F.count("*").alias("n"), some.alias("x"))
+    listed = listed.select("grp", F.when(F.col("n") <= most, F.col("x")).otherwise(F.raise_error(F.lit(f"a list of over {most} blocks"))).alias("x"))
+    # The fold adds up what was taken; the flags come from the sums before and after each block.
+    start = F.array().cast("array<bigint>")
+
+    def step(sums, x):
+        used = F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))
+        return F.concat(sums, F.array(F.when(used + x["bytes"] <= budget, used + x["bytes"]).otherwise(used)))
+
+    done = listed.select("grp", "x", F.aggregate("x", start, step).alias("sums"))
+    taken = F.transform("x", lambda x, k: F.struct(x["id"].alias("id"), x["rank"].alias("rank"), (F.coalesce(F.get("sums", k - 1), F.lit(0)) + x["bytes"] == F.get("sums", k)).alias("taken")))
+    return done.select("grp", F.explode(taken).alias("z")).select("grp", "z.id", "z.rank", "z.taken")
 
-    def step(a, x):
-        fits = ~a["ended"] & (a["used"] + x["bytes"] <= budget)
-        return F.struct((a["used"] + F.when(fits, x["bytes"]).otherwise(0)).cast("long").alias("used"), (a["ended"] | (~fits & x["stops"])).alias("ended"), F.concat(a["taken"], F.array(fits)).alias("taken"))
 
-    done = listed.select("grp", "x", F.aggregate("x", start, step)["taken"].alias("taken"))
-    return done.select("grp", F.explode(F.arrays_zip("x", "taken")).alias("z")).select("grp", F.col("z.x.id").alias("id"), F.col("z.x.rank").alias("rank"), F.col("z.taken").alias("taken"))
+def anchored_sentences(texts: DataFrame, embed, query: str | None = None) -> DataFrame:
+    """(id, content, pos, sentence, score) of texts (id, text): the cosine of each sentence with the query, else with the first sentence."""
+    rows = texts.select("id", F.col("text").alias("content"), C.sentences(F.col("text")).alias("s"))
+    anchor = F.lit(query) if query is not None else F.get("s", F.lit(0))
+    rows = rows.select("id", "content", embed(anchor).alias("a"), F.posexplode_outer("s").alias("pos", "sentence"))
+    return rows.select("id", "content", "pos", "sentence", C.cosine(embed(F.col("sentence")), F.col("a")).alias("score"))
 
 
 def extractive(scored: DataFrame, target_tokens: int) -> DataFrame:
-    """(id, summary) of scored sentences (id, pos, sentence, score).
+    """(id, summary) of scored sentences (id, content, pos, sentence, score).
 
-    The best sentence is always taken; a sentence that does not fit is skipped; order is restored. A text of one
-    sentence, or within the target, stays whole.
+    The best sentence is always taken; a sentence that does not fit is skipped; once the target is reached nothing more
+    is; order is restored. A text of one sentence, or within the target, stays whole but for white space around it.
     """
     item = F.struct((-F.col("score")).alias("s"), F.col("pos").alias("pos"), F.col("sentence").alias("t"), C.token_estimate(F.col("sentence")).cast("long").alias("n"))
-    texts = scored.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:int,t:string>>").alias("kept"))
+    texts = scored.groupBy("id").agg(F.first("content").alias("content"), F.array_sort(F.collect_list(F.when(F.col("sentence").isNotNull(), item))).alias("x"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(a, x):
         take = (F.size(a["kept"]) == 0) | ((a["used"] < target_tokens) & (a["used"] + x["n"] <= target_tokens))
-        return F.when(take, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["kept"], F.array(F.struct(x["pos"].alias("pos"), x["t"].alias("t")))).alias("kept"))).otherwise(a)
+        return F.when(take, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["kept"], F.array(x["pos"])).alias("kept"))).otherwise(a)
 
-    whole = F.array_join(F.transform(F.array_sort(F.transform("x", lambda v: F.struct(v["pos"].alias("pos"), v["t"].alias("t")))), lambda v: v["t"]), " ")
-    picked = F.array_join(F.transform(F.array_sort(F.aggregate("x", start, step)["kept"]), lambda v: v["t"]), " ")
-    return texts.select("id", F.when((F.size("x") <= 1) | (C.token_estimate(whole) <= target_tokens), whole).otherwise(picked).alias("summary"))
+    whole = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
+    in_order = F.array_sort(F.transform("x", lambda v: F.struct(v["pos"].alias("pos"), v["t"].alias("t"))))
+    picked = C.bound(F.aggregate("x", start, step)["kept"], lambda kept: F.array_join(F.transform(F.filter(in_order, lambda v: F.array_contains(kept, v["pos"])), lambda v: v["t"]), " "))
+    return texts.select("id", F.when((F.size("x") <= 1) | (C.token_estimate(F.col("content")) <= target_tokens), whole).otherwise(picked).alias("summary"))
 
 
 def shortened(text: Column, share: Column, marker: str = "… (shortened)") -> Column:

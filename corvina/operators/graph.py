@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
+from corvina.sources.tables import written
 
 
 def callers(edges: DataFrame, symbol: str) -> DataFrame:
@@ -43,12 +42,16 @@ def impact(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     spark = edges.sparkSession
     down = edges.select(F.lit("down").alias("direction"), F.col("source").alias("a"), F.col("target").alias("b"))
     up = edges.select(F.lit("up").alias("direction"), F.col("target").alias("a"), F.col("source").alias("b"))
-    steps = down.unionByName(up).distinct()
+    # Written once: each level and both directions read the steps, which may be costly to make.
+    steps = written(down.unionByName(up).distinct(), "steps")
     frontier = spark.createDataFrame([("down", start), ("up", start)], "direction string, symbol string")
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
         reached = frontier.join(steps, (steps["a"] == frontier["symbol"]) & (steps["direction"] == frontier["direction"])).select(steps["direction"], F.col("b").alias("symbol")).distinct()
-        fresh = _kept(reached.join(seen, ["direction", "symbol"], "left_anti"), f"bfs-{level}")
+        fresh = reached.join(seen, ["direction", "symbol"], "left_anti")
+        if level == depth:
+            return seen.unionByName(fresh.withColumn("depth", F.lit(level))).where("depth > 0")
+        fresh = written(fresh, f"bfs-{level}")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh.withColumn("depth", F.lit(level)))
@@ -56,14 +59,6 @@ def impact(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    from corvina.sources.tables import shared_dir
-
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def assembled_nodes(edges: DataFrame, hide_synthetic: bool = True, hide_external: bool = False) -> DataFrame:
     """(id, label, file, external): nodes of a graph; a node is external when no edge starts at it."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("file").alias("file"), F.lit(1).alias("starts")), F.struct(F.col("target").alias("id"), F.lit(None).cast("string").alias("file"), F.lit(0).alias("starts")))).alias("x")).select("x.*")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
+from corvina.sources.tables import written
 
 RRF_K = 60
 K1, B = 1.2, 0.75
@@ -14,44 +17,168 @@ K1, B = 1.2, 0.75
 def knn(points: DataFrame, query: list[float], k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """The k nearest points of one query vector, with score, ties by id. The scan is a top-k, no sort of all rows."""
     rows = points.where(where) if where is not None else points
-    q = F.array(*(F.lit(float(x)) for x in query))
-    score = C.inner_product(F.col("vector"), q) if metric == "ip" else C.cosine(F.col("vector"), q)
-    return rows.withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
+    return rows.withColumn("score", C.similarity(query, metric)(F.col("vector"))).where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
+
+
+#: Query vectors that one pass carries to every task.
+MOST_QUERIES = 4096
+
+
+def query_blocks(queries: DataFrame, most: int | None = None):
+    """The queries (query_id, query) in blocks of (ids, unit vectors); the driver holds one block at a time."""
+    import numpy as np
+
+    most = most or MOST_QUERIES
+    held = []
+    for r in queries.select("query_id", "query").where("query IS NOT NULL").toLocalIterator(prefetchPartitions=True):
+        held.append((r[0], np.asarray(r[1], dtype=np.float64)))
+        if len(held) == most:
+            yield _block(held)
+            held = []
+    if held:
+        yield _block(held)
+
+
+def _block(held: list) -> tuple:
+    import numpy as np
+
+    q = np.stack([v for _, v in held])
+    return [i for i, _ in held], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+
+def _best(score, k: int):
+    """Rows and columns of the k best of each column, ties at the edge included, so that the final rank is by id whatever the batches were."""
+    import numpy as np
+
+    n = min(k, len(score))
+    return np.nonzero(score >= np.partition(score, len(score) - n, axis=0)[len(score) - n])
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of each query (query_id, query). Scores of one block of queries are one matrix product."""
+    """The k nearest points of each query (query_id, query), with score and rank, ties by id.
+
+    Queries are taken in blocks of MOST_QUERIES, one pass over the points for each; scores of a block are one matrix
+    product for each batch, of which only the k best of every query leave a task.
+    """
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError("too many queries for one pass; split them into blocks")
+    spark = points.sparkSession
     kind, qkind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    ids, q = [r["query_id"] for r in rows], np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-    shared = points.sparkSession.sparkContext.broadcast((ids, q))
+    slim = points.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    found = []
+
+    def one_pass(shared):
+        def run(batches):
+            ids, q = shared.value
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 4096):
+                    b = whole.slice(lo, 4096)
+                    x = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+                    s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
+                    row, col = _best(s, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in col.tolist()]), b.column(0).take(pa.array(row)), pa.array(s[row, col])], ["query_id", "id", "score"])
+
+        return slim.mapInArrow(run, f"query_id {qkind}, id {kind}, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+    for block in query_blocks(queries):
+        found.append(one_pass(spark.sparkContext.broadcast(block)))
+        if len(found) > 1:  # a later block: what an earlier one found is kept as a table, so that plans stay small
+            found[-2] = written(found[-2], "knn")
+    if not found:
+        return spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double, rank int")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@dataclass
+class VectorIndex:
+    """An approximate index: unit vectors filed by the nearest of a few centroids, of which a search reads the cells nearest to its query."""
+
+    cells: DataFrame  # (cell, id, vector), partitioned by cell
+    centroids: object  # numpy array
+    metric: str = "cosine"
+
+
+def build_index(points: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 6, metric: str = "cosine") -> VectorIndex:
+    """File all points (id, vector) by centroids that are fitted on at most `sample` of them.
+
+    A search that asks for another metric than the index was built for is refused. Without `cells` their number is the
+    root of the number of points, 1024 at most.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    valid = points.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    n = valid.count()
+    drawn = valid.orderBy(F.xxhash64("id")).limit(sample).collect()
+    x = np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), -1)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else np.zeros((0, 0))
+    many = max(1, min(cells or int(n**0.5), 1024, max(len(x), 1)))
+    centroids = x[np.random.default_rng(7).choice(len(x), many, replace=False)] if len(x) else np.zeros((1, 0))
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ centroids.T).argmax(axis=1)
+        total = np.zeros_like(centroids)
+        np.add.at(total, near, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centroids = np.where(norm > 0, total / np.maximum(norm, 1e-300), centroids)
+    shared = points.sparkSession.sparkContext.broadcast(centroids)
+    kind = valid.schema["id"].dataType.simpleString()
 
     def run(batches):
-        ids, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
-            s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
-            n = min(k, len(x))
-            # Ties at the edge all stay, so the final rank is by id whatever the batches were.
-            edge = np.partition(s, len(x) - n, axis=0)[len(x) - n]
-            row, col = np.nonzero(s >= edge)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in col.tolist()]), b.column(0).take(pa.array(row)), pa.array(s[row, col])], ["query_id", "id", "score"])
-
-    near = points.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                b = whole.slice(lo, 4096)
+                v = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array((v @ shared.value.T).argmax(axis=1).astype(np.int32)), b.column(0), b.column(1)], ["cell", "id", "vector"])
 
+    filed = valid.mapInArrow(run, f"cell int, id {kind}, vector array<double>")
+    return VectorIndex(written(filed.repartitionByRange("cell", "id").sortWithinPartitions("cell"), "index"), centroids, metric)
 
-#: Query vectors that one pass carries to every task.
-MOST_QUERIES = 4096
+
+def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score, rank): the k nearest among the points of the `probes` cells nearest to each query, by exact cosine."""
+    import numpy as np
+    import pyarrow as pa
+
+    if metric != index.metric:
+        raise ValueError(f"the index orders by {index.metric}, not by {metric}")
+    spark, cells = index.cells.sparkSession, index.cells
+    kind, qkind = cells.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    out = spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double, rank int")
+    for ids, q in query_blocks(queries):
+        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+        shared = spark.sparkContext.broadcast((ids, q, near))
+
+        def run(batches, shared=shared):
+            ids, q, near = shared.value
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 4096):
+                    b = whole.slice(lo, 4096)
+                    cell = b.column(0).to_numpy()
+                    x = np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    for c in np.unique(cell):
+                        asks, rows = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
+                        if len(asks):
+                            s = x[rows] @ q[asks].T
+                            row, col = _best(s, k)
+                            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in asks[col].tolist()]), b.column(1).take(pa.array(rows[row])), pa.array(s[row, col])], ["query_id", "id", "score"])
+
+        wanted = cells.where(F.col("cell").isin(*map(int, np.unique(near))))
+        hits = wanted.mapInArrow(run, f"query_id {qkind}, id {kind}, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+        out = out.unionByName(written(hits, "probed"))
+    return out
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, hits, wanted): how many of the exact neighbours of each query were found."""
+    mine = found.select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.select("query_id", "id").join(mine, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
 
 
 def tokens(text: Column) -> Column:
@@ -59,23 +186,69 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
 
 
+def query_terms(query: str) -> list[str]:
+    return sorted(set("".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(id, term, tf, length) of a table (id, text)."""
     words = docs.select("id", tokens(F.col("text")).alias("w"))
     return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
+#: Files of terms that a keyword index is parted into; a query reads those of its terms.
+TERM_PARTS = 64
+
+
+@dataclass
+class KeywordIndex:
+    """Postings by term and the figures of the corpus, written once; `bm25_indexed` reads only the parts of its terms."""
+
+    postings: DataFrame  # (part, term, id, tf, length)
+    documents: int
+    average: float
+
+
+def build_keyword_index(docs: DataFrame) -> KeywordIndex:
+    """Index a table (id, text). An index stands for one snapshot: after rows went or came it is built anew."""
+    rows = postings(docs).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
+    kept = written(rows.repartition(TERM_PARTS, "part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term"), "postings", "part")
+    # Documents without a word have no posting but count.
+    n = docs.count()
+    total = kept.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    return KeywordIndex(kept, n, total / n if n else 0.0)
+
+
+def bm25_indexed(index: KeywordIndex, query: str, k: int | None = None) -> DataFrame:
+    """(id, score), as bm25 gives, from the postings of the query's terms alone."""
+    terms = query_terms(query)
+    spark = index.postings.sparkSession
+    part = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int").alias("p"))
+    parts = [r["p"] for r in part.distinct().collect()]
+    rows = index.postings.where(F.col("part").isin(*parts) & F.col("term").isin(*terms)) if terms else index.postings.limit(0)
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    n, tf = F.lit(float(index.documents)), F.col("tf")
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(index.average or 1.0)))
+    # One row for each term of the query: bounded by the query.
+    found = rows.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(score).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(k) if k else found
+
+
 def bm25(docs: DataFrame, query: str, k: int | None = None) -> DataFrame:
-    """(id, score). Postings are kept for the query's terms only; lengths and counts are over the whole corpus."""
-    terms = sorted({t for t in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()})
-    words = docs.select("id", tokens(F.col("text")).alias("w"))
-    # Counting inside the array avoids a shuffle of all words.
+    """(id, score) of a table (id, text), in one pass over the texts: lengths and counts go to a small table that the scores read."""
+    terms = query_terms(query)
+    low = F.lower("text")
+    hits = F.regexp_extract_all(low, F.lit("(?<![a-z])(?:" + "|".join(terms or ["0"]) + ")(?![a-z])"), F.lit(0))
     times = lambda t: F.size(F.filter("w", lambda x: x == t))
-    hits = [times(t).alias(f"t{i}") for i, t in enumerate(terms)]
-    rows = words.select("id", F.size("w").alias("length"), *hits)
+    rows = docs.select("id", F.coalesce(F.regexp_count(low, F.lit("[a-z]+")), F.lit(0)).alias("length"), F.coalesce(hits, F.array().cast("array<string>")).alias("w"))
+    rows = written(rows.select("id", "length", *(times(t).alias(f"t{i}") for i, t in enumerate(terms))), "counts")
     # Lengths of all documents, document frequencies of the terms: one row.
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    joined = rows.crossJoin(F.broadcast(stats)) if terms else rows.limit(0)
+    some = F.lit(False)
+    for i in range(len(terms)):
+        some = some | (F.col(f"t{i}") > 0)
+    joined = rows.where(some).crossJoin(F.broadcast(stats)) if terms else rows.crossJoin(stats).limit(0)
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"t{i}"), F.col(f"d{i}")
@@ -89,15 +262,16 @@ def ranked(hits: DataFrame, position: int) -> DataFrame:
     return hits.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), F.lit(position).alias("list"))
 
 
-def rrf(lists: list[DataFrame], limit: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion of top-k lists (id, score): (id, score), ties by id. The lists are short by their limits."""
+def rrf(lists: list[DataFrame], limit: int | None = None, key: str = "id") -> DataFrame:
+    """Reciprocal rank fusion of top-k lists (key, score): (key, score, list), ties by key. The lists are short by their limits."""
+    lists = [hits.withColumnRenamed(key, "id") for hits in lists] if key != "id" else lists
     every = None
     for i, hits in enumerate(lists):
         one = ranked(hits, i)
         every = one if every is None else every.unionByName(one)
     fused = every.groupBy("id").agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("score"), F.min("list").alias("list"))
     out = fused.orderBy(F.desc("score"), "id")
-    return out.limit(limit) if limit else out
+    return (out.limit(limit) if limit else out).withColumnRenamed("id", key)
 
 
 def pool_size(limit: int, reranker_pool: int | None = None) -> int:
@@ -128,15 +302,3 @@ def recall(points: DataFrame, memories: DataFrame, query: list[float], limit: in
     rows = best.withColumn("score", C.blend(F.col("intro"), F.col("body"))).join(memories, "id").where("deleted_at IS NULL")
     rows = rows.where(F.col("project") == project) if project else rows
     return rows.orderBy(F.desc("score"), "id").limit(limit)
-
-
-def lsh_candidates(points: DataFrame, planes: int = 12, tables: int = 8, seed: int = 7) -> DataFrame:
-    """(id, bucket): random-hyperplane buckets, an approximate index over unit vectors."""
-    import numpy as np
-
-    dim = len(points.select("vector").where("vector IS NOT NULL").first()["vector"])
-    h = np.random.default_rng(seed).standard_normal((tables, planes, dim))
-    bits = [
-        F.concat_ws("", F.lit(f"{t}:"), *(F.when(C.inner_product(F.col("vector"), F.array(*(F.lit(float(x)) for x in h[t, p]))) >= 0, "1").otherwise("0") for p in range(planes))) for t in range(tables)
-    ]
-    return points.select("id", F.explode(F.array(*bits)).alias("bucket"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
 from corvina.functions import models
-from corvina.operators import budget, graph, memory, predicates, retrieval, state
+from corvina.operators import budget, compose, graph, memory, predicates, retrieval, state
 from corvina.plans import code_queries
 from corvina.plans.projections import frame, oracle
 from corvina.sources import files as S
@@ -75,21 +75,38 @@ add("T9_memory_windows", lambda s, d: docs(s, d).select("doc_id", F.posexplode(C
 add("T10_token_estimate", lambda s, d: docs(s, d).select("doc_id", C.token_estimate(F.col("text")).alias("n")), "SELECT doc_id, len(text) // 4 AS n FROM documents")
 add("T12_sentences", lambda s, d: docs(s, d).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("sentence")).alias("chars")),
     r"""SELECT doc_id, count(*) AS n, sum(len(s))::BIGINT AS chars FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(10), 'g'), chr(10))), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM documents) WHERE s <> '' GROUP BY 1""")
-add("T13_prose_paths", lambda s, d: frame(s, d, "memories").select("id", F.array_join(C.prose_paths(F.concat("files", F.lit(" see `a/b.rs`. and x.toml, /.py"))), "|").alias("paths")),
-    "SELECT id, array_to_string(list_filter([split_part(files, ', ', 1), CASE WHEN split_part(files, ', ', 1) <> 'src1/f1.py' THEN 'src1/f1.py' END, 'a/b.rs', 'x.toml'], lambda x: x IS NOT NULL), '|') AS paths FROM memories", "memories")
+PROSE = " see `a/b.rs`. and x.toml, /.py *c/d.scss* «e.xml» f.properties... g.md (h.kt) i.JS src/.ts j.yml:12 a/b.rs"
+add("T13_prose_paths", lambda s, d: frame(s, d, "memories").select("id", F.array_join(C.prose_paths(F.concat("files", F.lit(PROSE), "content")), "|").alias("paths")),
+    f"""WITH m AS (SELECT id, files || '{PROSE}' || content AS t FROM memories),
+    w AS (SELECT id, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM (SELECT id, list_transform(string_split_regex(t, '[`"''()\\[\\]{{}},;:<>|*\\s]+'), lambda y: rtrim(y, '.')) AS l FROM m)),
+    p AS (SELECT id, x, min(i) AS i FROM w WHERE contains(x, '.') AND regexp_extract(x, '[^.]*$') IN ('java', 'ts', 'tsx', 'js', 'jsx', 'html', 'scss', 'css', 'py', 'rs', 'go', 'sql', 'yaml', 'yml', 'xml', 'properties', 'kt')
+      AND length(regexp_replace(x, '\\.[^.]*$', '')) > 0 AND NOT suffix(regexp_replace(x, '\\.[^.]*$', ''), '/') GROUP BY id, x)
+    SELECT m.id, coalesce(string_agg(x, '|' ORDER BY i), '') AS paths FROM m LEFT JOIN p ON m.id = p.id GROUP BY m.id""".replace("\\\\", "\\"), "memories")
 add("T11_F9_labels", lambda s, d: frame(s, d, "points").select("id", C.short_label(F.col("symbol")).alias("label"), C.basename(F.col("file")).alias("base"), F.concat_ws(" > ", F.concat(F.lit("# "), C.basename(F.col("file"))), C.short_label(F.col("symbol"))).alias("header")),
     "SELECT id, CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS label, split_part(file, '/', 2) AS base, '# ' || split_part(file, '/', 2) || ' > ' || CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS header FROM points", "points")
 add("F7_mentions", lambda s, d: docs(s, d).select("doc_id", *(C.mentions(F.lower("text"), F.lit(w)).alias(w) for w in ("the", "that", "la"))),
     "SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])') AS {w}" for w in ("the", "that", "la")) + " FROM documents")
-add("F10_synthetic", lambda s, d: frame(s, d, "points").select("id", C.synthetic(F.when(F.col("symbol") == "", "a::<module>").otherwise(F.col("symbol"))).alias("synthetic")), "SELECT id, symbol = '' AS synthetic FROM points", "points")
-add("S6_S7_languages", lambda s, d: frame(s, d, "points").select("id", C.language_of(F.col("file"), C.PARSED).alias("parsed"), C.language_of(F.regexp_replace("file", "py$", "md"), C.RAW).alias("raw")), "SELECT id, 'python' AS parsed, 'markdown' AS raw FROM points", "points")
+add("F10_synthetic", lambda s, d: frame(s, d, "points").select("id", "symbol", F.explode(F.array(F.lit(""), F.lit("a::<module>"), F.lit("src/<anonymous>"), F.lit("<unknown>"), F.lit("<unknown>x"), F.lit("<module>::b"))).alias("more")).select("id", "more", C.synthetic(F.concat("symbol", "more")).alias("synthetic")),
+    """SELECT id, more, CASE WHEN contains(x, '::') THEN regexp_extract(x, '::((?:[^:]|:[^:])*)$', 1) WHEN contains(x, '/') THEN regexp_extract(x, '[^/]*$') ELSE x END IN ('<unknown>', '<module>', '<anonymous>') AS synthetic
+    FROM (SELECT id, more, symbol || more AS x FROM points, (SELECT unnest(['', 'a::<module>', 'src/<anonymous>', '<unknown>', '<unknown>x', '<module>::b']) AS more))""", "points")
+NAMES = ["py", "PY", "mjs", "tsx", "d.ts", "java", "rs", "go", "md", "kts", "scss", "htm", "yml", "proto", "txt", "", "gql", "pyi", "cts"]
+add("S6_S7_languages", lambda s, d: docs(s, d).select("doc_id", F.concat(F.lit("src.d/f."), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int"))).alias("file")).select("doc_id", C.language_of(F.col("file"), C.PARSED).alias("parsed"), C.language_of(F.col("file"), C.RAW).alias("raw")),
+    f"""SELECT doc_id, CASE WHEN e IN ('py', 'pyi') THEN 'python' WHEN e = 'mjs' THEN 'javascript' WHEN e = 'tsx' THEN 'tsx' WHEN e IN ('ts', 'cts') THEN 'typescript' WHEN e = 'java' THEN 'java' WHEN e = 'rs' THEN 'rust' WHEN e = 'go' THEN 'go' END AS parsed,
+    CASE e WHEN 'md' THEN 'markdown' WHEN 'kts' THEN 'kotlin' WHEN 'scss' THEN 'scss' WHEN 'htm' THEN 'html' WHEN 'yml' THEN 'yaml' WHEN 'proto' THEN 'protobuf' WHEN 'gql' THEN 'graphql' END AS raw
+    FROM (SELECT doc_id, regexp_extract(lower(list_extract({NAMES}, (doc_id % {len(NAMES)} + 1)::INT)), '[^.]*$') AS e FROM documents)""")
 add("S8_excluded", lambda s, d: frame(s, d, "points").where(~S.excluded(F.col("file"), ["src1*/", "*.py", "!src2/*.py", "#x"])).groupBy("repo").agg(F.count("*").alias("n")), "SELECT repo, count(*) AS n FROM points WHERE repo = 'src2' GROUP BY 1", "points")
-add("S9_S10_indexable", lambda s, d: docs(s, d).select("doc_id", C.own_artifact(F.concat(F.when(F.col("lang") == "en", ".git").otherwise("a"), F.lit("/x"))).alias("own"), C.generated(F.lit("a/x.py"), F.col("text")).alias("generated")),
-    "SELECT doc_id, lang = 'en' AS own, len(list_filter(string_split(text, chr(10)), lambda x: strlen(x) > 1000)) > 0 AS generated FROM documents")
+PATHS = ["a/x.py", ".git/x", "a/.git/x", ".fastembed_cache/m", "node_modules/x.js", "a/vendor/b.go", "third_party/x.c", "a/dist/x.js", "a/bower_components/y/x.js", "build/x.java", "target/x.rs", "a/x.min.js", "x.bundle.css", "package-lock.json", "x-lock.json.py", "x.min.d/y.py", "a/dist"]
+add("S9_S10_indexable", lambda s, d: docs(s, d).select("doc_id", "text", F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % len(PATHS) + 1).cast("int")).alias("p")).select("doc_id", C.own_artifact(F.col("p")).alias("own"), C.generated(F.col("p"), F.col("text")).alias("generated")),
+    f"""SELECT doc_id, split_part(p, '/', 1) IN ('.corvina', '.fastembed_cache', '.git') AS own, list_has_any(string_split(p, '/'), ['node_modules', 'vendor', 'third_party', 'dist', 'bower_components']) OR contains(n, '.min.') OR contains(n, '.bundle.') OR suffix(n, '-lock.json')
+    OR len(list_filter(string_split(text, chr(10)), lambda x: strlen(rtrim(x, chr(13))) > 1000)) > 0 AS generated FROM (SELECT doc_id, text, p, regexp_extract(p, '[^/]*$') AS n FROM (SELECT *, list_extract({PATHS}, (doc_id % {len(PATHS)} + 1)::INT) AS p FROM documents))""")
 add("T23_joined_path", lambda s, d: frame(s, d, "routes").select("line", C.joined_path(F.lit("/api/"), F.col("path")).alias("path")), "SELECT line, '/api' || CASE WHEN trim(path, '/') = '' THEN '' ELSE '/' || trim(path, '/') END AS path FROM routes", "routes")
 add("T28_noop_summary", lambda s, d: docs(s, d).select("doc_id", C.noop_summary(F.col("text"), 50).alias("summary")), r"SELECT doc_id, CASE WHEN len(t) <= 200 THEN t ELSE left(t, 200) || '…' END AS summary FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)")
-add("T25_keyword_embedding", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.transform(models.keyword_embedding(F.col("text"), ("the", "la", "der")), lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("v")))
-add("X8_decoded_vector", lambda s, d: frame(s, d, "vectors").select("id", F.size(models.decoded_vector(F.col("vector"))).alias("dim")), "SELECT id, len(vector)::INT AS dim FROM vectors", "vectors")
+add("T25_keyword_embedding", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.transform(models.keyword_embedding(F.col("text"), ("the", "la", "der")), lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string")), ",").alias("v")),
+    """SELECT doc_id, array_to_string(list_transform(h, lambda x: CASE WHEN list_sum(h) > 0 THEN round(x / sqrt(list_sum(h)) * 10000)::INT ELSE 0 END), ',') AS v FROM (SELECT doc_id, [contains(lower(text), 'the')::INT, contains(lower(text), 'la')::INT, contains(lower(text), 'der')::INT] AS h FROM documents)""")
+add("X8_decoded_vector", lambda s, d: frame(s, d, "vectors").select("id", F.posexplode(models.decoded_vector(F.transform("vector", lambda x, i: F.when((i + F.col("id")) % 7 != 0, x)))).alias("pos", "x")).select("id", "pos", F.round(F.col("x").cast("double"), 6).alias("x")),
+    "SELECT id, (i - 1)::INT AS pos, round(CASE WHEN (i - 1 + id) % 7 <> 0 THEN vector[i]::DOUBLE ELSE 0 END, 6) AS x FROM (SELECT id, vector, unnest(generate_series(1, len(vector))) AS i FROM vectors)", "vectors")
+add("X7_response_vectors", lambda s, d: docs(s, d).select("doc_id", models.response_vectors(F.when(F.col("doc_id") % 2 == 0, F.format_string('{"data": [{"index": 1, "embedding": [%d, 0.5]}, {"index": 0, "embedding": [1.5, 2]}], "model": "m"}', "doc_id")).otherwise(F.format_string('{"vectors": [[%d], [3]]}', "doc_id"))).alias("v")).select("doc_id", F.size("v").alias("n"), F.flatten("v").alias("x")).select("doc_id", "n", F.array_join(F.transform("x", lambda x: F.round(x.cast("double") * 10).cast("long").cast("string")), ",").alias("x")),
+    "SELECT doc_id, 2 AS n, CASE WHEN doc_id % 2 = 0 THEN '15,20,' || doc_id * 10 || ',5' ELSE doc_id * 10 || ',30' END AS x FROM documents")
 
 # --- sources and sinks
 add("S4_name_status", lambda s, d: state.name_status(frame(s, d, "points").select(F.concat(F.element_at(F.array(*map(F.lit, "AMDTX")), (F.length("text") % 5 + 1).cast("int")), F.lit("\t"), "file").alias("value"))).groupBy("status").agg(F.count("*").alias("n")),
@@ -98,8 +115,23 @@ add("S11_scroll", lambda s, d: frame(s, d, "points").where("repo = 'src3' AND br
 add("S12_vector_by_id", lambda s, d: frame(s, d, "vectors").where("id = 7").select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("x")), "SELECT id, round(vector[1]::DOUBLE, 6) AS x FROM vectors WHERE id = 7", "vectors")
 add("S13_upsert", lambda s, d: T.upserted(frame(s, d, "vectors").select("id", "vector", "label"), frame(s, d, "vectors").where("label = 3").select((F.col("id") + 250).alias("id"), "vector", F.lit(99).alias("label")), ["id"], 64).select("id", "label"),
     "SELECT id, label FROM vectors WHERE id NOT IN (SELECT id + 250 FROM vectors WHERE label = 3) UNION ALL SELECT id + 250, 99 FROM vectors WHERE label = 3", "vectors")
-add("S14_S15_transfer", lambda s, d: T.import_lines(T.export_lines(frame(s, d, "memories").select("id", "project", "content"), "@global"), "id string, project string, content string").select("id", "project", "content", F.col("corrupt").isNull().alias("good")),
+add("S14_transfer", lambda s, d: T.import_lines(T.export_lines(frame(s, d, "memories").select("id", "project", "content"), "@global"), "id string, project string, content string").select("id", "project", "content", F.col("corrupt").isNull().alias("good")),
     "SELECT id, project, content, true AS good FROM memories WHERE project = '@global'", "memories")
+
+
+def transferred(s, d):
+    """Files of five JSON lines, of which some do not parse and some are blank."""
+    number = F.col("vec_id").cast("string")
+    line = F.when(F.col("vec_id") % 11 == 3, "{broken").when(F.col("vec_id") % 13 == 0, "").otherwise(F.concat(F.lit('{"id": "m'), number, F.lit('", "project": "p'), (F.col("vec_id") % 3).cast("string"), F.lit('"}')))
+    rows = T.table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("file"), F.struct("vec_id", line.alias("line")).alias("x"))
+    texts = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+    done = T.grouped_imports(texts, "id string, project string")
+    return done.select("file", "destination", "notes", F.array_join(F.transform("errors", lambda e: F.concat(e["line"].cast("string"), F.lit(":"), e["value"])), "|").alias("errors"))
+
+
+add("S15_grouped_import", transferred,
+    """SELECT file, destination, count(*) FILTER (WHERE destination IS NOT NULL) AS notes, coalesce(string_agg(line || ':{broken', '|' ORDER BY line) FILTER (WHERE destination IS NULL), '') AS errors FROM
+    (SELECT vec_id // 5 AS file, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS line, CASE WHEN vec_id % 11 <> 3 THEN 'p' || vec_id % 3 END AS destination, vec_id % 13 = 0 AND vec_id % 11 <> 3 AS blank FROM embeddings) WHERE NOT blank GROUP BY 1, 2""")
 add("S17_read_lines", lambda s, d: T.read_lines(docs(s, d).select(F.col("doc_id").alias("file"), "text"), 2, 3), "SELECT doc_id AS file, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS text FROM documents")
 add("S17_capped_file", lambda s, d: T.capped_lines(docs(s, d).select(F.col("doc_id").alias("file"), "text"), 200),
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents),
@@ -152,12 +184,11 @@ add("L10_merged_recent", lambda s, d: memory.merged_recent(frame(s, d, "memories
     f"SELECT id FROM memories WHERE {LIVE} AND (project = 'proj1' OR project = '@global' OR starts_with(project, '@group:')) ORDER BY updated_at DESC, id LIMIT 20", "memories")
 
 # --- joins
+noted = lambda s, d: frame(s, d, "memories").withColumn("content", F.concat("content", F.lit(" (Card1.charge1, Card2.charge2x) `Card3.charge3`; «Card4.charge4» éCard5.charge5")))
 add("J1_memories_by_id", lambda s, d: memory.by_ids(frame(s, d, "memories").select("id"), frame(s, d, "memories").where("memory_type = 'user'"), frame(s, d, "memories")).select("id", "memory_type"), f"SELECT id, memory_type FROM memories WHERE {LIVE}", "memories")
-J3 = f"""SELECT DISTINCT m.id AS memory_id, p.symbol, m.file FROM (SELECT DISTINCT id, content, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}) m
- JOIN (SELECT DISTINCT file, symbol, split_part(symbol, '::', 2) AS label FROM points WHERE NOT is_deletion AND symbol <> '') p ON m.file = p.file WHERE regexp_matches(m.content || ' Card1.charge1, ' || p.label, '(^|[^A-Za-z0-9_])' || replace(p.label, '.', '\\.') || '($|[^A-Za-z0-9_])')"""
-add("J3_M7_mentioned_symbols", lambda s, d: memory.mentioned_symbols(frame(s, d, "memories").withColumn("content", F.concat("content", F.lit(" Card1.charge1, Card2.charge2x"))), frame(s, d, "points")).select("memory_id", "symbol", "file"),
-    f"""SELECT DISTINCT m.id AS memory_id, p.symbol, m.file FROM (SELECT DISTINCT id, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}) m
-    JOIN (SELECT DISTINCT file, symbol FROM points WHERE NOT is_deletion AND suffix(symbol, '::Card1.charge1')) p ON m.file = p.file""", "memories", "points")
+J3 = f"""SELECT m.id AS memory_id, p.symbol, m.file, min(p.line) AS line FROM (SELECT DISTINCT id, content || ' (Card1.charge1, Card2.charge2x) `Card3.charge3`; «Card4.charge4» éCard5.charge5' AS content, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}) m
+ JOIN (SELECT file, symbol, split_part(symbol, '::', 2) AS label, start_line AS line FROM points WHERE NOT is_deletion AND symbol <> '') p ON m.file = p.file WHERE regexp_matches(m.content, '(^|[^A-Za-z0-9_])' || replace(p.label, '.', '[.]') || '($|[^A-Za-z0-9_])') GROUP BY 1, 2, 3"""
+add("J3_M7_mentioned_symbols", lambda s, d: memory.mentioned_symbols(noted(s, d), frame(s, d, "points")).select("memory_id", "symbol", "file", "line"), J3, "memories", "points")
 add("J4_resolved_files", lambda s, d: memory.resolved_files(frame(s, d, "points").select(F.col("file").alias("path")).unionByName(frame(s, d, "points").select(C.basename(F.col("file")).alias("path"))), frame(s, d, "points").select("file")),
     """SELECT path, min(file) AS file FROM (SELECT file AS path, file FROM points UNION SELECT split_part(file, '/', 2) AS path, any_value(file) FROM (SELECT DISTINCT file FROM points) GROUP BY 1 HAVING count(*) = 1) GROUP BY 1""", "points")
 add("J5_M5_purge", lambda s, d: memory.without_project(frame(s, d, "memories").select(F.concat("id", F.lit("_c3")).alias("id")), frame(s, d, "memories"), "proj2"), "SELECT id || '_c3' AS id FROM memories WHERE project <> 'proj2'", "memories")
@@ -182,9 +213,22 @@ add("J12_M11_import", lambda s, d: memory.import_outcomes(hashes(s, d).where("la
 COS = "list_cosine_similarity(vector::DOUBLE[], (SELECT vector::DOUBLE[] FROM vectors ORDER BY id LIMIT 1))"
 add("V1_L1_cosine_knn", lambda s, d: retrieval.knn(frame(s, d, "vectors"), first_vector(s, d), 10, where=F.col("label").isin(1, 2, 3, 4, 5)).selectExpr("id", r6("score")), f"SELECT id, round({COS}, 6) AS score FROM vectors WHERE label IN (1, 2, 3, 4, 5) ORDER BY {COS} DESC, id LIMIT 10", "vectors")
 add("V2_inner_product_knn", lambda s, d: retrieval.knn(frame(s, d, "vectors"), first_vector(s, d), 10, metric="ip").selectExpr("id", r6("score")), f"SELECT id, round({COS.replace('cosine_similarity', 'inner_product')}, 6) AS score FROM vectors ORDER BY {COS.replace('cosine_similarity', 'inner_product')} DESC, id LIMIT 10", "vectors")
-add("J13_knn_join", lambda s, d: retrieval.knn_join(frame(s, d, "vectors"), frame(s, d, "vectors").where("label = 3").orderBy("id").limit(20).select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank")),
+every_20th = lambda s, d: frame(s, d, "vectors").where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+add("J13_knn_join", lambda s, d: retrieval.knn_join(frame(s, d, "vectors"), every_20th(s, d), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank")),
     """SELECT query_id, id, rank FROM (SELECT q.id AS query_id, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(v.vector::DOUBLE[], q.vector::DOUBLE[]) DESC, v.id) AS rank
-    FROM vectors v, (SELECT * FROM vectors WHERE label = 3 ORDER BY id LIMIT 20) q) WHERE rank <= 5""", "vectors")
+    FROM vectors v, (SELECT * FROM vectors WHERE id % 20 = 0) q) WHERE rank <= 5""", "vectors")
+
+
+def index_recall(s, d):
+    """Queries of every 20th vector against the index, and whether nine tenths of the exact neighbours are found in all."""
+    v = frame(s, d, "vectors")
+    found = retrieval.search_index(retrieval.build_index(v), every_20th(s, d), 5, INDEX_PROBES)
+    told = retrieval.recall_of(found, retrieval.knn_join(v, every_20th(s, d), 5))
+    return told.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
+INDEX_PROBES = 16
+add("V2b_index_recall", index_recall, "SELECT count(*) AS queries, 5 * count(*) AS wanted, true AS enough FROM vectors WHERE id % 20 = 0", "vectors")
 TERMS = sorted(set(QUESTION.split()))
 BM = f"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
  c AS (SELECT id, len(w) AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(TERMS))} FROM w),
@@ -200,8 +244,19 @@ HYBRID = HYBRID.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELE
 add("V4_V5_hybrid_search", lambda s, d: flagship(s, d).select("id", F.round("score", 6).alias("score")), f"WITH {HYBRID} SELECT id, round(score, 6) AS score FROM fused ORDER BY score DESC, id LIMIT 10")
 add("V6_T27_rerank", lambda s, d: models.reranked(retrieval.bm25(docs(s, d).select(F.col("doc_id").alias("id"), "text"), QUESTION, 20).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"), QUESTION, 10).select("id", "score"),
     f"WITH {BM} SELECT id, (21 - row_number() OVER (ORDER BY score DESC, id))::DOUBLE AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, id LIMIT 10")
-add("V7_keyword_search", lambda s, d: retrieval.search(docs(s, d).select(F.col("doc_id").alias("id"), "text", "lang"), "keyword", QUESTION, None, 10, F.col("lang") == "en").select("id", F.round("score", 6).alias("score")),
-    f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 AND id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY bm.score DESC, id LIMIT 10")
+tool_points = lambda s, d: vector_points(s, d).select("id", "text", F.col("lang").alias("language"), "vector", (F.char_length("text") < 200).alias("is_deletion"))
+HYBRID_SOURCES = "vectors AS (SELECT vec_id AS id, embedding AS vector FROM embeddings), docs AS (SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
+ALLOWED = "SELECT doc_id FROM docs WHERE length(text) >= 200 AND lang = 'en'"
+add("V3b_V7_tool_keyword", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, None, "keyword", 10, "en", rerank="lexical").select("id", F.round("score", 6).alias("score"), "score_kind"),
+    f"WITH {HYBRID_SOURCES}, {BM.replace('FROM documents', 'FROM docs')} SELECT id, round(score, 6) AS score, 'bm25' AS score_kind FROM bm WHERE score > 0 AND id IN ({ALLOWED}) ORDER BY bm.score DESC, id LIMIT 10")
+add("V7_tool_hybrid", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, first_vector(s, d), "hybrid", 10, "en").select("id", F.round("score", 6).alias("score"), "score_kind"),
+    f"""WITH {HYBRID_SOURCES}, {BM.replace('FROM documents', 'FROM docs')}, near AS (SELECT id, row_number() OVER (ORDER BY {COS} DESC, id) AS r FROM vectors WHERE id IN ({ALLOWED})),
+    words AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm WHERE score > 0 AND id IN ({ALLOWED})),
+    fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT * FROM near WHERE r <= 20 UNION ALL SELECT * FROM words WHERE r <= 20) GROUP BY 1)
+    SELECT id, round(score, 6) AS score, 'rrf' AS score_kind FROM fused ORDER BY fused.score DESC, id LIMIT 10""")
+add("V7_tool_vector_reranked", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, first_vector(s, d), "vector", 10, None, rerank="noop").select("id", "score", "score_kind"),
+    f"WITH {HYBRID_SOURCES} SELECT id, (21 - row_number() OVER (ORDER BY {COS} DESC, id))::DOUBLE AS score, 'noop' AS score_kind FROM vectors WHERE id IN (SELECT doc_id FROM docs WHERE length(text) >= 200) ORDER BY {COS} DESC, id LIMIT 10")
+add("V3b_indexed_bm25", lambda s, d: retrieval.bm25_indexed(retrieval.build_keyword_index(docs(s, d).select(F.col("doc_id").alias("id"), "text")), QUESTION, 20).selectExpr("id", r6("score")), f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 
 
 def recall_tables(s, d):
@@ -219,22 +274,51 @@ add("V8_A8_J2_recall", lambda s, d: retrieval.recall(*recall_tables(s, d), first
 _oracles["V8_A8_J2_recall"] = _oracles["V8_A8_J2_recall"].replace(") , near", "), near", 1)
 
 
+TIERS = {"local": (0, 1, 2), "group": (2, 3, 4, 5), "global": (5, 6, 7, 8, 9)}
+
+
 def tiers(s, d):
     q, v = first_vector(s, d), frame(s, d, "vectors")
-    return retrieval.rrf([retrieval.knn(v, q, 8, where=F.col("label").isin(*labels)).select("id", "score") for labels in ((0, 1, 2), (3, 4, 5), (6, 7, 8, 9))], 10)
+    text = docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return {k: retrieval.knn(v, q, 8, where=F.col("label").isin(*labels)).join(text, "id", "left").select("id", "score", "content") for k, labels in TIERS.items()}
+
+
+add("V5b_V9_fused_tiers", lambda s, d: retrieval.rrf(list(tiers(s, d).values()), 10).select("id", F.round("score", 6).alias("score"), "list"),
+    f"""SELECT id, round(sum(1.0 / (60 + r)), 6) AS score, min(k)::INT AS list FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY {COS} DESC, id) AS r FROM vectors, (SELECT unnest([0, 1, 2]) AS k)
+    WHERE (k = 0 AND label <= 2) OR (k = 1 AND label BETWEEN 2 AND 5) OR (k = 2 AND label >= 5)) WHERE r <= 8 GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 10""", "vectors")
+SCOPED = """SELECT f.id, round(f.score, 6) AS score, {scope} AS scope, CASE WHEN NOT o THEN 'kept' WHEN sum(o::INT) OVER (ORDER BY f.score DESC, f.id) <= 3 THEN 'shortened' ELSE 'dropped' END AS outcome
+    FROM (SELECT f.*, coalesce(strlen(d.text) // 4, 0) > greatest(2500 // count(*) OVER (), 128) AS o FROM (SELECT id, sum(1.0 / (60 + r)) AS score, min(k) AS k FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY {cos} DESC, id) AS r FROM vectors, (SELECT unnest([{ks}]) AS k)
+    WHERE (k = 0 AND label <= 2) OR (k = 1 AND label BETWEEN 2 AND 5) OR (k = 2 AND label >= 5)) WHERE r <= 8 GROUP BY id ORDER BY score DESC, id LIMIT 12) f LEFT JOIN documents d ON d.doc_id = f.id) f"""
+for _scope, _group, _ks in (("all", "core", "0, 1, 2"), ("whatever", "", "0, 2"), ("global", "core", "2")):
+    add(f"V10_recall_{_scope}", lambda s, d, scope=_scope, group=_group: compose.recalled_scopes(tiers(s, d), scope, group, 12, 2500).select("id", F.round("score", 6).alias("score"), "scope", "outcome"),
+        SCOPED.format(cos=COS, ks=_ks, scope="CASE k WHEN 0 THEN 'local' WHEN 1 THEN 'group' ELSE 'global' END"), "vectors")
+WANTED = ("th", "an", "ing", "que", "der", "los")
+
 
+def keyworded(text):
+    return models.keyword_embedding(text, WANTED)
 
-add("V9_V10_fused_tiers", lambda s, d: tiers(s, d).select("id", F.round("score", 6).alias("score")),
-    f"""SELECT id, round(1.0 / (60 + r), 6) AS score FROM (SELECT id, row_number() OVER (PARTITION BY CASE WHEN label <= 2 THEN 0 WHEN label <= 5 THEN 1 ELSE 2 END ORDER BY {COS} DESC, id) AS r FROM vectors) WHERE r <= 8 ORDER BY score DESC, id LIMIT 10""", "vectors")
-scored = lambda s, d: docs(s, d).select(F.col("doc_id").alias("id"), F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("score", (F.char_length("sentence") % 17).cast("double"))
-add("V11_extractive", lambda s, d: budget.extractive(scored(s, d), 60))
-add("V2b_lsh_index", lambda s, d: retrieval.lsh_candidates(frame(s, d, "vectors"), 6, 3).groupBy("id").agg(F.count_distinct("bucket").alias("buckets")), "SELECT id, 3 AS buckets FROM vectors", "vectors")
+
+SENTENCES = r"""SELECT doc_id AS id, text, trim(unnest(l), ' ' || chr(9) || chr(10) || chr(13)) AS t, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\s', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents)"""
+V11 = f""", s AS (SELECT id, text, t, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, [{', '.join(f"contains(lower(t), '{w}')::INT::DOUBLE" for w in WANTED)}] AS v FROM ({SENTENCES}) WHERE t <> ''),
+ r AS (SELECT s.id, s.text, s.pos, s.t, len(s.t) // 4 AS n, row_number() OVER (PARTITION BY s.id ORDER BY round(CASE WHEN list_sum(s.v) > 0 AND list_sum(a.v) > 0 THEN list_inner_product(s.v, a.v) / sqrt(list_sum(s.v) * list_sum(a.v)) ELSE 0 END, 9) DESC, s.pos) AS k FROM s JOIN s a ON s.id = a.id AND a.pos = 0),
+ f AS (SELECT id, k, n AS used, true AS taken FROM r WHERE k = 1 UNION ALL SELECT r.id, r.k, f.used + CASE WHEN f.used < 60 AND f.used + r.n <= 60 THEN r.n ELSE 0 END, f.used < 60 AND f.used + r.n <= 60 FROM f JOIN r ON r.id = f.id AND r.k = f.k + 1),
+ p AS (SELECT r.id, string_agg(r.t, ' ' ORDER BY r.pos) AS picked FROM r JOIN f ON f.id = r.id AND f.k = r.k AND f.taken GROUP BY r.id)
+ SELECT d.doc_id AS id, CASE WHEN (SELECT count(*) FROM s WHERE s.id = d.doc_id) <= 1 OR len(d.text) // 4 <= 60 THEN trim(d.text, ' ' || chr(9) || chr(10) || chr(13)) ELSE p.picked END AS summary FROM documents d LEFT JOIN p ON p.id = d.doc_id"""
+
+
+def summarized(s, d):
+    scored = budget.anchored_sentences(docs(s, d).select(F.col("doc_id").alias("id"), "text"), keyworded)
+    return budget.extractive(scored.withColumn("score", F.round("score", 9)), 60)
+
+
+add("V11_extractive", summarized, "WITH RECURSIVE" + V11[1:])
 
 # --- graphs
 BFS = """, bfs AS (SELECT 'down' AS direction, 'p5' AS symbol, 0 AS depth UNION SELECT 'up', 'p5', 0 UNION
  SELECT b.direction, CASE b.direction WHEN 'down' THEN e.target ELSE e.source END, b.depth + 1 FROM bfs b JOIN (SELECT DISTINCT source, target FROM edges) e ON (b.direction = 'down' AND e.source = b.symbol) OR (b.direction = 'up' AND e.target = b.symbol) WHERE b.depth < 2)
  SELECT direction, symbol, min(depth)::INT AS depth FROM bfs GROUP BY 1, 2 HAVING symbol <> 'p5'"""
-add("G3_impact", lambda s, d: graph.impact(frame(s, d, "edges"), "p5", 2), BFS, "edges")
+add("G3_impact", lambda s, d: graph.impact(frame(s, d, "edges"), "p5", 3), BFS.replace("depth < 2", "depth < 3"), "edges")
 add("G5_graph", lambda s, d: graph.assembled_nodes(frame(s, d, "edges"), hide_external=True).select("id", "label", "file"), "SELECT source AS id, source AS label, min(file) AS file FROM edges GROUP BY 1", "edges")
 add("G5_edge_numbers", lambda s, d: graph.numbered_edges(graph.export(frame(s, d, "edges"), file="s3")).select("edge_id", "source", "target", "line"), "SELECT 'e' || (row_number() OVER (ORDER BY source, target, kind, file, line) - 1) AS edge_id, source, target, line FROM edges WHERE file = 's3'", "edges")
 add("G6_first_edges", lambda s, d: graph.first_edges(frame(s, d, "edges")), "SELECT file, source, target, kind, min(line) AS line FROM edges GROUP BY 1, 2, 3, 4", "edges")
@@ -250,10 +334,27 @@ add("M4_soft_delete", lambda s, d: memory.soft_deleted(frame(s, d, "memories"),
 add("M5_forget", lambda s, d: memory.forgotten(frame(s, d, "memories"), frame(s, d, "memories").where("memory_type = 'system'").select("id")).select("id"), "SELECT id FROM memories WHERE memory_type <> 'system'", "memories")
 FILES = f"SELECT DISTINCT id AS memory_id, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}"
 add("M6_file_refs", lambda s, d: memory.file_refs(frame(s, d, "memories")).select("memory_id", "file"), FILES, "memories")
-add("M8_backfill_report", lambda s, d: memory.resolved_files(memory.file_refs(frame(s, d, "memories")).select(F.col("file").alias("path")), frame(s, d, "points").select("file")).agg(F.count("*").alias("resolved")),
-    f"SELECT count(DISTINCT m.file) AS resolved FROM ({FILES}) m WHERE m.file IN (SELECT file FROM points)", "memories", "points")
+stated = lambda s, d: frame(s, d, "memories").withColumn("files", F.when(F.col("project") == "proj2", "").when(F.col("project") == "proj3", "gone/x.py").otherwise(F.col("files"))).withColumn("content", F.when(F.col("memory_type") == "user", F.concat("content", F.lit(" see src3/f3.py. Card1.charge1"))).otherwise(F.concat("content", F.lit(" Card1.charge1"))))
+BACKFILL = f"""m AS (SELECT id, CASE project WHEN 'proj2' THEN '' WHEN 'proj3' THEN 'gone/x.py' ELSE files END AS files, memory_type FROM memories WHERE {LIVE}),
+ live AS (SELECT DISTINCT file FROM points WHERE NOT is_deletion),
+ w AS (SELECT id, trim(unnest(string_split(files, ','))) AS file FROM m WHERE files <> '' UNION SELECT id, 'src3/f3.py' FROM m WHERE files = '' AND memory_type = 'user'),
+ hit AS (SELECT w.id, w.file FROM w JOIN live ON w.file = live.file),
+ sym AS (SELECT DISTINCT hit.id, p.symbol, p.file FROM hit JOIN points p ON p.file = hit.file WHERE NOT p.is_deletion AND suffix(p.symbol, '::Card1.charge1')),
+ t AS (SELECT m.id, m.files = '' AS none, (SELECT count(*) FROM hit WHERE hit.id = m.id) AS n, (SELECT count(*) FROM sym WHERE sym.id = m.id) AS k FROM m)"""
+add("M8_A11_backfill_report", lambda s, d: memory.backfill_report(memory.backfilled(stated(s, d), frame(s, d, "points"), from_text=True)[0]),
+    f", {BACKFILL} SELECT count(*) AS examined, count(*) FILTER (WHERE n > 0) AS matched, count(*) FILTER (WHERE k > 0) AS linked, sum(n + k)::BIGINT AS rows, count(*) FILTER (WHERE n = 0 AND none) AS without_files, count(*) FILTER (WHERE n > 0 AND none) AS from_text, count(*) FILTER (WHERE n = 0 AND NOT none) AS not_in_repo FROM t", "memories", "points")
+add("M8_backfill_links", lambda s, d: memory.backfilled(stated(s, d), frame(s, d, "points"), from_text=True)[1].select("memory_id", "symbol", "file", "source"),
+    f", {BACKFILL} SELECT id AS memory_id, '' AS symbol, file, 'files-field' AS source FROM hit UNION ALL SELECT id, symbol, file, 'content-mention' FROM sym", "memories", "points")
+add("M6_rebuilt_links", lambda s, d: memory.rebuilt_links(memory.file_refs(frame(s, d, "memories").withColumn("files", F.lit("old.py"))), stated(s, d).where("project = 'proj1'"), frame(s, d, "points")).select("memory_id", "symbol", "file", "source"),
+    f""", m AS (SELECT DISTINCT id, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE} AND project = 'proj1')
+    SELECT id AS memory_id, '' AS symbol, 'old.py' AS file, 'files-field' AS source FROM memories WHERE {LIVE} AND project <> 'proj1' UNION ALL SELECT id, '', file, 'files-field' FROM m
+    UNION ALL SELECT DISTINCT m.id, p.symbol, p.file, 'content-mention' FROM m JOIN points p ON p.file = m.file WHERE NOT p.is_deletion AND suffix(p.symbol, '::Card1.charge1')""", "memories", "points")
+add("A11_import_report", lambda s, d: memory.import_report(memory.import_outcomes(hashes(s, d).where("lang = 'fr'").select("project", "hash", "topic"), hashes(s, d).select("project", "hash", "topic", "pos"))),
+    "SELECT count(*) AS seen, count(*) FILTER (WHERE outcome = 'added') AS added, count(*) FILTER (WHERE outcome = 'present') AS present, count(*) FILTER (WHERE outcome = 'topic_collision') AS topic_collision FROM (" + IMPORT + ")")
 refs = lambda s, d: memory.file_refs(frame(s, d, "memories")).select("memory_id", F.col("file").alias("symbol"), "file", F.explode(F.array(F.lit("files-field"), F.lit("content-mention"))).alias("source"))
 add("A7_link_sources", lambda s, d: memory.link_sources(refs(s, d), "file"), f"SELECT memory_id, file, 'content-mention,files-field' AS sources FROM ({FILES})", "memories")
+add("M9_notes_of_file", lambda s, d: memory.notes_of_file(memory.file_refs(frame(s, d, "memories")), frame(s, d, "memories"), "f7.py", 10, s.createDataFrame([("src7/f7.py",), ("src1/f1.py",), ("a/f3.py",)], "file string")).select("id", "sources"),
+    f"SELECT id, 'files-field' AS sources FROM memories WHERE {LIVE} AND list_contains(list_transform(string_split(files, ','), lambda x: trim(x)), 'src7/f7.py') ORDER BY updated_at DESC, id LIMIT 10", "memories")
 add("M9_linked_or_inferred", lambda s, d: memory.linked_or_inferred(refs(s, d), frame(s, d, "memories"), "none::nding", 10).select("id", "sources"), f"SELECT id, 'inference' AS sources FROM memories WHERE {LIVE} AND (contains(content, 'nding') OR contains(files, 'nding')) ORDER BY updated_at DESC, id LIMIT 10", "memories")
 add("M10_L8_memory_refs", lambda s, d: memory.refs_of(refs(s, d), "mem_3x1").select("source", "file"), f"SELECT s.source, f.file FROM ({FILES}) f, (SELECT 'files-field' AS source UNION ALL SELECT 'content-mention') s WHERE memory_id = 'mem_3x1'", "memories")
 add("M12_move", lambda s, d: memory.moved(frame(s, d, "memories"), frame(s, d, "memories").where("memory_type = 'system'").select("id"), "dest").groupBy("project").agg(F.count("*").alias("n")),
@@ -261,20 +362,107 @@ add("M12_move", lambda s, d: memory.moved(frame(s, d, "memories"), frame(s, d, "
 
 # --- state
 add("M13_branch_copy", lambda s, d: state.copied_points(frame(s, d, "points"), frame(s, d, "points").where("branch = 'fr'").select("file", F.lit("fr").alias("from_branch")).distinct(), "copy").select("id", "branch", "file"), "SELECT id || '@copy' AS id, 'copy' AS branch, file FROM points WHERE branch = 'fr'", "points")
-add("M14_drop_branch", lambda s, d: frame(s, d, "states").where("NOT (repo = 'src0' AND branch = 'en')").groupBy("repo", "branch").agg(F.count("*").alias("n")), "SELECT repo, branch, count(*) AS n FROM states WHERE NOT (repo = 'src0' AND branch = 'en') GROUP BY 1, 2", "states")
-add("M15_replace_routes", lambda s, d: state.replaced_routes(frame(s, d, "routes").limit(0), frame(s, d, "routes")).select("framework", "http_method", "path", "line"),
-    "SELECT framework, http_method, path, line FROM (SELECT *, row_number() OVER (PARTITION BY framework, http_method, path, repo, branch ORDER BY file, line) AS k FROM routes) WHERE k = 1", "routes")
+BRANCH_FILES = lambda s, d: frame(s, d, "points").where("branch = 'fr'").select("repo", "file", F.lit("fr").alias("from_branch")).distinct()
+route_points = lambda s, d: frame(s, d, "states").select("repo", "branch", "file", F.concat("file", F.lit("#"), "hash").alias("path"))
+
+
+def branch_copied(s, d, part):
+    rows = route_points(s, d).distinct()
+    return state.copied_branch(frame(s, d, "points").drop("text"), rows, rows, BRANCH_FILES(s, d), "es")[part]
+
+
+add("M13_copied_points", lambda s, d: branch_copied(s, d, 0).select("id", "branch"), "SELECT id, branch FROM points UNION ALL SELECT id || '@es', 'es' FROM points WHERE branch = 'fr'", "points")
+add("M13_copied_routes", lambda s, d: branch_copied(s, d, 1).select("repo", "branch", "file", "path"),
+    """SELECT DISTINCT repo, branch, file, file || '#' || hash AS path FROM states s WHERE NOT (branch = 'es' AND EXISTS (SELECT 1 FROM points p WHERE p.branch = 'fr' AND p.repo = s.repo AND p.file = s.file))
+    UNION ALL SELECT DISTINCT repo, 'es', file, file || '#' || hash FROM states s WHERE branch = 'fr' AND EXISTS (SELECT 1 FROM points p WHERE p.branch = 'fr' AND p.repo = s.repo AND p.file = s.file)""", "points", "states")
+add("M13_copied_files", lambda s, d: branch_copied(s, d, 3), "SELECT file, min(language) AS language, count(DISTINCT nullif(symbol, '')) AS symbols, count(*) AS chunks FROM points WHERE branch = 'fr' GROUP BY 1", "points")
+
+
+def dropped(s, d):
+    kept = state.dropped_branch({"points": frame(s, d, "points"), "states": frame(s, d, "states"), "routes": frame(s, d, "routes")}, "src0", "en")
+    rows = [t.select(F.lit(n).alias("name"), "repo", "branch") for n, t in kept.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("name", "repo", "branch").agg(F.count("*").alias("n"))
+
+
+add("M14_drop_branch", dropped, "SELECT name, repo, branch, count(*) AS n FROM (SELECT 'points' AS name, repo, branch FROM points UNION ALL SELECT 'states', repo, branch FROM states UNION ALL SELECT 'routes', repo, branch FROM routes) WHERE NOT (repo = 'src0' AND branch = 'en') GROUP BY ALL", "points", "states", "routes")
+add("M15_replace_routes", lambda s, d: state.replaced_routes(frame(s, d, "routes").where("line % 3 <> 1"), frame(s, d, "routes").where("line % 3 <> 0 AND file < 'web5'")).select("framework", "http_method", "path", "line"),
+    """SELECT framework, http_method, path, line FROM (SELECT *, row_number() OVER (PARTITION BY framework, http_method, path, repo, branch ORDER BY new, file, line) AS k FROM
+    (SELECT 0 AS new, * FROM routes WHERE line % 3 <> 1 AND file NOT IN (SELECT file FROM routes WHERE line % 3 <> 0 AND file < 'web5') UNION ALL SELECT 1, * FROM routes WHERE line % 3 <> 0 AND file < 'web5')) WHERE k = 1""", "routes")
 add("M17_X1_cascade", lambda s, d: state.without_files(frame(s, d, "states"), frame(s, d, "states").where("hash = '3'")).groupBy("repo").agg(F.count("*").alias("n")),
     "SELECT repo, count(*) AS n FROM states s WHERE NOT EXISTS (SELECT 1 FROM states x WHERE x.hash = '3' AND x.repo = s.repo AND x.branch = s.branch AND x.file = s.file) GROUP BY 1", "states")
-add("M18_X10_register", lambda s, d: state.registered(frame(s, d, "projects"), frame(s, d, "projects").where("NOT active").select("name", "path", F.lit("").alias("last_commit"), F.lit(False).alias("active"))), "SELECT name, path, last_commit, true AS active FROM projects", "projects")
+add("M18_X10_register", lambda s, d: state.registered(frame(s, d, "projects"), frame(s, d, "projects").where("NOT active").select(F.concat("name", F.lit("2")).alias("name"), "path", F.lit("").alias("last_commit"), F.lit(False).alias("active"))), "SELECT CASE WHEN active THEN name ELSE name || '2' END AS name, path, last_commit, true AS active FROM projects", "projects")
+SOME_NATIONS = "SELECT n_name FROM nation WHERE n_nationkey % 5 = 0"
+some_nations = lambda s, d: [r["n_name"] for r in T.table(s, d, "nation").where("n_nationkey % 5 = 0").orderBy("n_nationkey").collect()]
+add("M18_refresh", lambda s, d: state.refreshed(frame(s, d, "projects"), some_nations(s, d), frame(s, d, "projects").select("path", F.lit("new").alias("last_commit"))), f"SELECT name, path, CASE WHEN name IN ({SOME_NATIONS}) THEN 'new' ELSE last_commit END AS last_commit, active OR name IN ({SOME_NATIONS}) AS active FROM projects", "projects")
+add("M18_deactivate_remove", lambda s, d: state.removed(state.deactivated(frame(s, d, "projects"), some_nations(s, d)[1]), some_nations(s, d)[0]), "SELECT name, path, last_commit, active AND name <> (SELECT n_name FROM nation WHERE n_nationkey = 5) AS active FROM projects WHERE name <> (SELECT n_name FROM nation WHERE n_nationkey = 0)", "projects")
+add("M18_index_stats", lambda s, d: state.with_index_stats(frame(s, d, "projects"), frame(s, d, "projects").where("active").select("path", F.lit("head").alias("last_commit")).unionByName(s.createDataFrame([("elsewhere", "x")], "path string, last_commit string"))), "SELECT name, path, CASE WHEN active THEN 'head' ELSE last_commit END AS last_commit, active FROM projects", "projects")
+add("M17_X2_saved_states", lambda s, d: state.indexed_files(state.saved(frame(s, d, "states").select("repo", "branch", "file", "hash").distinct(), frame(s, d, "states").where("hash = '3'").select("repo", "branch", "file", F.lit("9").alias("hash")).distinct().unionByName(s.createDataFrame([("src0", "en", "new.py", "1")], "repo string, branch string, file string, hash string")), "repo", "branch", "file"), "src0", "en"),
+    "SELECT DISTINCT file FROM states WHERE repo = 'src0' AND branch = 'en' UNION ALL SELECT 'new.py'", "states")
+own_files = lambda s, d: frame(s, d, "states").groupBy("repo", "branch", "file").agg(F.max("hash").alias("hash")).withColumn("model", F.lit("m"))
+
+
+def incremental(s, d):
+    """An index run over every given path of a branch: some unchanged, some new, some gone, some held by another branch."""
+    states = own_files(s, d)
+    mine = states.where("repo = 'src1' AND branch = 'en'")
+    now = mine.where("hash <> '6'").select("file", F.when(F.col("hash") == "1", "x").otherwise(F.col("hash")).alias("hash")).unionByName(states.where("repo = 'src1' AND branch = 'fr'").join(mine, "file", "left_anti").select("file", "hash"))
+    paths = mine.select("file").unionByName(now.select("file")).distinct()
+    return watch.incremental(states, paths, now, "src1", "en", "m")
+
+
+_STATES = "s AS (SELECT repo, branch, file, max(hash) AS hash FROM states GROUP BY ALL), e AS (SELECT * FROM s WHERE repo = 'src1' AND branch = 'en'), n AS (SELECT file, hash FROM s WHERE repo = 'src1' AND branch = 'fr' AND file NOT IN (SELECT file FROM e))"
+add("W2_incremental_outcomes", lambda s, d: incremental(s, d)[1].select("file", "outcome"),
+    f", {_STATES} SELECT file, CASE hash WHEN '6' THEN 'deleted' WHEN '1' THEN 'indexed' ELSE 'skipped' END AS outcome FROM e UNION ALL SELECT file, 'copied' FROM n", "states")
+add("W2_incremental_states", lambda s, d: incremental(s, d)[0].select("repo", "branch", "file", "hash"),
+    f", {_STATES} SELECT repo, branch, file, hash FROM s WHERE NOT (repo = 'src1' AND branch = 'en' AND hash IN ('1', '6')) UNION ALL SELECT repo, branch, file, 'x' FROM e WHERE hash = '1' UNION ALL SELECT 'src1', 'en', file, hash FROM n", "states")
+add("A11_run_report", lambda s, d: state.run_report(incremental(s, d)[1]),
+    f", {_STATES} SELECT count(*) FILTER (WHERE hash = '1') AS files_indexed, count(*) FILTER (WHERE hash NOT IN ('1', '6')) AS files_skipped, count(*) FILTER (WHERE hash = '6') AS files_deleted, 0::BIGINT AS files_pruned, 0::BIGINT AS files_renamed, (SELECT count(*) FROM n) AS files_copied FROM e", "states")
 add("X9_reindex_targets", lambda s, d: state.reindex_targets(frame(s, d, "projects"), None, True, "").select("name"), "SELECT name FROM projects WHERE active", "projects")
 
 # --- budgets
-add("R2_fit_memories", lambda s, d: budget.fitted(docs(s, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), F.col("text").alias("content")).orderBy("rank").limit(40), 8000).select("id", "outcome"),
-    """WITH m AS (SELECT doc_id AS id, len(text) // 4 > greatest(8000 // 40, 128) AS o FROM documents ORDER BY doc_id LIMIT 40)
-    SELECT id, CASE WHEN NOT o THEN 'kept' WHEN sum(o::INT) OVER (ORDER BY id) <= 3 THEN 'shortened' ELSE 'dropped' END AS outcome FROM m""")
-add("R1_brief", lambda s, d: budget.packed(docs(s, d).select(F.col("source").alias("grp"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes")), 16_384, F.lit(True)).where("taken").select("grp", "id"),
+add("R2_fit_memories", lambda s, d: budget.fitted(docs(s, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), F.col("text").alias("content"), (F.col("doc_id") % 97).alias("list")), 8000, "list").select("id", "list", "outcome"),
+    """WITH m AS (SELECT doc_id AS id, doc_id % 97 AS list, strlen(text) // 4 > greatest(8000 // count(*) OVER (PARTITION BY doc_id % 97), 128) AS o FROM documents)
+    SELECT id, list, CASE WHEN NOT o THEN 'kept' WHEN sum(o::INT) OVER (PARTITION BY list ORDER BY id) <= 3 THEN 'shortened' ELSE 'dropped' END AS outcome FROM m""")
+add("R1_stop_at_misfit", lambda s, d: budget.packed(docs(s, d).select(F.col("source").alias("grp"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("bytes")), 16_384, stop=True).where("taken").select("grp", "id"),
     "SELECT grp, id FROM (SELECT source AS grp, doc_id AS id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) WHERE b <= 16384")
+add("R1_skip_misfits", lambda s, d: budget.packed(frame(s, d, "memories").select(F.split("id", "x")[0].alias("grp"), F.split("id", "x")[1].cast("int").alias("rank"), "id", F.octet_length("content").cast("long").alias("bytes")), 700).select("id", "taken"),
+    """, m AS (SELECT id, split_part(id, 'x', 1) AS grp, strlen(content) AS n, row_number() OVER (PARTITION BY split_part(id, 'x', 1) ORDER BY split_part(id, 'x', 2)::INT, id) AS k FROM memories),
+    f AS (SELECT grp, k, id, CASE WHEN n <= 700 THEN n ELSE 0 END AS used, n <= 700 AS taken FROM m WHERE k = 1 UNION ALL
+    SELECT m.grp, m.k, m.id, f.used + CASE WHEN f.used + m.n <= 700 THEN m.n ELSE 0 END, f.used + m.n <= 700 FROM f JOIN m ON m.grp = f.grp AND m.k = f.k + 1) SELECT id, taken FROM f""", "memories")
+
+
+def brief_tables(s, d):
+    """Notes of a recall, code found by vectors, and the notes that are linked to files."""
+    q, notes = first_vector(s, d), frame(s, d, "memories")
+    near = retrieval.knn(frame(s, d, "vectors"), q, 60).select("id", "score")
+    ranked = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # sixty rows
+    code = frame(s, d, "points").withColumn("n", F.substring("id", 2, 20).cast("long"))
+    hits = ranked.join(code.select(F.col("n").alias("id"), "file", F.col("start_line").alias("line"), F.substring("text", 1, 900).alias("text")), "id").where("rank > 30").select("rank", "file", "line", "text")
+    recalled = ranked.where("rank <= 5").join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id").select("rank", F.concat(F.lit("t"), F.col("rank").cast("string")).alias("title"), F.substring("text", 1, 700).alias("content"), F.concat(F.lit("src1/f"), (F.col("id") % 40).cast("string"), F.lit(".py, x")).alias("files"))
+    linked = memory.file_refs(notes).select("memory_id", "file").join(notes.select(F.col("id").alias("memory_id"), "topic", "content", "updated_at"), "memory_id")
+    noted = linked.select("file", F.col("memory_id").alias("id"), F.col("topic").alias("title"), "content", F.lit("files-field").alias("sources"), "updated_at")
+    return recalled, hits, noted
+
+
+BRIEF = f""", near AS (SELECT id, row_number() OVER (ORDER BY {COS} DESC, id) AS rank FROM vectors ORDER BY {COS} DESC, id LIMIT 60),
+ rec AS (SELECT rank, '[note] t' || rank || chr(10) || left(text, 700) || chr(10) || chr(10) AS t, 'src1/f' || (id % 40) || '.py' AS file FROM near JOIN documents ON doc_id = id WHERE rank <= 5),
+ hit AS (SELECT rank, file, '// ' || file || ':' || start_line || chr(10) || left(text, 900) || chr(10) || chr(10) AS t FROM near n JOIN points p ON p.id = 'd' || n.id WHERE rank > 30 AND file NOT IN (SELECT file FROM rec)),
+ one AS (SELECT row_number() OVER (ORDER BY sec, rank, file, t) AS k, * FROM (SELECT 1 AS sec, rank, t, '' AS file FROM rec UNION ALL SELECT 2, rank, t, file FROM hit)),
+ a AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, 0 AS dropped, 0 AS head, false AS ended, '' AS txt, []::VARCHAR[] AS seen UNION ALL
+  SELECT k, used + CASE WHEN fits THEN strlen(b) ELSE 0 END, dropped + CASE WHEN fits OR (sec = 2 AND ended) THEN 0 ELSE 1 END, CASE WHEN fits THEN sec ELSE head END, ended OR (sec = 2 AND NOT fits), txt || CASE WHEN fits THEN b ELSE '' END,
+   CASE WHEN sec = 1 OR ended OR list_contains(seen, file) THEN seen ELSE list_append(seen, file) END
+  FROM (SELECT o.k, o.sec, o.file, a.used, a.dropped, a.head, a.ended, a.txt, a.seen, CASE WHEN a.head = o.sec THEN '' WHEN o.sec = 1 THEN '## Known already' || chr(10) || chr(10) ELSE '## Code' || chr(10) || chr(10) END || o.t AS b,
+   NOT (o.sec = 2 AND a.ended) AND a.used + strlen(CASE WHEN a.head = o.sec THEN '' WHEN o.sec = 1 THEN '## Known already' || chr(10) || chr(10) ELSE '## Code' || chr(10) || chr(10) END || o.t) <= 10000 AS fits FROM a JOIN one o ON o.k = a.k + 1)),
+ mid AS (SELECT * FROM a ORDER BY k DESC LIMIT 1),
+ look AS (SELECT unnest(seen[1:5]) AS file, unnest(generate_series(1, least(5, len(seen)))) AS pos FROM mid),
+ ref AS (SELECT DISTINCT id, topic, content, updated_at, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}),
+ clo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, place) AS first FROM (SELECT r.*, l.pos, row_number() OVER (PARTITION BY r.file ORDER BY updated_at DESC, r.id) AS place FROM ref r JOIN look l ON r.file = l.file) WHERE place <= 5) WHERE first = 1),
+ two AS (SELECT row_number() OVER (ORDER BY pos, place) AS k, '[note · files-field · about ' || file || '] ' || topic || chr(10) || content || chr(10) || chr(10) AS t FROM clo),
+ z AS (SELECT 0::BIGINT AS k, used, dropped, false AS head, txt FROM mid UNION ALL
+  SELECT k, used + CASE WHEN fits THEN strlen(b) ELSE 0 END, dropped + CASE WHEN fits THEN 0 ELSE 1 END, head OR fits, txt || CASE WHEN fits THEN b ELSE '' END FROM
+  (SELECT o.k, z.used, z.dropped, z.head, z.txt, CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t AS b, z.used + strlen(CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t) <= 10000 AS fits FROM z JOIN two o ON o.k = z.k + 1))
+ SELECT txt || CASE WHEN dropped > 0 THEN chr(10) || dropped || ' further item(s) did not fit in 2500 tokens.' || chr(10) ELSE '' END AS text, used, dropped FROM z ORDER BY k DESC LIMIT 1"""
+add("R1_brief", lambda s, d: compose.brief(*brief_tables(s, d), 2500), BRIEF, "points", "vectors", "memories")
 add("R4_labels", lambda s, d: frame(s, d, "memories").select("id", budget.label(F.col("topic"), F.col("id")).alias("label")), "SELECT id, CASE WHEN topic <> '' THEN topic ELSE id END AS label FROM memories", "memories")
 
 # --- streaming semantics, in batch

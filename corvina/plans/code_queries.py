@@ -22,11 +22,11 @@ PYTHON = (
 
 WEB = [
     # extension, text with {n} for the page's number
-    ("py", "from fastapi import FastAPI~@app.get('/p{n}')~def page{n}():~    return 1"),
-    ("py", "from flask import Flask~@app.route('/p{n}', methods=['GET', 'POST'])~def page{n}():~    pass"),
-    ("js", "const express = require('express')~router.post('/p{n}', check, page{n})~"),
+    ("py", "from fastapi import FastAPI~@app.get ('/p{n}')~async def page{n}():~    return 1~@other.get('/no')~def no():~    pass"),
+    ("py", "from flask import Flask~@app.route('/p{n}', methods=['GET', 'post'])~def page{n}():~    pass~@app.route('/q{n}', methods=[])~def more{n}():~    pass"),
+    ("js", "const express = require('express')~router.post('/p{n}',~  shop.page{n},~  last)~api.get('/no', x)~app.all('/q{n}', (req, res) => 1)~"),
     ("ts", "import { Controller } from '@nestjs/common'~@Controller('shop')~export class Shop {~  @Get('p{n}')~  page{n}() {}~}"),
-    ("java", '@RequestMapping("/shop")~class Shop {~  @GetMapping("/p{n}")~  String page{n}() {}~}'),
+    ("java", '@RequestMapping("/shop")~class Shop {~  @GetMapping("/p{n}")~  @ Allowed("x")~  String page{n}() {}~}'),
     ("java", 'import jakarta.ws.rs.GET;~@Path("/shop")~class Shop {~  @GET~  @Path("/p{n}")~  String page{n}() {}~}'),
     ("ts", "import { Routes } from '@angular/router'~const routes: Routes = [{ path: 'p{n}' }]"),
 ]
@@ -67,7 +67,8 @@ def raw_cover(spark: SparkSession, d: str) -> DataFrame:
     got = chunking.chunked_files(files, [])
     ranges = F.array_sort(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))))
     reach = F.aggregate("r", F.lit(0), lambda upto, x: F.when(x["a"] <= upto + 1, F.greatest(upto, x["b"])).otherwise(upto))
-    return got.groupBy("file").agg(ranges.alias("r"), F.min("level").alias("level")).select(F.col("file").cast("long").alias("doc_id"), (F.col("level") == "file").alias("whole"), reach.alias("covered"))
+    done = got.groupBy("file").agg(ranges.alias("r"), F.min("level").alias("level"), F.count_if(F.col("name") == F.col("file")).alias("named"), F.count("*").alias("n"), F.max("end").alias("last"))
+    return done.select(F.col("file").cast("long").alias("doc_id"), (F.col("level") == "file").alias("whole"), reach.alias("covered"), "last", (F.col("named") == F.col("n")).alias("named"))
 
 
 def found_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -95,15 +96,24 @@ def shortened(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", budget.shortened(F.col("text"), F.lit(128)).alias("short"))
 
 
+def note_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of every note that is embedded, whole."""
+    notes = frame(spark, d, "memories").select("id", "topic", F.col("content"))
+    long = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("topic"), F.col("text").alias("content"))
+    return memory.note_texts(notes.unionByName(long)).select("id", "level", "text")
+
+
 QUERIES = {
+    "M2_T9_note_texts": note_texts,
     "T1_symbols": symbols, "T1_imports": imports, "T2_call_edges": call_edges, "T3_T7b_chunks": chunks, "T8_raw_chunks": raw_cover, "T14_T22_T24_routes": found_routes,
     "M2_M3_reindexed": reindexed, "M16_renamed_files": renamed, "R3_shortened": shortened,
 }
 
 _ROUTE = "SELECT 'web' || page_id || '.{ext}' AS file, '{kind}' AS framework, '{verb}' AS http_method, '{path}p' || page_id AS path, {symbol} AS handler_symbol, {method} AS handler_method, {line} AS line FROM pages WHERE page_id % 7 = {k}"
 _PLAIN, _OWNED, _NONE = ("'page' || page_id", "'page' || page_id"), ("'Shop.page' || page_id", "'page' || page_id"), ("''", "''")
+_MEMBER = ("'shop.page' || page_id", "'page' || page_id")
 _EXPECTED = [
-    (0, "fastapi", "GET", "/", _PLAIN, 2), (1, "flask", "GET", "/", _PLAIN, 2), (1, "flask", "POST", "/", _PLAIN, 2), (2, "express", "POST", "/", _PLAIN, 2),
+    (0, "fastapi", "GET", "/", _PLAIN, 2), (1, "flask", "GET", "/", _PLAIN, 2), (1, "flask", "POST", "/", _PLAIN, 2), (2, "express", "POST", "/", _MEMBER, 2),
     (3, "nestjs", "GET", "/shop/", _OWNED, 4), (4, "spring", "GET", "/shop/", _OWNED, 3), (5, "quarkus", "GET", "/shop/", _OWNED, 4), (6, "angular", "", "/", _NONE, 2),
 ]
 
@@ -117,8 +127,16 @@ ORACLES = {
       replace('# File: f' || k || '.py~# Imports:~os~a.b~# Symbols:~- Card' || m || ' (class)~- charge (method)~- settle (method)~- part' || k || ' (function)~', '~', chr(10)) AS text FROM f
     UNION ALL SELECT file, 1, 'class', 'Card' || m, 4, 9, 'class Card' || m || ':' || chr(10) || '# methods: charge, settle' FROM f
     UNION ALL SELECT file, 2, 'function', 'charge, settle, part' || k, 5, 12, array_to_string(l[5:7], chr(10)) || chr(10) || chr(10) || array_to_string(l[8:9], chr(10)) || chr(10) || chr(10) || array_to_string(l[11:12], chr(10)) FROM f""",
-    "T8_raw_chunks": r"SELECT doc_id, len(text) // 4 <= 512 AS whole, len(string_split(text, chr(10)))::INT AS covered FROM documents WHERE regexp_matches(text, '[^\s]')",
-    "T14_T22_T24_routes": " UNION ALL ".join(_ROUTE.format(k=k, ext=WEB[k][0], kind=kind, verb=verb, path=path, symbol=names[0], method=names[1], line=line) for k, kind, verb, path, names, line in _EXPECTED),
+    "T8_raw_chunks": r"SELECT doc_id, len(text) // 4 <= 512 AS whole, n AS covered, n AS last, true AS named FROM (SELECT doc_id, text, (len(string_split(text, chr(10))) - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END)::INT AS n FROM documents) WHERE regexp_matches(text, '[^\s]')",
+    "T14_T22_T24_routes": " UNION ALL ".join(_ROUTE.format(k=k, ext=WEB[k][0], kind=kind, verb=verb, path=path, symbol=names[0], method=names[1], line=line) for k, kind, verb, path, names, line in _EXPECTED)
+    + " UNION ALL SELECT 'web' || page_id || '.py', 'flask', 'GET', '/q' || page_id, 'more' || page_id, 'more' || page_id, 5 FROM pages WHERE page_id % 7 = 1 UNION ALL SELECT 'web' || page_id || '.js', 'express', 'ALL', '/q' || page_id, '', '', 6 FROM pages WHERE page_id % 7 = 2",
+    "M2_T9_note_texts": oracle(
+        r""", n AS (SELECT id, topic, content FROM memories UNION ALL SELECT 'doc_' || doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, text FROM documents),
+        w AS (SELECT id, topic, regexp_split_to_array(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM n), p AS (SELECT id, topic, w, unnest(generate_series(1, 40)) AS i FROM w)
+        SELECT id, 'memory' AS level, CASE WHEN topic <> '' THEN topic || chr(10) ELSE '' END || content AS text FROM n
+        UNION ALL SELECT id || '_c' || i, 'memory_chunk', CASE WHEN topic <> '' THEN topic || chr(10) ELSE '' END || array_to_string(w[i * 70 + 1 : i * 70 + 100], ' ') FROM p WHERE i * 70 < len(w)""",
+        "memories",
+    ),
     "M2_M3_reindexed": oracle(
         r"""SELECT id, 64 AS dim FROM memories UNION ALL SELECT id || '_c200', 64 FROM memories WHERE NOT regexp_matches(id, '^mem_[0-9]*3x')
         UNION ALL SELECT id || '_c' || i, 64 FROM (SELECT id, len(regexp_split_to_array(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+')) AS n, unnest(generate_series(1, 40)) AS i FROM memories WHERE regexp_matches(id, '^mem_[0-9]*3x')) WHERE 70 * i < n""",

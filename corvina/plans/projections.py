@@ -36,5 +36,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle(body: str, *names: str) -> str:
-    """A query over projections, for the reference database."""
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + body
+    """A query over projections, for the reference database; its own WITH clause, or a further one after a comma, joins theirs."""
+    body = body.strip()
+    more = body.removeprefix("WITH RECURSIVE ").removeprefix("WITH ").removeprefix(",").strip()
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " if more != body else " ") + more

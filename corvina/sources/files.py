@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from corvina.functions import columns as C
 
 
+#: Files that one process reads from a branch.
+GROUP = 200
+
+
 def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True).stdout
 
@@ -27,23 +31,37 @@ def diff_lines(spark: SparkSession, root: str, since: str) -> DataFrame:
 
 
 def branch_files(spark: SparkSession, root: str, branch: str) -> DataFrame:
-    """(path, text) of a branch without a checkout: names on the driver, contents on the executors that share the root."""
-    import pandas as pd
+    """(path, text) of a branch without a checkout: names on the driver, contents on the executors that share the root.
+
+    A task asks one process for GROUP files at a time. Files that are not UTF-8 are left out.
+    """
+    import pyarrow as pa
 
     names = [p for p in git(root, "ls-tree", "-r", "-z", "--name-only", branch).split("\0") if p]
 
-    def read(frames):
-        for f in frames:
-            raw = [subprocess.run(["git", "-C", root, "show", f"{branch}:{p}"], capture_output=True, check=True).stdout for p in f["path"]]
-            text = []
-            for r in raw:
-                try:
-                    text.append(r.decode())
-                except UnicodeDecodeError:
-                    text.append(None)
-            yield pd.DataFrame({"path": f["path"], "text": text}).dropna()
-
-    return spark.createDataFrame([(p,) for p in names], "path string").mapInPandas(read, "path string, text string")
+    def blobs(paths):
+        asked = "".join(f"{branch}:{p}\0" for p in paths).encode()
+        data = subprocess.run(["git", "-C", root, "cat-file", "--batch", "-z"], input=asked, capture_output=True, check=True).stdout
+        at = 0
+        for _ in paths:
+            stop = data.index(b"\n", at)
+            size = int(data[at:stop].rsplit(b" ", 1)[1])
+            yield data[stop + 1 : stop + 1 + size]
+            at = stop + 2 + size
+
+    def read(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, GROUP):
+                paths, kept, texts = b.column(0).slice(lo, GROUP).to_pylist(), [], []
+                for p, raw in zip(paths, blobs(paths)):
+                    try:
+                        texts.append(raw.decode())
+                        kept.append(p)
+                    except UnicodeDecodeError:
+                        continue
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(texts, pa.string())], ["path", "text"])
+
+    return spark.createDataFrame([(p,) for p in names], "path string").mapInArrow(read, "path string, text string")
 
 
 def work_tree(spark: SparkSession, root: str) -> DataFrame:

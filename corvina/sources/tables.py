@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
+
+    Where the setting is absent a temporary folder takes its place, on one machine only: a cluster's executors would
+    not see it, so there ValueError is raised.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvina-shared-")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corvina-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, in partitions by some columns if given, and read it back; this cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def rewritten(spark: SparkSession, path: str, rows_per_file: int = 5_000_000) -> DataFrame:
+    """A table after all its rows were written anew beside the old ones, in files of an even size.
+
+    The old files stay until the caller swaps the folders, so a reader never sees half a table.
+    """
+    target = f"{path.rstrip('/')}.rebuilt-{uuid.uuid4().hex}"
+    spark.read.parquet(path).write.option("maxRecordsPerFile", rows_per_file).parquet(target)
+    return spark.read.parquet(target)
+
+
 def upserted(current: DataFrame, incoming: DataFrame, key: list[str], dim: int | None = None) -> DataFrame:
     """The snapshot after an upsert: rows of `current` whose key comes again are replaced. Vectors of a wrong width are refused."""
     if dim is not None and not incoming.where(F.size("vector") != dim).isEmpty():
@@ -37,7 +67,23 @@ def export_lines(memories: DataFrame, scope: str | None = None) -> DataFrame:
 def import_lines(lines: DataFrame, schema: str) -> DataFrame:
     """Parsed columns and `corrupt`: the text of a line that does not parse."""
     parsed = F.from_json("value", schema + ", corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    return lines.select(parsed.alias("x")).select("x.*")
+    return lines.select(*(c for c in lines.columns if c != "value"), parsed.alias("x")).select(*(c for c in lines.columns if c != "value"), "x.*")
+
+
+def numbered_lines(texts: DataFrame) -> DataFrame:
+    """(file, line, value) of the lines that are not blank of texts (file, text); lines count from 1."""
+    rows = texts.select("file", F.posexplode(F.split("text", "\n", -1)).alias("pos", "value"))
+    return rows.where(F.trim("value") != "").select("file", (F.col("pos") + 1).alias("line"), "value")
+
+
+def grouped_imports(texts: DataFrame, schema: str, destination: str = "project") -> DataFrame:
+    """(destination, file, notes, errors): parsed notes of JSON-lines texts by where they go, and under a null destination the places of lines that do not parse."""
+    rows = import_lines(numbered_lines(texts), schema)
+    bad = F.col("corrupt").isNotNull()
+    place = F.struct("line", F.col("corrupt").alias("value"))
+    # One row for each destination and file: what is gathered is bounded by the file.
+    return rows.groupBy(F.when(~bad, F.col(destination)).alias("destination"), "file").agg(F.count_if(~bad).alias("notes"), F.array_sort(F.collect_list(F.when(bad, place))).alias("errors"))
+
 
 
 def read_lines(files: DataFrame, start: int, stop: int) -> DataFrame:

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from corvina.functions import chunking, columns as C, parsing
+from corvina.functions import chunking, columns as C, models, parsing
 from corvina.operators import budget, graph, memory, predicates, retrieval, state
 from corvina.sources import files, tables
 from corvina.streaming import watch
@@ -39,7 +39,8 @@ def test_impact(spark):
 
 def test_text(spark):
     words = " ".join(f"w{k}" for k in range(12))
-    assert one(spark, C.memory_windows(F.lit(words), 5, 3)) == ["w3 w4 w5 w6 w7", "w6 w7 w8 w9 w10", "w9 w10 w11"]
+    assert one(spark, C.memory_windows(F.lit(words), None, 5, 3)) == ["w3 w4 w5 w6 w7", "w6 w7 w8 w9 w10", "w9 w10 w11"]
+    assert one(spark, C.memory_windows(F.lit(words), F.lit("T"), 5, 3))[2] == "T\nw9 w10 w11" and one(spark, C.memory_windows(F.lit("a b"), F.lit("T"))) == []
     assert one(spark, C.sentences(F.lit("Hello world. How are you?\nFine!"))) == ["Hello world.", "How are you?", "Fine!"]
     for text, hit in (("charged", False), ("recharge", False), ("`charge`,", True), ("«charge»", True)):
         assert one(spark, C.mentions(F.lit(text), F.lit("charge"))) is hit
@@ -84,8 +85,9 @@ def test_definitions_prefer_exact(spark):
 
 
 def test_extractive(spark):
-    rows = spark.createDataFrame([(1, 0, "the weather is fine today indeed", 0.1), (1, 1, "the database is up", 0.9)], "id int, pos int, sentence string, score double")
-    assert budget.extractive(rows, 6).first()["summary"] == "the database is up"
+    d = spark.createDataFrame([(1, "the weather is fine today indeed. the database is up."), (2, " one sentence only "), (3, ""), (4, None)], "id int, text string")
+    got = {r["id"]: r["summary"] for r in budget.extractive(budget.anchored_sentences(d, models.keyword_embedding, "database"), 6).collect()}
+    assert got[1] == "the database is up." and got[2] == "one sentence only" and got[3] == ""
 
 
 def test_chunks_and_parsing():
@@ -93,16 +95,19 @@ def test_chunks_and_parsing():
     got = parsing.parse("class A:\n    def f(self):\n        self.g()\n    def g(self):\n        pass\ndef h(x: A):\n    x.f()\n", "python")
     assert got.edges == [("A.f", "A.g", 3), ("h", "A.f", 7)]
     text = "\n".join(f"line {k} " + "x" * 20 for k in range(400))
-    parts = chunking.raw_chunks(text)
+    parts = chunking.raw_chunks("a/b.md", text + "\n")
     assert parts[0]["start"] == 1 and parts[-1]["end"] == 400 and all(b["start"] <= a["end"] for a, b in zip(parts, parts[1:]))
-    assert chunking.raw_chunks(" \n") == []
+    assert chunking.raw_chunks("x", " \n") == [] and {p["name"] for p in parts} == {"b.md"}
+    assert chunking.raw_chunks("d/x.md", "one\ntwo\n") == [{"level": "file", "name": "x.md", "start": 1, "end": 2, "text": "one\ntwo\n"}]
 
 
 def test_routes():
     r = parsing.routes("api.py", "from fastapi import FastAPI\n@app.get('/users')\ndef list_users(): ...\n@app.post('/users')\ndef create_user(): ...\n")
     assert [(x["http_method"], x["path"], x["handler_method"]) for x in r] == [("GET", "/users", "list_users"), ("POST", "/users", "create_user")]
-    r = parsing.routes("a.py", "@bp.route('/x', methods=['GET', 'POST'])\ndef x(): ...")
-    assert [x["http_method"] for x in r] == ["GET", "POST"]
+    r = parsing.routes("a.py", "@bp.route('/x', methods=['GET', 'POST'])\ndef x(): ...\n@bp.route('/y', methods=[])\ndef y(): ...")
+    assert [(x["http_method"], x["handler_method"]) for x in r] == [("GET", "x"), ("POST", "x"), ("GET", "y")]
+    r = parsing.routes("a.js", "app.get('/a',\n  users.list)\nrouter.all(`/b`, check, done)\napp.post('/c', (q, s) => 1)\napi.get('/d', x)\napp.head('/e', x)")
+    assert [(x["http_method"], x["path"], x["handler_symbol"], x["handler_method"]) for x in r] == [("GET", "/a", "users.list", "list"), ("ALL", "/b", "check", "check"), ("POST", "/c", "", "")]
     r = parsing.routes("A.java", '@RequestMapping("/api")\nclass A {\n @GetMapping("/b")\n String b() {} }')
     assert (r[0]["path"], r[0]["handler_symbol"]) == ("/api/b", "A.b")
 
@@ -115,6 +120,7 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     got = []
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = watch.indexed_stream(stream, "3 seconds", lambda df, _: got.extend(df.collect()), str(tmp_path / "ck"), "1 seconds")
+    progress = watch.Progress()
+    q = watch.indexed_stream(stream, "3 seconds", lambda df, _: got.append(sorted(r["file"] for r in df.collect())), str(tmp_path / "ck"), "1 seconds", progress)
     q.awaitTermination(60)
-    assert (3, ["a", "b"]) in [(r["events"], r["paths"]) for r in got]
+    assert ["a", "b"] in got and not progress.read()["running"]
