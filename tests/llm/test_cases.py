@@ -8,10 +8,11 @@ import time
 import zlib
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.llm import chat, langid, line_dedup, minhash, packing, pipeline_stages, quality, queries, token_counts, warc
+from corvina.llm import chat, langid, line_dedup, minhash, packing, pipeline_stages, quality, queries, token_counts, vector_graph, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -282,3 +283,60 @@ def test_pipeline_equals_plain_models(spark, tmp_path):
     for r in out:
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= 2048 and len(used) <= -(-sum(used.values()) // 2048) + 2
+
+
+def dense_vectors(seed, groups, each, labels, width=24):
+    r = np.random.default_rng(seed)
+    x = np.repeat(r.standard_normal((groups, width)), each, axis=0) + 0.22 * r.standard_normal((groups * each, width))
+    label = np.repeat(r.choice(len(labels), groups, p=labels), each)
+    return x.astype(np.float32), label
+
+
+def plain_links(x, label):
+    f = x.astype(np.float64)
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    s = (f @ f.T >= vector_graph.THRESHOLD) & (label[:, None] == label[None, :])
+    np.fill_diagonal(s, False)
+    return s
+
+
+def test_vectors_with_a_hot_label_many_centroids_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "AIM", 40)
+    monkeypatch.setattr(vector_graph, "MOST", 90)
+    x, label = dense_vectors(3, 300, 8, [0.6, 0.3, 0.1])
+    d = spark.createDataFrame([(k, v.tolist(), int(c), 1, "s") for k, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int, copies int, shard string")
+    rows = vector_graph.dealt(vector_graph.classes(d, "vec_id", "embedding", "label")[1])
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("shard").alias("n")).collect()}
+    assert sizes["0"] > 2 * sizes["2"]
+    found, audit = vector_graph.near_vectors(d)
+    want = plain_links(x, label)
+    got = {r["id"]: r["n_links"] for r in found.collect()}
+    assert all(got[k] <= want[k].sum() for k in range(len(x))) and sum(got.values()) >= 0.95 * want.sum() > 1000
+    for r in audit.collect():
+        assert r["wanted"] == want[r["id"]].sum() and r["found"] == got[r["id"]]
+
+
+def test_audit_deals_again_until_recall_holds(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "AIM", 10)
+    monkeypatch.setattr(vector_graph, "OVERLAP", 1)
+    monkeypatch.setattr(vector_graph, "PARTITIONS", 1)
+    x, label = dense_vectors(4, 40, 30, [1.0])
+    d = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    base, valid = vector_graph.classes(d, "vec_id", "embedding", "label")
+    poor = vector_graph.audited(valid, vector_graph.searched(vector_graph.dealt(valid, 1), 0.93)).agg(F.sum("wanted").alias("w"), F.sum("found").alias("f")).first()
+    assert poor["f"] < vector_graph.LEAST_RECALL * poor["w"]
+    found, audit = vector_graph.near_vectors(d)
+    assert found.agg(F.sum("n_links")).first()[0] >= 0.93 * plain_links(x, label).sum()
+
+
+def test_vectors_of_several_lengths_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "WIDTHS", 1)
+    r = np.random.default_rng(6)
+    rows = [(k, r.standard_normal(8).tolist(), 1) for k in range(60)] + [(100 + k, (np.ones(5) + 0.05 * r.standard_normal(5)).tolist(), 1) for k in range(30)] + [(200, [1.0], 1), (201, [2.0], 1), (202, [-1.0], 1)]
+    got = {x["id"]: x for x in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[0].collect()}
+    assert {got[k]["component"] for k in range(100, 130)} == {100} and got[100]["n_links"] == 29
+    assert got[201]["component"] == 200 and got[202]["n_links"] == 0
+    # A row that all others are nearest to has a bounded list all the same.
+    x = np.concatenate([np.ones((1, 8)), np.eye(8)[r.integers(0, 8, 600)] + 0.3 + 0.01 * r.standard_normal((600, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert max(map(len, vector_graph.robust_pruned(x))) <= vector_graph.DEGREE + vector_graph.FAR + vector_graph.BACK
