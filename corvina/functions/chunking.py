@@ -52,43 +52,47 @@ def raw_chunks(path: str, text: str) -> list[dict]:
 
 
 def grouped_name(names: list[str]) -> str:
-    named = [n for n in names if n]
-    return ", ".join(named[:4]) + (f" +{len(named) - 4}" if len(named) > 4 else "")
+    """The first four names of a group, and how many more members it has."""
+    shown = [n for n in names if n][:4]
+    return ", ".join(shown) + (f" +{len(names) - len(shown)}" if len(shown) < len(names) else "")
 
 
 def file_chunks(path: str, text: str, parsed: Parsed) -> list[dict]:
-    """A file chunk, a chunk for each type and documented symbol, then the callables in order: split, alone or grouped."""
-    base, lines = path.rsplit("/", 1)[-1], text.split("\n")
+    """A file chunk, a chunk for each type, one for each documented symbol, then the callables in order: split, alone or grouped."""
+    base = path.rsplit("/", 1)[-1]
     head = lambda s: " > ".join(["# " + base, *([s.parent] if s.parent else []), s.name])
-    body = lambda s: "\n".join(lines[s.start - 1 : s.end])
+    first_line = lambda s: (lines_of(s.body) or [""])[0].rstrip()
     listed = "".join(f"- {s.name} ({s.kind})\n" for s in parsed.symbols)
-    out = [{"level": "file", "name": base, "start": 1, "end": len(lines), "text": f"# File: {base}\n# Imports:\n" + "".join(f"{i}\n" for i in parsed.imports) + f"# Symbols:\n{listed}"}]
+    imports = "".join(f"{i}\n" for i in parsed.imports) or "(none)\n"
+    out = [{"level": "file", "name": base, "start": 1, "end": max(len(lines_of(text)), 1), "text": f"# File: {base}\n# Imports:\n{imports}# Symbols:\n{listed}"}]
+    callables = [s for s in parsed.symbols if s.kind in ("function", "method")]
     for s in parsed.symbols:
         if s.kind in TYPES:
-            methods = [m.name for m in parsed.symbols if m.parent == s.name]
-            out.append({"level": "class", "name": s.name, "start": s.start, "end": s.end, "text": f"{lines[s.start - 1].strip()}\n# methods: {', '.join(methods)}"})
-        if len(s.doc.strip().encode()) >= PROSE:
-            out.append({"level": "doc", "name": s.name, "start": s.start, "end": s.end, "text": f"{head(s)}\n{s.doc.strip()}\n{lines[s.start - 1].strip()}"})
-    pending: list[Symbol] = []
+            methods = [m.name for m in callables if m.parent == s.name]
+            out.append({"level": "class", "name": s.name, "start": s.start, "end": s.end, "text": first_line(s) + (f"\n# methods: {', '.join(methods)}" if methods else "")})
+    for s in parsed.symbols:
+        if len(s.doc.encode()) >= PROSE:
+            out.append({"level": "doc", "name": s.name, "start": s.doc_start, "end": s.start, "text": f"{head(s)}\n{s.doc}\n{first_line(s)}"})
+    pending: list[tuple[Symbol, str]] = []
 
     def flush():
         if pending:
-            text = "\n\n".join(body(p) for p in pending)
-            out.append({"level": "function", "name": grouped_name([p.name for p in pending]), "start": pending[0].start, "end": pending[-1].end, "text": text})
+            members = [s for s, _ in pending]
+            out.append({"level": "function", "name": grouped_name([s.name for s in members]), "start": members[0].start, "end": members[-1].end, "text": "\n\n".join(t for _, t in pending)})
             pending.clear()
 
-    for s in (s for s in parsed.symbols if s.kind in ("function", "method")):
-        own, n = body(s), tokens(body(s))
+    for s in callables:
+        n, whole = tokens(s.body), f"{head(s)}\n{s.body}"
         if n < SMALL:
-            pending.append(s)
-            if sum(tokens(body(p)) for p in pending) >= GROUP:
+            pending.append((s, whole))
+            if sum(tokens(t) for _, t in pending) >= GROUP:
                 flush()
             continue
         flush()
         if n < LARGE:
-            out.append({"level": "function", "name": s.name, "start": s.start, "end": s.end, "text": f"{head(s)}\n{own}"})
+            out.append({"level": "function", "name": s.name, "start": s.start, "end": s.end, "text": whole})
             continue
-        inner = own.split("\n")
+        inner = lines_of(s.body)
         for k, (a, b) in enumerate(blocks(inner, max(len(inner) // max(n // GROUP, 2), 1))):
             again = inner[0] + "\n" if k else ""
             out.append({"level": "block", "name": s.name, "start": s.start + a, "end": s.start + b - 1, "text": head(s) + "\n" + again + "\n".join(inner[a:b])})

@@ -17,138 +17,199 @@ from corvina.functions.batches import by_bytes
 
 @dataclass
 class Symbol:
+    """A definition: `body` is its text from its keyword on, `doc` the comments and decorators right above it, which begin at doc_start."""
+
     name: str
     kind: str
     start: int
     end: int
     parent: str = ""
     doc: str = ""
+    doc_start: int = 0
+    body: str = ""
 
 
 @dataclass
 class Parsed:
+    """Symbols in the order of their places, whole import statements, and calls (source, target, line)."""
+
     symbols: list[Symbol] = field(default_factory=list)
     imports: list[str] = field(default_factory=list)
     edges: list[tuple[str, str, int]] = field(default_factory=list)
 
 
+def doc_above(lines: list[str], start: int, comment: re.Pattern, least: int = 1) -> tuple[str, int]:
+    """The run of comment and decorator lines right above line `start` (from 1), and the line it begins at."""
+    at = start
+    while at > least and comment.match(lines[at - 2]):
+        at -= 1
+    return "\n".join(lines[at - 1 : start - 1]).strip(), at
+
+
 class _Python(ast.NodeVisitor):
-    def __init__(self):
-        self.out, self.classes, self.function, self.types = Parsed(), [], "", {}
+    """Definitions and calls; `types` are the annotated names of the whole file, the first annotation of a name counts."""
+
+    COMMENT = re.compile(r"\s*#")
+
+    def __init__(self, text: str):
+        self.out, self.text, self.lines = Parsed(), text, text.split("\n")
+        self.classes, self.functions, self.types, self.calls = [], [], {}, []
 
     def visit_Import(self, node):
-        self.out.imports += [a.name for a in node.names]
+        self.out.imports.append(ast.get_source_segment(self.text, node))
 
     def visit_ImportFrom(self, node):
-        self.out.imports.append("." * node.level + (node.module or ""))
+        if node.module != "__future__":
+            self.visit_Import(node)
+
+    def _symbol(self, node, kind):
+        # Decorators stand above a definition; comments above decorators belong to no definition.
+        above = min((d.lineno for d in node.decorator_list), default=0)
+        doc, first = ("\n".join(self.lines[above - 1 : node.lineno - 1]).strip(), above) if above else doc_above(self.lines, node.lineno, self.COMMENT)
+        self.out.symbols.append(Symbol(node.name, kind, node.lineno, node.end_lineno, self.classes[-1] if self.classes else "", doc, first, ast.get_source_segment(self.text, node)))
+        for d in node.decorator_list:
+            self.visit(d)
 
     def visit_ClassDef(self, node):
-        self.out.symbols.append(Symbol(node.name, "class", node.lineno, node.end_lineno, self.classes[-1] if self.classes else "", ast.get_docstring(node) or ""))
+        self._symbol(node, "class")
         self.classes.append(node.name)
-        self.generic_visit(node)
+        for child in (*node.bases, *node.keywords, *node.body):
+            self.visit(child)
         self.classes.pop()
 
     def visit_FunctionDef(self, node):
-        parent = self.classes[-1] if self.classes and not self.function else ""
-        self.out.symbols.append(Symbol(node.name, "method" if parent else "function", node.lineno, node.end_lineno, parent, ast.get_docstring(node) or ""))
-        held = self.function, self.types
-        self.function = self.function or (f"{parent}.{node.name}" if parent else node.name)
-        self.types = dict(self.types) | {a.arg: a.annotation.id for a in node.args.args if isinstance(a.annotation, ast.Name)}
-        self.generic_visit(node)
-        self.function, self.types = held
+        self._symbol(node, "method" if self.classes else "function")
+        spec = node.args
+        plain = [*spec.posonlyargs, *spec.args]
+        for arg in [*plain[: len(plain) - len(spec.defaults)], *(a for a, d in zip(spec.kwonlyargs, spec.kw_defaults) if d is None)]:
+            if isinstance(arg.annotation, ast.Name):
+                self.types.setdefault(arg.arg, arg.annotation.id)
+        self.functions.append(f"{self.classes[-1]}.{node.name}" if self.classes else node.name)
+        self.visit(spec)
+        for child in (*([node.returns] if node.returns else []), *node.body):
+            self.visit(child)
+        self.functions.pop()
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
-    def visit_Assign(self, node):
-        if isinstance(node.value, ast.Call) and isinstance(node.value.func, ast.Name) and node.value.func.id[:1].isupper():
-            self.types |= {t.id: node.value.func.id for t in node.targets if isinstance(t, ast.Name)}
+    def visit_AnnAssign(self, node):
+        if isinstance(node.target, ast.Name) and isinstance(node.annotation, ast.Name):
+            self.types.setdefault(node.target.id, node.annotation.id)
         self.generic_visit(node)
 
     def visit_Call(self, node):
         f = node.func
-        name = ""
-        if isinstance(f, ast.Name):
-            name = f.id
-        elif isinstance(f, ast.Attribute):
-            base = f.value.id if isinstance(f.value, ast.Name) else "super" if isinstance(f.value, ast.Call) and getattr(f.value.func, "id", "") == "super" else ""
-            name = qualified(base, f.attr, self.classes[-1] if self.classes else "", self.types)
-        if name and self.function:
-            self.out.edges.append((self.function, name, node.lineno))
+        if self.functions and isinstance(f, (ast.Name, ast.Attribute)):
+            base = ast.unparse(f.value) if isinstance(f, ast.Attribute) else ""
+            self.calls.append((f.end_lineno, self.functions[-1], base, f.attr if base else f.id, self.classes[-1] if self.classes else ""))
         self.generic_visit(node)
 
+    def parsed(self) -> Parsed:
+        self.out.edges = [(source, qualified(base, callee, owner, self.types), line) for line, source, base, callee, owner in sorted(self.calls, key=lambda c: c[0])]
+        self.out.symbols.sort(key=lambda s: s.start)
+        return self.out
+
 
 def qualified(base: str, callee: str, owner: str, types: dict[str, str]) -> str:
-    """The callee with its type, where the receiver tells it: the enclosing class, a type name, or a typed variable."""
+    """The callee with its type, where the receiver tells it: the enclosing type, a type name, or a name of a declared type."""
     if base in ("self", "this", "cls", "super"):
         return f"{owner}.{callee}" if owner else callee
     if base[:1].isupper():
         return f"{base}.{callee}"
-    return f"{types[base]}.{callee}" if base in types else callee
+    key = base.removeprefix("self.").removeprefix("this.")
+    return f"{types[key]}.{callee}" if key in types else callee
 
 
-_CONTAINER = re.compile(r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+|pub(?:\([^)]*\))?\s+)*(class|struct|enum|trait|interface|impl|mod)\b(?:<[^>]*>)?\s+(?:\w+\s+for\s+)?([A-Za-z_]\w*)")
-_GO_TYPE = re.compile(r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface)\b")
-_FUNCTION = re.compile(r"^\s*(?:export\s+|default\s+|pub(?:\([^)]*\))?\s+|async\s+|unsafe\s+)*(?:function\*?|fn|func)\s+(?:\(\s*\w*\s*\*?([A-Za-z_]\w*)[^)]*\)\s*)?([A-Za-z_]\w*)")
-_METHOD = re.compile(r"^\s+(?:(?:public|private|protected|static|final|async|override|abstract|synchronized|readonly|get|set)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_]\w*)\s*\([^;]*\)\s*(?::\s*[^{]+|throws\s+[\w, .]+)?\{")
-_CALL = re.compile(r"(?:\b([A-Za-z_]\w*)\s*(?:\.|::))?\b([A-Za-z_]\w*)\s*\(")
-_IMPORT = re.compile(r"^\s*(?:import\b.*?[\"']([^\"']+)[\"']|import\s+(?:static\s+)?([\w.]+)|use\s+([\w:]+)|from\s+(\S+)\s+import)")
-_TYPED = re.compile(r"\b(?:let|const|var|final)?\s*(?:mut\s+)?([a-z_]\w*)\s*(?::\s*&?([A-Z]\w*)|:?=\s*(?:new\s+|&)?([A-Z]\w*)\s*(?:\(|\{|::))")
+_MODIFIERS = r"(?:(?:export|default|public|private|protected|abstract|final|static|async|unsafe|override|synchronized|readonly|declare|const)\s+|pub(?:\([^)]*\))?\s+)*"
+_CONTAINER = re.compile(rf"\s*{_MODIFIERS}(class|struct|enum|trait|interface|impl|mod)\b(?:\s*<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?([A-Za-z_]\w*)")
+_GO_TYPE = re.compile(r"\s*type\s+([A-Za-z_]\w*)\s+\w")
+_FUNCTION = re.compile(rf"\s*{_MODIFIERS}(?:function\*?|fn|func)\s+(\(\s*\w*\s*\*?[A-Za-z_]\w*[^)]*\)\s*)?([A-Za-z_]\w*)")
+_METHOD = re.compile(rf"\s+{_MODIFIERS}(?:get\s+|set\s+)?(?:[\w<>\[\],.?]+\s+)?([A-Za-z_]\w*)\s*\([^;]*\)\s*(?::\s*[^{{]+|throws\s+[\w, .]+)?\{{")
+_CALL = re.compile(r"(?:\b((?:(?:self|this)\.)?[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\??\.\s*|\b[A-Za-z_]\w*::)?\b([A-Za-z_]\w*)\s*\(")
+_IMPORT = re.compile(rf"\s*(?:import\b|(?:pub\s+)?use\s)")
 #: Words before a parenthesis that call nothing.
-KEYWORDS = {"if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "func", "new", "super", "sizeof", "typeof", "await", "async", "else", "def", "class", "with", "in", "loop"}
-
+KEYWORDS = {"if", "for", "while", "switch", "match", "return", "catch", "function", "fn", "func", "super", "sizeof", "typeof", "await", "async", "else", "def", "class", "with", "in", "loop"}
+#: How a language declares the type of a name, where that type is a plain one. JavaScript declares none.
+_DECLARED = {
+    "java": re.compile(r"\b(?P<type>[A-Z]\w*)\s+(?P<name>[a-z_]\w*)\s*(?=[=;,)])"),
+    "typescript": re.compile(r"\b(?P<name>[A-Za-z_]\w*)\s*[?!]?\s*:\s*(?P<type>(?!(?:number|string|boolean|any|void|unknown|never|object|symbol)\b)[A-Za-z_]\w*)\b(?![<.\[(])"),
+    "go": re.compile(r"(?:[(,]|^\s*(?:var\s)?)\s*(?P<name>[a-z_]\w*)\s+(?P<type>[A-Za-z_]\w*)\s*(?=[,)=]|$)"),
+    "rust": re.compile(r"\b(?P<name>[a-z_]\w*)\s*:\s*(?P<type>[A-Z]\w*)\b(?![<:])"),
+}
+_DECLARED["tsx"] = _DECLARED["typescript"]
+_NO_TYPES = {"return", "func", "package", "import", "type", "go", "defer", "range", "case", "else"}
+
+
+def _statement(lines: list[str], at: int) -> tuple[str, int]:
+    """An import statement that begins at a line, which may run on within brackets, and the line after it."""
+    stop, depth = at, 0
+    while stop < len(lines):
+        depth += sum(map(lines[stop].count, "({")) - sum(map(lines[stop].count, ")}"))
+        stop += 1
+        if depth <= 0:
+            break
+    return "\n".join(lines[at:stop]).strip(), stop
+
+
+def _by_patterns(text: str, language: str) -> Parsed:
+    out, lines, types = Parsed(), text.split("\n"), {}
+    comment = re.compile(r"\s*(?://(?!!)|/\*(?!!)|\*|#\[|@\w)")
+    if declared := _DECLARED.get(language):
+        for line in lines:
+            for m in declared.finditer(line):
+                if m["name"] not in _NO_TYPES:
+                    types.setdefault(m["name"], m["type"])
+    depth, open_types, open_functions, skip = 0, [], [], 0
+
+    def opened(name, kind, n, parent):
+        doc, first = doc_above(lines, n, comment)
+        out.symbols.append(Symbol(name, kind, n, n, parent, doc, first))
+        return out.symbols[-1]
 
-def _by_patterns(text: str) -> Parsed:
-    out = Parsed()
-    lines = text.split("\n")
-    depth, owners, function, function_depth, types = 0, [], "", -1, {}
     for n, line in enumerate(lines, 1):
-        if m := _IMPORT.match(line):
-            out.imports.append(next(g for g in m.groups() if g))
-        opened = None
+        if n <= skip:
+            continue
+        if _IMPORT.match(line) and not open_functions:
+            statement, skip = _statement(lines, n - 1)
+            out.imports.append(statement)
+            continue
+        owner, start = (open_types[-1][1] if open_types else ""), 0
         if m := _CONTAINER.match(line) or _GO_TYPE.match(line):
             kind, name = (m[1], m[2]) if m.re is _CONTAINER else ("type", m[1])
-            if kind != "impl":
-                out.symbols.append(Symbol(name, "module" if kind == "mod" else kind, n, n))
-            owners.append((depth, name))
-        elif (m := _FUNCTION.match(line)) or (owners and not function and (m := _METHOD.match(line)) and m[1] not in KEYWORDS):
-            name = m[2] if m.re is _FUNCTION else m[1]
-            parent = (m[1] if m.re is _FUNCTION and m[1] else "") or (owners[-1][1] if owners else "")
-            opened = Symbol(name, "method" if parent else "function", n, n, parent)
-            out.symbols.append(opened)
-            if not function:
-                function, function_depth = (f"{parent}.{name}" if parent else name), depth
-        if function:
-            for m in _TYPED.finditer(line):
-                types[m[1]] = m[2] or m[3]
-            start = 0 if opened is None else line.find(")") + 1
+            made = opened(name, "module" if kind == "mod" else kind, n, owner) if kind != "impl" else None
+            # Structs, modules and Go's types hold no methods of their own.
+            open_types.append((depth, name if kind in ("class", "interface", "enum", "impl", "trait") and (kind != "enum" or language == "java") else owner, made))
+            start = len(line)
+        elif (m := _FUNCTION.match(line)) or (open_types and (m := _METHOD.match(line)) and m[1] not in KEYWORDS | {"new"}):
+            name, receiver = (m[2], m[1]) if m.re is _FUNCTION else (m[1], None)
+            made = opened(name, "method" if owner or receiver or m.re is _METHOD else "function", n, owner)
+            open_functions.append((depth, f"{owner}.{name}" if owner else name, made))
+            start = m.end(2) + 1 if m.re is _FUNCTION else m.end(1) + 1
+        if open_functions and not line.lstrip().startswith(("//", "*", "/*")):
             for m in _CALL.finditer(line, start):
-                if m[2] not in KEYWORDS:
-                    out.edges.append((function, qualified(m[1] or "", m[2], owners[-1][1] if owners else "", types), n))
+                before = line[: m.start()].rstrip()
+                if m[2] not in KEYWORDS and not before.endswith("new") and m[2] != "new":
+                    out.edges.append((open_functions[-1][1], qualified(m[1] or "", m[2], owner, types), n))
         depth += line.count("{") - line.count("}")
-        if function and depth <= function_depth and "}" in line:
-            for s in reversed(out.symbols):
-                if s.kind in ("method", "function") and s.end == s.start:
-                    s.end = n
-                    break
-            function, types = "", {}
-        while owners and depth <= owners[-1][0] and "}" in line:
-            _, name = owners.pop()
-            for s in out.symbols:
-                if s.name == name and s.end == s.start and s.kind not in ("method", "function"):
-                    s.end = n
+        for held in (open_functions, open_types):
+            while held and depth <= held[-1][0] and ("}" in line or line.rstrip().endswith(";")):
+                if (made := held.pop()[2]) is not None:
+                    made.end = n
+    for s in out.symbols:
+        s.body = "\n".join(lines[s.start - 1 : s.end]).lstrip()
     return out
 
 
 def parse(text: str, language: str) -> Parsed:
     if language != "python":
-        return _by_patterns(text)
+        return _by_patterns(text, language)
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return Parsed()
-    visitor = _Python()
+    visitor = _Python(text)
     visitor.visit(tree)
-    return visitor.out
+    return visitor.parsed()
 
 
 VERBS = "get|post|put|patch|delete|head|options"
@@ -251,7 +312,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
     """(file, symbols, imports, edges) of (file, language, text)."""
     import pyarrow as pa
 
-    symbol = pa.struct([("name", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("parent", pa.string()), ("doc", pa.string())])
+    symbol = pa.struct([(k, pa.int32() if k in ("start", "end", "doc_start") else pa.string()) for k in Symbol.__dataclass_fields__])
     edge = pa.struct([("source", pa.string()), ("target", pa.string()), ("line", pa.int32())])
 
     def run(batches):
@@ -261,7 +322,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
             edges = pa.array([[{"source": x, "target": y, "line": n} for x, y, n in g.edges] for g in got], pa.list_(edge))
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, edges], ["file", "symbols", "imports", "edges"])
 
-    schema = "file string, symbols array<struct<name:string,kind:string,start:int,end:int,parent:string,doc:string>>, imports array<string>, edges array<struct<source:string,target:string,line:int>>"
+    schema = "file string, symbols array<struct<name:string,kind:string,start:int,end:int,parent:string,doc:string,doc_start:int,body:string>>, imports array<string>, edges array<struct<source:string,target:string,line:int>>"
     return files.select("file", "language", "text").mapInArrow(run, schema)
 
 

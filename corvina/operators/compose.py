@@ -77,9 +77,6 @@ def recalled_scopes(tiers: dict[str, DataFrame], scope: str, group: str, limit:
     return budget.fitted(ranked, tokens)
 
 
-BRIEF = "struct<used:bigint,dropped:int,parts:array<string>,ended:boolean,visited:array<string>>"
-
-
 def _appended(state, items, heading: str, limit_bytes: int, stop: bool):
     """A fold that appends blocks (text, file) which fit; the heading rides with the first one that does."""
 
@@ -88,9 +85,10 @@ def _appended(state, items, heading: str, limit_bytes: int, stop: bool):
         block = F.concat(head, x["text"])
         fits = ~s["ended"] & (s["used"] + F.octet_length(block) <= limit_bytes)
         ended = s["ended"] | (~fits if stop else F.lit(False))
+        missed = ~fits & ~s["ended"]
         visited = F.when(s["ended"] | F.array_contains(s["visited"], x["file"]), s["visited"]).otherwise(F.concat(s["visited"], F.array(x["file"])))
         return F.struct(
-            (s["used"] + F.when(fits, F.octet_length(block)).otherwise(0)).cast("bigint").alias("used"), (s["dropped"] + F.when(fits | s["ended"], 0).otherwise(1)).cast("int").alias("dropped"),
+            (s["used"] + F.when(fits, F.octet_length(block)).otherwise(0)).cast("bigint").alias("used"), F.when(missed, F.concat(s["dropped"], F.array(x["name"]))).otherwise(s["dropped"]).alias("dropped"),
             F.when(fits, F.concat(s["parts"], F.array(block))).otherwise(s["parts"]).alias("parts"), ended.alias("ended"), visited.alias("visited"), s["before"].alias("before"),
         )
 
@@ -99,22 +97,23 @@ def _appended(state, items, heading: str, limit_bytes: int, stop: bool):
 
 
 def brief(recalled: DataFrame, hits: DataFrame, noted: DataFrame, tokens: int, files: int = 5, each: int = 5) -> DataFrame:
-    """One row (text, used, dropped): a brief of at most 4 * tokens bytes for a question.
+    """One row (text, used, dropped, dropped_names): a brief of at most 4 * tokens bytes for a question.
 
     recalled: notes (rank, title, content, files); hits: code (rank, file, line, text); noted: notes linked to files (file,
     id, title, content, sources, updated_at). First the recalled notes, where what does not fit is skipped. Then code of
     files that no recalled note states, which ends at the first misfit. Then up to `each` notes of the first `files`
-    files of the code that was looked at, each note once; misfits are skipped. A last line counts the misfits.
+    files of the code that was looked at, each note once; misfits are skipped. A last line counts the misfits; their titles and places are a column.
     All lists are short by their limits, so each is one array.
     """
     room = 4 * tokens
-    item = lambda text, file, *order: F.struct(*order, text.alias("text"), file.alias("file"))
+    item = lambda text, file, name, *order: F.struct(*order, text.alias("text"), file.alias("file"), name.alias("name"))
+    title = F.coalesce("title", F.lit(""))
     note = F.concat(F.lit("[note] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"))
-    notes = recalled.agg(F.array_sort(F.collect_list(item(note, F.lit(""), "rank"))).alias("notes"))
+    notes = recalled.agg(F.array_sort(F.collect_list(item(note, F.lit(""), title, "rank"))).alias("notes"))
     stated = recalled.select(F.explode(C.list_column(F.coalesce("files", F.lit("")))).alias("file")).distinct()
     block = F.concat(F.lit("// "), F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n\n"))
-    code = hits.join(stated, "file", "left_anti").agg(F.array_sort(F.collect_list(item(block, F.col("file"), "rank"))).alias("code"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("dropped"), F.array().cast("array<string>").alias("parts"))
+    code = hits.join(stated, "file", "left_anti").agg(F.array_sort(F.collect_list(item(block, F.col("file"), F.concat("file", F.lit(":"), F.col("line").cast("string")), "rank"))).alias("code"))
+    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("dropped"), F.array().cast("array<string>").alias("parts"))
     one = notes.crossJoin(code).select(_appended(empty, F.col("notes"), "## Known already\n\n", room, False).alias("s"), "code")
     one = one.select(_appended(F.col("s"), F.col("code"), "## Code\n\n", room, True).alias("s"))
     looked = one.select(F.posexplode(F.slice("s.visited", 1, files)).alias("pos", "file"))
@@ -124,8 +123,8 @@ def brief(recalled: DataFrame, hits: DataFrame, noted: DataFrame, tokens: int, f
     first = F.row_number().over(Window.partitionBy("id").orderBy("pos", "place"))
     close = close.withColumn("first", first).where("first = 1")
     about = F.concat(F.lit("[note · "), F.col("sources"), F.lit(" · about "), F.col("file"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"))
-    last = close.agg(F.array_sort(F.collect_list(item(about, F.col("file"), "pos", "place"))).alias("about"))
+    last = close.agg(F.array_sort(F.collect_list(item(about, F.col("file"), title, "pos", "place"))).alias("about"))
     done = one.crossJoin(last).select(_appended(F.col("s"), F.col("about"), "## Recorded about this code\n\n", room, False).alias("s"))
-    footer = F.when(F.col("s.dropped") > 0, F.concat(F.lit("\n"), F.col("s.dropped").cast("string"), F.lit(f" further item(s) did not fit in {tokens} tokens.\n"))).otherwise("")
+    footer = F.when(F.size("s.dropped") > 0, F.concat(F.lit("\n"), F.size("s.dropped").cast("string"), F.lit(f" further item(s) did not fit in {tokens} tokens.\n"))).otherwise("")
     text = F.concat(F.array_join("s.parts", ""), footer)
-    return done.select(F.when(text == "", "Nothing indexed matched this query.\n").otherwise(text).alias("text"), F.col("s.used").alias("used"), F.col("s.dropped").alias("dropped"))
+    return done.select(F.when(text == "", "Nothing indexed matched this query.\n").otherwise(text).alias("text"), F.col("s.used").alias("used"), F.size("s.dropped").alias("dropped"), F.col("s.dropped").alias("dropped_names"))

@@ -445,24 +445,24 @@ def brief_tables(s, d):
 
 
 BRIEF = f""", near AS (SELECT id, row_number() OVER (ORDER BY {COS} DESC, id) AS rank FROM vectors ORDER BY {COS} DESC, id LIMIT 60),
- rec AS (SELECT rank, '[note] t' || rank || chr(10) || left(text, 700) || chr(10) || chr(10) AS t, 'src1/f' || (id % 40) || '.py' AS file FROM near JOIN documents ON doc_id = id WHERE rank <= 5),
- hit AS (SELECT rank, file, '// ' || file || ':' || start_line || chr(10) || left(text, 900) || chr(10) || chr(10) AS t FROM near n JOIN points p ON p.id = 'd' || n.id WHERE rank > 30 AND file NOT IN (SELECT file FROM rec)),
- one AS (SELECT row_number() OVER (ORDER BY sec, rank, file, t) AS k, * FROM (SELECT 1 AS sec, rank, t, '' AS file FROM rec UNION ALL SELECT 2, rank, t, file FROM hit)),
- a AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, 0 AS dropped, 0 AS head, false AS ended, '' AS txt, []::VARCHAR[] AS seen UNION ALL
+ rec AS (SELECT rank, '[note] t' || rank || chr(10) || left(text, 700) || chr(10) || chr(10) AS t, 't' || rank AS nm, 'src1/f' || (id % 40) || '.py' AS file FROM near JOIN documents ON doc_id = id WHERE rank <= 5),
+ hit AS (SELECT rank, file, file || ':' || start_line AS nm, '// ' || file || ':' || start_line || chr(10) || left(text, 900) || chr(10) || chr(10) AS t FROM near n JOIN points p ON p.id = 'd' || n.id WHERE rank > 30 AND file NOT IN (SELECT file FROM rec)),
+ one AS (SELECT row_number() OVER (ORDER BY sec, rank, file, t) AS k, * FROM (SELECT 1 AS sec, rank, t, '' AS file, nm FROM rec UNION ALL SELECT 2, rank, t, file, nm FROM hit)),
+ a AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, 0 AS dropped, 0 AS head, false AS ended, '' AS txt, []::VARCHAR[] AS seen, []::VARCHAR[] AS names UNION ALL
   SELECT k, used + CASE WHEN fits THEN strlen(b) ELSE 0 END, dropped + CASE WHEN fits OR (sec = 2 AND ended) THEN 0 ELSE 1 END, CASE WHEN fits THEN sec ELSE head END, ended OR (sec = 2 AND NOT fits), txt || CASE WHEN fits THEN b ELSE '' END,
-   CASE WHEN sec = 1 OR ended OR list_contains(seen, file) THEN seen ELSE list_append(seen, file) END
-  FROM (SELECT o.k, o.sec, o.file, a.used, a.dropped, a.head, a.ended, a.txt, a.seen, CASE WHEN a.head = o.sec THEN '' WHEN o.sec = 1 THEN '## Known already' || chr(10) || chr(10) ELSE '## Code' || chr(10) || chr(10) END || o.t AS b,
+   CASE WHEN sec = 1 OR ended OR list_contains(seen, file) THEN seen ELSE list_append(seen, file) END, CASE WHEN fits OR (sec = 2 AND ended) THEN names ELSE list_append(names, nm) END
+  FROM (SELECT o.k, o.sec, o.file, o.nm, a.used, a.dropped, a.head, a.ended, a.txt, a.seen, a.names, CASE WHEN a.head = o.sec THEN '' WHEN o.sec = 1 THEN '## Known already' || chr(10) || chr(10) ELSE '## Code' || chr(10) || chr(10) END || o.t AS b,
    NOT (o.sec = 2 AND a.ended) AND a.used + strlen(CASE WHEN a.head = o.sec THEN '' WHEN o.sec = 1 THEN '## Known already' || chr(10) || chr(10) ELSE '## Code' || chr(10) || chr(10) END || o.t) <= 10000 AS fits FROM a JOIN one o ON o.k = a.k + 1)),
  mid AS (SELECT * FROM a ORDER BY k DESC LIMIT 1),
  look AS (SELECT unnest(seen[1:5]) AS file, unnest(generate_series(1, least(5, len(seen)))) AS pos FROM mid),
  ref AS (SELECT DISTINCT id, topic, content, updated_at, trim(unnest(string_split(files, ','))) AS file FROM memories WHERE {LIVE}),
  clo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, place) AS first FROM (SELECT r.*, l.pos, row_number() OVER (PARTITION BY r.file ORDER BY updated_at DESC, r.id) AS place FROM ref r JOIN look l ON r.file = l.file) WHERE place <= 5) WHERE first = 1),
- two AS (SELECT row_number() OVER (ORDER BY pos, place) AS k, '[note · files-field · about ' || file || '] ' || topic || chr(10) || content || chr(10) || chr(10) AS t FROM clo),
- z AS (SELECT 0::BIGINT AS k, used, dropped, false AS head, txt FROM mid UNION ALL
-  SELECT k, used + CASE WHEN fits THEN strlen(b) ELSE 0 END, dropped + CASE WHEN fits THEN 0 ELSE 1 END, head OR fits, txt || CASE WHEN fits THEN b ELSE '' END FROM
-  (SELECT o.k, z.used, z.dropped, z.head, z.txt, CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t AS b, z.used + strlen(CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t) <= 10000 AS fits FROM z JOIN two o ON o.k = z.k + 1))
- SELECT txt || CASE WHEN dropped > 0 THEN chr(10) || dropped || ' further item(s) did not fit in 2500 tokens.' || chr(10) ELSE '' END AS text, used, dropped FROM z ORDER BY k DESC LIMIT 1"""
-add("R1_brief", lambda s, d: compose.brief(*brief_tables(s, d), 2500), BRIEF, "points", "vectors", "memories")
+ two AS (SELECT row_number() OVER (ORDER BY pos, place) AS k, topic AS nm, '[note · files-field · about ' || file || '] ' || topic || chr(10) || content || chr(10) || chr(10) AS t FROM clo),
+ z AS (SELECT 0::BIGINT AS k, used, dropped, false AS head, txt, names FROM mid UNION ALL
+  SELECT k, used + CASE WHEN fits THEN strlen(b) ELSE 0 END, dropped + CASE WHEN fits THEN 0 ELSE 1 END, head OR fits, txt || CASE WHEN fits THEN b ELSE '' END, CASE WHEN fits THEN names ELSE list_append(names, nm) END FROM
+  (SELECT o.k, o.nm, z.used, z.dropped, z.head, z.txt, z.names, CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t AS b, z.used + strlen(CASE WHEN z.head THEN '' ELSE '## Recorded about this code' || chr(10) || chr(10) END || o.t) <= 10000 AS fits FROM z JOIN two o ON o.k = z.k + 1))
+ SELECT txt || CASE WHEN dropped > 0 THEN chr(10) || dropped || ' further item(s) did not fit in 2500 tokens.' || chr(10) ELSE '' END AS text, used, dropped, array_to_string(names, '|') AS dropped_names FROM z ORDER BY k DESC LIMIT 1"""
+add("R1_brief", lambda s, d: compose.brief(*brief_tables(s, d), 2500).withColumn("dropped_names", F.array_join("dropped_names", "|")), BRIEF, "points", "vectors", "memories")
 add("R4_labels", lambda s, d: frame(s, d, "memories").select("id", budget.label(F.col("topic"), F.col("id")).alias("label")), "SELECT id, CASE WHEN topic <> '' THEN topic ELSE id END AS label FROM memories", "memories")
 
 # --- streaming semantics, in batch

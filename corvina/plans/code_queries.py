@@ -103,7 +103,67 @@ def note_texts(spark: SparkSession, d: str) -> DataFrame:
     return memory.note_texts(notes.unionByName(long)).select("id", "level", "text")
 
 
+#: For each further language a file of one type with two methods and, where it has them, a function; {n} is a number.
+CODE = {
+    "java": "package a;~import java.util.List;~~public class Card{n} {~    public int charge(Other x) {~        this.settle();~        x.run();~        return new Tax().total(1);~    }~    void settle() {~    }~}",
+    "typescript": "import { Other } from './other'~~export class Card{n} {~  charge(x: Other): number {~    this.settle()~    x.run()~    return new Tax().total(1)~  }~  settle() {~  }~}~~export function part{n}(c: Card{n}) {~  c.charge()~}",
+    "javascript": "import { Other } from './other'~~class Card{n} {~  charge(x) {~    this.settle()~    x.run()~  }~  settle() {~  }~}~~async function part{n}(c) {~  c.charge()~}",
+    "go": "package a~~import (~\t\"fmt\"~)~~type Card{n} struct {~}~~func (c Card{n}) Charge(x Other) {~\tc.Settle()~\tx.Run()~}~~func part{n}(p *Card{n}) {~\tp.Charge()~}",
+    "rust": "use a::b::Other;~~pub struct Card{n} {~}~~impl Card{n} {~    pub fn charge(&self, x: Other) {~        self.settle();~        x.run();~    }~    fn settle(&self) {~    }~}~~fn part{n}(c: Card{n}) {~    c.charge();~}",
+    "tsx": "import React from 'react'~~interface Props{n} {~  a: number~}~~export function View{n}(p: Props{n}) {~  return draw(p)~}",
+}
+
+
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    names = list(CODE)
+    pick = lambda x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    number = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(number.alias("file"), pick(names).alias("language"), F.replace(F.replace(pick(CODE.values()), F.lit("{n}"), number), F.lit("~"), F.lit("\n")).alias("text"))
+
+
+def code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parsed_files(code_files(spark, d)).select("file", F.explode("symbols").alias("s")).select("file", "s.name", "s.kind", F.col("s.start").alias("first"), F.col("s.end").alias("last"), "s.parent")
+
+
+def code_edges(spark: SparkSession, d: str) -> DataFrame:
+    parsed = parsing.parsed_files(code_files(spark, d))
+    calls = parsed.select("file", F.explode("edges").alias("e")).select("file", F.lit("call").alias("what"), "e.source", "e.target", "e.line")
+    return calls.unionByName(parsed.select("file", F.lit("import").alias("what"), F.explode("imports").alias("source"), F.lit("").alias("target"), F.lit(0).alias("line")))
+
+
+_SYMBOLS = {
+    "java": [("Card", "class", 4, 12, ""), ("charge", "method", 5, 9, "Card"), ("settle", "method", 10, 11, "Card")],
+    "typescript": [("Card", "class", 3, 11, ""), ("charge", "method", 4, 8, "Card"), ("settle", "method", 9, 10, "Card"), ("part", "function", 13, 15, "")],
+    "javascript": [("Card", "class", 3, 10, ""), ("charge", "method", 4, 7, "Card"), ("settle", "method", 8, 9, "Card"), ("part", "function", 12, 14, "")],
+    "go": [("Card", "type", 7, 8, ""), ("Charge", "method", 10, 13, ""), ("part", "function", 15, 17, "")],
+    "rust": [("Card", "struct", 3, 4, ""), ("charge", "method", 7, 10, "Card"), ("settle", "method", 11, 12, "Card"), ("part", "function", 15, 17, "")],
+    "tsx": [("Props", "interface", 3, 5, ""), ("View", "function", 7, 9, "")],
+}
+_CALLS = {
+    "java": [("Card{n}.charge", "Card{n}.settle", 6), ("Card{n}.charge", "Other.run", 7), ("Card{n}.charge", "total", 8)],
+    "typescript": [("Card{n}.charge", "Card{n}.settle", 5), ("Card{n}.charge", "Other.run", 6), ("Card{n}.charge", "total", 7), ("part{n}", "Card{n}.charge", 14)],
+    "javascript": [("Card{n}.charge", "Card{n}.settle", 5), ("Card{n}.charge", "run", 6), ("part{n}", "charge", 13)],
+    "go": [("Charge", "Card{n}.Settle", 11), ("Charge", "Other.Run", 12), ("part{n}", "Charge", 16)],
+    "rust": [("Card{n}.charge", "Card{n}.settle", 8), ("Card{n}.charge", "Other.run", 9), ("part{n}", "Card{n}.charge", 16)],
+    "tsx": [("View{n}", "draw", 8)],
+}
+_IMPORTED = {"java": "import java.util.List;", "typescript": "import { Other } from ''./other''", "javascript": "import { Other } from ''./other''", "go": 'import (~\t"fmt"~)', "rust": "use a::b::Other;", "tsx": "import React from ''react''"}
+
+
+def _code_symbols_sql() -> str:
+    named = lambda x: f"'{x}' || n" if x in ("Card", "part", "Props", "View") else f"'{x}'"
+    rows = [f"SELECT n AS file, {named(a)} AS name, '{b}' AS kind, {c} AS first, {e} AS last, {named(p)} AS parent FROM f WHERE k = {i}" for i, x in enumerate(CODE) for a, b, c, e, p in _SYMBOLS[x]]
+    return f"WITH f AS (SELECT p_partkey::VARCHAR AS n, p_partkey % {len(CODE)} AS k FROM part) " + " UNION ALL ".join(rows)
+
+
+def _code_edges_sql() -> str:
+    rows = [f"SELECT n AS file, 'call' AS what, replace('{a}', '{{n}}', n) AS source, replace('{b}', '{{n}}', n) AS target, {c} AS line FROM f WHERE k = {i}" for i, x in enumerate(CODE) for a, b, c in _CALLS[x]]
+    rows += [f"SELECT n, 'import', replace('{_IMPORTED[x]}', '~', chr(10)), '', 0 FROM f WHERE k = {i}" for i, x in enumerate(CODE)]
+    return f"WITH f AS (SELECT p_partkey::VARCHAR AS n, p_partkey % {len(CODE)} AS k FROM part) " + " UNION ALL ".join(rows)
+
+
 QUERIES = {
+    "T1_symbols_by_patterns": code_symbols, "T1_T2_calls_by_patterns": code_edges,
     "M2_T9_note_texts": note_texts,
     "T1_symbols": symbols, "T1_imports": imports, "T2_call_edges": call_edges, "T3_T7b_chunks": chunks, "T8_raw_chunks": raw_cover, "T14_T22_T24_routes": found_routes,
     "M2_M3_reindexed": reindexed, "M16_renamed_files": renamed, "R3_shortened": shortened,
@@ -118,15 +178,17 @@ _EXPECTED = [
 ]
 
 ORACLES = {
+    "T1_symbols_by_patterns": _code_symbols_sql(), "T1_T2_calls_by_patterns": _code_edges_sql(),
     "T1_symbols": f"""WITH f AS ({PYTHON}) SELECT file, 'Card' || m AS name, 'class' AS kind, 4 AS first, 9 AS last, '' AS parent FROM f
     UNION ALL SELECT file, 'charge', 'method', 5, 7, 'Card' || m FROM f UNION ALL SELECT file, 'settle', 'method', 8, 9, 'Card' || m FROM f UNION ALL SELECT file, 'part' || k, 'function', 11, 12, '' FROM f""",
-    "T1_imports": f"WITH f AS ({PYTHON}) SELECT file, 0 AS pos, 'os' AS module FROM f UNION ALL SELECT file, 1, 'a.b' FROM f",
+    "T1_imports": f"WITH f AS ({PYTHON}) SELECT file, 0 AS pos, 'import os' AS module FROM f UNION ALL SELECT file, 1, 'from a.b import c' FROM f",
     "T2_call_edges": f"""WITH f AS ({PYTHON}) SELECT file, 'Card' || m || '.charge' AS source, 'Card' || m || '.settle' AS target, 6 AS line FROM f
     UNION ALL SELECT file, 'Card' || m || '.charge', 'Other.run', 7 FROM f UNION ALL SELECT file, 'part' || k, 'Card' || m || '.charge', 12 FROM f""",
     "T3_T7b_chunks": f"""WITH f AS (SELECT *, string_split(text, chr(10)) AS l FROM ({PYTHON})) SELECT file, 0 AS ordinal, 'file' AS level, 'f' || k || '.py' AS name, 1 AS first, 12 AS last,
-      replace('# File: f' || k || '.py~# Imports:~os~a.b~# Symbols:~- Card' || m || ' (class)~- charge (method)~- settle (method)~- part' || k || ' (function)~', '~', chr(10)) AS text FROM f
+      replace('# File: f' || k || '.py~# Imports:~import os~from a.b import c~# Symbols:~- Card' || m || ' (class)~- charge (method)~- settle (method)~- part' || k || ' (function)~', '~', chr(10)) AS text FROM f
     UNION ALL SELECT file, 1, 'class', 'Card' || m, 4, 9, 'class Card' || m || ':' || chr(10) || '# methods: charge, settle' FROM f
-    UNION ALL SELECT file, 2, 'function', 'charge, settle, part' || k, 5, 12, array_to_string(l[5:7], chr(10)) || chr(10) || chr(10) || array_to_string(l[8:9], chr(10)) || chr(10) || chr(10) || array_to_string(l[11:12], chr(10)) FROM f""",
+    UNION ALL SELECT file, 2, 'function', 'charge, settle, part' || k, 5, 12, '# f' || k || '.py > Card' || m || ' > charge' || chr(10) || ltrim(array_to_string(l[5:7], chr(10))) || chr(10) || chr(10)
+      || '# f' || k || '.py > Card' || m || ' > settle' || chr(10) || ltrim(array_to_string(l[8:9], chr(10))) || chr(10) || chr(10) || '# f' || k || '.py > part' || k || chr(10) || array_to_string(l[11:12], chr(10)) FROM f""",
     "T8_raw_chunks": r"SELECT doc_id, len(text) // 4 <= 512 AS whole, n AS covered, n AS last, true AS named FROM (SELECT doc_id, text, (len(string_split(text, chr(10))) - CASE WHEN suffix(text, chr(10)) THEN 1 ELSE 0 END)::INT AS n FROM documents) WHERE regexp_matches(text, '[^\s]')",
     "T14_T22_T24_routes": " UNION ALL ".join(_ROUTE.format(k=k, ext=WEB[k][0], kind=kind, verb=verb, path=path, symbol=names[0], method=names[1], line=line) for k, kind, verb, path, names, line in _EXPECTED)
     + " UNION ALL SELECT 'web' || page_id || '.py', 'flask', 'GET', '/q' || page_id, 'more' || page_id, 'more' || page_id, 5 FROM pages WHERE page_id % 7 = 1 UNION ALL SELECT 'web' || page_id || '.js', 'express', 'ALL', '/q' || page_id, '', '', 6 FROM pages WHERE page_id % 7 = 2",

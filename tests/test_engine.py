@@ -122,7 +122,7 @@ def test_brief_counts_misfits(spark):
     got = compose.brief(recalled, hits, noted, 256).first()
     body = f"[note · files-field · about %s] T\n{'n' * 5}\n\n"
     assert got["text"] == "## Known already\n\n[note] t\n" + "x" * 50 + "\n\n[note] v\nz\n\n## Code\n\n// b.py:3\ncode\n\n## Recorded about this code\n\n" + body % "b.py" + body % "c.py" + "\n3 further item(s) did not fit in 256 tokens.\n"
-    assert got["dropped"] == 3
+    assert got["dropped"] == 3 and got["dropped_names"] == ["u", "c.py:4", "T"]
     nothing = compose.brief(recalled.limit(0), hits.limit(0), noted.limit(0), 256).first()
     assert nothing["text"] == "Nothing indexed matched this query.\n"
 
@@ -236,12 +236,15 @@ def test_rewritten_and_shared_dir(spark, tmp_path):
 
 
 def test_doc_and_block_chunks():
-    doc = "What this does is explained here at some length, for those who read."
-    body = "\n".join(f"    value_{k} = compute(value_{k - 1}, {k})" + ("\n" if k % 20 == 0 else "") for k in range(1, 260))
-    text = f'def short():\n    """No."""\n    return 1\n\ndef long(value_0):\n    """{doc}"""\n{body}\n'
+    doc = "# What this does is explained here at some length, for those who read."
+    body = "\n".join(f"        value_{k} = compute(value_{k - 1}, {k})" + ("\n" if k % 20 == 0 else "") for k in range(1, 260))
+    text = f'class A:\n    # No.\n    def short(self):\n        return 1\n\n    {doc}\n    def long(self, value_0):\n{body}\n'
     got = chunking.file_chunks("a/b.py", text, parsing.parse(text, "python"))
+    assert got[0]["text"] == "# File: b.py\n# Imports:\n(none)\n# Symbols:\n- A (class)\n- short (method)\n- long (method)\n" and got[1]["text"] == "class A:\n# methods: short, long"
     docs = [c for c in got if c["level"] == "doc"]
-    assert [(d["name"], d["text"]) for d in docs] == [("long", f"# b.py > long\n{doc}\ndef long(value_0):")]
+    assert [(d["name"], d["text"], d["start"], d["end"]) for d in docs] == [("long", f"# b.py > A > long\n{doc}\ndef long(self, value_0):", 6, 7)]
     blocks = [c for c in got if c["level"] == "block"]
-    assert len(blocks) > 1 and all(c["name"] == "long" and c["text"].startswith("# b.py > long\ndef long(value_0):\n") for c in blocks)
-    assert [b["start"] for b in blocks[1:]] == [a["end"] + 1 for a in blocks[:-1]] and blocks[-1]["end"] == next(s.end for s in parsing.parse(text, "python").symbols if s.name == "long")
+    assert len(blocks) > 1 and all(c["name"] == "long" and c["text"].startswith("# b.py > A > long\ndef long(self, value_0):\n") for c in blocks)
+    assert [b["start"] for b in blocks[1:]] == [a["end"] + 1 for a in blocks[:-1]] and blocks[0]["start"] == 7 and blocks[-1]["end"] == next(s.end for s in parsing.parse(text, "python").symbols if s.name == "long")
+    assert next(c for c in got if c["name"] == "short")["text"] == "# b.py > A > short\ndef short(self):\n        return 1"
+    assert chunking.grouped_name(["a", "", "b"]) == "a, b +1"

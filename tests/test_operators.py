@@ -94,6 +94,10 @@ def test_chunks_and_parsing():
     assert chunking.grouped_name([f"f{k}" for k in range(1, 8)]) == "f1, f2, f3, f4 +3"
     got = parsing.parse("class A:\n    def f(self):\n        self.g()\n    def g(self):\n        pass\ndef h(x: A):\n    x.f()\n", "python")
     assert got.edges == [("A.f", "A.g", 3), ("h", "A.f", 7)]
+    odd = "from __future__ import annotations\nimport a, b\nx = Late()\n\n# One.\n# Two.\nclass C(Base()):\n    @dec(1)\n    def m(self, y: T, z: U = 1):\n        def inner():\n            y.go()\n            z.go()\n            x.go()\n            self.y.go()\n            super().go()\n        C.D.go(inner)\n"
+    got = parsing.parse(odd, "python")
+    assert got.imports == ["import a, b"] and [(s.name, s.kind, s.parent, s.doc, s.doc_start) for s in got.symbols] == [("C", "class", "", "# One.\n# Two.", 5), ("m", "method", "C", "@dec(1)", 8), ("inner", "method", "C", "", 10)]
+    assert got.edges == [("C.inner", "T.go", 11), ("C.inner", "go", 12), ("C.inner", "go", 13), ("C.inner", "T.go", 14), ("C.inner", "go", 15), ("C.inner", "super", 15), ("C.m", "C.D.go", 16)]
     text = "\n".join(f"line {k} " + "x" * 20 for k in range(400))
     parts = chunking.raw_chunks("a/b.md", text + "\n")
     assert parts[0]["start"] == 1 and parts[-1]["end"] == 400 and all(b["start"] <= a["end"] for a, b in zip(parts, parts[1:]))
