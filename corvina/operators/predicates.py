@@ -38,8 +38,10 @@ def routes_for_handler(routes: DataFrame, handler: str) -> DataFrame:
     return routes.where((F.col("handler_symbol") == handler) | (F.col("handler_method") == handler))
 
 
-def definitions(points: DataFrame, name: str, limit: int) -> DataFrame:
-    """Exact symbols; only if there is none, symbols that end in the name. One scan, the best tier stays."""
+def definitions(points: DataFrame, name: str, limit: int, repo: str | None = None, branch: str | None = None) -> DataFrame:
+    """Exact symbols of a repository and branch; only if there is none, symbols that end in the name. One scan, the best tier stays."""
+    points = points.where(F.col("repo") == repo) if repo else points
+    points = points.where(F.col("branch") == branch) if branch else points
     symbol = F.col("symbol")
     tier = F.when(symbol == name, 1).when(symbol.endswith("." + name) | symbol.endswith("::" + name), 2)
     found = points.where(~F.col("is_deletion")).withColumn("tier", tier).where("tier IS NOT NULL")

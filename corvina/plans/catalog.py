@@ -109,8 +109,10 @@ add("X7_response_vectors", lambda s, d: docs(s, d).select("doc_id", models.respo
     "SELECT doc_id, 2 AS n, CASE WHEN doc_id % 2 = 0 THEN '15,20,' || doc_id * 10 || ',5' ELSE doc_id * 10 || ',30' END AS x FROM documents")
 
 # --- sources and sinks
-add("S4_name_status", lambda s, d: state.name_status(frame(s, d, "points").select(F.concat(F.element_at(F.array(*map(F.lit, "AMDTX")), (F.length("text") % 5 + 1).cast("int")), F.lit("\t"), "file").alias("value"))).groupBy("status").agg(F.count("*").alias("n")),
-    "SELECT CASE length(text) % 5 WHEN 0 THEN 'added' WHEN 2 THEN 'deleted' ELSE 'modified' END AS status, count(*) AS n FROM points WHERE length(text) % 5 <> 4 GROUP BY 1", "points")
+LETTERS = ["A", "M", "D", "T", "X", "R100", "C75"]
+add("S4_name_status", lambda s, d: state.name_status(frame(s, d, "points").select(F.concat_ws("\t", F.element_at(F.array(*map(F.lit, LETTERS)), (F.length("text") % 7 + 1).cast("int")), "file", F.when(F.length("text") % 7 >= 5, F.concat(F.lit("new/"), "file"))).alias("value"))).groupBy("status", "path", "from_path").agg(F.count("*").alias("n")),
+    """SELECT CASE k WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' WHEN 3 THEN 'modified' WHEN 5 THEN 'renamed' ELSE 'added' END AS status, CASE WHEN k >= 5 THEN 'new/' || file ELSE file END AS path, CASE WHEN k = 5 THEN file END AS from_path, count(*) AS n
+    FROM (SELECT file, length(text) % 7 AS k FROM points) WHERE k <> 4 GROUP BY ALL""", "points")
 add("S11_scroll", lambda s, d: frame(s, d, "points").where("repo = 'src3' AND branch = 'en'").select("id", "file"), "SELECT id, file FROM points WHERE repo = 'src3' AND branch = 'en'", "points")
 add("S12_vector_by_id", lambda s, d: frame(s, d, "vectors").where("id = 7").select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("x")), "SELECT id, round(vector[1]::DOUBLE, 6) AS x FROM vectors WHERE id = 7", "vectors")
 add("S13_upsert", lambda s, d: T.upserted(frame(s, d, "vectors").select("id", "vector", "label"), frame(s, d, "vectors").where("label = 3").select((F.col("id") + 250).alias("id"), "vector", F.lit(99).alias("label")), ["id"], 64).select("id", "label"),
@@ -151,7 +153,8 @@ def narrowed(s, d):
 add("F2_branch_narrowing", narrowed, "SELECT id, branch FROM points WHERE repo = 'src0' AND branch = 'fr' AND NOT is_deletion", "points")
 add("F3_search_routes", lambda s, d: predicates.search_routes(frame(s, d, "routes"), "get", "en/").select("http_method", "path", "line"), "SELECT http_method, path, line FROM routes WHERE upper(http_method) = 'GET' AND contains(path, 'en/')", "routes")
 add("F4_routes_for_handler", lambda s, d: predicates.routes_for_handler(frame(s, d, "routes"), "page7").select("path", "handler_symbol", "line"), "SELECT path, handler_symbol, line FROM routes WHERE handler_symbol = 'page7' OR handler_method = 'page7'", "routes")
-add("F5_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "charge7", 5).select("id", "symbol", "tier"), "SELECT id, symbol, 2 AS tier FROM points WHERE NOT is_deletion AND suffix(symbol, '.charge7') ORDER BY file, start_line, id LIMIT 5", "points")
+add("F5_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "charge3", 5, "src3", "en").select("id", "symbol", "tier"), "SELECT id, symbol, 2 AS tier FROM points WHERE repo = 'src3' AND branch = 'en' AND NOT is_deletion AND suffix(symbol, '.charge3') ORDER BY file, start_line, id LIMIT 5", "points")
+add("F5_exact_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "src3::Card3.charge3", 5).select("id", "symbol", "tier"), "SELECT id, symbol, 1 AS tier FROM points WHERE NOT is_deletion AND symbol = 'src3::Card3.charge3' ORDER BY file, start_line, id LIMIT 5", "points")
 add("F6_mentioning", lambda s, d: predicates.mentioning(frame(s, d, "memories"), "ouche", 20).select("id", "updated_at"), f"SELECT id, updated_at FROM memories WHERE {LIVE} AND (contains(content, 'ouche') OR contains(files, 'ouche')) ORDER BY updated_at DESC, id LIMIT 20", "memories")
 HITS = "id", "file", "start_line", "symbol", "level", "text"
 add("F8_hit_projection", lambda s, d: frame(s, d, "points").where("NOT is_deletion").select(*HITS), "SELECT id, file, start_line, symbol, level, text FROM points WHERE NOT is_deletion", "points")

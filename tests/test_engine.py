@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corvina.functions import chunking, columns as C, models, parsing
 from corvina.operators import budget, compose, memory, retrieval, state
-from corvina.sources import files, tables
+from corvina.plans import session
+from corvina.sources import files, legacy, tables
 from corvina.streaming import watch
 
 
@@ -248,3 +249,27 @@ def test_doc_and_block_chunks():
     assert [b["start"] for b in blocks[1:]] == [a["end"] + 1 for a in blocks[:-1]] and blocks[0]["start"] == 7 and blocks[-1]["end"] == next(s.end for s in parsing.parse(text, "python").symbols if s.name == "long")
     assert next(c for c in got if c["name"] == "short")["text"] == "# b.py > A > short\ndef short(self):\n        return 1"
     assert chunking.grouped_name(["a", "", "b"]) == "a, b +1"
+
+
+def test_legacy_notes(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "old.db")
+    con.execute("CREATE TABLE memories (id INTEGER, deleted_at TEXT, " + ", ".join(f"{f} TEXT" for f in legacy.FIELDS) + ")")
+    note = lambda i, deleted, scope, project, topic, repo: (i, deleted, f"t{i}", f"content {i}", "note", scope, project, topic, "", "me", repo, "main", "", f"2024-01-0{i}")
+    rows = [note(3, "", "local", "p", None, ""), note(1, None, "Global", "p", "k", "r"), note(2, "2024", "local", "p", "", ""), note(4, None, "local", "", "k", "")]
+    con.executemany("INSERT INTO memories VALUES (" + ", ".join("?" * 14) + ")", rows)
+    con.commit()
+    con.close()
+    old = legacy.old_notes(spark, str(tmp_path / "old.db"))
+    assert [(r["pos"], r["title"], r["topic_key"]) for r in old.orderBy("pos").collect()] == [(0, "t1", "k"), (1, "t3", ""), (2, "t4", "k")]
+    got = {r["title"]: (r["project"], r["repo"]) for r in legacy.migrated(old, "mine", "core", keep_project=True).collect()}
+    assert got == {"t1": ("@group:core", "r"), "t3": ("p", "p"), "t4": ("mine", "")}
+    assert {r["project"] for r in legacy.migrated(old, "mine").collect()} == {"@global", "mine"}
+    saved = memory.remembered(legacy.migrated(old, "mine", keep_project=True))
+    assert saved.count() == 3 and {r["revisions"] for r in saved.collect()} == {0}
+
+
+def test_session_settings():
+    assert session.resource_settings(8000, 4) == {"spark.executor.memory": "4800m", "spark.executor.memoryOverhead": "3200m", "spark.executor.cores": "4"}
+    assert session.resource_settings(0, 0)["spark.executor.cores"] == "1" and session.shuffle_partitions(100 << 40, 4000) == 819_200 and session.shuffle_partitions(1, 8) == 8
