@@ -50,8 +50,12 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 @apart
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Later occurrences of repeated lines go; a document that is nothing else goes with them."""
-    done = line_dedup.cleaned(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(line_dedup.WORD))
+    """Later occurrences of repeated lines go; a document that they leave fewer words than the quality rules ask for goes with them.
+
+    Of a near copy only the lines that differ are left, which are no document of their own.
+    """
+    left = F.regexp_count("text", F.lit(line_dedup.WORD + "+"))
+    done = line_dedup.cleaned(docs).where((F.col("n_removed") == 0) | (left >= quality.MIN_WORDS))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return done.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
