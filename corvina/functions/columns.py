@@ -58,6 +58,12 @@ def short_label(symbol: Column) -> Column:
     return F.when(symbol.contains("::"), F.substring_index(symbol, "::", -1)).when(symbol.contains("/"), F.substring_index(symbol, "/", -1)).otherwise(symbol)
 
 
+def context_header(file: Column, parent: Column, name: Column) -> Column:
+    """`# file > parent > name`, without a part that is empty."""
+    parts = F.array(F.concat(F.lit("# "), basename(file)), F.coalesce(parent, F.lit("")), F.coalesce(name, F.lit("")))
+    return F.array_join(F.filter(parts, lambda x: x != ""), " > ")
+
+
 def synthetic(symbol: Column) -> Column:
     return short_label(symbol).isin(SYNTHETIC)
 

@@ -38,6 +38,19 @@ def embedder(name: str):
     raise ValueError(f"unknown embedding provider: {name}")
 
 
+def summarizer(name: str, require_local: bool = False, key: str | None = None):
+    """Checks a summarizer's name before anything is read: only local ones where that is asked for, a service only with a key."""
+    if name in ("extractive", "noop"):
+        return name
+    if name not in ("openai", "anthropic"):
+        raise ValueError(f"unknown summarizer: {name}")
+    if require_local:
+        raise ValueError(f"the summarizer {name} is not local")
+    if not key:
+        raise ValueError(f"the summarizer {name} needs a key")
+    return name
+
+
 def keyword_embedding(text: Column, words: tuple[str, ...] = ("auth", "database", "cache", "test")) -> Column:
     """Presence of each word, at norm 1 where any is present."""
     low = F.lower(text)

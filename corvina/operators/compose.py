@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
 from corvina.functions import models
-from corvina.operators import budget, retrieval
+from corvina.operators import budget, predicates, retrieval
 
 SCOPES = ("local", "group", "global")
 
@@ -20,9 +20,9 @@ class NoKeywordIndex(Exception):
 
 def tool_search(
     points: DataFrame, text: str, vector: list[float] | None, mode: str = "vector", limit: int = 10, language: str | None = None, rerank: str | None = None,
-    keyword_index: Callable[[], retrieval.KeywordIndex] | None = None,
+    keyword_index: Callable[[], retrieval.KeywordIndex] | None = None, with_notes: bool = False,
 ) -> DataFrame:
-    """(id, score, score_kind) of the search tool: no deleted points, one language if given.
+    """(id, score, score_kind) of the search tool: no deleted points, no vectors of notes unless asked for, one language if given.
 
     The keyword index is made when it is first needed. If that fails with NoKeywordIndex, keyword search fails, hybrid
     search is by vectors alone. A reranker takes the pool of a vector or hybrid search, never of a keyword search.
@@ -30,6 +30,7 @@ def tool_search(
     if mode not in ("vector", "keyword", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
     live = points.where("NOT is_deletion")
+    live = live if with_notes or "level" not in points.columns else live.where(predicates.is_code(F.col("level")))
     kept = live.where(F.col("language") == language) if language else live
     pool = retrieval.pool_size(limit)
     depth = pool if mode == "hybrid" or rerank else limit

@@ -20,6 +20,32 @@ def point_filter(repo: str | None = None, branch: str | None = None, languages:
     return functools.reduce(operator.and_, parts)
 
 
+#: What a hit shows of a point.
+HIT = ("id", "file", "start_line", "symbol", "level", "text")
+
+
+def hits(points: DataFrame, score: str | None = None) -> DataFrame:
+    """The columns of a hit, live points only."""
+    return points.where(~F.col("is_deletion")).select(*HIT, *([score] if score else []))
+
+
+def scrolled(points: DataFrame, where: Column, columns: list[str], after: tuple | None = None, limit: int | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Rows that pass a filter, without a score; a page of `limit` rows after a key, if given."""
+    rows = points.where(where)
+    if after is not None:
+        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(v).cast(points.schema[c].dataType).alias(c) for c, v in zip(order, after))))
+    return (rows.orderBy(*order).limit(limit) if limit else rows).select(*columns)
+
+
+def vector_by_id(points: DataFrame, ids: list) -> DataFrame:
+    return points.where(F.col("id").isin(ids)).select("id", "vector")
+
+
+def is_code(level: Column) -> Column:
+    """Whether a point is code, not the vector of a note."""
+    return ~level.isin("memory", "memory_chunk")
+
+
 def narrowed_branch(points: DataFrame, repo: str, checked_out: str, default: str | None) -> str | None:
     """The checked-out branch if it has rows, else the default if that has, else none."""
     for branch in (checked_out, default):

@@ -294,10 +294,17 @@ def search(points: DataFrame, mode: str, text: str, vector: list[float] | None,
     return rrf([near, words], limit).select("id", "score", F.lit("rrf").alias("score_kind"))
 
 
-def recall(points: DataFrame, memories: DataFrame, query: list[float], limit: int, project: str | None = None) -> DataFrame:
-    """Memories by the blend of their best intro and best body scores; live rows and the project are filtered after."""
-    near = knn(points, query, max(8 * limit, 40), where=F.col("level").isin("memory", "memory_chunk"))
+def recall(points: DataFrame, memories: DataFrame, query: list[float], limit: int, project: str | None = None, before: bool = False) -> DataFrame:
+    """Memories by the blend of their best intro and best body scores; live rows and the project are filtered after.
+
+    So fewer than `limit` may be left. With `before` the filters come first and that cannot happen.
+    """
     base = F.when(F.col("level") == "memory_chunk", C.base_memory_id(F.col("id"))).otherwise(F.col("id"))
+    if before:
+        allowed = memories.where("deleted_at IS NULL")
+        allowed = allowed.where(F.col("project") == project) if project else allowed
+        points = points.withColumn("__base", base).join(allowed.select(F.col("id").alias("__base")), "__base", "left_semi").drop("__base")
+    near = knn(points, query, max(8 * limit, 40), where=F.col("level").isin("memory", "memory_chunk"))
     best = near.groupBy(base.alias("id")).agg(F.max(F.when(F.col("level") == "memory", F.col("score"))).alias("intro"), F.max(F.when(F.col("level") == "memory_chunk", F.col("score"))).alias("body"))
     rows = best.withColumn("score", C.blend(F.col("intro"), F.col("body"))).join(memories, "id").where("deleted_at IS NULL")
     rows = rows.where(F.col("project") == project) if project else rows

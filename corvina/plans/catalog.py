@@ -82,8 +82,8 @@ add("T13_prose_paths", lambda s, d: frame(s, d, "memories").select("id", F.array
     p AS (SELECT id, x, min(i) AS i FROM w WHERE contains(x, '.') AND regexp_extract(x, '[^.]*$') IN ('java', 'ts', 'tsx', 'js', 'jsx', 'html', 'scss', 'css', 'py', 'rs', 'go', 'sql', 'yaml', 'yml', 'xml', 'properties', 'kt')
       AND length(regexp_replace(x, '\\.[^.]*$', '')) > 0 AND NOT suffix(regexp_replace(x, '\\.[^.]*$', ''), '/') GROUP BY id, x)
     SELECT m.id, coalesce(string_agg(x, '|' ORDER BY i), '') AS paths FROM m LEFT JOIN p ON m.id = p.id GROUP BY m.id""".replace("\\\\", "\\"), "memories")
-add("T11_F9_labels", lambda s, d: frame(s, d, "points").select("id", C.short_label(F.col("symbol")).alias("label"), C.basename(F.col("file")).alias("base"), F.concat_ws(" > ", F.concat(F.lit("# "), C.basename(F.col("file"))), C.short_label(F.col("symbol"))).alias("header")),
-    "SELECT id, CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS label, split_part(file, '/', 2) AS base, '# ' || split_part(file, '/', 2) || ' > ' || CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS header FROM points", "points")
+add("T11_F9_labels", lambda s, d: frame(s, d, "points").select("id", C.short_label(F.col("symbol")).alias("label"), C.basename(F.col("file")).alias("base"), C.context_header(F.col("file"), F.col("language"), C.short_label(F.col("symbol"))).alias("header")),
+    "SELECT id, CASE WHEN symbol = '' THEN '' ELSE split_part(symbol, '::', 2) END AS label, split_part(file, '/', 2) AS base, '# ' || split_part(file, '/', 2) || ' > ' || language || CASE WHEN symbol = '' THEN '' ELSE ' > ' || split_part(symbol, '::', 2) END AS header FROM points", "points")
 add("F7_mentions", lambda s, d: docs(s, d).select("doc_id", *(C.mentions(F.lower("text"), F.lit(w)).alias(w) for w in ("the", "that", "la"))),
     "SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])') AS {w}" for w in ("the", "that", "la")) + " FROM documents")
 add("F10_synthetic", lambda s, d: frame(s, d, "points").select("id", "symbol", F.explode(F.array(F.lit(""), F.lit("a::<module>"), F.lit("src/<anonymous>"), F.lit("<unknown>"), F.lit("<unknown>x"), F.lit("<module>::b"))).alias("more")).select("id", "more", C.synthetic(F.concat("symbol", "more")).alias("synthetic")),
@@ -113,8 +113,9 @@ LETTERS = ["A", "M", "D", "T", "X", "R100", "C75"]
 add("S4_name_status", lambda s, d: state.name_status(frame(s, d, "points").select(F.concat_ws("\t", F.element_at(F.array(*map(F.lit, LETTERS)), (F.length("text") % 7 + 1).cast("int")), "file", F.when(F.length("text") % 7 >= 5, F.concat(F.lit("new/"), "file"))).alias("value"))).groupBy("status", "path", "from_path").agg(F.count("*").alias("n")),
     """SELECT CASE k WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' WHEN 3 THEN 'modified' WHEN 5 THEN 'renamed' ELSE 'added' END AS status, CASE WHEN k >= 5 THEN 'new/' || file ELSE file END AS path, CASE WHEN k = 5 THEN file END AS from_path, count(*) AS n
     FROM (SELECT file, length(text) % 7 AS k FROM points) WHERE k <> 4 GROUP BY ALL""", "points")
-add("S11_scroll", lambda s, d: frame(s, d, "points").where("repo = 'src3' AND branch = 'en'").select("id", "file"), "SELECT id, file FROM points WHERE repo = 'src3' AND branch = 'en'", "points")
-add("S12_vector_by_id", lambda s, d: frame(s, d, "vectors").where("id = 7").select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("x")), "SELECT id, round(vector[1]::DOUBLE, 6) AS x FROM vectors WHERE id = 7", "vectors")
+add("S11_scroll", lambda s, d: predicates.scrolled(frame(s, d, "points"), (F.col("repo") == "src3") & (F.col("branch") == "en"), ["id", "file"]), "SELECT id, file FROM points WHERE repo = 'src3' AND branch = 'en'", "points")
+add("S11_scroll_page", lambda s, d: predicates.scrolled(frame(s, d, "points"), F.col("language") == "en", ["id", "file", "start_line"], after=("src3", 5, ""), limit=25, order=("file", "start_line", "id")), "SELECT id, file, start_line FROM points WHERE language = 'en' AND (file, start_line, id) > ('src3', 5, '') ORDER BY file, start_line, id LIMIT 25", "points")
+add("S12_vector_by_id", lambda s, d: predicates.vector_by_id(frame(s, d, "vectors"), [7, 11]).select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("x")), "SELECT id, round(vector[1]::DOUBLE, 6) AS x FROM vectors WHERE id IN (7, 11)", "vectors")
 add("S13_upsert", lambda s, d: T.upserted(frame(s, d, "vectors").select("id", "vector", "label"), frame(s, d, "vectors").where("label = 3").select((F.col("id") + 250).alias("id"), "vector", F.lit(99).alias("label")), ["id"], 64).select("id", "label"),
     "SELECT id, label FROM vectors WHERE id NOT IN (SELECT id + 250 FROM vectors WHERE label = 3) UNION ALL SELECT id + 250, 99 FROM vectors WHERE label = 3", "vectors")
 add("S14_transfer", lambda s, d: T.import_lines(T.export_lines(frame(s, d, "memories").select("id", "project", "content"), "@global"), "id string, project string, content string").select("id", "project", "content", F.col("corrupt").isNull().alias("good")),
@@ -156,8 +157,7 @@ add("F4_routes_for_handler", lambda s, d: predicates.routes_for_handler(frame(s,
 add("F5_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "charge3", 5, "src3", "en").select("id", "symbol", "tier"), "SELECT id, symbol, 2 AS tier FROM points WHERE repo = 'src3' AND branch = 'en' AND NOT is_deletion AND suffix(symbol, '.charge3') ORDER BY file, start_line, id LIMIT 5", "points")
 add("F5_exact_definitions", lambda s, d: predicates.definitions(frame(s, d, "points"), "src3::Card3.charge3", 5).select("id", "symbol", "tier"), "SELECT id, symbol, 1 AS tier FROM points WHERE NOT is_deletion AND symbol = 'src3::Card3.charge3' ORDER BY file, start_line, id LIMIT 5", "points")
 add("F6_mentioning", lambda s, d: predicates.mentioning(frame(s, d, "memories"), "ouche", 20).select("id", "updated_at"), f"SELECT id, updated_at FROM memories WHERE {LIVE} AND (contains(content, 'ouche') OR contains(files, 'ouche')) ORDER BY updated_at DESC, id LIMIT 20", "memories")
-HITS = "id", "file", "start_line", "symbol", "level", "text"
-add("F8_hit_projection", lambda s, d: frame(s, d, "points").where("NOT is_deletion").select(*HITS), "SELECT id, file, start_line, symbol, level, text FROM points WHERE NOT is_deletion", "points")
+add("F8_hit_projection", lambda s, d: predicates.hits(frame(s, d, "points")), "SELECT id, file, start_line, symbol, level, text FROM points WHERE NOT is_deletion", "points")
 add("F11_shared_memories", lambda s, d: predicates.shared_memories(frame(s, d, "memories")).select("id", "project"), f"SELECT id, project FROM memories WHERE {LIVE} AND (project = '@global' OR starts_with(project, '@group:'))", "memories")
 add("F12_stale_projects", lambda s, d: predicates.stale_projects(frame(s, d, "projects"), frame(s, d, "heads")).select("name"), "SELECT p.name FROM projects p JOIN heads h ON p.name = h.name WHERE active AND head <> last_commit", "projects", "heads")
 add("F13_tracked", lambda s, d: frame(s, d, "states").where(predicates.tracked(F.col("branch"), ["en", "fr"])).groupBy("branch").agg(F.count("*").alias("n")), "SELECT branch, count(*) AS n FROM states WHERE branch IN ('en', 'fr') GROUP BY 1", "states")
@@ -194,6 +194,9 @@ J3 = f"""SELECT m.id AS memory_id, p.symbol, m.file, min(p.line) AS line FROM (S
 add("J3_M7_mentioned_symbols", lambda s, d: memory.mentioned_symbols(noted(s, d), frame(s, d, "points")).select("memory_id", "symbol", "file", "line"), J3, "memories", "points")
 add("J4_resolved_files", lambda s, d: memory.resolved_files(frame(s, d, "points").select(F.col("file").alias("path")).unionByName(frame(s, d, "points").select(C.basename(F.col("file")).alias("path"))), frame(s, d, "points").select("file")),
     """SELECT path, min(file) AS file FROM (SELECT file AS path, file FROM points UNION SELECT split_part(file, '/', 2) AS path, any_value(file) FROM (SELECT DISTINCT file FROM points) GROUP BY 1 HAVING count(*) = 1) GROUP BY 1""", "points")
+deep = lambda s, d: frame(s, d, "points").select(F.concat(F.lit("root/"), "file").alias("file")).distinct()
+add("J4_suffixes", lambda s, d: memory.resolved_files(frame(s, d, "points").select(F.col("file").alias("path")).unionByName(frame(s, d, "points").select(F.concat(F.lit("1/"), C.basename(F.col("file"))).alias("path"))), deep(s, d).unionByName(deep(s, d).where("file < 'root/src15'").select(F.concat(F.lit("other/"), "file").alias("file")))),
+    "SELECT DISTINCT file AS path, 'root/' || file AS file FROM points WHERE 'root/' || file >= 'root/src15'", "points")
 add("J5_M5_purge", lambda s, d: memory.without_project(frame(s, d, "memories").select(F.concat("id", F.lit("_c3")).alias("id")), frame(s, d, "memories"), "proj2"), "SELECT id || '_c3' AS id FROM memories WHERE project <> 'proj2'", "memories")
 SNAP = "SELECT file, hash FROM (SELECT file, max(hash) AS hash FROM states GROUP BY 1)"
 snapshot = lambda s, d: frame(s, d, "states").groupBy("file").agg(F.max("hash").alias("hash"))
@@ -250,6 +253,8 @@ add("V6_T27_rerank", lambda s, d: models.reranked(retrieval.bm25(docs(s, d).sele
 tool_points = lambda s, d: vector_points(s, d).select("id", "text", F.col("lang").alias("language"), "vector", (F.char_length("text") < 200).alias("is_deletion"))
 HYBRID_SOURCES = "vectors AS (SELECT vec_id AS id, embedding AS vector FROM embeddings), docs AS (SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"
 ALLOWED = "SELECT doc_id FROM docs WHERE length(text) >= 200 AND lang = 'en'"
+add("T27_lexical_rerank", lambda s, d: models.reranked(retrieval.bm25(docs(s, d).select(F.col("doc_id").alias("id"), "text"), QUESTION, 20).join(docs(s, d).select(F.col("doc_id").alias("id"), "text"), "id"), QUESTION, 10, "lexical").select("id", "score"),
+    f"WITH {BM}, top AS (SELECT id FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20) SELECT id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\W+')), {sorted(set(QUESTION.lower().split()))}))::DOUBLE AS score FROM top JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 10")
 add("V3b_V7_tool_keyword", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, None, "keyword", 10, "en", rerank="lexical").select("id", F.round("score", 6).alias("score"), "score_kind"),
     f"WITH {HYBRID_SOURCES}, {BM.replace('FROM documents', 'FROM docs')} SELECT id, round(score, 6) AS score, 'bm25' AS score_kind FROM bm WHERE score > 0 AND id IN ({ALLOWED}) ORDER BY bm.score DESC, id LIMIT 10")
 add("V7_tool_hybrid", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, first_vector(s, d), "hybrid", 10, "en").select("id", F.round("score", 6).alias("score"), "score_kind"),
@@ -280,6 +285,13 @@ _oracles["V8_A8_J2_recall"] = _oracles["V8_A8_J2_recall"].replace(") , near", ")
 TIERS = {"local": (0, 1, 2), "group": (2, 3, 4, 5), "global": (5, 6, 7, 8, 9)}
 
 
+add("V8_recall_filtered_before", lambda s, d: retrieval.recall(*recall_tables(s, d), first_vector(s, d), 10, "a", before=True).select("id", F.round("score", 6).alias("score")),
+    f""", near AS (SELECT CASE WHEN label <= 4 THEN id ELSE id - 1 END AS id, label <= 4 AS intro, score FROM (SELECT v.id, v.label, {COS.replace('vector::', 'v.vector::', 1)} AS score FROM vectors v JOIN vectors m ON m.id = CASE WHEN v.label <= 4 THEN v.id ELSE v.id - 1 END AND m.label <> 2 AND m.label < 8
+      ORDER BY score DESC, CASE WHEN v.label <= 4 THEN 'mem_' || v.id ELSE 'mem_' || (v.id - 1) || '_c1' END LIMIT 80)),
+    best AS (SELECT id, max(score) FILTER (WHERE intro) AS i, max(score) FILTER (WHERE NOT intro) AS c FROM near GROUP BY 1)
+    SELECT 'mem_' || id AS id, round(coalesce((i + c) / 2, i, c), 6) AS score FROM best ORDER BY coalesce((i + c) / 2, i, c) DESC, 'mem_' || id LIMIT 10""", "vectors")
+
+
 def tiers(s, d):
     q, v = first_vector(s, d), frame(s, d, "vectors")
     text = docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))

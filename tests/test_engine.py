@@ -273,3 +273,20 @@ def test_legacy_notes(spark, tmp_path):
 def test_session_settings():
     assert session.resource_settings(8000, 4) == {"spark.executor.memory": "4800m", "spark.executor.memoryOverhead": "3200m", "spark.executor.cores": "4"}
     assert session.resource_settings(0, 0)["spark.executor.cores"] == "1" and session.shuffle_partitions(100 << 40, 4000) == 819_200 and session.shuffle_partitions(1, 8) == 8
+
+
+def test_guards(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "id int, vector array<float>")
+    with pytest.raises(ValueError):
+        tables.upserted(v, v, ["id"], 3)
+    assert tables.upserted(v, v, ["id"], 2).count() == 1
+    for bad in (lambda: models.embedder("x"), lambda: models.reranked(v, "q", 1, "x"), lambda: models.summarizer("x"), lambda: models.summarizer("openai", require_local=True, key="k"), lambda: models.summarizer("openai")):
+        with pytest.raises(ValueError):
+            bad()
+    assert models.summarizer("extractive", require_local=True) == "extractive" and models.summarizer("openai", key="k") == "openai"
+
+
+def test_search_leaves_notes_out(spark):
+    p = points(spark).withColumn("level", F.when(F.col("id") == 1, "memory").otherwise("function"))
+    assert [r["id"] for r in compose.tool_search(p, "x", [1.0, 0.0]).collect()] == [3, 2]
+    assert [r["id"] for r in compose.tool_search(p, "x", [1.0, 0.0], with_notes=True).collect()] == [1, 3, 2]
