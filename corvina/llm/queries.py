@@ -154,4 +154,23 @@ class AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
 SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.u = v.vec_id) AS n_links, class.c AS component_id, class.c = v.vec_id AS kept FROM v JOIN class ON class.u = v.vec_id
 """
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_quality_rules": QUALITY_SQL, "op7_embedding_near_dedup": VECTOR_SQL, "op10_chat_format": CHAT_SQL}
+#: Similarities need only the numbers of shared shingles by their two counts (u, v); shingles of one side add their total.
+MINHASH_SQL = rf"""
+WITH RECURSIVE word AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}+') AS w FROM documents),
+ class AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) ELSE doc_id END AS words_id FROM word),
+ shingle AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(w) < {minhash.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - {minhash.SHINGLE - 1}), lambda i: array_to_string(w[i : i + {minhash.SHINGLE - 1}], ' ')) END) AS s
+   FROM class WHERE words_id = doc_id AND len(w) > 0) GROUP BY 1, 2),
+ size AS (SELECT doc_id, count(*) AS k, sum(n)::DOUBLE AS t FROM shingle GROUP BY 1),
+ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS u, b.n AS v, count(*)::DOUBLE AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+ pair AS (SELECT x, y, sum(c) AS c, sum(c * u) AS cu, sum(c * v) AS cv FROM shared GROUP BY 1, 2),
+ near AS (SELECT p.x, p.y, p.c / (a.k + b.k - p.c) AS plain, a.t - p.cu AS ra, b.t - p.cv AS rb FROM pair p JOIN size a ON a.doc_id = p.x JOIN size b ON b.doc_id = p.y WHERE 10 * p.cu >= 7 * least(a.t, b.t) OR 10 * p.cv >= 7 * least(a.t, b.t) OR 10 * p.c >= 7 * least(a.k, b.k)),
+ weighted AS (SELECT x, y, sum(c / (m + ra / u + rb / v)) AS p FROM (SELECT n.x, n.y, s.u, s.v, s.c, any_value(n.ra) AS ra, any_value(n.rb) AS rb, sum(o.c * greatest(o.u / s.u, o.v / s.v)) AS m
+   FROM near n JOIN shared s ON s.x = n.x AND s.y = n.y JOIN shared o ON o.x = n.x AND o.y = n.y GROUP BY n.x, n.y, s.u, s.v, s.c) GROUP BY 1, 2),
+ link AS (SELECT n.x, n.y FROM near n JOIN weighted w ON n.x = w.x AND n.y = w.y WHERE greatest(n.plain, w.p) >= {minhash.THRESHOLD} - 1e-12),
+ both_ways AS (SELECT x AS u, y AS v FROM link UNION SELECT y, x FROM link),
+ reach AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+ root AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT doc_id, words_id, coalesce(c, words_id) AS component_id, doc_id = coalesce(c, words_id) AS kept FROM class LEFT JOIN root ON root.u = class.words_id
+"""
+
+ORACLES = {"op9_minhash": MINHASH_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op4_quality_rules": QUALITY_SQL, "op7_embedding_near_dedup": VECTOR_SQL, "op10_chat_format": CHAT_SQL}
