@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvina.llm import pipeline_stages as stages
-from corvina.llm.common import table, written
+from corvina.llm.common import cleared, mark, table, written
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -22,5 +22,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        began = mark()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # The stage's own tables have served; its result is the last one written.
+        cleared(spark, began)
     return docs
