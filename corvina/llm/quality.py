@@ -47,21 +47,25 @@ BOILERPLATE = "(?i)" + "|".join(PHRASES)
 SEPARATORS = "|›·•→"
 
 _ENDING, _BOILERPLATE = re.compile(ENDING), re.compile(BOILERPLATE)
+_ODD = re.compile("[!»#*$%&<>" + SEPARATORS + "]")
+#: The part of each phrase before any choice: a text that holds none of them holds no phrase.
+_KEYS = [re.split(r"[.(]", p)[0] for p in PHRASES]
 
 
-def line_fails(line: str, words: int) -> bool:
-    """Whether a line of so many words is to be removed."""
+def line_fails(line: str, words: int, phrases: bool = True) -> bool:
+    """Whether a line of so many words is to be removed; `phrases`: whether its text may hold any."""
     if not _ENDING.search(line):
         return True
-    if (bangs := line.count("!")) >= 3 and bangs > words:
-        return True
-    parts = sum(map(line.count, SEPARATORS)) + (0 if "«" in line else line.count("»"))
-    if parts >= 2 and 4 * parts > words:
-        return True
-    symbols = sum(map(line.count, "#*$%&<>"))
-    if symbols >= 3 and 5 * symbols > words:
-        return True
-    return _BOILERPLATE.search(line) is not None
+    if _ODD.search(line):
+        if (bangs := line.count("!")) >= 3 and bangs > words:
+            return True
+        parts = sum(map(line.count, SEPARATORS)) + (0 if "«" in line else line.count("»"))
+        if parts >= 2 and 4 * parts > words:
+            return True
+        symbols = sum(map(line.count, "#*$%&<>"))
+        if symbols >= 3 and 5 * symbols > words:
+            return True
+    return phrases and _BOILERPLATE.search(line) is not None
 
 
 def repeat_words(words: list[list[bytes]]) -> np.ndarray:
@@ -100,6 +104,8 @@ def judge(texts: list[str | None]) -> dict[str, list]:
         seen: set[str] = set()
         duplicates = bad = kept_words = 0
         keep = []
+        low = text.lower()
+        phrases = any(k in low for k in _KEYS)
         for line in text.split("\n"):
             count = len(line.encode().split())
             if not count:
@@ -108,7 +114,7 @@ def judge(texts: list[str | None]) -> dict[str, list]:
             if line in seen:
                 duplicates += 1
             seen.add(line)
-            if line_fails(line, count):
+            if line_fails(line, count, phrases):
                 bad += 1
             else:
                 keep.append(line)
