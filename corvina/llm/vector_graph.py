@@ -2,7 +2,7 @@
 
 Vectors are dealt to overlapping shards: two k-means partitions, in each the OVERLAP nearest centroids, and apart by
 label. Each label has as many centroids as its own number of vectors asks for, so a hot label has more shards, not larger
-ones. In a shard every vector gets a pool of its nearest members, which robust pruning thins: a candidate goes when
+ones, and beyond CENTROIDS shards are divided once more by the nearest centroids of the other partition. In a shard every vector gets a pool of its nearest members, which robust pruning thins: a candidate goes when
 an already chosen neighbour is nearer to it by the factor ALPHA. A few random neighbours join it, and of those that chose
 it the BACK nearest, so its list is bounded. The adjacency lists of a vector are united over its
 shards. Then every vector searches each of its shards: greedy search from the medoids keeps a beam of the best, and
@@ -240,8 +240,10 @@ def classes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[D
 def dealt(valid: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """A row for each shard, and pair of blocks in it, of each valid vector: (id, label, width, copies, shard, vec, shards, block, low, high)."""
     spark = valid.sparkSession
-    ratio = F.col("n") * overlap / AIM
-    level = F.ceil(F.round(F.log(F.greatest(F.lit(1.0), F.least(F.lit(float(CENTROIDS)), ratio))) / math.log(4), 9)).cast("int")
+    # Beyond the centroids of one partition, a shard is divided once more, by the nearest centroids of the next one.
+    top = round(math.log(CENTROIDS, 4))
+    ratio = F.greatest(F.lit(1.0), F.col("n") * overlap / AIM)
+    level = F.least(F.lit(2 * top), F.ceil(F.round(F.log(ratio) / math.log(4), 9))).cast("int")
     sizes = written(valid.groupBy("label", "width").agg(F.count("*").alias("n")).withColumn("level", level), "label-sizes")
     widths = sizes.groupBy("width").agg(F.sum("n").alias("n"), F.max("level").alias("level")).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()
     centres: dict[int, list] = {}
@@ -250,7 +252,7 @@ def dealt(valid: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         x, good = scaled(_flat(drawn.column("v")).reshape(drawn.num_rows, -1))
         x = x[good]
         if len(x):
-            centres[w["width"]] = [[kmeans(x, 4**k, seed) for seed in range(PARTITIONS)] for k in range(w["level"] + 1)]
+            centres[w["width"]] = [[kmeans(x, 4**k, seed) for seed in range(PARTITIONS)] for k in range(min(top, w["level"]) + 1)]
     shared = spark.sparkContext.broadcast(centres)  # under 4/3 CENTROIDS vectors for each partition and length
     kind = valid.schema["id"].dataType.simpleString()
 
@@ -265,7 +267,11 @@ def dealt(valid: DataFrame, overlap: int = OVERLAP) -> DataFrame:
                     fitted = shared.value.get(width)
                     near = [np.zeros((len(x), 1), dtype=np.int64)]
                     if fitted:
-                        near = [np.argsort(-(x.astype(np.float32) @ c.T), axis=1, kind="stable")[:, :overlap] + t * 4**level for t, c in enumerate(fitted[level])]
+                        first, second = min(level, top), max(level - top, 0)
+                        closest = lambda k, t: np.argsort(-(x.astype(np.float32) @ fitted[k][t].T), axis=1, kind="stable")[:, :overlap]  # noqa: E731, B023
+                        near = [closest(first, t) + t * 4**first for t in range(PARTITIONS)]
+                        if second:
+                            near = [(c[:, :, None] * 4**second + closest(second, (t + 1) % PARTITIONS)[:, None, :]).reshape(len(x), -1) for t, c in enumerate(near)]
                     near = np.sort(np.concatenate(near, axis=1), axis=1)[good].astype(np.int32)
                     kept = b.take(pa.array(np.repeat(np.flatnonzero(own)[good], near.shape[1])))
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(near.reshape(-1)), near.shape[1]).cast(pa.list_(pa.int32()))

@@ -340,3 +340,16 @@ def test_vectors_of_several_lengths_and_hubs(spark, monkeypatch):
     x = np.concatenate([np.ones((1, 8)), np.eye(8)[r.integers(0, 8, 600)] + 0.3 + 0.01 * r.standard_normal((600, 8))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert max(map(len, vector_graph.robust_pruned(x))) <= vector_graph.DEGREE + vector_graph.FAR + vector_graph.BACK
+
+
+def test_vectors_in_two_levels_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "AIM", 50)
+    monkeypatch.setattr(vector_graph, "CENTROIDS", 16)
+    x, label = dense_vectors(8, 300, 6, [0.9, 0.1])
+    d = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
+    rows = vector_graph.dealt(vector_graph.classes(d, "vec_id", "embedding", "label")[1])
+    many = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("shard").alias("n")).collect()}
+    assert many["0"] > 64 and many["1"] <= 32  # 16 centroids, twice; the hot label needs more
+    assert rows.groupBy("label", "shard").count().agg(F.max("count")).first()[0] < 400
+    found, audit = vector_graph.near_vectors(d)
+    assert found.agg(F.sum("n_links")).first()[0] >= 0.93 * plain_links(x, label).sum() > 1000
