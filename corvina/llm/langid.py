@@ -93,9 +93,12 @@ class Columns:
             self.table[slot[todo[free]]] = todo[free]
             todo = todo[self.table[slot[todo]] != todo]
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        # What a place holds; an empty one holds 0, whose own place is the first, and there nothing but 0 itself equals it.
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.keys[slot] = codes
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (codes >> np.uint64(64 - self.bits)).view(np.int64)
 
     def __getstate__(self):
         return self.codes
@@ -105,14 +108,17 @@ class Columns:
 
     def find(self, codes: np.ndarray) -> np.ndarray:
         """The number of each code, -1 where there is none."""
-        out = np.full(len(codes), -1, dtype=np.int32)
-        slot, todo = self._slot(codes), np.arange(len(codes))
-        while len(todo) and len(self.codes):
+        slot = self._slot(codes)
+        at = self.table[slot]
+        hit = (self.keys[slot] == codes) & (at >= 0)
+        out = np.where(hit, at, np.int32(-1))
+        todo = np.flatnonzero(~hit & (at >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
             at = self.table[slot[todo]]
-            hit = (at >= 0) & (self.codes[at] == codes[todo])
+            hit = (at >= 0) & (self.keys[slot[todo]] == codes[todo])
             out[todo[hit]] = at[hit]
             todo = todo[(at >= 0) & ~hit]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
 
@@ -138,23 +144,30 @@ class Landmarks:
         step = max(1, min(128, CELLS // max(1, len(self.columns.codes))))
         for lo in range(0, len(texts), step):
             part = texts[lo : lo + step]
-            there = np.zeros(len(part) * len(self.columns.codes), dtype=np.uint8)
+            documents, numbers = [], []
             known, total = np.zeros(len(part)), np.zeros(len(part))
             points, doc = read(part)
             for n in ORDERS:
                 d, code = grams(points, doc, n)
                 column = self.columns.find(code)
                 hit = column >= 0
-                there[d[hit] * len(self.columns.codes) + column[hit]] = 1
+                documents.append(d[hit])
+                numbers.append(column[hit])
                 if n == COVERED:
-                    known += np.bincount(d[hit], minlength=len(part))
+                    known += np.bincount(documents[-1], minlength=len(part))
                     total += np.bincount(d, minlength=len(part))
-            there = there.reshape(len(part), -1)
-            used = np.flatnonzero(there.any(axis=0))
+            document, number = np.concatenate(documents), np.concatenate(numbers)
+            # Only n-grams that this batch has are columns of its presence rows.
+            mark = np.zeros(len(self.columns.codes), dtype=bool)
+            mark[number] = True
+            used = np.flatnonzero(mark)
+            place = np.cumsum(mark) - 1
+            there = np.zeros((len(part), len(used)), dtype=np.float32)
+            there.reshape(-1)[document * len(used) + place[number]] = 1
             held = np.unpackbits(self.bits[used], axis=1, count=len(self.sizes)).astype(np.float32)
-            out[lo : lo + step] = there[:, used].astype(np.float32) @ held
+            out[lo : lo + step] = there @ held
             # A text of one character has no pair of characters; its only n-gram decides.
-            covered[lo : lo + step] = np.where(total > 0, known / np.maximum(total, 1), there.any(axis=1))
+            covered[lo : lo + step] = np.where(total > 0, known / np.maximum(total, 1), np.bincount(document, minlength=len(part)) > 0)
         return out / np.sqrt(self.sizes), covered
 
 
