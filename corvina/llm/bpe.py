@@ -38,6 +38,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Fragments of more bytes are merged one by one with a heap, which is quicker for them; the ids are the same.
 LONG = 256
+#: Characters that are encoded at a time.
+SECTION = 1 << 20
+_GAP = re.compile(r"\S(?=[ \n])")
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -82,6 +85,19 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begins
 
 
+def sections(text: str) -> list[str]:
+    """A long text in parts of at least SECTION characters, cut before white space that follows something else: there every piece ends, and nothing looks back."""
+    if len(text) <= SECTION:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        found = _GAP.search(text, at + SECTION)
+        stop = found.end() if found else len(text)
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
 def accepted(spec: dict) -> None:
     """ValueError for a definition that asks for anything this encoder does not do."""
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
@@ -297,23 +313,28 @@ class ForcedBoundaryBPE:
         """(ids of all texts one after another, offsets of each text and the end)."""
         units: list[str] = []
         special: list[tuple[int, int]] = []
-        owner = []
+        owner: list[int] = []
         for k, t in enumerate(texts):
+            parts = [t or ""]
             if t and self._special is not None and any(s in t for s in self.special):
-                for part in self._special.split(t):
-                    if part in self.special:
-                        special.append((len(units), self.special[part]))
-                        part = ""
-                    units.append(part)
+                parts = self._special.split(t)
+            for part in parts:
+                if len(parts) > 1 and part in self.special:
+                    special.append((len(units), self.special[part]))
+                    part = ""
+                for piece in sections(part):
+                    units.append(piece)
                     owner.append(k)
-            else:
-                units.append(t or "")
-                owner.append(k)
-        flat, at = self._encode_plain(units)
-        sizes = np.diff(at)
+        # Units are encoded in groups of about SECTION characters, so memory follows neither a batch nor a text.
+        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        group = np.cumsum(size) // SECTION
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(units)]
+        done = [self._encode_plain(units[a:b]) for a, b in zip(cuts, cuts[1:])]
+        flat = np.concatenate([np.zeros(0, dtype="<i4"), *(f for f, _ in done)]).astype("<i4", copy=False)
+        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(np.diff(at) for _, at in done)])
         if special:
             unit = np.array([u for u, _ in special])
-            flat = np.insert(flat, at[unit], [i for _, i in special]).astype("<i4")
+            flat = np.insert(flat, np.concatenate([[0], np.cumsum(sizes)])[unit], [i for _, i in special]).astype("<i4")
             sizes[unit] = 1
         total = np.bincount(np.array(owner, dtype=np.int64), weights=sizes, minlength=len(texts)).astype(np.int64) if owner else np.zeros(0, np.int64)
         return flat, np.concatenate([[0], np.cumsum(total)]).astype(np.int64)

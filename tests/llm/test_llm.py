@@ -48,6 +48,16 @@ def test_bpe_on_random_strings(reference_tokenizer):
         assert flat[x:y].tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_encodes_long_texts_in_sections(reference_tokenizer, monkeypatch):
+    own = bpe.loaded(bpe.definition(queries.tokenizer()))
+    monkeypatch.setattr(bpe, "SECTION", 50)
+    texts = [prose(3, 400) + "  \n\n x<|endoftext|>  'tis  it's \u3000 y", None, "", " " * 300, "a" * 300, "é\n" * 200, "<|endoftext|>" * 3] + ODD
+    flat, at = own.encode_batch(texts)
+    assert len(bpe.sections(texts[0])) > 20 and "".join(bpe.sections(texts[0])) == texts[0]
+    for t, x, y in zip(texts, at, at[1:]):
+        assert flat[x:y].tolist() == reference_tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_bpe_knows_every_character(reference_tokenizer):
     own = bpe.loaded(bpe.definition(queries.tokenizer()))
     texts = [f"a{chr(c)}1 {chr(c)}" for c in range(0, 0x30000) if not 0xD800 <= c < 0xE000]
