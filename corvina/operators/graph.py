@@ -40,10 +40,9 @@ def impact(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     Breadth-first, a join for each level; levels are written to the shared folder so that lineage stays short.
     """
     spark = edges.sparkSession
-    down = edges.select(F.lit("down").alias("direction"), F.col("source").alias("a"), F.col("target").alias("b"))
-    up = edges.select(F.lit("up").alias("direction"), F.col("target").alias("a"), F.col("source").alias("b"))
-    # Written once: each level and both directions read the steps, which may be costly to make.
-    steps = written(down.unionByName(up).distinct(), "steps")
+    # Both directions from one pass over the edges, written once: each level reads the steps, which may be costly to make.
+    ways = F.array(F.struct(F.lit("down").alias("direction"), F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.lit("up").alias("direction"), F.col("target").alias("a"), F.col("source").alias("b")))
+    steps = written(edges.select(F.explode(ways).alias("x")).select("x.*").distinct(), "steps")
     frontier = spark.createDataFrame([("down", start), ("up", start)], "direction string, symbol string")
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
