@@ -21,6 +21,7 @@ without an id links with nothing and stays. An empty table gives no rows. Other
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ SMALL, LEADERS = 32, 2
 CELL_BITS = 20
 CELLS, CELL_SHIFT = 1 << CELL_BITS, np.uint64(64 - CELL_BITS)
 
+#: Bytes whose words are hashed at a time.
+SECTION = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -53,21 +57,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sections(raw: bytes) -> list[bytes]:
+    """A long text in parts of at least SECTION bytes, cut at white space."""
+    if len(raw) <= SECTION:
+        return [raw]
+    out, at = [], 0
+    while at < len(raw):
+        found = _BLANK.search(raw, at + SECTION)
+        stop = found.end() if found else len(raw)
+        out.append(raw[at:stop])
+        at = stop
+    return out
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words one after another, the number of words of each text). About SECTION bytes are read at a time."""
+    parts = [(k, p) for k, r in enumerate(raw) for p in sections(r)]
+    group = np.cumsum([len(p) for _, p in parts]) // SECTION if parts else np.zeros(0)
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(parts)]
+    words, sizes = [np.zeros(0, dtype=np.uint64)], np.zeros(len(raw), dtype=np.int64)
+    with quiet_numpy():
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = [p for _, p in parts[lo:hi]]
+            data = np.frombuffer(b"\n".join(own) + b"\n", dtype=np.uint8)
+            ends = np.cumsum([len(p) + 1 for p in own])
+            power = np.cumprod(np.full(len(data), _BASE, dtype=np.uint64))
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
+            blank = np.concatenate([[True], _SPACE[data]])
+            start, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+            inverse = np.cumprod(np.full(len(data), _INVERSE, dtype=np.uint64))
+            words.append(mix((prefix[stop] - prefix[start]) * inverse[start]))
+            np.add.at(sizes, [k for k, _ in parts[lo:hi]], np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(own)))
+    return np.concatenate(words), sizes
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle hash, count), sorted by document, then hash, over all texts."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw])
+    word, sizes = word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+    n = len(word)
     with quiet_numpy():
-        power = np.cumprod(np.full(len(data), _BASE, dtype=np.uint64))
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-        blank = np.concatenate([[True], _SPACE[data]])
-        start, stop = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-        inverse = np.cumprod(np.full(len(data), _INVERSE, dtype=np.uint64))
-        word = mix((prefix[stop] - prefix[start]) * inverse[start])
-        doc = np.searchsorted(ends, start, side="right")
-        sizes = np.bincount(doc, minlength=len(texts))
-        n = len(word)
         # Short documents are padded to one shingle with a word of their own kind.
         take = np.maximum(sizes - SHINGLE + 1, np.minimum(sizes, 1))
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]

@@ -353,3 +353,14 @@ def test_vectors_in_two_levels_of_shards(spark, monkeypatch):
     assert rows.groupBy("label", "shard").count().agg(F.max("count")).first()[0] < 400
     found, audit = vector_graph.near_vectors(d)
     assert found.agg(F.sum("n_links")).first()[0] >= 0.93 * plain_links(x, label).sum() > 1000
+
+
+def test_shingles_of_long_texts_in_sections(monkeypatch):
+    texts = [prose(1, 300), "", "x" * 500 + " y", "a  b\n\nc", prose(2, 90) * 3]
+    whole = minhash.shingles(texts)
+    monkeypatch.setattr(minhash, "SECTION", 64)
+    assert len(minhash.sections(texts[0].encode())) > 10
+    for a, b in zip(whole, minhash.shingles(texts)):
+        assert a.tolist() == b.tolist()
+    counts = [sum(plain_shingles(t).values()) for t in texts]
+    assert np.bincount(whole[0], weights=whole[2], minlength=len(texts)).tolist() == counts
