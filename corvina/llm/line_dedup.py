@@ -52,7 +52,7 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, text, n_lines, n_removed): every row of df as a struct, so that no name of a column matters, and its cleaned text."""
+    """(row, text, n_lines, n_removed): the other columns of every row as a struct, so that none of their names matters, and its cleaned text."""
     windows = written(line_windows(df, id_col, text_col), "line-windows")
     repeated = written(repeated_windows(windows), "line-repeats")
     later = windows.where("first").join(repeated, ["a", "b"]).where(F.col("id") > F.col("first_id")).select("id", "text_hash", "start", "stop")
@@ -60,7 +60,8 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     covered = later.unionByName(again).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     covered = covered.withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"})
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.select(F.struct(*(df[quoted(c)] for c in df.columns)).alias("row"), df[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    others = F.struct(F.lit(None).cast("void").alias("__none"), *(df[quoted(c)] for c in df.columns if c != text_col))
+    rows = df.select(others.alias("row"), df[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     joined = rows.join(covered, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"]))))
     lines = F.split("text", "\n", -1)
