@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
+from corvina.functions.stemming import Analysis, stem_column
 from corvina.sources.tables import written
 
 RRF_K = 60
@@ -190,10 +191,15 @@ def query_terms(query: str) -> list[str]:
     return sorted(set("".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, length) of a table (id, text)."""
-    words = docs.select("id", tokens(F.col("text")).alias("w"))
-    return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, analysis: Analysis = Analysis()) -> DataFrame:
+    """(id, term, tf, length) of a table (id, text); length counts the terms that are left of a text."""
+    words = F.split(analysis.text(F.col("text")), "[^a-z]+")
+    words = docs.select("id", F.filter(words, lambda x: (x != "") & ~x.isin(*analysis.stop_words) if analysis.stop_words else x != "").alias("w"))
+    counted = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    if not analysis.stem:
+        return counted
+    # Words are counted before they are stemmed: fewer rows reach Python, and the sums fall to the same tasks.
+    return counted.withColumn("term", stem_column("term")).groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
 
 
 #: Files of terms that a keyword index is parted into; a query reads those of its terms.
@@ -207,21 +213,22 @@ class KeywordIndex:
     postings: DataFrame  # (part, term, id, tf, length)
     documents: int
     average: float
+    analysis: Analysis = Analysis()
 
 
-def build_keyword_index(docs: DataFrame) -> KeywordIndex:
+def build_keyword_index(docs: DataFrame, analysis: Analysis = Analysis()) -> KeywordIndex:
     """Index a table (id, text). An index stands for one snapshot: after rows went or came it is built anew."""
-    rows = postings(docs).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
+    rows = postings(docs, analysis).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
     kept = written(rows.repartition(TERM_PARTS, "part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term"), "postings", "part")
     # Documents without a word have no posting but count.
     n = docs.count()
     total = kept.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    return KeywordIndex(kept, n, total / n if n else 0.0)
+    return KeywordIndex(kept, n, total / n if n else 0.0, analysis)
 
 
 def bm25_indexed(index: KeywordIndex, query: str, k: int | None = None) -> DataFrame:
     """(id, score), as bm25 gives, from the postings of the query's terms alone."""
-    terms = query_terms(query)
+    terms = index.analysis.terms(query)
     spark = index.postings.sparkSession
     part = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int").alias("p"))
     parts = [r["p"] for r in part.distinct().collect()]

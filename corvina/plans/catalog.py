@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
 from corvina.functions import models
+from corvina.functions.stemming import Analysis
 from corvina.operators import budget, compose, graph, memory, predicates, retrieval, state
 from corvina.plans import code_queries
 from corvina.plans.projections import frame, oracle
@@ -264,6 +265,9 @@ add("V7_tool_hybrid", lambda s, d: compose.tool_search(tool_points(s, d), QUESTI
     SELECT id, round(score, 6) AS score, 'rrf' AS score_kind FROM fused ORDER BY fused.score DESC, id LIMIT 10""")
 add("V7_tool_vector_reranked", lambda s, d: compose.tool_search(tool_points(s, d), QUESTION, first_vector(s, d), "vector", 10, None, rerank="noop").select("id", "score", "score_kind"),
     f"WITH {HYBRID_SOURCES} SELECT id, (21 - row_number() OVER (ORDER BY {COS} DESC, id))::DOUBLE AS score, 'noop' AS score_kind FROM vectors WHERE id IN (SELECT doc_id FROM docs WHERE length(text) >= 200) ORDER BY {COS} DESC, id LIMIT 10")
+STOPPED = Analysis(False, False, frozenset({"the", "and"}))
+STOPPED_BM = BM.replace("lambda x: x <> '')", "lambda x: x NOT IN ('', 'the', 'and'))")
+add("V3_stop_words", lambda s, d: retrieval.bm25_indexed(retrieval.build_keyword_index(docs(s, d).select(F.col("doc_id").alias("id"), "text"), STOPPED), QUESTION, 20).selectExpr("id", r6("score")), f"WITH {STOPPED_BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 add("V3b_indexed_bm25", lambda s, d: retrieval.bm25_indexed(retrieval.build_keyword_index(docs(s, d).select(F.col("doc_id").alias("id"), "text")), QUESTION, 20).selectExpr("id", r6("score")), f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 
 
@@ -403,6 +407,13 @@ add("M14_drop_branch", dropped, "SELECT name, repo, branch, count(*) AS n FROM (
 add("M15_replace_routes", lambda s, d: state.replaced_routes(frame(s, d, "routes").where("line % 3 <> 1"), frame(s, d, "routes").where("line % 3 <> 0 AND file < 'web5'")).select("framework", "http_method", "path", "line"),
     """SELECT framework, http_method, path, line FROM (SELECT *, row_number() OVER (PARTITION BY framework, http_method, path, repo, branch ORDER BY new, file, line) AS k FROM
     (SELECT 0 AS new, * FROM routes WHERE line % 3 <> 1 AND file NOT IN (SELECT file FROM routes WHERE line % 3 <> 0 AND file < 'web5') UNION ALL SELECT 1, * FROM routes WHERE line % 3 <> 0 AND file < 'web5')) WHERE k = 1""", "routes")
+def rebuilt(s, d):
+    """A table after all its rows were written anew."""
+    path = T.written(frame(s, d, "states"), "before").inputFiles()[0].rsplit("/", 1)[0]
+    return T.rewritten(s, path, 100).groupBy("repo", "branch").agg(F.count("*").alias("n"), F.sum("symbols").alias("symbols"))
+
+
+add("M19_rebuilt", rebuilt, "SELECT repo, branch, count(*) AS n, sum(symbols)::BIGINT AS symbols FROM states GROUP BY 1, 2", "states")
 add("M17_X1_cascade", lambda s, d: state.without_files(frame(s, d, "states"), frame(s, d, "states").where("hash = '3'")).groupBy("repo").agg(F.count("*").alias("n")),
     "SELECT repo, count(*) AS n FROM states s WHERE NOT EXISTS (SELECT 1 FROM states x WHERE x.hash = '3' AND x.repo = s.repo AND x.branch = s.branch AND x.file = s.file) GROUP BY 1", "states")
 add("M18_X10_register", lambda s, d: state.registered(frame(s, d, "projects"), frame(s, d, "projects").where("NOT active").select(F.concat("name", F.lit("2")).alias("name"), "path", F.lit("").alias("last_commit"), F.lit(False).alias("active"))), "SELECT CASE WHEN active THEN name ELSE name || '2' END AS name, path, last_commit, true AS active FROM projects", "projects")

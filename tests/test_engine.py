@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvina.functions import chunking, columns as C, models, parsing
+from corvina.functions.stemming import Analysis, stemmed
 from corvina.operators import budget, compose, memory, retrieval, state
 from corvina.plans import session
 from corvina.sources import files, legacy, tables
@@ -290,3 +291,21 @@ def test_search_leaves_notes_out(spark):
     p = points(spark).withColumn("level", F.when(F.col("id") == 1, "memory").otherwise("function"))
     assert [r["id"] for r in compose.tool_search(p, "x", [1.0, 0.0]).collect()] == [3, 2]
     assert [r["id"] for r in compose.tool_search(p, "x", [1.0, 0.0], with_notes=True).collect()] == [1, 3, 2]
+
+
+@pytest.mark.parametrize("word, stem", [
+    ("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("bled", "bled"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("troubled", "troubl"),
+    ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("rational", "ration"), ("digitizer", "digit"),
+    ("vietnamization", "vietnam"), ("operator", "oper"), ("hopefulness", "hope"), ("sensibiliti", "sensibl"), ("triplicate", "triplic"), ("formative", "form"), ("electrical", "electr"), ("goodness", "good"), ("revival", "reviv"), ("adjustment", "adjust"),
+    ("adoption", "adopt"), ("homologous", "homolog"), ("effective", "effect"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("controll", "control"), ("roll", "roll"), ("by", "by"),
+])
+def test_stems(word, stem):
+    assert stemmed(word) == stem
+
+
+def test_analysed_index(spark):
+    d = spark.createDataFrame([(1, "The connections were connected"), (2, "a connection, Cafés"), (3, "the cat")], "id long, text string")
+    index = retrieval.build_keyword_index(d, Analysis.english(["the", "a", "were"]))
+    assert {r["id"] for r in retrieval.bm25_indexed(index, "connecting the").collect()} == {1, 2}
+    assert [r["id"] for r in retrieval.bm25_indexed(index, "cafe").collect()] == [2] and retrieval.bm25_indexed(index, "the").count() == 0
+    assert {(r["id"], r["term"], r["tf"], r["length"]) for r in index.postings.collect()} == {(1, "connect", 2, 2), (2, "connect", 1, 2), (2, "cafe", 1, 2), (3, "cat", 1, 1)}
