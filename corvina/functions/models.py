@@ -19,8 +19,10 @@ PROVIDERS = {"keyword", "hash"}
 
 def dimension_for(provider: str, model: str, custom: int | None = None) -> int:
     """The width of a model's vectors; `custom` is what a configuration says of a model that no registry knows."""
-    known = {"local": LOCAL, "openai": OPENAI, "voyage": VOYAGE}.get(provider, {})
-    return known.get(model, custom or DEFAULT_WIDTH)
+    if provider in ("openai", "voyage"):
+        known, usual = (OPENAI, "small") if provider == "openai" else (VOYAGE, "code-3")
+        return known.get(model, known[usual])
+    return (custom or DEFAULT_WIDTH) if provider == "custom" else LOCAL.get(model, DEFAULT_WIDTH)
 
 
 def service_model(provider: str, key: str) -> str:
@@ -40,9 +42,9 @@ def embedder(name: str):
 
 def summarizer(name: str, require_local: bool = False, key: str | None = None):
     """Checks a summarizer's name before anything is read: only local ones where that is asked for, a service only with a key."""
-    if name in ("extractive", "noop"):
-        return name
-    if name not in ("openai", "anthropic"):
+    if name in ("", "extractive", "noop"):
+        return name or "extractive"
+    if name != "openai":
         raise ValueError(f"unknown summarizer: {name}")
     if require_local:
         raise ValueError(f"the summarizer {name} is not local")

@@ -205,7 +205,7 @@ def test_sweep_stream(spark, tmp_path):
 
 
 def test_models(spark):
-    assert [models.dimension_for(*x) for x in (("local", "bge-base"), ("openai", "large"), ("voyage", "3-lite"), ("local", "unknown"))] == [768, 3072, 512, 384] and models.dimension_for("custom", "x", 99) == 99
+    assert [models.dimension_for(*x) for x in (("local", "bge-base"), ("openai", "large"), ("voyage", "3-lite"), ("local", "unknown"), ("openai", "x"), ("voyage", "x"))] == [768, 3072, 512, 384, 1536, 1024] and models.dimension_for("custom", "x", 99) == 99
     assert models.service_model("openai", "odd") == "text-embedding-3-small" and models.service_model("voyage", "3") == "voyage-3"
     body = '{"data": [{"index": 1, "embedding": [2, 3]}, {"index": 0, "embedding": [0.5]}]}'
     assert one(spark, models.response_vectors(F.lit(body))) == [[0.5], [2.0, 3.0]] and one(spark, models.response_vectors(F.lit('{"vectors": [[1]]}'))) == [[1.0]]
