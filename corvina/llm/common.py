@@ -80,8 +80,8 @@ def quiet_numpy():
         yield
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the strings of `column` in one piece come to about `chars` bytes.
+def chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = CHUNK_CHARS, row: int = 64) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the strings of `column` in one piece come to about `chars` bytes; `row` is what a row counts besides.
 
     A single longer string stays whole: no operator here reads a prefix.
     """
@@ -92,7 +92,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = CHUNK_CH
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), dtype=np.int64)
-        part = np.cumsum(sizes + 64) // chars
+        part = np.cumsum(sizes + row) // chars
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

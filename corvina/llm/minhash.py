@@ -35,6 +35,8 @@ from corvina.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 SIGNATURE = BANDS * ROWS
+#: Texts of one numpy pass, and what a document's points count in bytes of text: some thousand are made for the shortest one, too.
+PASS_BYTES, ROW_BYTES = 400_000, 2000
 #: Members of a bucket that are all paired; leaders of a larger bucket.
 SMALL, LEADERS = 32, 2
 #: Cells of the hashed document frequencies.
@@ -201,7 +203,7 @@ def bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kind = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", PASS_BYTES, ROW_BYTES):
             texts = [t or "" for t in b.column(1).to_pylist()]
             doc, h, count = shingles(texts)
             key = _band_keys(doc, h, count, len(texts))
@@ -219,30 +221,33 @@ def bands(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """(id, set binary): sorted shingle hashes, then counts, eight bytes each."""
+    """(id, n, set binary): n sorted shingle hashes, then their counts if any is above one, eight bytes each."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            doc, h, count = shingles(texts)
-            at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[x:y].tobytes() + count[x:y].astype(np.uint64).tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["id", "set"])
+        for b in chunks(batches, "text", PASS_BYTES):
+            doc, h, count = shingles([t or "" for t in b.column(1).to_pylist()])
+            at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            sets = [h[x:y].tobytes() + (count[x:y].astype(np.uint64).tobytes() if (count[x:y] > 1).any() else b"") for x, y in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(sets, pa.binary())], ["id", "n", "set"])
+
+    return df.mapInArrow(run, f"id {kind}, n long, set binary")
+
 
-    return df.mapInArrow(run, f"id {kind}, set binary")
+def _unpacked(n: int, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+    return both[:n], both[n:] if len(both) > n else np.ones(n, dtype=np.uint64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) that are similar enough."""
     kind = pairs.schema["u"].dataType.simpleString()
-    joined = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v").join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias("n" + k), F.col("set").alias("s" + k))
+    joined = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "nu", "nv", "su", "sv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = (np.frombuffer(s.as_buffer(), dtype=np.uint64).reshape(2, -1) for s in (x, y))
-                keep.append(max(similarity(p[0], p[1], q[0], q[1])) >= threshold)
+            keep = [max(similarity(*_unpacked(i, x), *_unpacked(j, y))) >= threshold for i, j, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, f"u {kind}, v {kind}")
@@ -278,7 +283,7 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", PASS_BYTES):
             h = shingles([t or "" for t in b.column(1).to_pylist()])[1]
             total += np.bincount((h >> CELL_SHIFT).astype(np.int64), minlength=CELLS)
         cell = np.flatnonzero(total)
@@ -293,7 +298,7 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", PASS_BYTES):
             doc, h, count = shingles([t or "" for t in b.column(1).to_pylist()])
             df = shared.value[(h >> CELL_SHIFT).astype(np.int64)]
             order = np.lexsort((h, df, doc))
