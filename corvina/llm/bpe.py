@@ -39,7 +39,7 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Fragments of more bytes are merged one by one with a heap, which is quicker for them; the ids are the same.
 LONG = 256
 #: Characters that are encoded at a time.
-SECTION = 1 << 20
+SECTION = 1 << 19
 _GAP = re.compile(r"\S(?=[ \n])")
 NO_RANK = np.iinfo(np.int32).max
 

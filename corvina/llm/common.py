@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts of one numpy pass hold about this many characters, so memory does not follow the number of rows in a batch.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

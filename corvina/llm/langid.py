@@ -41,8 +41,8 @@ COVERED = 2
 PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES, SAMPLED_CHARS = 200, 16, 500, 20_000
 RIDGE = 1e-2
 UNKNOWN = "und"
-#: Characters of a segment, and cells of a presence matrix.
-SEGMENT, CELLS = 20_000, 1 << 25
+#: Characters of a segment and of the texts of one pass, and cells of a presence matrix.
+SEGMENT, PASS, CELLS = 20_000, 200_000, 1 << 25
 
 
 def grams(points: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +142,10 @@ class Landmarks:
         """(texts x landmarks: shared n-grams over the root of the landmark's number, coverage of each text)."""
         out, covered = np.zeros((len(texts), len(self.sizes))), np.zeros(len(texts))
         step = max(1, min(128, CELLS // max(1, len(self.columns.codes))))
-        for lo in range(0, len(texts), step):
-            part = texts[lo : lo + step]
+        group = np.cumsum([len(t) for t in texts]) // PASS * len(texts) + np.arange(len(texts)) // step
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)] if texts else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = texts[lo:hi]
             documents, numbers = [], []
             known, total = np.zeros(len(part)), np.zeros(len(part))
             points, doc = read(part)
@@ -165,9 +167,9 @@ class Landmarks:
             there = np.zeros((len(part), len(used)), dtype=np.float32)
             there.reshape(-1)[document * len(used) + place[number]] = 1
             held = np.unpackbits(self.bits[used], axis=1, count=len(self.sizes)).astype(np.float32)
-            out[lo : lo + step] = there @ held
+            out[lo:hi] = there @ held
             # A text of one character has no pair of characters; its only n-gram decides.
-            covered[lo : lo + step] = np.where(total > 0, known / np.maximum(total, 1), np.bincount(document, minlength=len(part)) > 0)
+            covered[lo:hi] = np.where(total > 0, known / np.maximum(total, 1), np.bincount(document, minlength=len(part)) > 0)
         return out / np.sqrt(self.sizes), covered
 
 
