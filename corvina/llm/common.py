@@ -96,3 +96,5 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, chars: int = CHUNK_CH
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    # A worker lives on after its task; what the task's batches took goes back.
+    pa.default_memory_pool().release_unused()
