@@ -8,11 +8,12 @@ sequence is opened when no open one has room. Lengths are taken in descending or
 ideal 9,991; opening by the rule alone needs 4,947 and 10,408).
 
 The rule looks at lengths alone, so the driver works on the histogram of lengths, which has at most `capacity`
-entries however many documents there are. It takes one step of the rule for each piece or, beyond STEPS pieces, for
-each group of a power of four equal pieces, all lengths by the same factor and what is left over in smaller groups. The
-moves of a length are written down as runs (length, first rank, count, first sequence, offset). A piece finds its place
-from its rank among the pieces of its length. Ranks come from counts for each task, so no task sees all pieces of a
-common length.
+entries however many documents there are. The plan is that of the rule piece by piece at every number of pieces, but
+equal pieces move together. Where the open sequences have no more room than the pieces of a length need, all of it is
+taken, and new sequences are filled one after another: a sum for each gap. Where they have more, whole levels are taken
+(`settled`), and only the moves of the last level are made one by one. Runs (length, first rank, count, first sequence,
+offset) write the moves of a length down. A piece finds its place from its rank among the pieces of its length. Ranks
+come from counts for each task, so no task sees all pieces of a common length.
 
 Cases: null text packs as the empty text, whose one piece is the end id. Equal rows are packed each. An empty table
 gives no rows. A null id stays null. Columns other than the id and the text are ignored, whatever their names.
@@ -33,89 +34,134 @@ from pyspark.sql import functions as F
 from corvina.llm.bpe import definition, loaded
 from corvina.llm.common import chunks, written
 
-#: Steps of the rule for the first and largest groups of pieces.
+#: Moves that all lengths together may leave to single steps instead of looking for lower levels; the plan is the same for every value.
 STEPS = 1 << 20
-#: Runs that are sent to every task at most, 40 bytes each; some 40,000 are met with.
+#: Runs that are sent to every task at most, 40 bytes each; some 20,000 are met with.
 RUNS = 1 << 20
-_NEVER = np.iinfo(np.int64).max
+_NEVER = np.iinfo(np.int64).min
 
 
-def moves(n: np.ndarray, length: int, pieces: int, capacity: int) -> dict[int, int]:
-    """Places pieces of one length one by one by the rule: how often it took each gap; gap `capacity` is a new sequence.
+def worth(n: np.ndarray, length: int) -> np.ndarray:
+    """What a move from each gap, from `length` on, takes off the sum of squares, if a sequence has that gap."""
+    fall = 2 * (n[length:-1] - n[: -1 - length]) - 2
+    fall[:1] += 1  # a full sequence is no longer counted
+    return fall
 
-    n holds the number of open sequences by gap and is brought up to date.
-    """
-    width = capacity - length  # gaps from length to capacity - 1
-    cost = np.full(max(width, 0), _NEVER, dtype=np.int64)
 
-    def update(gap: int) -> None:
-        if length <= gap < capacity:
-            k = gap - length
-            cost[k] = 1 - 2 * n[gap] + (1 + 2 * n[k] if k else 0) if n[gap] else _NEVER
+def settled(n: np.ndarray, length: int, level: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(counts by gap, moves from each gap) after all moves worth more than `level`; None if they are more than `most`.
 
-    for gap in np.flatnonzero(n[length:capacity]) + length:
-        update(int(gap))
-    taken: dict[int, int] = {}
+    A move lowers the worth of moves from its own gap only, by four or, where it fills the sequence, by two; it never
+    lowers that of others. So these moves come to the same numbers in any order, many at once or as the rule takes them.
+    """
+    n = n.copy()
+    open_, left = n[length:-1], n[: -1 - length]
+    made = np.zeros(len(open_), dtype=np.int64)
+    while True:
+        above = worth(n, length) - level
+        now = (above + 3) // 4
+        now[:1] = (above[:1] + 1) // 2
+        now = np.clip(now, 0, open_)
+        if not now.any():
+            return n, made
+        made += now
+        if made.sum() > most:
+            return None
+        open_ -= now
+        left += now
+        n[0] = 0
+
+
+def single(n: np.ndarray, length: int, pieces: int) -> np.ndarray:
+    """Moves from each gap when pieces go to open sequences one by one by the rule; n is brought up to date."""
+    capacity = len(n) - 1
+    fall = np.where(n[length:-1] > 0, worth(n, length), _NEVER)
+    made = np.zeros(len(fall), dtype=np.int64)
     for _ in range(pieces):
-        k = int(cost.argmin()) if width > 0 else 0
-        gap = k + length if width > 0 and cost[k] != _NEVER else capacity
-        taken[gap] = taken.get(gap, 0) + 1
-        if gap < capacity:
-            n[gap] -= 1
-        rest = gap - length
+        rest = int(fall.argmax())
+        made[rest] += 1
+        n[rest + length] -= 1
         if rest:
             n[rest] += 1
-        # A count stands in the cost of its own gap and in that of the gap that would become it.
-        for changed in (gap, gap + length, rest):
-            update(changed)
+        # A count stands in the worth of its own gap and in that of the gap that would become it.
+        for gap in (rest, rest + length, rest + 2 * length):
+            if length <= gap < capacity:
+                fall[gap - length] = 2 * (n[gap] - n[gap - length]) - (1 if gap == length else 2) if n[gap] else _NEVER
+    return made
+
+
+def moves(n: np.ndarray, length: int, pieces: int, few: int) -> np.ndarray:
+    """How often pieces of one length take each gap by the rule; gap `capacity` is a new sequence.
+
+    n holds the number of open sequences by gap and is brought up to date. At most `few` moves are left to single steps
+    while there are levels to take before them.
+    """
+    capacity = len(n) - 1
+    taken = np.zeros(capacity + 1, dtype=np.int64)
+    gaps = np.arange(length, capacity)
+    over = pieces - int((n[length:-1] * (gaps // length)).sum())
+    if over < 0:
+        left, high, low = pieces, int(worth(n, length).max()), -2 * int(n.sum()) - 4
+        # All moves worth more than `high` are made; those worth more than `low` are too many.
+        while left > few and high - low > 1:
+            level = (high + low) // 2
+            found = settled(n, length, level, left)
+            if found is None:
+                low = level
+            else:
+                high, n[:], left = level, found[0], left - int(found[1].sum())
+                taken[length:-1] += found[1]
+        taken[length:-1] += single(n, length, left)
+        return taken
+    # All room is taken: a gap is left as often as it, or one that comes to it, was there.
+    rows = np.zeros((-(-len(gaps) // length), length), dtype=np.int64)
+    rows.reshape(-1)[: len(gaps)] = n[length:-1]
+    taken[length:-1] = np.cumsum(rows[::-1], axis=0)[::-1].reshape(-1)[: len(gaps)]
+    # Then a new sequence is the only one with room until it is filled; the last one may get fewer pieces.
+    full, part = divmod(over, capacity // length)
+    for k in range(capacity // length):
+        taken[capacity - k * length] += full + (k < part)
+    n[length:] -= taken[length:]
+    n[: capacity + 1 - length] += taken[length:]
+    n[0] = n[capacity] = 0
     return taken
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     """Runs (length, first rank, count, first sequence, offset) for counts of pieces by length.
 
-    The number of runs follows the capacity and STEPS, not the number of pieces.
+    The number of runs follows the capacity and the number of lengths, not the number of pieces.
     """
     for length in counts:
         if not 0 < length <= capacity:
             raise ValueError(f"no piece of length {length} fits a sequence of {capacity}")
     open_at: list[deque] = [deque() for _ in range(capacity + 1)]  # by gap: [first sequence, count]
-    rank = dict.fromkeys(counts, 0)
-    left = {k: int(v) for k, v in counts.items()}
     runs: list[tuple[int, int, int, int, int]] = []
     sequences, n = 0, np.zeros(capacity + 1, dtype=np.int64)
-    group = 1
-    while sum(left.values()) > STEPS * group:
-        group *= 4
-    while group:
-        for length in sorted(left, reverse=True):
-            groups, left[length] = divmod(left[length], group)
-            if not groups:
-                continue
-            # Larger gaps first: what a move leaves may be what a later move of the same length takes.
-            for gap, times in sorted(moves(n, length, groups, capacity).items(), reverse=True):
-                move, rest = times * group, gap - length
-                if gap == capacity:
-                    open_at[capacity].append([sequences, move])
-                    sequences += move
-                while move:
-                    first, count = open_at[gap][0]
-                    took = min(count, move)
-                    runs.append((length, rank[length], took, first, capacity - gap))
-                    if took == count:
-                        open_at[gap].popleft()
+    for length in sorted(counts, reverse=True):
+        rank, taken = 0, moves(n, length, int(counts[length]), STEPS // len(counts))
+        # Larger gaps first: what a move leaves may be what a later move of the same length takes.
+        for gap in np.flatnonzero(taken)[::-1].tolist():
+            move, rest = int(taken[gap]), gap - length
+            if gap == capacity:
+                open_at[capacity].append([sequences, move])
+                sequences += move
+            while move:
+                first, count = open_at[gap][0]
+                took = min(count, move)
+                runs.append((length, rank, took, first, capacity - gap))
+                if took == count:
+                    open_at[gap].popleft()
+                else:
+                    open_at[gap][0] = [first + took, count - took]
+                if rest:
+                    last = open_at[rest][-1] if open_at[rest] else None
+                    if last and last[0] + last[1] == first:
+                        last[1] += took
                     else:
-                        open_at[gap][0] = [first + took, count - took]
-                    if rest:
-                        last = open_at[rest][-1] if open_at[rest] else None
-                        if last and last[0] + last[1] == first:
-                            last[1] += took
-                        else:
-                            open_at[rest].append([first, took])
-                    move -= took
-                    rank[length] += took
-        group //= 4
-        n *= 4
+                        open_at[rest].append([first, took])
+                move -= took
+                rank += took
     return np.array(runs, dtype=np.int64).reshape(-1, 5)
 
 

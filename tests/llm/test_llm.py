@@ -151,6 +151,47 @@ def test_plan_follows_the_rule_piece_by_piece(seed):
     assert runs[runs[:, 4] == 0][:, 2].sum() == len(plain_sum_of_squares(sizes, 60))
 
 
+def taken_by_the_rule(counts, capacity):
+    """How often pieces of each length take each gap, piece by piece on the numbers of open sequences."""
+    n, taken = [0] * (capacity + 1), collections.Counter()
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            gap, least = capacity, None
+            for g in range(size, capacity):
+                if n[g]:
+                    change = 1 - 2 * n[g] + (2 * n[g - size] + 1 if g > size else 0)
+                    if least is None or change < least:
+                        gap, least = g, change
+            if gap < capacity:
+                n[gap] -= 1
+            if gap > size:
+                n[gap - size] += 1
+            taken[size, gap] += 1
+    return taken
+
+
+def taken_by_plan(counts, capacity):
+    taken = collections.Counter()
+    for length, _, n, _, offset in packing.plan(counts, capacity).tolist():
+        taken[length, capacity - offset] += n
+    return taken
+
+
+@pytest.mark.parametrize("counts", [{9: 130_001, 8: 99_990, 7: 150_003, 5: 200_001, 3: 250_007, 2: 370_002, 1: 1003}, {11: 300_000, 7: 400_000, 4: 150_001, 1: 450_000}])
+def test_plan_follows_the_rule_beyond_a_million_pieces(counts):
+    assert sum(counts.values()) > 1 << 20 and taken_by_plan(counts, 12) == taken_by_the_rule(counts, 12)
+
+
+@pytest.mark.parametrize("steps", [64, 1 << 12, 1 << 40])
+def test_plan_does_not_depend_on_steps(monkeypatch, steps):
+    monkeypatch.setattr(packing, "STEPS", steps)
+    r = random.Random(steps)
+    for capacity in (2, 13, 60, 61, 200):
+        for most in (1, 40, 900):
+            counts = {r.randint(1, capacity): r.randint(1, most) for _ in range(20)} | {1: r.randint(1, most)}
+            assert taken_by_plan(counts, capacity) == taken_by_the_rule(counts, capacity)
+
+
 def test_plan_is_the_same_at_every_size(monkeypatch):
     monkeypatch.setattr(packing, "STEPS", 1 << 18)
     for sizes in (np.random.default_rng(0).integers(1, 2049, 5000), np.clip(np.random.default_rng(1).lognormal(6, 1, 5000), 1, 2048).astype(int), np.full(10, 1000)):
