@@ -430,3 +430,15 @@ def test_pipeline(spark, tmp_path):
     # 1 copies 0 whole, 8 is near to 7; of 3 the lines around the edits in 2 are left.
     assert {r["doc_id"] for r in out} == {0, 2, 3, 6, 7} and sum(r["length"] for r in out if r["doc_id"] == 3) < 400
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_packs_by_the_rule_at_every_size(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "STEPS", 64)
+    texts = [*(prose(k, 24 + 8 * (k % 4)) for k in range(160)), *(prose(k, 2500 + k) for k in range(200, 230))]
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(range(len(texts)))
+    taken = collections.Counter((r["length"], 2048 - r["offset"]) for r in out)
+    assert taken == taken_by_the_rule(collections.Counter(r["length"] for r in out), 2048)
