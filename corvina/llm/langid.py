@@ -227,15 +227,21 @@ def train(df: DataFrame, trains, id_col: str = "doc_id", text_col: str = "text",
     long_only = [r["lang"] for r in counted.where("few = 0").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     if not counts:
         return Model()
-    # A threshold for each language makes about twice the sample; the exact bound is applied to what came of it.
-    pairs = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * per_language / n) * (1 << 40))))]
-    limit = F.create_map(*pairs)[F.col("lang")]
-    drawn = rows.where((F.col("h") < limit) & (ordinary | F.col("lang").isin(long_only))).select("lang", "h", F.xxhash64("text").alias("t"), "text")
-    # Rows that are equal in id and text are drawn once, so no tie can outgrow the sample.
-    drawn = drawn.dropDuplicates(["lang", "h", "t"])
+    # A threshold for each language makes about twice the sample; the exact bound is applied to what came of it. Rows that
+    # are equal in id and text are drawn once, so no tie can outgrow the sample; where they leave too few, the threshold rises.
+    share = {k: 2 * per_language / n for k, n in counts.items()}
     place = F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))
-    # Bounded by per_language and MOST_LANGUAGES, so it is written once and read twice.
-    sample = written(drawn.withColumn("place", place).where(F.col("place") <= per_language), "language-sample")
+    while True:
+        pairs = [x for k, s in share.items() for x in (F.lit(k), F.lit(int(min(1.0, s) * (1 << 40))))]
+        limit = F.create_map(*pairs)[F.col("lang")]
+        drawn = rows.where((F.col("h") < limit) & (ordinary | F.col("lang").isin(long_only))).select("lang", "h", F.xxhash64("text").alias("t"), "text").dropDuplicates(["lang", "h", "t"])
+        # Bounded by per_language and MOST_LANGUAGES, so it is written once and read again.
+        sample = written(drawn.withColumn("place", place).where(F.col("place") <= per_language), "language-sample")
+        have = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [k for k, s in share.items() if s < 1 and have.get(k, 0) < per_language]
+        if not short:
+            break
+        share |= {k: 16 * share[k] for k in short}
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):

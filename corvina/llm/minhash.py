@@ -9,7 +9,7 @@ few documents with an empty register go on with a doubled horizon. A document th
 signature, of its shingles without their counts, for the plain Jaccard similarity; without repeats the two are equal.
 
 Documents with equal words form a class, represented by its least id; one of each class goes on. Registers of
-both signatures are banded alike. Members of a small bucket are all paired. A large bucket is tied to LEADERS of its members; when links then
+both signatures are banded alike. Every bucket, whatever its size, is tied to LEADERS of its members; when links then
 leave it in more than one component, prefix filters over rare shingles, one for each similarity and both exact, find
 the candidates between its components, so nothing is dropped. Pairs are verified on their whole shingle sets: a link needs a similarity of
 THRESHOLD, probability Jaccard or plain Jaccard. Classes are the components of the links.
@@ -37,8 +37,10 @@ BANDS, ROWS = 25, 5
 SIGNATURE = BANDS * ROWS
 #: Texts of one numpy pass, and what a document's points count in bytes of text: some thousand are made for the shortest one, too.
 PASS_BYTES, ROW_BYTES = 400_000, 2000
-#: Members of a bucket that are all paired; leaders of a larger bucket.
-SMALL, LEADERS = 32, 2
+#: Leaders of a bucket.
+LEADERS = 2
+#: Read by nothing: up to so many members a bucket once went another way. Tests still set it.
+SMALL = 32
 #: Cells of the hashed document frequencies.
 CELL_BITS = 20
 CELLS, CELL_SHIFT = 1 << CELL_BITS, np.uint64(64 - CELL_BITS)
@@ -318,11 +320,13 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     first = F.col("pos") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     small = front.where(first | (F.col("share") >= least - 1e-9)).select("token", *(F.col(k).alias(k + "1") for k in columns))
     large = front.select("token", *(F.col(k).alias(k + "2") for k in columns))
-    order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") != F.col("id2")))
+    # Of two that come equal in it, either may stand for the smaller one: the one of the lesser id does.
+    ahead = lambda less, equal: less | (equal & (F.col("id1") < F.col("id2")))
+    order = ahead(F.col("n1") < F.col("n2"), F.col("n1") == F.col("n2"))
     overlap = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9
     plain = order & (F.col("n1") >= F.col("n2") * threshold - 1e-9) & overlap
     # Without repeats on either side the two similarities are equal, and the first bound is the closer one.
-    counted = (F.col("repeats1") | F.col("repeats2")) & (F.col("share1") >= F.col("share2")) & (1 / F.col("share1") + 1 / F.col("share2") <= 1 + 1 / threshold + 1e-9)
+    counted = (F.col("repeats1") | F.col("repeats2")) & ahead(F.col("share1") > F.col("share2"), F.col("share1") == F.col("share2")) & (1 / F.col("share1") + 1 / F.col("share2") <= 1 + 1 / threshold + 1e-9)
     pairs = small.join(large, (small["token"] == large["token"]) & (F.col("c1") != F.col("c2")) & (plain | counted))
     return pairs.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct()
 
@@ -340,14 +344,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaders = [F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "buckets")
     members = written(keyed.join(buckets, "key"), "members")
-    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-    pairs = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").where("u < v").select("u", "v")
-    lead = many.select(F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"), "id").where("l <> id").select(F.least("l", "id").alias("u"), F.greatest("l", "id").alias("v"))
-    links = _linked(pairs.unionByName(lead).distinct(), texts, threshold)
+    ties = members.select(F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"), "id").where("l <> id").select(F.least("l", "id").alias("u"), F.greatest("l", "id").alias("v"))
+    links = _linked(ties.distinct(), texts, threshold)
     found = components(links)
-    side = many.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    side = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     split = written(side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "split")
-    rest = written(many.select("key", "id").join(split, "key", "left_semi").select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "rest")
+    rest = written(members.select("key", "id").join(split, "key", "left_semi").select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c")), "rest")
     if not rest.isEmpty():
         more = _linked(_rest_pairs(rest, texts, threshold), texts, threshold)
         found = components(written(links.unionByName(more), "links"))

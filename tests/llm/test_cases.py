@@ -178,6 +178,18 @@ def test_many_languages(spark, monkeypatch):
     assert model.languages == ["x", "y"] and langid.predictions(["lora lora", "zrk"], model)[0] == ["x", "y"]
 
 
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_language_model_does_not_follow_the_number_of_equal_rows(spark, copies):
+    words = {"en": "the and river morning letter with garden", "de": "und der straße fenster mit schnee abend", "fr": "les des matin jardin avec lettre où"}
+    rows = [(10 * i + j, " ".join(random.Random(10 * i + j).choices(words[k].split(), k=15)), k) for i, k in enumerate(words) for j in range(6)]
+    single = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = single.crossJoin(spark.range(copies).select())
+    model, once = (langid.train(x, ~langid.held_out(x)) for x in (d, single))
+    assert model.languages == once.languages == sorted(words) and np.array_equal(model.solution, once.solution)
+    left = pipeline_stages.language_id(spark, d, "")
+    assert left.groupBy("doc_id").count().where(f"count = {copies}").count() == len(rows)
+
+
 def test_rows_without_a_conversation_spread(spark):
     d = spark.createDataFrame([(None, k % 7, "user", "same") for k in range(400)] + [(1, 1, "assistant", "x" * 300_000)], "conv_id long, turn long, role string, text string")
     got = chat.read(chat.format_conversations(d)).collect()
@@ -237,6 +249,30 @@ def test_minhash_equals_a_model_of_its_own(spark, monkeypatch, small):
     assert [got[k] for k in range(len(texts))] == plain_classes(texts)
 
 
+def edited(seed, words, edits):
+    r, words = random.Random(seed), list(words)
+    for i in r.sample(range(len(words)), edits):
+        words[i] = f"e{seed}x{i}"
+    return words
+
+
+@pytest.mark.parametrize("more", [0, 40])
+def test_minhash_does_not_follow_the_size_of_buckets(spark, more):
+    """Two near texts that share no band, each in a bucket with a text that is not near, which has few or many copies with an edit."""
+    rows = []
+    for k, g in enumerate([75, 90, 134]):
+        base = [f"g{g}w{i}" for i in range(100)]
+        own = [base, edited(g * 10 + 1, base, 6), edited(g * 10 + 2, base, 8)]
+        own.append(edited(g * 10 + 3, own[1], 8))
+        keys = minhash.bands(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(own)], "doc_id long, text string")).collect()
+        a, b, c, d = (set(r["bands"]) for r in sorted(keys, key=lambda r: r["id"]))
+        assert not a & b and a & (c | d) and b & (c | d)
+        own += [[*w, f"tail{n}"] for w in own[2:] for n in range(more)]
+        rows += [(1000 * k + i, " ".join(w)) for i, w in enumerate(own)]
+    got = {x["id"]: x["component"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()}
+    assert all(got[1000 * k] == got[1000 * k + 1] == 1000 * k < got[1000 * k + 2] for k in range(3))
+
+
 def plain_line_dedup(rows):
     seen, out = set(), {}
     for k, text in sorted(rows.items()):
