@@ -55,10 +55,11 @@ def summarizer(name: str, require_local: bool = False, key: str | None = None):
 
 def keyword_embedding(text: Column, words: tuple[str, ...] = ("auth", "database", "cache", "test")) -> Column:
     """Presence of each word, at norm 1 where any is present."""
-    low = F.lower(text)
-    hits = F.array(*(low.contains(w).cast("float") for w in words))
-    norm = F.sqrt(F.aggregate(hits, F.lit(0.0), lambda s, x: s + x))
-    return F.transform(hits, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    bound = C.bound
+    hits = lambda low: F.array(*(low.contains(w).cast("float") for w in words))
+    norm = lambda h: F.sqrt(F.aggregate(h, F.lit(0.0), lambda s, x: s + x))
+    scaled = lambda h, n: F.transform(h, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))
+    return bound(bound(F.lower(text), hits), lambda h: bound(norm(h), lambda n: scaled(h, n)))
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:

@@ -60,31 +60,47 @@ def packed(rows: DataFrame, budget: int, stop: bool = False, most: int = 1000) -
     return done.select("grp", F.explode(taken).alias("z")).select("grp", "z.id", "z.rank", "z.taken")
 
 
-def anchored_sentences(texts: DataFrame, embed, query: str | None = None) -> DataFrame:
-    """(id, content, pos, sentence, score) of texts (id, text): the cosine of each sentence with the query, else with the first sentence."""
+def anchored_sentences(texts: DataFrame, embed, query: str | None = None, digits: int | None = None) -> DataFrame:
+    """(id, content, scored) of texts (id, text), a row for each: its sentences (pos, sentence, score) in order.
+
+    A score is the cosine of the sentence with the query, else with the first sentence, rounded to `digits` if given.
+    """
     rows = texts.select("id", F.col("text").alias("content"), C.sentences(F.col("text")).alias("s"))
     anchor = F.lit(query) if query is not None else F.get("s", F.lit(0))
-    rows = rows.select("id", "content", embed(anchor).alias("a"), F.posexplode_outer("s").alias("pos", "sentence"))
-    return rows.select("id", "content", "pos", "sentence", C.cosine(embed(F.col("sentence")), F.col("a")).alias("score"))
+    rows = rows.select("id", "content", "s", embed(anchor).alias("a"))
+
+    def one(sentence, pos):
+        score = C.bound(embed(sentence), lambda v: C.cosine(v, F.col("a")))
+        return F.struct(pos.alias("pos"), sentence.alias("sentence"), (F.round(score, digits) if digits is not None else score).alias("score"))
+
+    return rows.select("id", "content", F.transform("s", one).alias("scored"))
 
 
 def extractive(scored: DataFrame, target_tokens: int) -> DataFrame:
-    """(id, summary) of scored sentences (id, content, pos, sentence, score).
+    """(id, summary) of texts with scored sentences (id, content, scored), a row for each; texts stay where they are.
 
     The best sentence is always taken; a sentence that does not fit is skipped; once the target is reached nothing more
     is; order is restored. A text of one sentence, or within the target, stays whole but for white space around it.
     """
-    item = F.struct((-F.col("score")).alias("s"), F.col("pos").alias("pos"), F.col("sentence").alias("t"), C.token_estimate(F.col("sentence")).cast("long").alias("n"))
-    texts = scored.groupBy("id").agg(F.first("content").alias("content"), F.array_sort(F.collect_list(F.when(F.col("sentence").isNotNull(), item))).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    item = lambda v: F.struct((-v["score"]).alias("s"), v["pos"].alias("pos"), v["sentence"].alias("t"), C.token_estimate(v["sentence"]).cast("long").alias("n"))
+    texts = scored.select("id", "content", F.coalesce(F.sort_array(F.transform("scored", item)), F.array()).alias("x"))
+    # Sentences of no token are taken as long as there is room, so their places follow from `room`; `kept` holds the others' places, as many as the target has tokens at most.
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("at"), F.lit(0).alias("room"))
 
     def step(a, x):
-        take = (F.size(a["kept"]) == 0) | ((a["used"] < target_tokens) & (a["used"] + x["n"] <= target_tokens))
-        return F.when(take, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["kept"], F.array(x["pos"])).alias("kept"))).otherwise(a)
+        room = a["used"] < target_tokens
+        take = (a["at"] == 0) | (room & (x["n"] > 0) & (a["used"] + x["n"] <= target_tokens))
+        return F.struct(
+            F.when(take, a["used"] + x["n"]).otherwise(a["used"]).alias("used"), F.when(take, F.concat(a["kept"], F.array(a["at"]))).otherwise(a["kept"]).alias("kept"),
+            (a["at"] + 1).alias("at"), (a["room"] + room.cast("int")).alias("room"),
+        )
+
+    def joined(a):
+        marked = F.transform("x", lambda v, at: F.struct(v["pos"].alias("pos"), v["t"].alias("t"), (F.array_contains(a["kept"], at) | ((v["n"] == 0) & (at < a["room"]))).alias("taken")))
+        return F.array_join(F.transform(F.sort_array(F.filter(marked, lambda v: v["taken"])), lambda v: v["t"]), " ")
 
     whole = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
-    in_order = F.array_sort(F.transform("x", lambda v: F.struct(v["pos"].alias("pos"), v["t"].alias("t"))))
-    picked = C.bound(F.aggregate("x", start, step)["kept"], lambda kept: F.array_join(F.transform(F.filter(in_order, lambda v: F.array_contains(kept, v["pos"])), lambda v: v["t"]), " "))
+    picked = C.bound(F.aggregate("x", start, step), joined)
     return texts.select("id", F.when((F.size("x") <= 1) | (C.token_estimate(F.col("content")) <= target_tokens), whole).otherwise(picked).alias("summary"))
 
 

@@ -327,8 +327,7 @@ V11 = f""", s AS (SELECT id, text, t, row_number() OVER (PARTITION BY id ORDER B
 
 
 def summarized(s, d):
-    scored = budget.anchored_sentences(docs(s, d).select(F.col("doc_id").alias("id"), "text"), keyworded)
-    return budget.extractive(scored.withColumn("score", F.round("score", 9)), 60)
+    return budget.extractive(budget.anchored_sentences(docs(s, d).select(F.col("doc_id").alias("id"), "text"), keyworded, digits=9), 60)
 
 
 add("V11_extractive", summarized, "WITH RECURSIVE" + V11[1:])

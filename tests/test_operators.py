@@ -128,3 +128,12 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     q = watch.indexed_stream(stream, "3 seconds", lambda df, _: got.append(sorted(r["file"] for r in df.collect())), str(tmp_path / "ck"), "1 seconds", progress)
     q.awaitTermination(60)
     assert ["a", "b"] in got and not progress.read()["running"]
+
+
+def test_extractive_leaves_texts_in_place(spark):
+    d = spark.createDataFrame([(1, "the database is up. " + "a. " * 3000 + "the weather is fine today indeed. the database. it"), (1, "the database is up and well here. no. " * 40)], "id int, text string").repartition(2)
+    got = budget.extractive(budget.anchored_sentences(d, models.keyword_embedding, "database", digits=9), 9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of the test's own table: no text is copied or moved for its sentences
+    # Sentences of no token are taken while there is room, in the order of their scores, of any number.
+    assert sorted(r["summary"] for r in got.collect()) == ["the database is up and well here." + " no." * 40, "the database is up. " + "a. " * 3000 + "the database. it"]
