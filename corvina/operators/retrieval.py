@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +26,12 @@ def knn(points: DataFrame, query: list[float], k: int, metric: str = "cosine", w
 MOST_QUERIES = 4096
 
 
+#: Scores that one matrix product of a task holds.
+MOST_SCORES = 1 << 20
+
+
 def query_blocks(queries: DataFrame, most: int | None = None):
-    """The queries (query_id, query) in blocks of (ids, unit vectors); the driver holds one block at a time."""
+    """The queries (query_id, query) in blocks of (ids, vectors); the driver holds one block at a time."""
     import numpy as np
 
     most = most or MOST_QUERIES
@@ -34,35 +39,97 @@ def query_blocks(queries: DataFrame, most: int | None = None):
     for r in queries.select("query_id", "query").where("query IS NOT NULL").toLocalIterator(prefetchPartitions=True):
         held.append((r[0], np.asarray(r[1], dtype=np.float64)))
         if len(held) == most:
-            yield _block(held)
+            yield [i for i, _ in held], np.stack([v for _, v in held])
             held = []
     if held:
-        yield _block(held)
+        yield [i for i, _ in held], np.stack([v for _, v in held])
 
 
-def _block(held: list) -> tuple:
+def _unit(x):
     import numpy as np
 
-    q = np.stack([v for _, v in held])
-    return [i for i, _ in held], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _best(score, k: int):
-    """Rows and columns of the k best of each column, ties at the edge included, so that the final rank is by id whatever the batches were."""
-    import numpy as np
+class _Nearest:
+    """The k nearest rows of each query of a block among those that a task was given, ties by id.
+
+    Rows are sifted by products of at most MOST_SCORES scores. What is near enough is scored anew, component by component,
+    so that equal vectors have equal scores whichever rows stand beside them.
+    """
 
-    n = min(k, len(score))
-    return np.nonzero(score >= np.partition(score, len(score) - n, axis=0)[len(score) - n])
+    SLACK = 1e-9
+
+    def __init__(self, ids: list, q, k: int):
+        import numpy as np
+        import pyarrow as pa
+
+        self.ids, self.q, self.unit, self.k = ids, q, _unit(q), k
+        self.cut = np.full(len(ids), -np.inf)  # a score that k rows of the query have
+        self.held, self.new, self.many = None, [], 0  # tables (col, score, id)
+        self.names, self.pa = ["col", "score", "id"], pa
+
+    def add(self, x, row_ids, cols=None):
+        """Rows (vectors, Arrow ids) for all queries, or for those at some places."""
+        import numpy as np
+
+        n, unit = len(self.ids) if cols is None else len(cols), _unit(x)
+        step = max(1, MOST_SCORES // max(n, 1))
+        for lo in range(0, len(x), step):
+            q, cut = (self.unit, self.cut) if cols is None else (self.unit[cols], self.cut[cols])
+            s = q @ unit[lo : lo + step].T
+            s[np.isnan(s)] = -np.inf
+            if np.isneginf(cut).any() and s.shape[1] > self.k:
+                cut = np.maximum(cut, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+            col, row = np.nonzero((s >= cut[:, None] - self.SLACK) & (s > -np.inf))
+            if len(col):
+                col, row = (col if cols is None else cols[col]), row + lo
+                self.new.append(self.pa.table([self.pa.array(col), self.pa.array(self._scores(x, row, col)), row_ids.take(self.pa.array(row))], self.names))
+                self.many += len(col)
+                if self.many > self.k * len(self.ids):
+                    self._merge()
+
+    def _scores(self, x, row, col):
+        import numpy as np
+
+        out = np.empty(len(row))
+        for lo in range(0, len(row), 1 << 16):
+            a, b = x[row[lo : lo + (1 << 16)]], self.q[col[lo : lo + (1 << 16)]]
+            dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+            for j in range(x.shape[1]):
+                dot, aa, bb = dot + a[:, j] * b[:, j], aa + a[:, j] * a[:, j], bb + b[:, j] * b[:, j]
+            norm = np.sqrt(aa * bb)
+            out[lo : lo + len(a)] = np.clip(np.where(norm > 0, dot / np.where(norm > 0, norm, 1.0), 0.0), -1.0, 1.0)
+        return out
+
+    def _merge(self):
+        import numpy as np
+
+        every = self.pa.concat_tables([*([self.held] if self.held is not None else []), *self.new])
+        every = every.sort_by([("col", "ascending"), ("score", "descending"), ("id", "ascending")])
+        col = every.column("col").to_numpy()
+        first = np.flatnonzero(np.diff(col, prepend=-1))
+        place = np.arange(len(col)) - np.repeat(first, np.diff(first, append=len(col)))
+        full = place == self.k - 1
+        self.cut[col[full]] = every.column("score").to_numpy()[full]
+        self.held, self.new, self.many = every.filter(self.pa.array(place < self.k)).combine_chunks(), [], 0
+
+    def batches(self):
+        """What was found, as Arrow batches (query_id, id, score)."""
+        if self.new:
+            self._merge()
+        if self.held is not None:
+            asked = self.pa.array([self.ids[c] for c in self.held.column("col").to_pylist()])
+            yield from self.pa.table([asked, self.held.column("id"), self.held.column("score")], ["query_id", "id", "score"]).to_batches(max_chunksize=10_000)
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest points of each query (query_id, query), with score and rank, ties by id.
 
-    Queries are taken in blocks of MOST_QUERIES, one pass over the points for each; scores of a block are one matrix
-    product for each batch, of which only the k best of every query leave a task.
+    Queries are taken in blocks of MOST_QUERIES, one pass over the points for each. A task holds MOST_SCORES scores at a
+    time and the k best rows of every query of the block, and only these leave it.
     """
     import numpy as np
-    import pyarrow as pa
 
     spark = points.sparkSession
     kind, qkind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -72,14 +139,12 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def one_pass(shared):
         def run(batches):
-            ids, q = shared.value
+            near = _Nearest(*shared.value, k)
             for whole in batches:
                 for lo in range(0, whole.num_rows, 4096):
                     b = whole.slice(lo, 4096)
-                    x = np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
-                    s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-                    row, col = _best(s, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in col.tolist()]), b.column(0).take(pa.array(row)), pa.array(s[row, col])], ["query_id", "id", "score"])
+                    near.add(np.asarray(b.column(1).flatten(), dtype=np.float64).reshape(b.num_rows, -1), b.column(0))
+            yield from near.batches()
 
         return slim.mapInArrow(run, f"query_id {qkind}, id {kind}, score double").withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -95,6 +160,10 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
+#: Vectors that an index is audited with, neighbours of each, and the share of them that must stand in the cells that a search reads.
+AUDITED, AUDIT_K, AUDIT_SHARE = 256, 32, 0.93
+
+
 @dataclass
 class VectorIndex:
     """An approximate index: unit vectors filed by the nearest of a few centroids, of which a search reads the cells nearest to its query."""
@@ -102,12 +171,23 @@ class VectorIndex:
     cells: DataFrame  # (cell, id, vector), partitioned by cell
     centroids: object  # numpy array
     metric: str = "cosine"
+    places: object = None  # numpy array: for each neighbour (rank, cells nearer to the vector than the neighbour's) of the audited vectors
+
+    def least(self, k: int) -> int:
+        """Cells to read so that AUDIT_SHARE of the k nearest of the audited vectors, themselves left out, stand in them."""
+        import numpy as np
+
+        if self.places is None or not len(self.places):
+            return 1
+        asked = self.places[self.places[:, 0] <= max(k, 1), 1]
+        return int(np.sort(asked)[max(math.ceil(AUDIT_SHARE * len(asked)) - 1, 0)]) + 1 if len(asked) else 1
 
 
 def build_index(points: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 6, metric: str = "cosine") -> VectorIndex:
     """File all points (id, vector) by centroids that are fitted on at most `sample` of them.
 
-    A search that asks for another metric than the index was built for is refused. Without `cells` their number is the
+    Then the exact neighbours of AUDITED vectors, others than those where there are more, are looked up among all points:
+    the cells that they stand in tell how many cells a search must read. A search that asks for another metric than the index was built for is refused. Without `cells` their number is the
     root of the number of points, 1024 at most.
     """
     import numpy as np
@@ -115,9 +195,9 @@ def build_index(points: DataFrame, cells: int | None = None, sample: int = 20_00
 
     valid = points.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
     n = valid.count()
-    drawn = valid.orderBy(F.xxhash64("id")).limit(sample).collect()
-    x = np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), -1)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else np.zeros((0, 0))
+    drawn = valid.orderBy(F.xxhash64("id")).limit(sample + AUDITED).collect()
+    x = _unit(np.array([r["vector"] for r in drawn], dtype=np.float64).reshape(len(drawn), -1)) if drawn else np.zeros((0, 0))
+    audited, x = x[-AUDITED:], x[:sample]
     many = max(1, min(cells or int(n**0.5), 1024, max(len(x), 1)))
     centroids = x[np.random.default_rng(7).choice(len(x), many, replace=False)] if len(x) else np.zeros((1, 0))
     for _ in range(rounds if len(x) else 0):
@@ -137,11 +217,32 @@ def build_index(points: DataFrame, cells: int | None = None, sample: int = 20_00
                 yield pa.RecordBatch.from_arrays([pa.array((v @ shared.value.T).argmax(axis=1).astype(np.int32)), b.column(0), b.column(1)], ["cell", "id", "vector"])
 
     filed = valid.mapInArrow(run, f"cell int, id {kind}, vector array<double>")
-    return VectorIndex(written(filed.repartitionByRange("cell", "id").sortWithinPartitions("cell"), "index"), centroids, metric)
+    index = VectorIndex(written(filed.repartitionByRange("cell", "id").sortWithinPartitions("cell"), "index"), centroids, metric)
+    index.places = _places(index, audited)
+    return index
+
+
+def _places(index: VectorIndex, audited):
+    """For each of the AUDIT_K nearest rows of each vector, itself left out, its rank and how many cells are nearer to the vector than the row's."""
+    import numpy as np
+
+    spark = index.cells.sparkSession
+    asked = spark.createDataFrame([(n, v) for n, v in enumerate(audited.tolist())], "query_id long, query array<double>")
+    found = knn_join(index.cells.select(F.col("cell").alias("id"), "vector"), asked, AUDIT_K + 1).where("rank > 1").collect()
+    if not found:
+        return None
+    order = np.argsort(-(audited @ index.centroids.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    return np.array([(r["rank"] - 1, place[r["query_id"], r["id"]]) for r in found])
 
 
 def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, id, score, rank): the k nearest among the points of the `probes` cells nearest to each query, by exact cosine."""
+    """(query_id, id, score, rank): the k nearest, by exact cosine, among the points of the cells nearest to each query.
+
+    `probes` cells are read at least, more where the index's audit asks for more: what lies near to a vector is spread over
+    the more cells, the more of them there are.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -151,24 +252,26 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, probes: int, me
     kind, qkind = cells.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double, rank int")
+    probes = max(probes, index.least(k))
     for ids, q in query_blocks(queries):
-        near = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+        near = np.argsort(-(_unit(q) @ index.centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
         shared = spark.sparkContext.broadcast((ids, q, near))
 
         def run(batches, shared=shared):
             ids, q, near = shared.value
+            best = _Nearest(ids, q, k)
+            asking = np.argsort(near.ravel(), kind="stable")  # the queries of a cell lie together
+            ends = np.searchsorted(near.ravel()[asking], np.arange(near.max(initial=0) + 2))
             for whole in batches:
                 for lo in range(0, whole.num_rows, 4096):
                     b = whole.slice(lo, 4096)
                     cell = b.column(0).to_numpy()
                     x = np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                     for c in np.unique(cell):
-                        asks, rows = np.flatnonzero((near == c).any(axis=1)), np.flatnonzero(cell == c)
+                        asks, rows = asking[ends[c] : ends[c + 1]] // near.shape[1], np.flatnonzero(cell == c)
                         if len(asks):
-                            s = x[rows] @ q[asks].T
-                            row, col = _best(s, k)
-                            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in asks[col].tolist()]), b.column(1).take(pa.array(rows[row])), pa.array(s[row, col])], ["query_id", "id", "score"])
+                            best.add(x[rows], b.column(1).take(pa.array(rows)), asks)
+            yield from best.batches()
 
         wanted = cells.where(F.col("cell").isin(*map(int, np.unique(near))))
         hits = wanted.mapInArrow(run, f"query_id {qkind}, id {kind}, score double").withColumn("rank", rank).where(F.col("rank") <= k)

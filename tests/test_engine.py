@@ -4,6 +4,7 @@ import os
 import subprocess
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +310,15 @@ def test_analysed_index(spark):
     assert {r["id"] for r in retrieval.bm25_indexed(index, "connecting the").collect()} == {1, 2}
     assert [r["id"] for r in retrieval.bm25_indexed(index, "cafe").collect()] == [2] and retrieval.bm25_indexed(index, "the").count() == 0
     assert {(r["id"], r["term"], r["tf"], r["length"]) for r in index.postings.collect()} == {(1, "connect", 2, 2), (2, "connect", 1, 2), (2, "cafe", 1, 2), (3, "cat", 1, 1)}
+
+
+def test_index_without_clusters_finds_nine_tenths(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((6000, 32)).astype(np.float32)
+    v = spark.createDataFrame([(k, x[k].tolist()) for k in range(6000)], "id long, vector array<float>")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    index = retrieval.build_index(v)
+    assert 8 < index.least(5) <= len(index.centroids)
+    told = retrieval.recall_of(retrieval.search_index(index, q, 5, 8), retrieval.knn_join(v, q, 5)).agg(F.sum("hits").alias("h"), F.sum("wanted").alias("w")).first()
+    assert told["w"] == 1500 and told["h"] >= 1350
+    assert retrieval.build_index(v.limit(0)).least(5) == 1 == retrieval.build_index(v.limit(1)).least(5)
