@@ -322,3 +322,21 @@ def test_index_without_clusters_finds_nine_tenths(spark):
     told = retrieval.recall_of(retrieval.search_index(index, q, 5, 8), retrieval.knn_join(v, q, 5)).agg(F.sum("hits").alias("h"), F.sum("wanted").alias("w")).first()
     assert told["w"] == 1500 and told["h"] >= 1350
     assert retrieval.build_index(v.limit(0)).least(5) == 1 == retrieval.build_index(v.limit(1)).least(5)
+
+
+def test_nearest_is_the_same_however_rows_are_sliced(monkeypatch):
+    r = np.random.default_rng(11)
+    x = np.repeat(r.standard_normal((60, 64)), 7, axis=0)[r.permutation(420)]
+    q, found = x[:50].copy(), []
+    for most in (1, 50 * 13, 1 << 20):
+        monkeypatch.setattr(retrieval, "MOST_SCORES", most)
+        near = retrieval._Nearest(list(range(50)), q, 5)
+        held = []
+        for lo in range(0, 420, 100):
+            near.add(x[lo : lo + 100], pa.array(range(lo, min(lo + 100, 420))))
+            held.append(near.many + (near.held.num_rows if near.held else 0))
+        assert max(held) <= 50 * 5 * 3
+        found.append([tuple(row.values()) for b in near.batches() for row in b.to_pylist()])
+    assert found[0] == found[1] == found[2]
+    # Of seven equal vectors those of the least ids come first.
+    assert all([i for a, i, _ in found[0] if a == k] == np.flatnonzero((x == q[k]).all(axis=1))[:5].tolist() for k in range(50))
