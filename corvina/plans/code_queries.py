@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvina.functions import chunking, models, parsing
 from corvina.operators import budget, memory, state
 from corvina.plans.projections import frame, oracle
-from corvina.sources.tables import table
+from corvina.sources.tables import spread, table
 
 #: Source files in SQL that both engines read; ~ is a line break.
 PYTHON = (
@@ -33,14 +33,14 @@ WEB = [
 
 
 def python_files(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(PYTHON.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    return spark.sql(PYTHON.replace("FROM part", "FROM {part}"), part=spread(table(spark, d, "part").select("p_partkey")))
 
 
 def web_files(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("page_id") % len(WEB)
     pick = lambda at: F.element_at(F.array(*(F.lit(w[at]) for w in WEB)), (kind + 1).cast("int"))
     number = F.col("page_id").cast("string")
-    return table(spark, d, "pages").select(F.concat(F.lit("web"), number, F.lit("."), pick(0)).alias("file"), F.replace(F.replace(pick(1), F.lit("{n}"), number), F.lit("~"), F.lit("\n")).alias("text"))
+    return spread(table(spark, d, "pages").select("page_id")).select(F.concat(F.lit("web"), number, F.lit("."), pick(0)).alias("file"), F.replace(F.replace(pick(1), F.lit("{n}"), number), F.lit("~"), F.lit("\n")).alias("text"))
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ def code_files(spark: SparkSession, d: str) -> DataFrame:
     names = list(CODE)
     pick = lambda x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % len(names) + 1).cast("int"))
     number = F.col("p_partkey").cast("string")
-    return table(spark, d, "part").select(number.alias("file"), pick(names).alias("language"), F.replace(F.replace(pick(CODE.values()), F.lit("{n}"), number), F.lit("~"), F.lit("\n")).alias("text"))
+    return spread(table(spark, d, "part").select("p_partkey")).select(number.alias("file"), pick(names).alias("language"), F.replace(F.replace(pick(CODE.values()), F.lit("{n}"), number), F.lit("~"), F.lit("\n")).alias("text"))
 
 
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:

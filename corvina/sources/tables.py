@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
+    """The rows of slim columns dealt evenly to tasks of about `per_task` rows, for what is costly to make of each.
+
+    A small table lies in few row groups, and a row group is read by one task.
+    """
+    return rows.repartition(max(1, -(-rows.count() // per_task)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 

@@ -1,13 +1,16 @@
 """Queries over generated source files, held against their SQL forms."""
 
+import ast
 import glob
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corvina.operators import memory, state
-from corvina.functions import models
+from corvina.functions import models, parsing
 from corvina.plans import catalog, code_queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +50,26 @@ def test_renamed_files_leaves_other_branches(spark):
     rows = spark.createDataFrame([("r", "main", "a", 1), ("r", "dev", "a", 2)], "repo string, branch string, file string, n int")
     moves = spark.createDataFrame([("r", "main", "a", "b")], "repo string, branch string, file string, new_file string")
     assert {(r["branch"], r["file"]) for r in state.renamed_files(rows, moves).collect()} == {("main", "b"), ("dev", "a")}
+
+
+def test_files_are_dealt_to_tasks_by_rows(spark, tmp_path):
+    keys = spark.range(50_000).select(F.col("id").alias("p_partkey"), F.col("id").alias("page_id")).coalesce(1)
+    for name in ("part", "pages"):
+        keys.write.parquet(f"{tmp_path}/{name}.parquet")
+    for made in (code_queries.python_files, code_queries.code_files, code_queries.web_files):
+        sizes = [r["n"] for r in made(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 50_000 and len(sizes) == 3 and max(sizes) < 20_000
+
+
+def test_segments_are_those_of_the_standard_library():
+    text = "import ä, b; x = 'é'\r\nclass Ü:\n    def é(self): return self.a.b(1), (2).c(), d[0].e(), f().g.h()\r    def m(self):\n        '''a\x0cb\r\n'''\n        import q\n\n    y = 1\n"
+    got = parsing.parse(text, "python")
+    tree = ast.parse(text)
+    nodes = [n for n in ast.walk(tree) if isinstance(n, (ast.ClassDef, ast.FunctionDef))]
+    assert sorted(s.body for s in got.symbols) == sorted(ast.get_source_segment(text, n) for n in nodes)
+    assert sorted(got.imports) == sorted(ast.get_source_segment(text, n) for n in ast.walk(tree) if isinstance(n, ast.Import))
+    assert parsing._dotted(ast.parse("a.b(c).d.e", mode="eval").body) == "a.b(c).d.e" and parsing._dotted(ast.parse("a.b.c", mode="eval").body) == "a.b.c"
+    # Work follows the length of a file.
+    long = "".join(f"def f{k}():\n    pass\n" for k in range(20_000))
+    began = time.perf_counter()
+    assert len(parsing.parse(long, "python").symbols) == 20_000 and time.perf_counter() - began < 20
