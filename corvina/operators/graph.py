@@ -34,6 +34,10 @@ def export(edges: DataFrame, kind: str | None = None, file: str | None = None, l
     return edges.orderBy("source", "target", "kind", "file", "line").limit(limit or 2000)
 
 
+#: Symbols of a level that are sent to every task, and steps that a task gets when there are more.
+SMALL_LEVEL, TASK_STEPS = 100_000, 1_000_000
+
+
 def impact(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     """(direction, symbol, depth) of all that reaches the start and all it reaches, at the least depth, up to `depth`.
 
@@ -41,17 +45,28 @@ def impact(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     """
     spark = edges.sparkSession
     # Both directions from one pass over the edges, written once: each level reads the steps, which may be costly to make.
+    # A step may come more than once; what a level reaches does not.
     ways = F.array(F.struct(F.lit("down").alias("direction"), F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.lit("up").alias("direction"), F.col("target").alias("a"), F.col("source").alias("b")))
-    steps = written(edges.select(F.explode(ways).alias("x")).select("x.*").distinct(), "steps")
-    frontier = spark.createDataFrame([("down", start), ("up", start)], "direction string, symbol string")
-    seen = frontier.withColumn("depth", F.lit(0))
+    steps = written(edges.select(F.explode(ways).alias("x")).select("x.*"), "steps")
+    seen = spark.createDataFrame([("down", start, 0), ("up", start, 0)], "direction string, symbol string, depth int")
+    frontier, size = None, 0
     for level in range(1, depth + 1):
-        reached = frontier.join(steps, (steps["a"] == frontier["symbol"]) & (steps["direction"] == frontier["direction"])).select(steps["direction"], F.col("b").alias("symbol")).distinct()
+        if frontier is None:
+            found = steps.where(F.col("a") == start)
+        else:
+            asked = frontier.withColumnRenamed("symbol", "a")
+            if size <= SMALL_LEVEL:
+                found = steps.join(F.broadcast(asked), ["direction", "a"])
+            else:
+                tasks = max(1, -(-steps.count() // TASK_STEPS))
+                found = steps.repartition(tasks, "direction", "a").join(asked.repartition(tasks, "direction", "a"), ["direction", "a"])
+        reached = found.select("direction", F.col("b").alias("symbol")).distinct()
         fresh = reached.join(seen, ["direction", "symbol"], "left_anti")
         if level == depth:
             return seen.unionByName(fresh.withColumn("depth", F.lit(level))).where("depth > 0")
         fresh = written(fresh, f"bfs-{level}")
-        if fresh.isEmpty():
+        size = fresh.count()
+        if not size:
             break
         seen = seen.unionByName(fresh.withColumn("depth", F.lit(level)))
         frontier = fresh

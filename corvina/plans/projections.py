@@ -24,7 +24,12 @@ SQL = {
 }
 
 
+#: Rows that a task of a shuffle gets, about, where it holds them all: for a window over keys, or to find distinct rows.
+TASK_ROWS = 1_000_000
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A projection as a table. Where it parts rows by a key or drops repeated ones, tasks are as many as the rows ask for, whatever the session says."""
     import re
 
     names = set(re.findall(r"FROM\s+(documents|embeddings|conversations|lineitem|pages|nation|events)\b", SQL[name]))
@@ -32,7 +37,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = SQL[name]
     for n in names:
         text = re.sub(rf"FROM\s+{n}\b", f"FROM {{{n}}}", text)
-    return spark.sql(text, **tables)
+    tasks = lambda: max(1, *(-(-t.count() // TASK_ROWS) for t in tables.values()))
+    if key := re.search(r"PARTITION BY (\w+)", text):
+        tables = {n: t.repartition(tasks(), key[1]) for n, t in tables.items()}
+    distinct = text.startswith("SELECT DISTINCT ")
+    rows = spark.sql(text.replace("SELECT DISTINCT ", "SELECT ", 1) if distinct else text, **tables)
+    # Constants are no keys: the optimizer takes them out of those that rows are compared by, and would deal the rows again.
+    keys = [c for c in rows.columns if c not in re.findall(r"'\w*' AS (\w+)", text)]
+    return rows.repartition(tasks(), *keys).distinct() if distinct else rows
 
 
 def oracle(body: str, *names: str) -> str:

@@ -9,9 +9,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corvina.operators import memory, state
+from corvina.operators import graph, memory, state
 from corvina.functions import models, parsing
-from corvina.plans import catalog, code_queries
+from corvina.plans import catalog, code_queries, projections
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,17 @@ def test_segments_are_those_of_the_standard_library():
     long = "".join(f"def f{k}():\n    pass\n" for k in range(20_000))
     began = time.perf_counter()
     assert len(parsing.parse(long, "python").symbols) == 20_000 and time.perf_counter() - began < 20
+
+
+def test_edges_are_parted_by_rows(spark, monkeypatch):
+    whole = sorted(map(tuple, projections.frame(spark, SF, "edges").collect()))
+    monkeypatch.setattr(projections, "TASK_ROWS", 500)
+    edges = projections.frame(spark, SF, "edges")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count(", 12)") == 2
+    assert edges.rdd.getNumPartitions() == 12 and sorted(map(tuple, edges.collect())) == whole and len(whole) == len(set(whole))
+    # Levels of few and of many symbols come to the same.
+    few = sorted(map(tuple, graph.impact(edges, "p5", 3).collect()))
+    monkeypatch.setattr(graph, "SMALL_LEVEL", 0)
+    monkeypatch.setattr(graph, "TASK_STEPS", 700)
+    assert sorted(map(tuple, graph.impact(edges, "p5", 3).collect())) == few and len(few) > 100
