@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import columns as C
-from corvina.functions.stemming import Analysis, stem_column
+from corvina.functions.stemming import Analysis, stem_words
 from corvina.sources.tables import written
 
 RRF_K = 60
@@ -294,15 +294,26 @@ def query_terms(query: str) -> list[str]:
     return sorted(set("".join(c if "a" <= c <= "z" else " " for c in query.lower()).split()))
 
 
+def _runs(ordered: Column, key) -> Column:
+    """(at, n) of each run of elements with the same key in an array that is ordered by it."""
+    places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (key(F.get(ordered, i)) != key(F.get(ordered, i - 1))))
+    return C.bound(starts, lambda s: F.transform(s, lambda at, k: F.struct(at.alias("at"), (F.coalesce(F.get(s, k + 1), F.size(ordered)) - at).alias("n"))))
+
+
+def _counted(docs: DataFrame, analysis: Analysis) -> DataFrame:
+    """(id, length, terms) of a table (id, text): the terms (term, tf) of each text, counted in its row."""
+    words = F.filter(F.split(analysis.text(F.col("text")), "[^a-z]+"), lambda x: (x != "") & ~x.isin(*analysis.stop_words) if analysis.stop_words else x != "")
+    rows = docs.select("id", words.alias("w"))
+    if analysis.stem:
+        rows = rows.select("id", stem_words("w").alias("w"))
+    counts = lambda w: F.transform(_runs(w, lambda x: x), lambda r: F.struct(F.get(w, r["at"]).alias("term"), r["n"].cast("long").alias("tf")))
+    return rows.select("id", F.size("w").alias("length"), C.bound(F.sort_array("w"), counts).alias("terms"))
+
+
 def postings(docs: DataFrame, analysis: Analysis = Analysis()) -> DataFrame:
-    """(id, term, tf, length) of a table (id, text); length counts the terms that are left of a text."""
-    words = F.split(analysis.text(F.col("text")), "[^a-z]+")
-    words = docs.select("id", F.filter(words, lambda x: (x != "") & ~x.isin(*analysis.stop_words) if analysis.stop_words else x != "").alias("w"))
-    counted = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    if not analysis.stem:
-        return counted
-    # Words are counted before they are stemmed: fewer rows reach Python, and the sums fall to the same tasks.
-    return counted.withColumn("term", stem_column("term")).groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
+    """(id, term, tf, length) of a table (id, text), without a shuffle; length counts the terms that are left of a text."""
+    return _counted(docs, analysis).select("id", "length", F.explode("terms").alias("x")).select("id", "length", "x.term", "x.tf")
 
 
 #: Files of terms that a keyword index is parted into; a query reads those of its terms.
@@ -319,14 +330,30 @@ class KeywordIndex:
     analysis: Analysis = Analysis()
 
 
+#: Term parts that travel together to the task that writes them, and postings that such a task gets, about.
+PARTS_A_TASK, TASK_POSTINGS = 8, 1_000_000
+
+
 def build_keyword_index(docs: DataFrame, analysis: Analysis = Analysis()) -> KeywordIndex:
-    """Index a table (id, text). An index stands for one snapshot: after rows went or came it is built anew."""
-    rows = postings(docs, analysis).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
-    kept = written(rows.repartition(TERM_PARTS, "part", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("part", "term"), "postings", "part")
-    # Documents without a word have no posting but count.
-    n = docs.count()
+    """Index a table (id, text). An index stands for one snapshot: after rows went or came it is built anew.
+
+    The terms of a text travel as one string for each group of term parts, to tasks that are as many as the texts ask for.
+    """
+    part = lambda term: F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+    # Documents without a word have no posting but count. A posting takes 8 bytes of a text at least, about.
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = TERM_PARTS // PARTS_A_TASK
+    salts = max(8, -(-(size["bytes"] or 0) // (8 * TASK_POSTINGS * groups)))
+    grouped = F.sort_array(F.transform("terms", lambda x: F.struct(F.floor(part(x["term"]) / PARTS_A_TASK).cast("int").alias("g"), x["term"].alias("term"), x["tf"].alias("tf"))))
+    strings = lambda x: F.struct(x[0]["g"].alias("g"), F.array_join(F.transform(x, lambda y: y["term"]), " ").alias("terms"), F.array_join(F.transform(x, lambda y: y["tf"].cast("string")), " ").alias("times"))
+    slices = lambda t: F.transform(_runs(t, lambda x: x["g"]), lambda r: C.bound(F.slice(t, r["at"] + 1, r["n"]), strings))
+    rows = _counted(docs, analysis).select("id", "length", F.explode(C.bound(grouped, slices)).alias("x")).select("id", "length", "x.*")
+    rows = rows.repartition(groups * salts, "g", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    pairs = F.arrays_zip(F.split("terms", " ").alias("term"), F.split("times", " ").alias("tf"))
+    rows = rows.select("id", "length", F.explode(pairs).alias("x")).select("id", "length", "x.term", F.col("x.tf").cast("long").alias("tf"))
+    kept = written(rows.withColumn("part", part("term")).sortWithinPartitions("part", "term"), "postings", "part")
     total = kept.agg(F.sum("tf").alias("t")).first()["t"] or 0
-    return KeywordIndex(kept, n, total / n if n else 0.0, analysis)
+    return KeywordIndex(kept, size["n"], total / size["n"] if size["n"] else 0.0, analysis)
 
 
 def bm25_indexed(index: KeywordIndex, query: str, k: int | None = None) -> DataFrame:

@@ -340,3 +340,16 @@ def test_nearest_is_the_same_however_rows_are_sliced(monkeypatch):
     assert found[0] == found[1] == found[2]
     # Of seven equal vectors those of the least ids come first.
     assert all([i for a, i, _ in found[0] if a == k] == np.flatnonzero((x == q[k]).all(axis=1))[:5].tolist() for k in range(50))
+
+
+def test_postings_are_counted_without_a_shuffle(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "2 5"), (5, "cafe a b c " * 300)], "id long, text string").coalesce(1)
+    found = retrieval.postings(d)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "a", 1, 3), (1, "b", 2, 3), *((5, w, 300, 1200) for w in ("a", "b", "c", "cafe"))}
+    rows = lambda p: sorted((r["id"], r["term"], r["tf"], r["length"]) for r in p.collect())
+    assert rows(found) == sorted(want)
+    monkeypatch.setattr(retrieval, "TASK_POSTINGS", 1)
+    index = retrieval.build_keyword_index(d)
+    assert rows(index.postings) == sorted(want) and index.documents == 5 and index.average == 1203 / 5
+    assert rows(retrieval.postings(d, Analysis.english(["a"])))[0] == (1, "b", 2, 2)
